@@ -163,11 +163,11 @@ def hash_rank(df: DataFrame, by: Sequence[str] = (), key: Sequence[str] = (),
 def draw_with_replacement(df: DataFrame, quota: DataFrame | int, by: Sequence[str] = (),
                           key: Sequence[str] = (), seed: int = DEFAULT_SEED,
                           tiebreak: Sequence[str] = (), n_groups: int | None = None,
-                          chunk_rows: int = DRAW_CHUNK_ROWS) -> DataFrame:
+                          chunk_rows: int = DRAW_CHUNK_ROWS, draw_id: str | None = None) -> DataFrame:
     """``_q`` uniform draws with replacement per group.
 
     Draw ``j`` of group ``g`` picks the row of rank
-    ``u60(md5(seed|g|j)) mod group_size``.  Draw ids are generated in chunks
+    ``u60(md5(seed|g|j)) mod group_size``; ``draw_id`` keeps ``j`` as a column.  Draw ids are generated in chunks
     spread over tasks, then joined to the ranked rows on ``(g, rank)``; every
     join key has about ``_q / n`` matches, so no key is hot.
     """
@@ -189,6 +189,7 @@ def draw_with_replacement(df: DataFrame, quota: DataFrame | int, by: Sequence[st
     hi = F.least(F.col(Q), lo + chunk_rows) - 1
     draws = chunks.select(*gb, N, F.explode(F.sequence(lo, hi)).alias("_j"))
     parts = [] if added else list(gb)
-    draws = draws.select(*gb, (draw_hash([*parts, F.col("_j")], seed) % F.col(N)).alias("_rank"))
+    draws = draws.select(*gb, "_j", (draw_hash([*parts, F.col("_j")], seed) % F.col(N)).alias("_rank"))
     out = ranked.join(draws, [*gb, "_rank"]).drop("_rank")
+    out = out.drop("_j") if draw_id is None else out.withColumnRenamed("_j", draw_id)
     return _finish(out, added)

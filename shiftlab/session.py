@@ -39,7 +39,12 @@ def get_spark(app: str = "shiftlab", master: str | None = None,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return ``spark.checkpoint.dir``; set a scratch one only if unset (tests)."""
-    cp = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    cp = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if cp:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(cp)
+        return cp
     if not cp:
         cp = tempfile.mkdtemp(prefix="shiftlab-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", cp)
