@@ -138,10 +138,11 @@ def value_majority_scorer(column: str, label: str, key: Sequence[str], test_size
     value learnt on train, macro F1 on test.  One algorithm, ``by_<column>``."""
     def score(df: DataFrame) -> dict:
         classes = mt.class_list(df, label)
-        s = sp.train_test_split(df, label, key, test_size, seed)
+        s = sp.train_test_split(df, label, key, test_size, seed).cache()
         tr, te = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
         p = md.ValueMajority(column, label, classes).fit(tr).transform(te)
         r = mt.macro_f1(p, label, "y_pred", classes).first()
+        s.unpersist()
         return {f"by_{column}": float(r["f1_macro"] or 0.0)}
     return score
 
@@ -182,6 +183,7 @@ def run_sweep(df: DataFrame, column: str, kind: str, scorer: Scorer, key: Sequen
     grid = slider_grid() if grid is None else list(grid)
     run_id = run_id or f"{column}:{kind}"
     base = df.cache()
+    base.count()
     baseline = scorer(base)
     rows, hist, best, declines = [], [], -1.0, 0
     for i, s in enumerate(grid):
@@ -193,8 +195,11 @@ def run_sweep(df: DataFrame, column: str, kind: str, scorer: Scorer, key: Sequen
                        else rb.random_undersample(base, label, s, key, seed))
             else:
                 mod = rb.rebalance(base, column, kind, s, key, seed)
-            scores = scorer(mod)
+            mod = mod.cache()
             n = mod.count()
+            scores = scorer(mod)
+            if mod is not base:
+                mod.unpersist()
         except Exception:  # noqa: BLE001 - a failing step is skipped
             continue
         avg = float(np.mean(list(scores.values()))) if scores else 0.0

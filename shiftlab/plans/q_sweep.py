@@ -1 +1,212 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered queries for the sweep bookkeeping, exit rule, optimum and
+diagnosis operators (O02-O12).
+
+Step tables are derived from ``events`` so both engines see the same numbers:
+run = event type, step = day index, algorithm = hour band, score = mean value
+/ 100 (rounded to 9 decimals to make the float sums engine-independent).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shiftlab.operators import importance as im
+from shiftlab.operators import sweep as sw
+from shiftlab.plans.q_models import _IMP, doc_importances
+from shiftlab.plans.registry import register
+from shiftlab.sources.tables import TABLE_KEYS, load_table
+
+BANDS = ["day", "evening", "night"]
+DOC_KEY = TABLE_KEYS["documents"]
+
+
+def _band():
+    h = F.hour("ts")
+    return F.when(h < 8, F.lit("night")).when(h < 16, F.lit("day")).otherwise(F.lit("evening"))
+
+
+def event_steps(spark, sf):
+    e = load_table(spark, sf, "events")
+    d0 = e.agg(F.min(F.to_date("ts"))).first()[0]
+    step = F.datediff(F.to_date("ts"), F.lit(d0)).cast("int")
+    s = e.groupBy(F.col("event_type").alias("run_id"), step.alias("step"), _band().alias("algorithm")).agg(
+        F.round(F.avg("value") / F.lit(100.0), 9).alias("score"), F.count(F.lit(1)).alias("n_samples"))
+    return s.withColumn("slider", F.col("step").cast("double") / F.lit(20.0) - F.lit(1.0)).select(
+        "run_id", "step", "slider", "algorithm", "score", "n_samples")
+
+
+def event_baseline(spark, sf):
+    e = load_table(spark, sf, "events")
+    return e.groupBy(F.col("event_type").alias("run_id"), _band().alias("algorithm")).agg(
+        F.round(F.avg("value") / F.lit(100.0), 9).alias("score"))
+
+
+_BAND_SQL = "CASE WHEN hour(ts) < 8 THEN 'night' WHEN hour(ts) < 16 THEN 'day' ELSE 'evening' END"
+STEPS_SQL = f"""
+st AS (SELECT event_type AS run_id,
+              datediff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE))::INTEGER AS step,
+              {_BAND_SQL} AS algorithm, round(avg(value) / 100.0, 9) AS score, count(*) AS n_samples
+       FROM events GROUP BY ALL),
+st2 AS (SELECT run_id, step, CAST(step AS DOUBLE) / 20.0 - 1.0 AS slider, algorithm, score, n_samples FROM st),
+sm AS (SELECT run_id, step, slider, avg(score) AS avg_score, first(algorithm ORDER BY score DESC, algorithm) AS best_algo,
+              max(score) AS best_score, max(n_samples) AS n_samples FROM st2 GROUP BY run_id, step, slider),
+bk AS (SELECT *, coalesce(avg_score - lag(avg_score) OVER (PARTITION BY run_id ORDER BY step), 0.0) AS delta,
+              avg_score > coalesce(max(avg_score) OVER (PARTITION BY run_id ORDER BY step
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1.0) AS is_best,
+              row_number() OVER (PARTITION BY run_id ORDER BY step) AS i FROM sm),
+bg AS (SELECT *, sum(is_best::INTEGER) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS grp FROM bk),
+bd AS (SELECT * EXCLUDE (grp), CASE WHEN grp > 0 THEN row_number() OVER (PARTITION BY run_id, grp ORDER BY step) - 1
+              ELSE row_number() OVER (PARTITION BY run_id, grp ORDER BY step) END AS declines FROM bg),
+ex AS (SELECT *, CASE WHEN i > 1 AND delta < -0.001 AND declines >= 2 THEN 'peak_detected'
+                      WHEN i > 1 AND abs(delta) < 0.001 AND declines >= 3 THEN 'plateau' END AS why FROM bd),
+cut AS (SELECT run_id, min(step) FILTER (WHERE why IS NOT NULL) AS cut_step,
+               coalesce(first(why ORDER BY step) FILTER (WHERE why IS NOT NULL), 'complete') AS exit_reason
+        FROM ex GROUP BY run_id),
+kept AS (SELECT ex.* EXCLUDE (why, i), cut.exit_reason FROM ex JOIN cut USING (run_id)
+         WHERE cut.cut_step IS NULL OR ex.step <= cut.cut_step)"""
+
+_BASE_SQL = f"""base AS (SELECT event_type AS run_id, {_BAND_SQL} AS algorithm, round(avg(value) / 100.0, 9) AS score
+         FROM events GROUP BY ALL)"""
+
+
+@register("o03_step_bookkeeping", f"""WITH {STEPS_SQL}
+SELECT run_id, step, slider, avg_score, best_algo, best_score, n_samples, delta, is_best, declines FROM bd""")
+def o03(spark, sf):
+    b = sw.bookkeeping(sw.step_summary(event_steps(spark, sf)))
+    return b.drop("_i")
+
+
+@register("o04_early_exit", f"""WITH {STEPS_SQL}
+SELECT run_id, step, slider, avg_score, best_algo, best_score, n_samples, delta, is_best, declines, exit_reason
+FROM kept""")
+def o04(spark, sf):
+    return sw.trajectory(event_steps(spark, sf))
+
+
+@register("o05_optimum", f"""WITH {STEPS_SQL}, {_BASE_SQL},
+best AS (SELECT run_id, step AS opt_step, slider AS optimal_value, best_algo AS best_algorithm, best_score AS best_f1,
+                exit_reason FROM kept QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY avg_score DESC, step) = 1),
+gains AS (SELECT s.run_id, s.algorithm, CASE WHEN b.score > 0 THEN s.score - b.score ELSE 0.0 END AS gain
+          FROM st2 s JOIN best USING (run_id) LEFT JOIN base b ON b.run_id = s.run_id AND b.algorithm = s.algorithm
+          WHERE s.step = best.opt_step)
+SELECT best.run_id, optimal_value, best_algorithm, best_f1, exit_reason, avg(gain) AS mean_gain
+FROM best LEFT JOIN gains USING (run_id) GROUP BY ALL""")
+def o05(spark, sf):
+    return sw.optimum(event_steps(spark, sf), event_baseline(spark, sf)).drop("gain_by_algorithm")
+
+
+@register("o07_trajectory_table", f"""WITH {STEPS_SQL},
+wide AS (SELECT run_id, step, max(CASE WHEN algorithm = 'day' THEN score END) AS day_f1,
+                max(CASE WHEN algorithm = 'evening' THEN score END) AS evening_f1,
+                max(CASE WHEN algorithm = 'night' THEN score END) AS night_f1 FROM st2 GROUP BY run_id, step)
+SELECT kept.run_id, kept.step, slider, n_samples, delta, best_algo, best_score, day_f1, evening_f1, night_f1
+FROM kept JOIN wide USING (run_id, step)""")
+def o07(spark, sf):
+    return sw.trajectory_table(event_steps(spark, sf), BANDS)
+
+
+def gap_table(spark, sf):
+    """(slider, algo, train_f1, val_f1, gap) derived from events."""
+    e = load_table(spark, sf, "events")
+    d0 = e.agg(F.min(F.to_date("ts"))).first()[0]
+    step = F.datediff(F.to_date("ts"), F.lit(d0))
+    g = e.groupBy((step - 20).cast("double").alias("_s"), _band().alias("algo")).agg(
+        F.round(F.max("value") / F.lit(100.0), 9).alias("train_f1"),
+        F.round(F.avg("value") / F.lit(100.0), 9).alias("val_f1"))
+    return g.select((F.col("_s") / F.lit(20.0)).alias("slider"), "algo", "train_f1", "val_f1",
+                    (F.col("train_f1") - F.col("val_f1")).alias("gap"))
+
+
+GAP_SQL = f"""gp AS (SELECT slider, algo, train_f1, val_f1, train_f1 - val_f1 AS gap FROM (
+    SELECT CAST(datediff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) - 20 AS DOUBLE) / 20.0
+             AS slider, {_BAND_SQL} AS algo,
+           round(max(value) / 100.0, 9) AS train_f1, round(avg(value) / 100.0, 9) AS val_f1
+    FROM events GROUP BY ALL))"""
+
+
+@register("o08_gap_table", f"WITH {GAP_SQL} SELECT * FROM gp")
+def o08t(spark, sf):
+    return gap_table(spark, sf)
+
+
+@register("o09_gap_verdict", f"""WITH {GAP_SQL},
+up AS (SELECT algo, avg(gap) AS upsample_gap FROM gp WHERE slider > 0 GROUP BY algo),
+bz AS (SELECT algo, avg(gap) AS baseline_gap FROM gp WHERE slider = 0 GROUP BY algo)
+SELECT up.algo, upsample_gap, coalesce(baseline_gap, 0.0) AS baseline_gap,
+       upsample_gap > coalesce(baseline_gap, 0.0) + 0.01 AS widening FROM up LEFT JOIN bz USING (algo)""")
+def o09(spark, sf):
+    return sw.gap_verdict(gap_table(spark, sf))
+
+
+def diag_metrics(spark, sf):
+    """(algorithm, train_f1, val_f1, cv_mean, cv_std) per event type, all in [0, 1]."""
+    e = load_table(spark, sf, "events")
+    return e.groupBy(F.col("event_type").alias("algorithm")).agg(
+        F.round((F.avg("value") + F.max("value")) / (F.lit(2.0) * F.max("value")), 9).alias("train_f1"),
+        F.round(F.avg("value") / F.max("value"), 9).alias("val_f1"),
+        F.round(F.min("value") / F.max("value"), 9).alias("cv_mean"),
+        F.lit(0.0).alias("cv_std"))
+
+
+_DIAG_SRC = """dm AS (SELECT event_type AS algorithm,
+        round((avg(value) + max(value)) / (2.0 * max(value)), 9) AS train_f1, round(avg(value) / max(value), 9) AS val_f1,
+        round(min(value) / max(value), 9) AS cv_mean, CAST(0.0 AS DOUBLE) AS cv_std FROM events GROUP BY event_type)"""
+
+
+@register("o10_fit_diagnosis", f"""WITH {_DIAG_SRC},
+g AS (SELECT *, train_f1 - val_f1 AS gap FROM dm)
+SELECT algorithm, train_f1, val_f1, cv_mean, cv_std, gap,
+  CASE WHEN train_f1 > 0.95 AND gap > 0.05 THEN 'overfit'
+       WHEN train_f1 < 0.7 AND val_f1 < 0.7 THEN 'underfit'
+       WHEN gap < 0.03 AND val_f1 > 0.7 THEN 'optimal'
+       WHEN gap > 0.03 THEN 'slight_overfit' ELSE 'acceptable' END AS status FROM g""")
+def o10(spark, sf):
+    return sw.fit_diagnosis(diag_metrics(spark, sf)).drop("explanation")
+
+
+@register("o11_checklist", f"""WITH {_DIAG_SRC}
+SELECT true AS has_learning_curves, true AS has_cv,
+       coalesce(bool_or(train_f1 - val_f1 > 0.05), false) AS any_gap_over_005, true AS has_gap_analysis FROM dm""")
+def o11(spark, sf):
+    diag = sw.fit_diagnosis(diag_metrics(spark, sf))
+    steps = event_steps(spark, sf)
+    return sw.checklist(steps, steps, diag, gap_table(spark, sf))
+
+
+@register("o12_mean_gain", f"""WITH {STEPS_SQL}, {_BASE_SQL},
+best AS (SELECT run_id, step AS opt_step FROM kept
+         QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY avg_score DESC, step) = 1),
+gains AS (SELECT s.run_id, CASE WHEN b.score > 0 THEN s.score - b.score ELSE 0.0 END AS gain
+          FROM st2 s JOIN best USING (run_id) LEFT JOIN base b ON b.run_id = s.run_id AND b.algorithm = s.algorithm
+          WHERE s.step = best.opt_step)
+SELECT run_id, avg(gain) AS mean_gain FROM gains GROUP BY run_id""")
+def o12(spark, sf):
+    return sw.optimum(event_steps(spark, sf), event_baseline(spark, sf)).select("run_id", "mean_gain")
+
+
+@register("o12_in_top5", f"""WITH {_IMP},
+rk AS (SELECT method, feature, row_number() OVER (PARTITION BY method ORDER BY importance DESC, feature) AS r FROM imp)
+SELECT method, bool_or(feature = 'src3' AND r <= 5) AS in_top_k FROM rk GROUP BY method""")
+def o12t(spark, sf):
+    return sw.in_top_k(doc_importances(spark, sf), "src3", 5)
+
+
+@register("o02_sweep_value_majority")
+def o02(spark, sf):
+    """A short real sweep: rebalance documents by language, score by source."""
+    d = load_table(spark, sf, "documents")
+    scorer = sw.value_majority_scorer("source", "lang", DOC_KEY)
+    steps, base = sw.run_sweep(d, "lang", "target", scorer, DOC_KEY, grid=[-0.5, -0.25, 0.0, 0.25, 0.5])
+    return sw.optimum(steps, base).drop("gain_by_algorithm")
+
+
+@register("o06_multi_column_sweep")
+def o06(spark, sf):
+    d = load_table(spark, sf, "documents")
+    scorer = sw.value_majority_scorer("source", "lang", DOC_KEY)
+    steps, base = sw.run_multi(d, [("lang", "target"), ("n_chars", "continuous")], scorer, DOC_KEY,
+                               grid=[-0.5, 0.0, 0.5])
+    return sw.optimum(steps, base).drop("gain_by_algorithm")
+
+
+__all__ = ["im"]
