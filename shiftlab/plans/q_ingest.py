@@ -1 +1,155 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered queries for the nested-document functions.
+
+The driver's tables hold no vulnerability documents, so the extraction
+functions run on arrays built from them: an order's line items become an
+array of structs (at most seven per order, a bounded group), JSON ``props``
+strings are parsed, ``documents`` stand in for description lists.  The full
+document flattener (I01-I05, I15, I16) is tested on generated JSON files.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shiftlab.functions import nested as nf
+from shiftlab.functions.scalar import band
+from shiftlab.plans.registry import register
+from shiftlab.sources.tables import load_table
+
+_FIELDS = ["l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_partkey", "l_suppkey"]
+
+
+def order_lines(spark, sf):
+    li = load_table(spark, sf, "lineitem")
+    return li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*_FIELDS))).alias("arr"))
+
+
+_ARR = f"""ol AS (SELECT l_orderkey, list(struct_pack({', '.join(f'{c} := {c}' for c in _FIELDS)})
+                  ORDER BY {', '.join(_FIELDS)}) AS arr FROM lineitem GROUP BY l_orderkey)"""
+
+
+@register("i01_json_props", """
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def i01(spark, sf):
+    e = load_table(spark, sf, "events")
+    return e.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@register("i06_primary_entry", f"""WITH {_ARR},
+p AS (SELECT l_orderkey, coalesce(list_filter(arr, lambda e: e.l_returnflag = 'R')[1], arr[1]) AS e FROM ol)
+SELECT l_orderkey, e.l_linenumber AS ln, e.l_returnflag AS flag, e.l_quantity AS qty FROM p""")
+def i06(spark, sf):
+    p = order_lines(spark, sf).select("l_orderkey", nf.first_preferred(F.col("arr"),
+                                                                     lambda e: e["l_returnflag"] == "R").alias("e"))
+    return p.select("l_orderkey", F.col("e.l_linenumber").alias("ln"), F.col("e.l_returnflag").alias("flag"),
+                    F.col("e.l_quantity").alias("qty"))
+
+
+@register("i07_preferred_score_default", f"""WITH {_ARR}
+SELECT o_orderkey,
+       coalesce(coalesce(list_filter(arr, lambda e: e.l_linestatus = 'F')[1], arr[1]).l_quantity, 0.0) AS score
+FROM orders LEFT JOIN ol ON ol.l_orderkey = orders.o_orderkey""")
+def i07(spark, sf):
+    o = load_table(spark, sf, "orders").select("o_orderkey")
+    j = o.join(order_lines(spark, sf), o["o_orderkey"] == F.col("l_orderkey"), "left")
+    e = nf.first_preferred(F.col("arr"), lambda e: e["l_linestatus"] == "F")
+    return j.select("o_orderkey", F.coalesce(e["l_quantity"], F.lit(0.0)).alias("score"))
+
+
+def _desc(spark, sf):
+    return order_lines(spark, sf).select("l_orderkey", F.transform(
+        "arr", lambda e: F.struct(F.array(F.struct(
+            e["l_linestatus"].alias("lang"),
+            F.concat(e["l_returnflag"], F.lit("-"), e["l_linenumber"].cast("string")).alias("value")))
+            .alias("description"))).alias("w"))
+
+
+@register("i08_matching_values", f"""WITH {_ARR},
+w AS (SELECT l_orderkey, list_transform(arr, lambda e: struct_pack(description := [struct_pack(
+        lang := e.l_linestatus, value := e.l_returnflag || '-' || CAST(e.l_linenumber AS VARCHAR))])) AS w FROM ol),
+m AS (SELECT l_orderkey, flatten(list_transform(w, lambda x: list_transform(list_filter(x.description,
+        lambda d: d.lang = 'O' AND (starts_with(d.value, 'A-') OR starts_with(d.value, 'N-'))),
+        lambda d: d.value))) AS v FROM w)
+SELECT l_orderkey, len(v) AS n_values, coalesce(v[1], 'NONE') AS first_value FROM m""")
+def i08(spark, sf):
+    v = nf.matching_values(
+        F.col("w"), "description",
+        lambda d: (d["lang"] == "O") & (d["value"].startswith("A-") | d["value"].startswith("N-")),
+        lambda d: d["value"])
+    x = _desc(spark, sf).select("l_orderkey", v.alias("v"))
+    return x.select("l_orderkey", nf.size0(F.col("v")).alias("n_values"),
+                    nf.first_or(F.col("v"), "NONE").alias("first_value"))
+
+
+@register("i09_token_distinct_count", f"""WITH {_ARR},
+c AS (SELECT l_orderkey, list_transform(arr, lambda e: CASE WHEN e.l_linestatus = 'F' THEN 'cpe:2.3:' || e.l_returnflag
+        ELSE 'cpe:2.3:' || e.l_returnflag || ':' || CAST(e.l_suppkey AS VARCHAR) || ':' || CAST(e.l_partkey AS VARCHAR)
+        END) AS crit FROM ol)
+SELECT l_orderkey, len(list_distinct(list_transform(list_filter(list_transform(crit, lambda s: string_split(s, ':')),
+       lambda p: len(p) >= 4), lambda p: p[4]))) AS n_vendors FROM c""")
+def i09(spark, sf):
+    crit = F.transform("arr", lambda e: F.when(
+        e["l_linestatus"] == "F", F.concat(F.lit("cpe:2.3:"), e["l_returnflag"])).otherwise(
+        F.concat_ws(":", F.lit("cpe"), F.lit("2.3"), e["l_returnflag"], e["l_suppkey"].cast("string"),
+                    e["l_partkey"].cast("string"))))
+    x = order_lines(spark, sf).select("l_orderkey", crit.alias("crit"))
+    return x.select("l_orderkey", nf.token_distinct_count(F.col("crit"), ":", 3, 4).alias("n_vendors"))
+
+
+@register("i10_any_tag", f"""WITH {_ARR}
+SELECT l_orderkey, CASE WHEN len(list_filter(list_transform(arr, lambda e: [e.l_returnflag, e.l_linestatus]),
+       lambda t: list_contains(t, 'R'))) > 0 THEN 1 ELSE 0 END AS has_tag, len(arr) AS n_refs FROM ol""")
+def i10(spark, sf):
+    refs = F.transform("arr", lambda e: F.struct(F.array(e["l_returnflag"], e["l_linestatus"]).alias("tags")))
+    x = order_lines(spark, sf).select("l_orderkey", refs.alias("refs"))
+    return x.select("l_orderkey", nf.any_tag(F.col("refs"), "tags", "R").alias("has_tag"),
+                    nf.size0(F.col("refs")).alias("n_refs"))
+
+
+@register("i11_first_english_length", """
+SELECT source, count(*) AS n_docs,
+       coalesce(arg_min(length(text), doc_id) FILTER (WHERE lang = 'en'), 0) AS desc_length
+FROM documents GROUP BY source""")
+def i11(spark, sf):
+    d = load_table(spark, sf, "documents")
+    first_en = F.min_by(F.when(F.col("lang") == "en", F.length("text")),
+                        F.when(F.col("lang") == "en", F.col("doc_id")))
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"),
+                                   F.coalesce(first_en, F.lit(0)).alias("desc_length"))
+
+
+@register("i12_year_prefix", """
+SELECT o_orderkey, TRY_CAST(substr(CAST(o_orderdate AS VARCHAR), 1, 4) AS INTEGER) AS year,
+       TRY_CAST(substr(o_orderpriority, 1, 4) AS INTEGER) AS bad_year FROM orders""")
+def i12(spark, sf):
+    o = load_table(spark, sf, "orders")
+    return o.select("o_orderkey", nf.year_prefix(F.col("o_orderdate").cast("string")).alias("year"),
+                    nf.year_prefix(F.col("o_orderpriority")).alias("bad_year"))
+
+
+@register("i13_component_defaults", """
+SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), 'UNKNOWN') AS quality_cat,
+       coalesce(CAST(l.toxic AS DOUBLE), 0.0) AS toxic_score
+FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def i13(spark, sf):
+    d = load_table(spark, sf, "documents").join(load_table(spark, sf, "labels"), "doc_id", "left")
+    return d.select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("UNKNOWN")).alias("quality_cat"),
+                    F.coalesce(F.col("toxic").cast("double"), F.lit(0.0)).alias("toxic_score"))
+
+
+@register("i14_band", """
+SELECT o_orderkey, CASE WHEN o_totalprice >= 375000 THEN 'Critical' WHEN o_totalprice >= 250000 THEN 'High'
+                        WHEN o_totalprice >= 125000 THEN 'Medium' ELSE 'Low' END AS severity FROM orders""")
+def i14(spark, sf):
+    o = load_table(spark, sf, "orders")
+    return o.select("o_orderkey", band("o_totalprice", [375000, 250000, 125000],
+                                       ["Critical", "High", "Medium", "Low"]).alias("severity"))
+
+
+@register("i14_band_documents", """
+SELECT doc_id, CASE WHEN n_chars >= 9000 THEN 'Critical' WHEN n_chars >= 7000 THEN 'High'
+                    WHEN n_chars >= 4000 THEN 'Medium' ELSE 'Low' END AS severity FROM documents""")
+def i14d(spark, sf):
+    d = load_table(spark, sf, "documents")
+    return d.select("doc_id", band("n_chars", [9000, 7000, 4000], ["Critical", "High", "Medium", "Low"])
+                    .alias("severity"))
