@@ -18,7 +18,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shiftlab.functions import nested as nf
 from shiftlab.functions.scalar import band
@@ -30,7 +29,8 @@ DEFAULT_YEAR_MIN = 2015
 SEVERITY_CUTS = [9.0, 7.0, 4.0]
 SEVERITY_NAMES = ["Critical", "High", "Medium", "Low"]
 
-CVE_SCHEMA = T.StructType.fromDDL("""
+# Declared (DDL) schema of the fields read; passed straight to the reader.
+CVE_SCHEMA = """
 id string, published string, vulnStatus string,
 metrics struct<
   cvssMetricV31: array<struct<type:string, exploitabilityScore:double, impactScore:double,
@@ -43,7 +43,7 @@ configurations array<struct<nodes: array<struct<cpeMatch: array<struct<criteria:
 `references` array<struct<url:string, tags: array<string>>>,
 descriptions array<struct<lang:string, value:string>>,
 _corrupt_record string
-""")
+"""
 
 FLAT_COLUMNS = [
     "cve_id", "cvss31_score", "cvss2_score", "attack_vector", "attack_complexity", "privileges_required",
