@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from shiftlab.functions.hashing import DEFAULT_SEED
 from shiftlab.operators import models as md
+from shiftlab.operators.metrics import grouped_macro_f1
 from shiftlab.operators import split as sp
 from shiftlab.operators.sampling import hash_rank
+from shiftlab.session import ensure_checkpoint_dir
 
 IMPORTANCE_SCHEMA = "feature string, importance double"
 
@@ -41,20 +43,6 @@ def gini_importance(df: DataFrame, label: str, features: str, names: Sequence[st
     return spark.createDataFrame(rows, IMPORTANCE_SCHEMA).orderBy(F.col("importance").desc(), "feature")
 
 
-def grouped_macro_f1(preds: DataFrame, groups: Sequence[str], truth: str, pred: str,
-                     n_classes: int) -> DataFrame:
-    """Macro F1 per group over ``n_classes`` classes (absent classes count 0)."""
-    g = list(groups)
-    c = preds.groupBy(*g, F.col(truth).alias("_y"), F.col(pred).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    by_y = c.groupBy(*g, F.col("_y").alias("_c")).agg(
-        F.sum("_n").alias("_sup"), F.sum(F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(0)).alias("_tp"))
-    by_p = c.groupBy(*g, F.col("_p").alias("_c")).agg(F.sum("_n").alias("_prd"))
-    j = by_y.join(by_p, [*g, "_c"], "full_outer").fillna(0, ["_sup", "_tp", "_prd"])
-    f1 = F.when(F.col("_sup") + F.col("_prd") > 0, 2.0 * F.col("_tp") / (F.col("_sup") + F.col("_prd"))) \
-        .otherwise(F.lit(0.0))
-    return j.groupBy(*g).agg((F.sum(f1) / F.lit(float(n_classes))).alias("f1"))
-
-
 def permutation_importance(df: DataFrame, label: str, features: str, names: Sequence[str],
                            key: Sequence[str], n_repeats: int = 10, test_size: float = 0.2,
                            seed: int = DEFAULT_SEED, trees: int = 100, depth: int = 10) -> DataFrame:
@@ -65,9 +53,8 @@ def permutation_importance(df: DataFrame, label: str, features: str, names: Sequ
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test").withColumn("_arr", vector_to_array(features)).cache()
     model = forest(features, md.LABEL_IDX, trees, depth, seed).fit(train)
-    k = len(classes)
     base = grouped_macro_f1(model.transform(test).withColumn("_g", F.lit(0)), ["_g"], md.LABEL_IDX,
-                            "prediction", k).first()["f1"]
+                            "prediction").first()["f1"]
     n_feat = len(names)
     donors = hash_rank(test, [], key, seed, rank_col="_ra").select("_ra", F.col("_arr").alias("_darr"))
     grid = F.explode(F.array(*[F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r"))
@@ -77,11 +64,14 @@ def permutation_importance(df: DataFrame, label: str, features: str, names: Sequ
     x = x.join(donors, x["_rb"] == donors["_ra"])
     swapped = F.transform("_arr", lambda v, i: F.when(i == F.col("_f"), F.col("_darr")[F.col("_f")]).otherwise(v))
     x = x.select("_f", "_r", md.LABEL_IDX, array_to_vector(swapped).alias(features))
-    scored = grouped_macro_f1(model.transform(x), ["_f", "_r"], md.LABEL_IDX, "prediction", k)
+    scored = grouped_macro_f1(model.transform(x), ["_f", "_r"], md.LABEL_IDX, "prediction")
     drops = scored.select("_f", (F.lit(float(base)) - F.col("f1")).alias("_d"))
     agg = drops.groupBy("_f").agg(F.avg("_d").alias("importance"), F.stddev_pop("_d").alias("std"))
     nm = F.array(*[F.lit(str(n)) for n in names])
     out = agg.select(F.element_at(nm, F.col("_f") + 1).alias("feature"), "importance", "std")
+    ensure_checkpoint_dir(df.sparkSession)
+    out = out.checkpoint()  # materialise, then drop the cached hold-out
+    test.unpersist()
     return out.orderBy(F.col("importance").desc(), "feature")
 
 

@@ -94,6 +94,23 @@ def macro_f1(preds: DataFrame, truth: str, pred: str, classes: Sequence) -> Data
     return summary(per_class(confusion(preds, truth, pred, classes))).select("f1_macro")
 
 
+def grouped_macro_f1(preds: DataFrame, groups: Sequence[str], truth: str, pred: str,
+                     n_classes: int | None = None) -> DataFrame:
+    """Macro F1 per group in one aggregation.  With ``n_classes`` the mean runs
+    over that many classes (absent ones count 0); without it, over the classes
+    present in the group's truth or predictions (the scorer convention)."""
+    g = list(groups)
+    c = preds.groupBy(*g, F.col(truth).alias("_y"), F.col(pred).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    by_y = c.groupBy(*g, F.col("_y").alias("_c")).agg(
+        F.sum("_n").alias("_sup"), F.sum(F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(0)).alias("_tp"))
+    by_p = c.groupBy(*g, F.col("_p").alias("_c")).agg(F.sum("_n").alias("_prd"))
+    j = by_y.join(by_p, [*g, "_c"], "full_outer").fillna(0, ["_sup", "_tp", "_prd"])
+    f1 = F.when(F.col("_sup") + F.col("_prd") > 0, 2.0 * F.col("_tp") / (F.col("_sup") + F.col("_prd"))) \
+        .otherwise(F.lit(0.0))
+    den = F.lit(float(n_classes)) if n_classes else F.count(F.lit(1)).cast("double")
+    return j.groupBy(*g).agg((F.sum(f1) / den).alias("f1"))
+
+
 def class_report(pc: DataFrame) -> DataFrame:
     """Per-class rows plus accuracy, macro avg and weighted avg rows."""
     per = pc.select(F.col("class").alias("row"), "precision", "recall", "f1", "support")

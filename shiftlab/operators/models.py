@@ -41,6 +41,7 @@ from pyspark.sql import types as T
 from shiftlab.functions.hashing import DEFAULT_SEED
 from shiftlab.operators import metrics as mt
 from shiftlab.operators import split as sp
+from shiftlab.session import ensure_checkpoint_dir
 
 LABEL_IDX, PRED_IDX = "_label_idx", "prediction"
 
@@ -126,16 +127,17 @@ class Algo:
 
 
 def default_algorithms(gbt_rounds: int = 100, mlp_iter: int = 300, rf_trees: int = 100,
-                       svm_iter: int = 5000, seed: int = DEFAULT_SEED) -> dict[str, Algo]:
+                       svm_iter: int = 5000, seed: int = DEFAULT_SEED, rf_depth: int = 10,
+                       gbt_depth: int = 6) -> dict[str, Algo]:
     """The reference's four models with its hyper-parameters."""
     return {
         "Boosted Trees": Algo("Boosted Trees", lambda f, l, d, k: OneVsRest(
-            classifier=GBTClassifier(maxIter=gbt_rounds, maxDepth=6, stepSize=0.1, seed=seed),
+            classifier=GBTClassifier(maxIter=gbt_rounds, maxDepth=gbt_depth, stepSize=0.1, seed=seed),
             featuresCol=f, labelCol=l)),
         "MLP": Algo("MLP", lambda f, l, d, k: MultilayerPerceptronClassifier(
             layers=[d, 128, 64, k], maxIter=mlp_iter, seed=seed, featuresCol=f, labelCol=l)),
         "Random Forest": Algo("Random Forest", lambda f, l, d, k: RandomForestClassifier(
-            numTrees=rf_trees, maxDepth=10, seed=seed, featuresCol=f, labelCol=l)),
+            numTrees=rf_trees, maxDepth=rf_depth, seed=seed, featuresCol=f, labelCol=l)),
         "SVM": Algo("SVM", lambda f, l, d, k: RFFSVM(max_iter=svm_iter, seed=seed)),
     }
 
@@ -250,7 +252,7 @@ def run_loop(df: DataFrame, label: str, features: str, key: Sequence[str],
             elapsed = time.time() - t0
             p_test, p_train = _scored(p_test, classes).cache(), _scored(p_train, classes)
             cm = mt.confusion(p_test, label, "y_pred", classes)
-            pc = mt.per_class(cm).cache()
+            pc = mt.per_class(cm)
             summ = mt.summary(pc).first().asDict()
             if quick:
                 metric_rows.append((name, "f1_macro", float(summ["f1_macro"])))
@@ -306,41 +308,56 @@ def quick_scores(df: DataFrame, label: str, features: str, key: Sequence[str],
 
 def cross_validate(algo: Algo, train: DataFrame, label: str, features: str, key: Sequence[str],
                    classes: list[str], folds: int, seed: int, d: int, k: int) -> DataFrame:
-    """Stratified k folds over the training split; macro F1 per fold."""
+    """Stratified k folds over the training split; macro F1 per fold.
+
+    Fits are sequential (each is a chain of MLlib jobs); all fold scores come
+    from one grouped aggregation over the unioned fold predictions."""
     spark = train.sparkSession
     folded, kk = sp.stratified_folds(train, label, key, folds, seed)
     if kk < 2:
         return spark.createDataFrame([], "fold int, f1 double")
     folded = folded.cache()
-    rows = []
+    preds = None
     for f in range(kk):
         tr, va = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
         (pv,), _ = fit_predict(algo, tr, [va], features, LABEL_IDX, d, k)
-        rows.append((f, _f1_value(_scored(pv, classes), label, classes)))
+        pv = pv.select(F.lit(f).alias("fold"), LABEL_IDX, PRED_IDX)
+        preds = pv if preds is None else preds.unionByName(pv)
+    out = mt.grouped_macro_f1(preds, ["fold"], LABEL_IDX, PRED_IDX)
+    ensure_checkpoint_dir(spark)
+    out = out.checkpoint()
     folded.unpersist()
-    return spark.createDataFrame(rows, "fold int, f1 double")
+    return out.select(F.col("fold").cast("int").alias("fold"), "f1")
 
 
 def learning_curve(algo: Algo, train: DataFrame, label: str, features: str, key: Sequence[str],
                    classes: list[str], seed: int, d: int, k: int, max_folds: int = 3) -> DataFrame:
-    """train/validation macro F1 per (training size, fold) on nested prefixes."""
+    """train/validation macro F1 per (training size, fold) on nested
+    prefixes; one grouped aggregation scores every fit."""
     spark = train.sparkSession
     folded, kk = sp.stratified_folds(train, label, key, max_folds, seed)
-    rows = []
-    if kk >= 2:
-        folded = folded.cache()
-        pos = sp.fold_train_positions(folded, "fold", kk, key, seed).cache()
-        n_max = pos.where(F.col("cv_fold") == 0).count()
-        for size in sp.learning_curve_sizes(n_max):
-            for f in range(kk):
-                tr = pos.where((F.col("cv_fold") == f) & (F.col("pos") < size)).drop("cv_fold", "pos")
-                va = folded.where(F.col("fold") == f)
-                (pt, pv), _ = fit_predict(algo, tr, [tr, va], features, LABEL_IDX, d, k)
-                rows.append((size, f, "train", _f1_value(_scored(pt, classes), label, classes)))
-                rows.append((size, f, "val", _f1_value(_scored(pv, classes), label, classes)))
-        pos.unpersist()
-        folded.unpersist()
-    return spark.createDataFrame(rows, "train_size int, fold int, split string, f1 double")
+    if kk < 2:
+        return spark.createDataFrame([], "train_size int, fold int, split string, f1 double")
+    folded = folded.cache()
+    pos = sp.fold_train_positions(folded, "fold", kk, key, seed).cache()
+    n_max = pos.where(F.col("cv_fold") == 0).count()
+    preds = None
+    for size in sp.learning_curve_sizes(n_max):
+        for f in range(kk):
+            tr = pos.where((F.col("cv_fold") == f) & (F.col("pos") < size)).drop("cv_fold", "pos")
+            va = folded.where(F.col("fold") == f)
+            (pt, pv), _ = fit_predict(algo, tr, [tr, va], features, LABEL_IDX, d, k)
+            for split, p in (("train", pt), ("val", pv)):
+                p = p.select(F.lit(size).alias("train_size"), F.lit(f).alias("fold"), F.lit(split).alias("split"),
+                             LABEL_IDX, PRED_IDX)
+                preds = p if preds is None else preds.unionByName(p)
+    out = mt.grouped_macro_f1(preds, ["train_size", "fold", "split"], LABEL_IDX, PRED_IDX)
+    ensure_checkpoint_dir(spark)
+    out = out.checkpoint()
+    pos.unpersist()
+    folded.unpersist()
+    return out.select(F.col("train_size").cast("int").alias("train_size"), F.col("fold").cast("int").alias("fold"),
+                      "split", "f1")
 
 
 def train_val_gap(metrics: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlab.functions.hashing import DEFAULT_SEED
@@ -23,7 +23,8 @@ from shiftlab.operators.sampling import (
     Q,
     _maybe_broadcast,
     draw_with_replacement,
-    sample_exact,
+    prepare,
+    rank_cut,
 )
 
 IDENTITY_EPS = 0.01
@@ -63,11 +64,6 @@ def down_target(m: int, big: int, slider: float) -> int:
     return max(int(big - (big - m) * abs(slider)), m)
 
 
-def _split_frames(df: DataFrame, label_expr, kept_labels: Sequence[str]):
-    g = df.withColumn(GROUP, label_expr)
-    return g.where(F.col(GROUP).isin(*kept_labels))
-
-
 def rebalance_target(df: DataFrame, column: str, slider: float, key: Sequence[str],
                      seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Move every class size toward the others.
@@ -79,7 +75,8 @@ def rebalance_target(df: DataFrame, column: str, slider: float, key: Sequence[st
     if abs(slider) < IDENTITY_EPS:
         return df
     d = df.where(F.col(column).isNotNull())
-    counts = d.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    hp = prepare(d, [column], key, seed)
+    counts = hp.group_sizes()
     st = count_stats(counts)
     if st.groups == 0:
         return d
@@ -89,30 +86,30 @@ def rebalance_target(df: DataFrame, column: str, slider: float, key: Sequence[st
         keep = d.join(_maybe_broadcast(counts.where(F.col("n") >= t).select(column), st.groups),
                       column, "left_semi")
         draws = draw_with_replacement(d, small.select(column, F.lit(t).alias(Q)), [column],
-                                      key, seed, tiebreak, st.groups)
+                                      key, seed, tiebreak, st.groups, prepared=hp)
         return keep.unionByName(draws)
     t = down_target(st.min, st.max, slider)
-    return sample_exact(d, counts.select(column, F.least(F.col("n"), F.lit(t)).alias(Q)),
-                        [column], key, seed, tiebreak, st.groups)
+    return rank_cut(d, counts.select(column, F.least(F.col("n"), F.lit(t)).alias(Q)),
+                    [column], key, seed, tiebreak, n_groups=st.groups, prepared=hp)
 
 
 def _two_group(df: DataFrame, group_expr, grow: str, slider: float, up_n, down_n,
                key, seed, tiebreak, other: str) -> DataFrame:
     """Resample group ``grow`` of a two-group split; keep group ``other`` whole."""
     g = df.withColumn(GROUP, group_expr).where(F.col(GROUP).isNotNull())
-    stats = g.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).collect()
-    sizes = {r[GROUP]: int(r["n"]) for r in stats}
+    hp = prepare(g, [GROUP], key, seed)
+    sizes = {r[GROUP]: int(r["n"]) for r in hp.group_sizes().collect()}
     n_grow, n_other = sizes.get(grow, 0), sizes.get(other, 0)
     if n_grow == 0 or n_other == 0:
         return None
     base = g.where(F.col(GROUP) == other)
-    part = g.where(F.col(GROUP) == grow)
+    t = up_n(n_grow, n_other) if slider > 0 else down_n(n_grow, n_other)
+    quota = hp.group_sizes().where(F.col(GROUP) == grow).select(GROUP, F.lit(int(t)).alias(Q))
     if slider > 0:
-        t = up_n(n_grow, n_other)
-        moved = draw_with_replacement(part, t, [], key, seed, tiebreak)
+        moved = draw_with_replacement(g, quota, [GROUP], key, seed, tiebreak, 2, prepared=hp,
+                                      hash_groups=False)
     else:
-        t = down_n(n_grow, n_other)
-        moved = sample_exact(part, t, [], key, seed, tiebreak)
+        moved = rank_cut(g, quota, [GROUP], key, seed, tiebreak, n_groups=2, prepared=hp)
     return base.unionByName(moved).drop(GROUP)
 
 
@@ -217,11 +214,12 @@ def random_oversample(df: DataFrame, label: str, slider: float, key: Sequence[st
     if abs(slider) < IDENTITY_EPS:
         return df
     d = df.where(F.col(label).isNotNull())
-    counts = d.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    hp = prepare(d, [label], key, seed)
+    counts = hp.group_sizes()
     st = count_stats(counts)
     t = up_target(st.min, st.max, slider)
     need = counts.where(F.col("n") < t).select(label, (F.lit(t) - F.col("n")).alias(Q))
-    extra = draw_with_replacement(d, need, [label], key, seed, tiebreak, st.groups)
+    extra = draw_with_replacement(d, need, [label], key, seed, tiebreak, st.groups, prepared=hp)
     return d.unionByName(extra)
 
 
@@ -271,5 +269,5 @@ __all__ = [
     "value_counts", "count_stats", "rebalance", "rebalance_target", "rebalance_binary",
     "rebalance_continuous", "rebalance_categorical", "random_undersample",
     "random_oversample", "distribution_stats", "binary_groups", "median_groups",
-    "majority_groups", "Window",
+    "majority_groups",
 ]

@@ -20,6 +20,7 @@ Results do not depend on partitioning or task retries.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,13 +71,41 @@ def bucket_counts(x: DataFrame, by: Sequence[str]) -> DataFrame:
     return x.groupBy(*by, B).agg(F.count(F.lit(1)).alias("_bn"))
 
 
-def _cut_table(x: DataFrame, by: list[str], quota: DataFrame | int) -> DataFrame:
+@dataclass
+class Hashed:
+    """A frame with its hash/bucket columns and its ``(group, bucket)`` count
+    table.  Group sizes, quotas, cut tables and offsets all derive from the
+    small count table instead of separate aggregates over the source."""
+
+    x: DataFrame
+    by: list[str]
+    added: bool
+    bc: DataFrame
+
+    def group_sizes(self, count_col: str = "n") -> DataFrame:
+        return self.bc.groupBy(*self.by).agg(F.sum("_bn").alias(count_col))
+
+
+def prepare(df: DataFrame, by: Sequence[str] = (), key: Sequence[str] = (),
+            seed: int = DEFAULT_SEED) -> Hashed:
+    """Hash ``df`` once; group sizes, quotas and cuts all derive from one
+    ``(group, bucket)`` count table (at most groups x buckets rows), which
+    Spark computes once per query (exchange reuse) instead of one aggregate
+    per use."""
+    if not key:
+        raise ValueError("a row key is required for reproducible sampling")
+    x, gb = _prepare(df, by, key, seed)
+    return Hashed(x, gb, not by, bucket_counts(x, gb))
+
+
+def _cut_table(x: DataFrame, by: list[str], quota: DataFrame | int,
+               bc: DataFrame | None = None) -> DataFrame:
     """Per group: the boundary bucket ``_cb`` and how many rows ``_need`` to take in it.
 
     Buckets ``< _cb`` are taken whole.  A group whose quota covers it gets
     ``_cb = NUM_BUCKETS``; a zero quota gets ``_cb = -1``.
     """
-    bc = bucket_counts(x, by)
+    bc = bucket_counts(x, by) if bc is None else bc
     if isinstance(quota, int):
         qt = bc.groupBy(*by).agg(F.lit(int(quota)).cast("bigint").alias(Q))
     else:
@@ -101,19 +130,20 @@ def _cut_table(x: DataFrame, by: list[str], quota: DataFrame | int) -> DataFrame
 def rank_cut(df: DataFrame, quota: DataFrame | int, by: Sequence[str] = (),
              key: Sequence[str] = (), seed: int = DEFAULT_SEED,
              tiebreak: Sequence[str] = (), flag: str | None = None,
-             n_groups: int | None = None) -> DataFrame:
+             n_groups: int | None = None, prepared: Hashed | None = None) -> DataFrame:
     """Rows whose ``hash_rank`` within ``by`` is below the group's quota.
 
     ``quota`` is an int for every group or a DataFrame ``(*by, _q)``; groups
     missing from it are dropped.  With ``flag`` set, every row is kept and the
     boolean column ``flag`` marks the selected ones instead.
     Only the boundary bucket of each group is ranked by a window.
+    ``prepared`` (from :func:`prepare` on the same frame) reuses its counts.
     """
     if not key:
         raise ValueError("a row key is required for reproducible sampling")
-    added = not by
-    x, gb = _prepare(df, by, key, seed)
-    cut = _maybe_broadcast(_cut_table(x, gb, quota), n_groups if not added else 1)
+    hp = prepared or Hashed(*_prepare(df, by, key, seed), not by, None)
+    x, gb, added = hp.x, hp.by, hp.added
+    cut = _maybe_broadcast(_cut_table(x, gb, quota, hp.bc), n_groups if not added else 1)
     xc = x.join(cut, gb)
     w = Window.partitionBy(*gb).orderBy(*_order(key, tiebreak))
     edge = xc.where(F.col(B) == F.col("_cb")).withColumn("_rn", F.row_number().over(w))
@@ -130,13 +160,14 @@ def rank_cut(df: DataFrame, quota: DataFrame | int, by: Sequence[str] = (),
 
 def sample_exact(df: DataFrame, n: DataFrame | int, by: Sequence[str] = (),
                  key: Sequence[str] = (), seed: int = DEFAULT_SEED,
-                 tiebreak: Sequence[str] = (), n_groups: int | None = None) -> DataFrame:
+                 tiebreak: Sequence[str] = (), n_groups: int | None = None,
+                 prepared: Hashed | None = None) -> DataFrame:
     """Exactly ``min(n, group size)`` rows per group, without replacement."""
-    return rank_cut(df, n, by, key, seed, tiebreak, None, n_groups)
+    return rank_cut(df, n, by, key, seed, tiebreak, None, n_groups, prepared)
 
 
-def _ranked(x: DataFrame, by: list[str], key, tiebreak, n_groups):
-    bc = bucket_counts(x, by)
+def _ranked(x: DataFrame, by: list[str], key, tiebreak, n_groups, bc: DataFrame | None = None):
+    bc = bucket_counts(x, by) if bc is None else bc
     w = Window.partitionBy(*by).orderBy(B).rowsBetween(Window.unboundedPreceding, 0)
     off = bc.withColumn("_off", F.sum("_bn").over(w) - F.col("_bn")).drop("_bn")
     sizes = bc.groupBy(*by).agg(F.sum("_bn").alias(N))
@@ -150,37 +181,43 @@ def _ranked(x: DataFrame, by: list[str], key, tiebreak, n_groups):
 
 def hash_rank(df: DataFrame, by: Sequence[str] = (), key: Sequence[str] = (),
               seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = (),
-              rank_col: str = "hash_rank", n_groups: int | None = None) -> DataFrame:
+              rank_col: str = "hash_rank", n_groups: int | None = None,
+              prepared: Hashed | None = None) -> DataFrame:
     """Add the 0-based ``hash_rank`` of every row within its group."""
     if not key:
         raise ValueError("a row key is required for reproducible ranks")
-    added = not by
-    x, gb = _prepare(df, by, key, seed)
-    ranked, _ = _ranked(x, gb, key, tiebreak, 1 if added else n_groups)
+    hp = prepared or Hashed(*_prepare(df, by, key, seed), not by, None)
+    x, gb, added = hp.x, hp.by, hp.added
+    ranked, _ = _ranked(x, gb, key, tiebreak, 1 if added else n_groups, hp.bc)
     return _finish(ranked.withColumnRenamed("_rank", rank_col), added)
 
 
 def draw_with_replacement(df: DataFrame, quota: DataFrame | int, by: Sequence[str] = (),
                           key: Sequence[str] = (), seed: int = DEFAULT_SEED,
                           tiebreak: Sequence[str] = (), n_groups: int | None = None,
-                          chunk_rows: int = DRAW_CHUNK_ROWS, draw_id: str | None = None) -> DataFrame:
+                          chunk_rows: int = DRAW_CHUNK_ROWS, draw_id: str | None = None,
+                          prepared: Hashed | None = None, hash_groups: bool = True) -> DataFrame:
     """``_q`` uniform draws with replacement per group.
 
     Draw ``j`` of group ``g`` picks the row of rank
     ``u60(md5(seed|g|j)) mod group_size``; ``draw_id`` keeps ``j`` as a column.  Draw ids are generated in chunks
     spread over tasks, then joined to the ranked rows on ``(g, rank)``; every
-    join key has about ``_q / n`` matches, so no key is hot.
+    join key has about ``_q / n`` matches, so no key is hot.  With
+    ``hash_groups=False`` the group value is left out of the draw hash.
     """
     if not key:
         raise ValueError("a row key is required for reproducible draws")
-    added = not by
-    x, gb = _prepare(df, by, key, seed)
+    hp = prepared or Hashed(*_prepare(df, by, key, seed), not by, None)
+    x, gb, added, bc = hp.x, hp.by, hp.added, hp.bc
     if isinstance(quota, int):
-        qt = bucket_counts(x, gb).groupBy(*gb).agg(F.lit(int(quota)).cast("bigint").alias(Q))
+        base = bucket_counts(x, gb) if bc is None else bc
+        qt = base.groupBy(*gb).agg(F.lit(int(quota)).cast("bigint").alias(Q))
     else:
         qt = quota.select(*gb, F.col(Q).cast("bigint").alias(Q)).where(F.col(Q) > 0)
-        x = x.join(_maybe_broadcast(qt.select(*gb), n_groups), gb, "left_semi")
-    ranked, sizes = _ranked(x, gb, key, tiebreak, 1 if added else n_groups)
+        groups = _maybe_broadcast(qt.select(*gb), n_groups)
+        x = x.join(groups, gb, "left_semi")
+        bc = None if bc is None else bc.join(groups, gb, "left_semi")
+    ranked, sizes = _ranked(x, gb, key, tiebreak, 1 if added else n_groups, bc)
     plan = qt.join(sizes, gb).where(F.col(N) > 0)
     nchunks = F.ceil(F.col(Q) / F.lit(chunk_rows)).cast("bigint")
     chunks = plan.select(*gb, Q, N, F.explode(F.sequence(F.lit(0).cast("bigint"), nchunks - 1)).alias("_c"))
@@ -188,7 +225,7 @@ def draw_with_replacement(df: DataFrame, quota: DataFrame | int, by: Sequence[st
     lo = F.col("_c") * chunk_rows
     hi = F.least(F.col(Q), lo + chunk_rows) - 1
     draws = chunks.select(*gb, N, F.explode(F.sequence(lo, hi)).alias("_j"))
-    parts = [] if added else list(gb)
+    parts = [] if (added or not hash_groups) else list(gb)
     draws = draws.select(*gb, "_j", (draw_hash([*parts, F.col("_j")], seed) % F.col(N)).alias("_rank"))
     out = ranked.join(draws, [*gb, "_rank"]).drop("_rank")
     out = out.drop("_j") if draw_id is None else out.withColumnRenamed("_j", draw_id)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from shiftlab.functions.hashing import DEFAULT_SEED
 from shiftlab.operators.rebalance import count_stats
-from shiftlab.operators.sampling import Q, _maybe_broadcast, hash_rank, rank_cut
+from shiftlab.operators.sampling import Q, hash_rank, prepare, rank_cut
 
 # Learning-curve size fractions: 8 evenly spaced values from 0.1 to 1.0.
 LEARNING_CURVE_FRACTIONS = [float(x) for x in np.linspace(0.1, 1.0, 8)]
@@ -47,24 +47,26 @@ def stratified_quota(counts: DataFrame, label: str, total: int, target: int) ->
 def stratified_subsample(df: DataFrame, label: str, max_n: int, key: Sequence[str],
                          seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Keep exactly ``max_n`` rows, proportional per class (no-op if smaller)."""
-    counts = class_counts(df, label)
+    hp = prepare(df, [label], key, seed)
+    counts = hp.group_sizes()
     st = count_stats(counts)
     if st.rows <= max_n:
         return df
     quota = stratified_quota(counts, label, st.rows, max_n)
-    return rank_cut(df, quota.select(label, Q), [label], key, seed, tiebreak, n_groups=st.groups)
+    return rank_cut(df, quota.select(label, Q), [label], key, seed, tiebreak, n_groups=st.groups, prepared=hp)
 
 
 def train_test_split(df: DataFrame, label: str, key: Sequence[str], test_size: float = 0.2,
                      seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = (),
                      split_col: str = "split") -> DataFrame:
     """Add ``split`` = 'test' / 'train'; ``ceil(test_size * n)`` test rows, stratified."""
-    counts = class_counts(df, label)
+    hp = prepare(df, [label], key, seed)
+    counts = hp.group_sizes()
     st = count_stats(counts)
     n_test = math.ceil(test_size * st.rows)
     quota = stratified_quota(counts, label, st.rows, n_test)
     out = rank_cut(df, quota.select(label, Q), [label], key, seed, tiebreak,
-                   flag="_is_test", n_groups=st.groups)
+                   flag="_is_test", n_groups=st.groups, prepared=hp)
     return out.withColumn(split_col, F.when(F.col("_is_test"), F.lit("test")).otherwise(F.lit("train"))) \
         .drop("_is_test")
 
@@ -76,10 +78,10 @@ def stratified_folds(df: DataFrame, label: str, key: Sequence[str], folds: int =
 
     Returns the frame with a fold column and ``k`` (0 when a class has one row).
     """
-    counts = class_counts(df, label)
-    st = count_stats(counts)
+    hp = prepare(df, [label], key, seed)
+    st = count_stats(hp.group_sizes())
     k = min(folds, st.min)
-    ranked = hash_rank(df, [label], key, seed, tiebreak, "_fr", n_groups=st.groups)
+    ranked = hash_rank(df, [label], key, seed, tiebreak, "_fr", n_groups=st.groups, prepared=hp)
     return ranked.withColumn(fold_col, (F.col("_fr") % F.lit(max(k, 1))).cast("int")).drop("_fr"), k
 
 
@@ -99,4 +101,4 @@ def fold_train_positions(df: DataFrame, fold_col: str, k: int, key: Sequence[str
 
 
 __all__ = ["stratified_quota", "stratified_subsample", "train_test_split", "stratified_folds",
-           "learning_curve_sizes", "fold_train_positions", "_maybe_broadcast"]
+           "learning_curve_sizes", "fold_train_positions", "class_counts"]

@@ -19,7 +19,7 @@ from shiftlab.plans.registry import register
 from shiftlab.sources.tables import load_table
 
 EMB_KEY = ["vec_id"]
-LIGHT = dict(gbt_rounds=10, mlp_iter=100, rf_trees=20, svm_iter=50)
+LIGHT = dict(gbt_rounds=10, mlp_iter=30, rf_trees=20, svm_iter=50, rf_depth=5)
 
 
 def embeddings(spark, sf):
@@ -130,7 +130,7 @@ def m08(spark, sf):
 
 @register("m09_learning_curve")
 def m09(spark, sf):
-    return _loop(spark, sf, ["MLP"], cv_folds=0, learning_curves=True).curve
+    return _loop(spark, sf, ["Random Forest"], cv_folds=0, learning_curves=True).curve
 
 
 @register("m10_train_val_gap")

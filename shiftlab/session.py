@@ -12,7 +12,7 @@ BROADCAST_MAX_ROWS = 2_000_000
 
 
 def get_spark(app: str = "shiftlab", master: str | None = None,
-              shuffle_partitions: int | None = None) -> SparkSession:
+              shuffle_partitions: int | None = None, driver_memory: str = "8g") -> SparkSession:
     """Create or reuse a session with AQE on and the UI off.
 
     On a cluster the master and the checkpoint directory come from the
@@ -20,7 +20,8 @@ def get_spark(app: str = "shiftlab", master: str | None = None,
     """
     builder = SparkSession.builder.appName(app)
     if master:
-        builder = builder.master(master)
+        # Local mode runs everything in the driver JVM; its heap is the only knob.
+        builder = builder.master(master).config("spark.driver.memory", driver_memory)
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
