@@ -176,16 +176,21 @@ class ValueMajority:
     def __init__(self, column: str, label: str, classes: Sequence[str]):
         self.column, self.label, self.classes = column, label, [str(c) for c in classes]
 
-    def fit(self, train: DataFrame) -> "ValueMajority":
+    def fit(self, train: DataFrame, class_counts: dict | None = None) -> "ValueMajority":
+        """``class_counts`` (training rows per class), when already known, saves
+        the job that computes the prior."""
         c, lab, cls = self.column, self.label, self.classes
         cnt = train.groupBy(c, F.col(lab).cast("string").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
         wide = cnt.groupBy(c).pivot("_l", cls).agg(F.sum("_n"))
         tot = sum((F.coalesce(F.col(f"`{k}`"), F.lit(0)) for k in cls), F.lit(0))
         self.table = wide.select(c, F.array(*[F.coalesce(F.col(f"`{k}`"), F.lit(0)) / tot for k in cls])
                                  .alias("_vs"))
-        prior = train.groupBy(F.col(lab).cast("string").alias("_l")).agg(F.count(F.lit(1)).alias("_n")).collect()
-        n = sum(r["_n"] for r in prior)
-        counts = {r["_l"]: r["_n"] for r in prior}
+        if class_counts is None:
+            prior = train.groupBy(F.col(lab).cast("string").alias("_l")).agg(F.count(F.lit(1)).alias("_n")).collect()
+            counts = {r["_l"]: r["_n"] for r in prior}
+        else:
+            counts = {str(k): int(v) for k, v in class_counts.items() if k is not None}
+        n = sum(counts.values())
         self.prior = [counts.get(k, 0) / n if n else 0.0 for k in cls]
         return self
 

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftlab.functions.hashing import DEFAULT_SEED
 from shiftlab.operators.rebalance import count_stats
@@ -44,6 +45,36 @@ def stratified_quota(counts: DataFrame, label: str, total: int, target: int) ->
     return q
 
 
+MAX_LOCAL_GROUPS = 100_000
+
+
+def local_group_sizes(hp, label: str) -> list[tuple] | None:
+    """Per-class sizes as a driver list (one small job), or None when there are
+    too many classes to hold (then the quota stays a distributed table)."""
+    rows = hp.group_sizes().limit(MAX_LOCAL_GROUPS + 1).collect()
+    if len(rows) > MAX_LOCAL_GROUPS:
+        return None
+    return [(r[label], int(r["n"])) for r in rows]
+
+
+def largest_remainder(sizes: list[tuple], target: int) -> dict:
+    """Driver twin of :func:`stratified_quota` (same integer arithmetic and ties)."""
+    total = sum(n for _, n in sizes)
+    base = {v: n * target // total for v, n in sizes}
+    rem = {v: n * target % total for v, n in sizes}
+    left = target - sum(base.values())
+    order = sorted(sizes, key=lambda t: (-rem[t[0]], t[0] is not None, t[0]))
+    for v, _ in order[:max(left, 0)]:
+        base[v] += 1
+    return base
+
+
+def _quota_frame(df: DataFrame, label: str, quota: dict) -> DataFrame:
+    schema = T.StructType([T.StructField(label, df.schema[label].dataType),
+                           T.StructField(Q, T.LongType())])
+    return df.sparkSession.createDataFrame([(v, int(q)) for v, q in quota.items()], schema)
+
+
 def stratified_subsample(df: DataFrame, label: str, max_n: int, key: Sequence[str],
                          seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Keep exactly ``max_n`` rows, proportional per class (no-op if smaller)."""
@@ -60,15 +91,34 @@ def train_test_split(df: DataFrame, label: str, key: Sequence[str], test_size: f
                      seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = (),
                      split_col: str = "split") -> DataFrame:
     """Add ``split`` = 'test' / 'train'; ``ceil(test_size * n)`` test rows, stratified."""
+    out, _ = train_test_split_info(df, label, key, test_size, seed, tiebreak, split_col)
+    return out
+
+
+def train_test_split_info(df: DataFrame, label: str, key: Sequence[str], test_size: float = 0.2,
+                          seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = (),
+                          split_col: str = "split") -> tuple[DataFrame, dict | None]:
+    """S02 plus what the split learnt on the way: ``classes`` (sorted) and
+    ``train_counts`` per class, or None when the class table stays distributed."""
     hp = prepare(df, [label], key, seed)
-    counts = hp.group_sizes()
-    st = count_stats(counts)
-    n_test = math.ceil(test_size * st.rows)
-    quota = stratified_quota(counts, label, st.rows, n_test)
-    out = rank_cut(df, quota.select(label, Q), [label], key, seed, tiebreak,
-                   flag="_is_test", n_groups=st.groups, prepared=hp)
-    return out.withColumn(split_col, F.when(F.col("_is_test"), F.lit("test")).otherwise(F.lit("train"))) \
+    sizes = local_group_sizes(hp, label)
+    info = None
+    if sizes is None:
+        counts = hp.group_sizes()
+        st = count_stats(counts)
+        quota = stratified_quota(counts, label, st.rows, math.ceil(test_size * st.rows)).select(label, Q)
+        n_groups = st.groups
+    else:
+        total = sum(n for _, n in sizes)
+        q = largest_remainder(sizes, math.ceil(test_size * total)) if total else {}
+        quota = _quota_frame(df, label, q)
+        n_groups = len(sizes)
+        info = {"classes": sorted(v for v, _ in sizes if v is not None),
+                "train_counts": {v: n - q.get(v, 0) for v, n in sizes}}
+    out = rank_cut(df, quota, [label], key, seed, tiebreak, flag="_is_test", n_groups=n_groups, prepared=hp)
+    out = out.withColumn(split_col, F.when(F.col("_is_test"), F.lit("test")).otherwise(F.lit("train"))) \
         .drop("_is_test")
+    return out, info
 
 
 def stratified_folds(df: DataFrame, label: str, key: Sequence[str], folds: int = 5,

@@ -137,10 +137,12 @@ def value_majority_scorer(column: str, label: str, key: Sequence[str], test_size
     """Exact scorer: stratified split, predict the majority label per ``column``
     value learnt on train, macro F1 on test.  One algorithm, ``by_<column>``."""
     def score(df: DataFrame) -> dict:
-        classes = mt.class_list(df, label)
-        s = sp.train_test_split(df, label, key, test_size, seed).cache()
+        s, info = sp.train_test_split_info(df, label, key, test_size, seed)
+        s = s.cache()
+        classes = info["classes"] if info else mt.class_list(df, label)
         tr, te = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
-        p = md.ValueMajority(column, label, classes).fit(tr).transform(te)
+        counts = info["train_counts"] if info else None
+        p = md.ValueMajority(column, label, classes).fit(tr, counts).transform(te)
         r = mt.macro_f1(p, label, "y_pred", classes).first()
         s.unpersist()
         return {f"by_{column}": float(r["f1_macro"] or 0.0)}

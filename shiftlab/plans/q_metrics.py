@@ -21,10 +21,10 @@ DOC_KEY = TABLE_KEYS["documents"]
 
 def doc_predictions(spark, sf, column: str = "source"):
     d = load_table(spark, sf, "documents")
-    classes = mt.class_list(d, "lang")
-    s = sp.train_test_split(d, "lang", DOC_KEY)
+    s, info = sp.train_test_split_info(d, "lang", DOC_KEY)
+    classes = info["classes"] if info else mt.class_list(d, "lang")
     train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
-    m = ValueMajority(column, "lang", classes).fit(train)
+    m = ValueMajority(column, "lang", classes).fit(train, info["train_counts"] if info else None)
     return m.transform(test), classes
 
 
