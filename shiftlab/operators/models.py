@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from shiftlab.functions.hashing import DEFAULT_SEED
 from shiftlab.operators import metrics as mt
 from shiftlab.operators import split as sp
-from shiftlab.session import ensure_checkpoint_dir
+from shiftlab.session import ensure_checkpoint_dir, ship_package
 
 LABEL_IDX, PRED_IDX = "_label_idx", "prediction"
 
@@ -88,6 +88,7 @@ class RandomFourierFeatures:
         return self
 
     def transform(self, df: DataFrame, features: str, out: str) -> DataFrame:
+        ship_package(df.sparkSession)
         w, b, scale = self.w, self.b, math.sqrt(2.0 / self.n_components)
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))

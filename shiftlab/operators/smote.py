@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from shiftlab.functions.hashing import DEFAULT_SEED, u60, row_hash
 from shiftlab.operators.rebalance import IDENTITY_EPS, count_stats, random_undersample, up_target
 from shiftlab.operators.sampling import Q, _maybe_broadcast, draw_with_replacement
-from shiftlab.session import ensure_checkpoint_dir
+from shiftlab.session import ensure_checkpoint_dir, ship_package
 
 BLOCK_ROWS = 2048
 ROW_KEY = "row_key"
@@ -92,6 +92,7 @@ def exact_knn(df: DataFrame, label: str, features: str, key: str, k: int,
     u = F.array(*[F.lit(c) for c in _direction(int(first["d"]), seed)])
     x = x.withColumn("p", F.aggregate(F.zip_with("v", u, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t))
     ensure_checkpoint_dir(x.sparkSession)
+    ship_package(x.sparkSession)
     n = x.count()
     parts = max(1, math.ceil(n / BLOCK_ROWS))
     xb = x.repartitionByRange(parts, "cls", "p").withColumn("blk", F.spark_partition_id()).checkpoint()

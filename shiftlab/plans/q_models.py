@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shiftlab.operators import importance as im
 from shiftlab.operators import models as md
+from shiftlab.operators import shap as sh
 from shiftlab.operators import smote as sm
 from shiftlab.plans.registry import register
 from shiftlab.sources.tables import load_table
@@ -149,12 +150,19 @@ def p02(spark, sf):
                                      EMB_KEY, n_repeats=10, trees=20, depth=10)
 
 
+@register("p03_shap_importance")
+def p03(spark, sf):
+    return sh.shap_importance(embeddings(spark, sf), "label", "features", emb_names(spark, sf), EMB_KEY,
+                              max_samples=200, trees=20, depth=5)
+
+
 @register("p04_all_importances")
 def p04(spark, sf):
     x, names = embeddings(spark, sf), emb_names(spark, sf)
     return im.all_importances({
         "gini": im.gini_importance(x, "label", "features", names, trees=20),
         "permutation": im.permutation_importance(x, "label", "features", names, EMB_KEY, n_repeats=3, trees=20),
+        "shap": sh.shap_importance(x, "label", "features", names, EMB_KEY, max_samples=100, trees=10, depth=5),
     })
 
 

@@ -51,3 +51,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", cp)
     spark.sparkContext.setCheckpointDir(cp)
     return cp
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``shiftlab`` importable in Python workers (like ``--py-files``).
+
+    Operators that run Python per batch (SMOTE blocks, random Fourier
+    features, TreeSHAP) reference helpers in this package; workers started
+    from another directory would not find it.  Zips the package once per
+    application and registers it with ``addPyFile``.
+    """
+    import zipfile
+
+    import shiftlab
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(shiftlab.__file__))
+    root = os.path.dirname(pkg)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="shiftlab-pyfiles-"), "shiftlab.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
