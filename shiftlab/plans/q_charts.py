@@ -170,9 +170,11 @@ g AS (SELECT algorithm, train_size, split, avg(f1) AS mean, stddev_pop(f1) AS st
 l AS (SELECT * FROM g QUALIFY train_size = max(train_size) OVER (PARTITION BY algorithm)),
 gp AS (SELECT algorithm, max(CASE WHEN split = 'train' THEN mean END) - max(CASE WHEN split = 'val' THEN mean END)
               AS final_gap FROM l GROUP BY algorithm)
-SELECT g.*, final_gap FROM g LEFT JOIN gp USING (algorithm)""")
+SELECT algorithm, train_size, split, round(mean, 9) AS mean, round(std, 9) AS std, round(final_gap, 9) AS final_gap
+FROM g LEFT JOIN gp USING (algorithm)""")
 def v10(spark, sf):
-    return ch.learning_curve_bands(curve_table(spark, sf))
+    b = ch.learning_curve_bands(curve_table(spark, sf))
+    return b.select("algorithm", "train_size", "split", *[F.round(c, 9).alias(c) for c in ("mean", "std", "final_gap")])
 
 
 @register("v11_train_val_bands", f"""WITH {_DIAG_SRC}
