@@ -14,6 +14,7 @@ from shiftlab.operators import importance as im
 from shiftlab.operators import sweep as sw
 from shiftlab.plans.q_models import _IMP, doc_importances
 from shiftlab.plans.registry import register
+from shiftlab.plans.sqlgen import dbl
 from shiftlab.sources.tables import TABLE_KEYS, load_table
 
 BANDS = ["day", "evening", "night"]
@@ -191,21 +192,104 @@ def o12t(spark, sf):
     return sw.in_top_k(doc_importances(spark, sf), "src3", 5)
 
 
-@register("o02_sweep_value_majority")
+O02_GRID = [-0.5, -0.25, 0.0, 0.25, 0.5]
+
+
+def _vm_f1_sql(src: str) -> str:
+    """Scalar subquery: the by-source majority scorer's macro F1 on ``src``."""
+    from shiftlab.plans.q_metrics import metric_sql
+    from shiftlab.plans.q_split import quota_sql
+    from shiftlab.plans.sqlgen import rank
+    target = f"ceil({dbl(0.2)} * (SELECT count(*) FROM src))::BIGINT"
+    preds = f"""
+src AS ({src}),
+q AS {quota_sql("SELECT * FROM src", "lang", target)},
+r AS (SELECT d.*, {rank(["lang"], DOC_KEY)} AS rk FROM src d),
+s AS (SELECT r.* EXCLUDE (rk), CASE WHEN rk < q THEN 'test' ELSE 'train' END AS split FROM r JOIN q USING (lang)),
+tr AS (SELECT * FROM s WHERE split = 'train'),
+te AS (SELECT *, row_number() OVER () AS rid FROM s WHERE split = 'test'),
+cls AS (SELECT DISTINCT lang AS class FROM src WHERE lang IS NOT NULL),
+cnt AS (SELECT source AS v, lang AS class, count(*) AS c FROM tr GROUP BY ALL),
+tot AS (SELECT v, sum(c) AS nv FROM cnt GROUP BY v),
+pri AS (SELECT lang AS class, count(*) / (SELECT count(*) FROM tr) AS p FROM tr GROUP BY lang),
+sc AS (SELECT te.rid, te.lang AS y_true, cls.class,
+              CASE WHEN tot.nv IS NULL THEN coalesce(pri.p, 0.0) ELSE coalesce(cnt.c, 0) / tot.nv END AS score
+       FROM te JOIN cls ON TRUE LEFT JOIN tot ON tot.v = te.source
+       LEFT JOIN cnt ON cnt.v = te.source AND cnt.class = cls.class
+       LEFT JOIN pri ON pri.class = cls.class),
+pr AS (SELECT rid, y_true, first(class ORDER BY score DESC, class) AS y_pred FROM sc GROUP BY rid, y_true)"""
+    return f"(WITH {metric_sql(preds).lstrip()} SELECT round(f1_macro, 12) FROM summ)"
+
+
+def _rebalanced_sql(slider: float) -> str:
+    from shiftlab.plans.q_rebalance import _target_down_sql, _target_up_sql
+    if abs(slider) < 0.01:
+        return "SELECT * FROM documents"
+    if slider > 0:
+        return _target_up_sql("documents", "lang", DOC_KEY, slider)
+    return _target_down_sql("documents", "lang", DOC_KEY, slider)
+
+
+def _continuous_sql(column: str, slider: float) -> str:
+    from shiftlab.plans.q_rebalance import _two_group_sql
+    if abs(slider) < 0.01:
+        return "SELECT * FROM documents"
+    med = f"(SELECT median({column}) FROM documents)"
+    if slider > 0:
+        quota = f"greatest(floor({{g}} * (1 + {dbl(slider)} * 2))::BIGINT, {{g}})"
+    else:
+        quota = f"greatest(floor({{g}} * (1 - {dbl(abs(slider))} * 0.8))::BIGINT, 1)"
+    return _two_group_sql("documents", f"{column} > {med}", f"{column} <= {med}", DOC_KEY, quota, slider > 0)
+
+
+def _sweep_sql(runs: list[tuple[str, object]], grid: list[float]) -> str:
+    """Every step of every run in SQL, then the same bookkeeping, exit rule and optimum."""
+    parts = []
+    for run_id, src_of in runs:
+        for i, sv in enumerate(grid):
+            src = src_of(sv)
+            parts.append(f"SELECT '{run_id}' AS run_id, {i} AS step, {dbl(sv)} AS slider, 'by_source' AS algorithm, "
+                         f"{_vm_f1_sql(src)} AS score, (SELECT count(*) FROM ({src})) AS n_samples")
+    steps = "\nUNION ALL\n".join(parts)
+    book = STEPS_SQL[STEPS_SQL.index("sm AS"):]
+    base_f1 = _vm_f1_sql("SELECT * FROM documents")
+    bases = " UNION ALL ".join(f"SELECT '{r}' AS run_id, 'by_source' AS algorithm, {base_f1} AS score"
+                               for r, _ in runs)
+    return f"""WITH st2 AS ({steps}),
+{book},
+base AS ({bases}),
+best AS (SELECT run_id, step AS opt_step, slider AS optimal_value, best_algo AS best_algorithm, best_score AS best_f1,
+                exit_reason FROM kept QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY avg_score DESC, step) = 1),
+gains AS (SELECT s.run_id, CASE WHEN b.score > 0 THEN s.score - b.score ELSE 0.0 END AS gain
+          FROM st2 s JOIN best USING (run_id) LEFT JOIN base b ON b.run_id = s.run_id AND b.algorithm = s.algorithm
+          WHERE s.step = best.opt_step)
+SELECT best.run_id, optimal_value, best_algorithm, best_f1, exit_reason, avg(gain) AS mean_gain
+FROM best LEFT JOIN gains USING (run_id) GROUP BY ALL"""
+
+
+def _o02_sql() -> str:
+    return _sweep_sql([("lang:target", _rebalanced_sql)], O02_GRID)
+
+
+O06_GRID = [-0.5, 0.0, 0.5]
+
+
+@register("o02_sweep_value_majority", _o02_sql())
 def o02(spark, sf):
-    """A short real sweep: rebalance documents by language, score by source."""
+    """A real sweep: rebalance documents by language, score by source (exact SQL twin)."""
     d = load_table(spark, sf, "documents")
     scorer = sw.value_majority_scorer("source", "lang", DOC_KEY)
-    steps, base = sw.run_sweep(d, "lang", "target", scorer, DOC_KEY, grid=[-0.5, -0.25, 0.0, 0.25, 0.5])
+    steps, base = sw.run_sweep(d, "lang", "target", scorer, DOC_KEY, grid=O02_GRID)
     return sw.optimum(steps, base).drop("gain_by_algorithm")
 
 
-@register("o06_multi_column_sweep")
+@register("o06_multi_column_sweep", _sweep_sql(
+    [("lang", _rebalanced_sql), ("n_chars", lambda sv: _continuous_sql("n_chars", sv))], O06_GRID))
 def o06(spark, sf):
     d = load_table(spark, sf, "documents")
     scorer = sw.value_majority_scorer("source", "lang", DOC_KEY)
     steps, base = sw.run_multi(d, [("lang", "target"), ("n_chars", "continuous")], scorer, DOC_KEY,
-                               grid=[-0.5, 0.0, 0.5])
+                               grid=O06_GRID)
     return sw.optimum(steps, base).drop("gain_by_algorithm")
 
 
