@@ -294,3 +294,30 @@ def o06(spark, sf):
 
 
 __all__ = ["im"]
+
+
+def _doc_prep():
+    from shiftlab.operators.features import FeaturePrep
+    return FeaturePrep(label="lang", categorical=["source"], numeric=["n_chars"], keep=["doc_id"])
+
+
+def _light_forest():
+    from shiftlab.operators import models as md
+    return md.default_algorithms(rf_trees=10, rf_depth=5)
+
+
+@register("o08_gap_analysis")
+def o08(spark, sf):
+    """Train/validation F1 gaps of a forest at two sliders (3-fold CV inside)."""
+    d = load_table(spark, sf, "documents")
+    return sw.gap_analysis(d, "lang", "target", _doc_prep(), DOC_KEY, [0.0, 0.5],
+                           algorithms=_light_forest(), selected=["Random Forest"])
+
+
+@register("o02_sweep_mllib")
+def o02m(spark, sf):
+    """A sweep scored by the quick MLlib loop (feature prep + stratified cap + forest)."""
+    d = load_table(spark, sf, "documents")
+    scorer = sw.mllib_scorer(_doc_prep(), DOC_KEY, algorithms=_light_forest(), selected=["Random Forest"])
+    steps, base = sw.run_sweep(d, "lang", "target", scorer, DOC_KEY, grid=[-0.5, 0.0, 0.5])
+    return sw.trajectory(steps)
