@@ -191,3 +191,13 @@ w AS (SELECT feature,
 SELECT * FROM w ORDER BY avg_rank, feature LIMIT 10""")
 def p05(spark, sf):
     return im.top_features(doc_importances(spark, sf), 10)
+
+
+@register("m01_label_encoding", """
+SELECT doc_id, lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS DOUBLE) AS label_idx,
+       lang AS decoded FROM documents WHERE lang IS NOT NULL""")
+def m01(spark, sf):
+    d = load_table(spark, sf, "documents").select("doc_id", "lang")
+    indexer, classes = md.label_indexer(d, "lang")
+    enc = indexer.transform(d).withColumnRenamed(md.LABEL_IDX, "label_idx")
+    return md.decode(enc, classes, col="label_idx", out="decoded")

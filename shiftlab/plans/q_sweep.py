@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shiftlab.operators import importance as im
 from shiftlab.operators import sweep as sw
 from shiftlab.plans.q_models import _IMP, doc_importances
 from shiftlab.plans.registry import register
@@ -293,8 +292,6 @@ def o06(spark, sf):
     return sw.optimum(steps, base).drop("gain_by_algorithm")
 
 
-__all__ = ["im"]
-
 
 def _doc_prep():
     from shiftlab.operators.features import FeaturePrep

@@ -13,7 +13,6 @@ schema; both become the documented defaults (``UNKNOWN`` / 0.0).
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,9 +51,6 @@ FLAT_COLUMNS = [
     "desc_length", "year_published", "vuln_status", "severity",
 ]
 
-_YEAR_IN_NAME = re.compile(r"^[^-]*-([^-]*)")
-
-
 def file_year(name: str) -> int | None:
     """Year token of ``CVE-YYYY-NNNN.json`` (second ``-`` field), None if unparsable."""
     parts = name.split("-")
@@ -207,4 +203,4 @@ def kpis(flat: DataFrame, label: str = "severity", year: str = "year_published",
 
 
 __all__ = ["CVE_SCHEMA", "FLAT_COLUMNS", "flatten", "load_documents", "load_data", "materialize",
-           "list_files", "select_files", "read_raw", "kpis", "IngestReport", "_YEAR_IN_NAME"]
+           "list_files", "select_files", "read_raw", "kpis", "IngestReport"]
