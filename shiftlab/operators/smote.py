@@ -80,6 +80,53 @@ def _topk_frame(cls, qkeys, nkeys, d2, k, radius=None):
                          "dist": pd.Series(out_d, dtype="float64")})
 
 
+CELLS_PER_BLOCK = 4
+
+
+def _candidate_blocks(q: DataFrame, bounds: DataFrame, parts: int) -> DataFrame:
+    """(query, other block) pairs whose projected ranges meet ``[p - r, p + r]``.
+
+    Blocks of a class are disjoint, sorted ranges of the projection.  A small
+    per-class grid of ``4 x blocks`` equal cells records which block ordinals
+    touch each cell (forward/backward filled over empty cells), so an interval
+    maps to a contiguous ordinal range by two equi-joins instead of a
+    comparison with every block of the class.  The exact overlap test then
+    runs on those few candidates only.
+    """
+    wo = Window.partitionBy("cls").orderBy("lo", "blk")
+    b = bounds.withColumn("o", F.row_number().over(wo) - 1)
+    cs = b.groupBy("cls").agg(F.min("lo").alias("pmin"), F.max("hi").alias("pmax"),
+                              F.count(F.lit(1)).alias("nb"))
+    cs = cs.withColumn("g", F.col("nb") * CELLS_PER_BLOCK).withColumn(
+        "w", F.when(F.col("pmax") > F.col("pmin"), (F.col("pmax") - F.col("pmin")) / F.col("g")).otherwise(1.0))
+
+    def cell(v):
+        v = F.least(F.greatest(v, F.col("pmin")), F.col("pmax"))
+        return F.least(F.floor((v - F.col("pmin")) / F.col("w")), F.col("g") - 1).cast("long")
+
+    csb = _maybe_broadcast(cs, parts)
+    span = b.join(csb, "cls").select("cls", "o", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi"))))
+                                     .alias("cell"))
+    occ = span.groupBy("cls", "cell").agg(F.min("o").alias("omin"), F.max("o").alias("omax"))
+    grid = cs.select("cls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("cell"))
+    wf = Window.partitionBy("cls").orderBy("cell")
+    grid = (grid.join(occ, ["cls", "cell"], "left")
+            .withColumn("o_from", F.first("omin", ignorenulls=True).over(wf.rowsBetween(0, Window.unboundedFollowing)))
+            .withColumn("o_to", F.last("omax", ignorenulls=True).over(wf.rowsBetween(Window.unboundedPreceding, 0))))
+    bound_rows = parts * (CELLS_PER_BLOCK + 1)
+    lo_tbl = _maybe_broadcast(grid.select("cls", F.col("cell").alias("c1"), "o_from"), bound_rows)
+    hi_tbl = _maybe_broadcast(grid.select("cls", F.col("cell").alias("c2"), "o_to"), bound_rows)
+    qq = q.join(csb, "cls").select("*", cell(F.col("p") - F.col("r")).alias("c1"),
+                                   cell(F.col("p") + F.col("r")).alias("c2"))
+    qq = qq.join(lo_tbl, ["cls", "c1"]).join(hi_tbl, ["cls", "c2"])
+    rng = F.when(F.col("o_from") <= F.col("o_to"), F.sequence("o_from", "o_to")).otherwise(F.array().cast("array<int>"))
+    cand = qq.select("cls", "qkey", "blk", "p", "r", "v", F.explode(rng).alias("o"))
+    tb = _maybe_broadcast(b.select("cls", "o", F.col("blk").alias("tblk"), "lo", "hi"), parts)
+    return cand.join(tb, ["cls", "o"]).where(
+        (F.col("tblk") != F.col("blk")) & (F.col("hi") >= F.col("p") - F.col("r"))
+        & (F.col("lo") <= F.col("p") + F.col("r")))
+
+
 def exact_knn(df: DataFrame, label: str, features: str, key: str, k: int,
               seed: int = DEFAULT_SEED) -> DataFrame:
     """``(cls, qkey, nkey, dist, nn)`` with the k nearest same-class neighbours of
@@ -110,10 +157,7 @@ def exact_knn(df: DataFrame, label: str, features: str, key: str, k: int,
          .select("cls", "qkey", F.when(F.col("c") >= k, F.col("dmax")).otherwise(F.lit(float("inf"))).alias("r")))
     bounds = xb.groupBy("cls", "blk").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
     q = xb.join(r, ["cls", "qkey"], "left").withColumn("r", F.coalesce("r", F.lit(float("inf"))))
-    pairs = q.join(_maybe_broadcast(bounds.withColumnRenamed("blk", "tblk"), parts), "cls").where(
-        (F.col("tblk") != F.col("blk")) & (F.col("hi") >= F.col("p") - F.col("r"))
-        & (F.col("lo") <= F.col("p") + F.col("r")))
-    queries = pairs.select("cls", F.col("tblk").alias("blk"), "qkey", "v", "r")
+    queries = _candidate_blocks(q, bounds, parts).select("cls", F.col("tblk").alias("blk"), "qkey", "v", "r")
 
     def remote(qp: pd.DataFrame, mp: pd.DataFrame) -> pd.DataFrame:
         if qp.empty or mp.empty:
