@@ -64,8 +64,64 @@ def down_target(m: int, big: int, slider: float) -> int:
     return max(int(big - (big - m) * abs(slider)), m)
 
 
+@dataclass
+class PreparedRebalance:
+    """Slider-independent work of one (column, kind), reusable across a sweep:
+    the filtered/grouped frame, its cached (group, bucket) counts, and the
+    class statistics (target) or the two group sizes (binary, continuous,
+    categorical -- median and majority value included)."""
+
+    kind: str
+    frame: DataFrame | None
+    hp: object | None
+    stats: CountStats | None = None
+    sizes: dict | None = None
+
+    def release(self) -> None:
+        if self.hp is not None:
+            self.hp.bc.unpersist()
+
+
+def _group_expr(df: DataFrame, column: str, kind: str):
+    c = F.col(column)
+    if kind == "binary":
+        return F.when(c == 1, F.lit("1")).when(c == 0, F.lit("0"))
+    if kind == "continuous":
+        med = exact_median(df, column)
+        if med is None:
+            return None
+        return F.when(c <= F.lit(med), F.lit("low")).when(c > F.lit(med), F.lit("high"))
+    if kind == "categorical":
+        v = majority_value(df, column)
+        if v is None:
+            return None
+        return F.when(c.eqNullSafe(F.lit(v)), F.lit("major")).otherwise(F.lit("rest"))
+    return None
+
+
+def prepare_rebalance(df: DataFrame, column: str, kind: str, key: Sequence[str],
+                      seed: int = DEFAULT_SEED) -> PreparedRebalance | None:
+    """Compute once what every slider of a sweep over ``(column, kind)`` shares."""
+    if kind == "target":
+        d = df.where(F.col(column).isNotNull())
+        hp = prepare(d, [column], key, seed)
+        hp.bc = hp.bc.cache()
+        return PreparedRebalance(kind, d, hp, stats=count_stats(hp.group_sizes()))
+    if kind in ("binary", "continuous", "categorical"):
+        expr = _group_expr(df, column, kind)
+        if expr is None:
+            return PreparedRebalance(kind, None, None)
+        g = df.withColumn(GROUP, expr).where(F.col(GROUP).isNotNull())
+        hp = prepare(g, [GROUP], key, seed)
+        hp.bc = hp.bc.cache()
+        sizes = {r[GROUP]: int(r["n"]) for r in hp.group_sizes().collect()}
+        return PreparedRebalance(kind, g, hp, sizes=sizes)
+    return None
+
+
 def rebalance_target(df: DataFrame, column: str, slider: float, key: Sequence[str],
-                     seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = ()) -> DataFrame:
+                     seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = (),
+                     prepared: PreparedRebalance | None = None) -> DataFrame:
     """Move every class size toward the others.
 
     s > 0: classes smaller than ``T = int(m + (M - m) s)`` are *replaced* by T
@@ -74,10 +130,13 @@ def rebalance_target(df: DataFrame, column: str, slider: float, key: Sequence[st
     """
     if abs(slider) < IDENTITY_EPS:
         return df
-    d = df.where(F.col(column).isNotNull())
-    hp = prepare(d, [column], key, seed)
+    if prepared is not None:
+        d, hp, st = prepared.frame, prepared.hp, prepared.stats
+    else:
+        d = df.where(F.col(column).isNotNull())
+        hp = prepare(d, [column], key, seed)
+        st = count_stats(hp.group_sizes())
     counts = hp.group_sizes()
-    st = count_stats(counts)
     if st.groups == 0:
         return d
     if slider > 0:
@@ -94,11 +153,14 @@ def rebalance_target(df: DataFrame, column: str, slider: float, key: Sequence[st
 
 
 def _two_group(df: DataFrame, group_expr, grow: str, slider: float, up_n, down_n,
-               key, seed, tiebreak, other: str) -> DataFrame:
+               key, seed, tiebreak, other: str, prepared: PreparedRebalance | None = None) -> DataFrame:
     """Resample group ``grow`` of a two-group split; keep group ``other`` whole."""
-    g = df.withColumn(GROUP, group_expr).where(F.col(GROUP).isNotNull())
-    hp = prepare(g, [GROUP], key, seed)
-    sizes = {r[GROUP]: int(r["n"]) for r in hp.group_sizes().collect()}
+    if prepared is not None:
+        g, hp, sizes = prepared.frame, prepared.hp, prepared.sizes
+    else:
+        g = df.withColumn(GROUP, group_expr).where(F.col(GROUP).isNotNull())
+        hp = prepare(g, [GROUP], key, seed)
+        sizes = {r[GROUP]: int(r["n"]) for r in hp.group_sizes().collect()}
     n_grow, n_other = sizes.get(grow, 0), sizes.get(other, 0)
     if n_grow == 0 or n_other == 0:
         return None
@@ -114,7 +176,8 @@ def _two_group(df: DataFrame, group_expr, grow: str, slider: float, up_n, down_n
 
 
 def rebalance_binary(df: DataFrame, column: str, slider: float, key: Sequence[str],
-                     seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = ()) -> DataFrame:
+                     seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = (),
+                     prepared: PreparedRebalance | None = None) -> DataFrame:
     """Resample the rows with ``column == 1``; rows not 0/1 are dropped.
 
     s > 0: ``max(int(n1 + (n0 - n1) s), n1)`` draws with replacement (even when
@@ -123,18 +186,18 @@ def rebalance_binary(df: DataFrame, column: str, slider: float, key: Sequence[st
     """
     if abs(slider) < IDENTITY_EPS:
         return df
-    c = F.col(column)
-    grp = F.when(c == 1, F.lit("1")).when(c == 0, F.lit("0"))
+    grp = None if prepared is not None else _group_expr(df, column, "binary")
     out = _two_group(
         df, grp, "1", slider,
         lambda n1, n0: max(int(n1 + (n0 - n1) * slider), n1),
         lambda n1, n0: max(int(n1 * (1 - abs(slider))), 1),
-        key, seed, tiebreak, other="0")
+        key, seed, tiebreak, other="0", prepared=prepared)
     return df if out is None else out
 
 
 def rebalance_continuous(df: DataFrame, column: str, slider: float, key: Sequence[str],
-                         seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = ()) -> DataFrame:
+                         seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = (),
+                         prepared: PreparedRebalance | None = None) -> DataFrame:
     """Split at the exact median (``<=`` low, ``>`` high), resample high.
 
     s > 0: ``max(int(h (1 + 2 s)), h)`` draws with replacement; s < 0:
@@ -142,16 +205,16 @@ def rebalance_continuous(df: DataFrame, column: str, slider: float, key: Sequenc
     """
     if abs(slider) < IDENTITY_EPS:
         return df
-    med = exact_median(df, column)
-    if med is None:
+    if prepared is not None and prepared.frame is None:
+        return df
+    grp = None if prepared is not None else _group_expr(df, column, "continuous")
+    if prepared is None and grp is None:
         return df
-    c = F.col(column)
-    grp = F.when(c <= F.lit(med), F.lit("low")).when(c > F.lit(med), F.lit("high"))
     out = _two_group(
         df, grp, "high", slider,
         lambda h, lo: max(int(h * (1 + slider * 2)), h),
         lambda h, lo: max(int(h * (1 - abs(slider) * 0.8)), 1),
-        key, seed, tiebreak, other="low")
+        key, seed, tiebreak, other="low", prepared=prepared)
     return df if out is None else out
 
 
@@ -162,7 +225,8 @@ def majority_value(df: DataFrame, column: str):
 
 
 def rebalance_categorical(df: DataFrame, column: str, slider: float, key: Sequence[str],
-                          seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = ()) -> DataFrame:
+                          seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = (),
+                          prepared: PreparedRebalance | None = None) -> DataFrame:
     """Majority value vs the rest (NULL counts as rest).
 
     s > 0: the rest gets ``max(int(r + (g - r) s), r)`` draws with replacement;
@@ -170,24 +234,25 @@ def rebalance_categorical(df: DataFrame, column: str, slider: float, key: Sequen
     """
     if abs(slider) < IDENTITY_EPS:
         return df
-    v = majority_value(df, column)
-    if v is None:
+    if prepared is not None and prepared.frame is None:
+        return df
+    grp = None if prepared is not None else _group_expr(df, column, "categorical")
+    if prepared is None and grp is None:
         return df
-    c = F.col(column)
-    grp = F.when(c.eqNullSafe(F.lit(v)), F.lit("major")).otherwise(F.lit("rest"))
     if slider > 0:
         out = _two_group(df, grp, "rest", slider,
                          lambda r, g: max(int(r + (g - r) * slider), r), None,
-                         key, seed, tiebreak, other="major")
+                         key, seed, tiebreak, other="major", prepared=prepared)
     else:
         out = _two_group(df, grp, "major", slider, None,
                          lambda g, r: min(max(int(g * (1 - abs(slider) * 0.8)), r), g),
-                         key, seed, tiebreak, other="rest")
+                         key, seed, tiebreak, other="rest", prepared=prepared)
     return df if out is None else out
 
 
 def rebalance(df: DataFrame, column: str, kind: str, slider: float, key: Sequence[str],
-              seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = ()) -> DataFrame:
+              seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = (),
+              prepared: PreparedRebalance | None = None) -> DataFrame:
     """Dispatch on ``kind``; an unknown kind returns the input."""
     fn = {
         "target": rebalance_target,
@@ -197,7 +262,7 @@ def rebalance(df: DataFrame, column: str, kind: str, slider: float, key: Sequenc
     }.get(kind)
     if fn is None:
         return df
-    return fn(df, column, slider, key, seed, tiebreak)
+    return fn(df, column, slider, key, seed, tiebreak, prepared=prepared)
 
 
 def random_undersample(df: DataFrame, label: str, slider: float, key: Sequence[str],

@@ -189,6 +189,8 @@ def run_sweep(df: DataFrame, column: str, kind: str, scorer: Scorer, key: Sequen
     base = df.cache()
     base.count()
     baseline = scorer(base)
+    # Slider-independent work (counts, median, majority, group sizes) once per sweep.
+    prep = None if (kind == "target" and use_smote) else rb.prepare_rebalance(base, column, kind, key, seed)
     rows, hist, best, declines = [], [], -1.0, 0
     for i, s in enumerate(grid):
         try:
@@ -198,7 +200,7 @@ def run_sweep(df: DataFrame, column: str, kind: str, scorer: Scorer, key: Sequen
                 mod = (sm.smote(base, smote_features, label, s, key, seed) if s > 0
                        else rb.random_undersample(base, label, s, key, seed))
             else:
-                mod = rb.rebalance(base, column, kind, s, key, seed)
+                mod = rb.rebalance(base, column, kind, s, key, seed, prepared=prep)
             mod = mod.cache()
             n = mod.count()
             scores = scorer(mod)
@@ -216,6 +218,8 @@ def run_sweep(df: DataFrame, column: str, kind: str, scorer: Scorer, key: Sequen
         rows += [(run_id, i, float(s), a, float(v), int(n)) for a, v in scores.items()]
         if _exit_now(hist, declines, delta, threshold):
             break
+    if prep is not None:
+        prep.release()
     base.unpersist()
     steps = spark.createDataFrame(rows, STEP_SCHEMA)
     base_df = spark.createDataFrame([(run_id, a, float(v)) for a, v in baseline.items()],
