@@ -28,6 +28,7 @@ from shiftlab.operators.sampling import (
 )
 
 IDENTITY_EPS = 0.01
+MAX_LOCAL_CLASSES = 100_000
 KINDS = ("target", "binary", "continuous", "categorical")
 GROUP = "_grp"
 
@@ -76,6 +77,7 @@ class PreparedRebalance:
     hp: object | None
     stats: CountStats | None = None
     sizes: dict | None = None
+    last_size: int | None = None   # rows produced by the latest rebalance, when known
 
     def release(self) -> None:
         if self.hp is not None:
@@ -106,7 +108,13 @@ def prepare_rebalance(df: DataFrame, column: str, kind: str, key: Sequence[str],
         d = df.where(F.col(column).isNotNull())
         hp = prepare(d, [column], key, seed)
         hp.bc = hp.bc.cache()
-        return PreparedRebalance(kind, d, hp, stats=count_stats(hp.group_sizes()))
+        rows = hp.group_sizes().limit(MAX_LOCAL_CLASSES + 1).collect()
+        if len(rows) > MAX_LOCAL_CLASSES:
+            return PreparedRebalance(kind, d, hp, stats=count_stats(hp.group_sizes()))
+        sizes = {r[column]: int(r["n"]) for r in rows}
+        n = list(sizes.values())
+        st = CountStats(min(n, default=0), max(n, default=0), len(n), sum(n))
+        return PreparedRebalance(kind, d, hp, stats=st, sizes=sizes)
     if kind in ("binary", "continuous", "categorical"):
         expr = _group_expr(df, column, kind)
         if expr is None:
@@ -141,6 +149,8 @@ def rebalance_target(df: DataFrame, column: str, slider: float, key: Sequence[st
         return d
     if slider > 0:
         t = up_target(st.min, st.max, slider)
+        if prepared is not None and prepared.sizes is not None:
+            prepared.last_size = sum(t if c < t else c for c in prepared.sizes.values())
         small = counts.where(F.col("n") < t)
         keep = d.join(_maybe_broadcast(counts.where(F.col("n") >= t).select(column), st.groups),
                       column, "left_semi")
@@ -148,6 +158,8 @@ def rebalance_target(df: DataFrame, column: str, slider: float, key: Sequence[st
                                       key, seed, tiebreak, st.groups, prepared=hp)
         return keep.unionByName(draws)
     t = down_target(st.min, st.max, slider)
+    if prepared is not None and prepared.sizes is not None:
+        prepared.last_size = sum(min(c, t) for c in prepared.sizes.values())
     return rank_cut(d, counts.select(column, F.least(F.col("n"), F.lit(t)).alias(Q)),
                     [column], key, seed, tiebreak, n_groups=st.groups, prepared=hp)
 
@@ -166,6 +178,8 @@ def _two_group(df: DataFrame, group_expr, grow: str, slider: float, up_n, down_n
         return None
     base = g.where(F.col(GROUP) == other)
     t = up_n(n_grow, n_other) if slider > 0 else down_n(n_grow, n_other)
+    if prepared is not None:
+        prepared.last_size = n_other + int(t)
     quota = hp.group_sizes().where(F.col(GROUP) == grow).select(GROUP, F.lit(int(t)).alias(Q))
     if slider > 0:
         moved = draw_with_replacement(g, quota, [GROUP], key, seed, tiebreak, 2, prepared=hp,

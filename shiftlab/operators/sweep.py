@@ -200,10 +200,13 @@ def run_sweep(df: DataFrame, column: str, kind: str, scorer: Scorer, key: Sequen
                 mod = (sm.smote(base, smote_features, label, s, key, seed) if s > 0
                        else rb.random_undersample(base, label, s, key, seed))
             else:
+                if prep is not None:
+                    prep.last_size = None
                 mod = rb.rebalance(base, column, kind, s, key, seed, prepared=prep)
             mod = mod.cache()
-            n = mod.count()
             scores = scorer(mod)
+            known = prep.last_size if (prep is not None and mod is not base) else None
+            n = known if known is not None else mod.count()
             if mod is not base:
                 mod.unpersist()
         except Exception:  # noqa: BLE001 - a failing step is skipped

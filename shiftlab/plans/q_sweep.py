@@ -192,6 +192,8 @@ def o12t(spark, sf):
 
 
 O02_GRID = [-0.5, -0.25, 0.0, 0.25, 0.5]
+# The sweeps only read these columns; project before the base table is cached.
+SWEEP_COLS = ["doc_id", "lang", "source", "n_chars"]
 
 
 def _vm_f1_sql(src: str) -> str:
@@ -276,7 +278,7 @@ O06_GRID = [-0.5, 0.0, 0.5]
 @register("o02_sweep_value_majority", _o02_sql())
 def o02(spark, sf):
     """A real sweep: rebalance documents by language, score by source (exact SQL twin)."""
-    d = load_table(spark, sf, "documents")
+    d = load_table(spark, sf, "documents").select(*SWEEP_COLS)
     scorer = sw.value_majority_scorer("source", "lang", DOC_KEY)
     steps, base = sw.run_sweep(d, "lang", "target", scorer, DOC_KEY, grid=O02_GRID)
     return sw.optimum(steps, base).drop("gain_by_algorithm")
@@ -285,7 +287,7 @@ def o02(spark, sf):
 @register("o06_multi_column_sweep", _sweep_sql(
     [("lang", _rebalanced_sql), ("n_chars", lambda sv: _continuous_sql("n_chars", sv))], O06_GRID))
 def o06(spark, sf):
-    d = load_table(spark, sf, "documents")
+    d = load_table(spark, sf, "documents").select(*SWEEP_COLS)
     scorer = sw.value_majority_scorer("source", "lang", DOC_KEY)
     steps, base = sw.run_multi(d, [("lang", "target"), ("n_chars", "continuous")], scorer, DOC_KEY,
                                grid=O06_GRID)
@@ -314,7 +316,7 @@ def o08(spark, sf):
 @register("o02_sweep_mllib")
 def o02m(spark, sf):
     """A sweep scored by the quick MLlib loop (feature prep + stratified cap + forest)."""
-    d = load_table(spark, sf, "documents")
+    d = load_table(spark, sf, "documents").select(*SWEEP_COLS)
     scorer = sw.mllib_scorer(_doc_prep(), DOC_KEY, algorithms=_light_forest(), selected=["Random Forest"])
     steps, base = sw.run_sweep(d, "lang", "target", scorer, DOC_KEY, grid=[-0.5, 0.0, 0.5])
     return sw.trajectory(steps)
