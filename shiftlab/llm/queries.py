@@ -7,13 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlab.llm import decontaminate, jaccard_join
+from shiftlab.llm import decontaminate, jaccard_join, langid, mixing, pii
+from shiftlab.llm.store import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _remainder(doc_id: str, n: int):
+    """crc32 of the id as text, modulo n; null for a null id."""
+    return F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % n
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document by compression; a quarter of the ids is held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(_remainder("doc_id", 4) == 2, F.lit(False))
+    model = langid.learn(docs.where(_remainder("doc_id", 4) != 2))
+    return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in each document: strict spans, and those that the trained classifier adds."""
+    spans = written(_table(spark, sf_dir, "documents").select("doc_id", pii.candidates(F.col("text")).alias("spans")), "spans")
+    found = spans.select("doc_id", pii.accepted(F.col("spans"), pii.fit(spans)).alias("s"))
+    base = F.filter("s", lambda x: x["strict"])
+    return found.select("doc_id", *(F.size(pii.of_kind(base, k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS),
+                        F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("s")).alias("spans"))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of sources takes from each document."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in each document, by suffix arrays over the documents."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -85,6 +113,9 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.doc_id = d.doc_id
 """
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_pii": op2_pii,
+    "op3_mix_sources": op3_mix_sources,
     "op5_decontaminate": op5_decontaminate,
     "op8_ngram_jaccard": op8_ngram_jaccard,
 }
