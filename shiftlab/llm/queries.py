@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shiftlab.llm import decontaminate, jaccard_join, langid, mixing, pii
+from shiftlab.llm import (
+    attention_lm,
+    chat_trees,
+    decontaminate,
+    iblt,
+    jaccard_join,
+    langid,
+    mixing,
+    pii,
+    suffix_dedup,
+    trie_counts,
+)
 from shiftlab.llm.store import written
 
 
@@ -42,6 +53,14 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and self-attention score of each document; a seventh of the ids is held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder("doc_id", 7) == 2, F.lit(False)).alias("held_out")
+    scored = attention_lm.score(docs, _remainder("doc_id", 7) != 2)
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in each document, by suffix arrays over the documents."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,6 +107,17 @@ LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each document without strings of 100 bytes that also start earlier."""
+    kept = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram-vocabulary tokens of each document, counted along a trie of its batch's words."""
+    return trie_counts.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked at a Jaccard similarity of 0.8 of 5-word shingles."""
     return (jaccard_join.near_groups(_table(spark, sf_dir, "documents"))
@@ -112,14 +142,62 @@ SELECT d.doc_id, coalesce(any_value(n.c), 0) AS n_shingles, min(reach.root) AS c
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
+def op9_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as reply trees (a turn answers the one before), formatted and read back."""
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)],
+                                  "conv_id bigint, turn bigint, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    messages = rows.withColumn("node", place).select(
+        "conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(1.0).alias("score"), "role", "text")
+    done = chat_trees.conversations(messages)
+    turns = chat_trees.read_turns(F.col("formatted"))
+    loss = chat_trees.read_loss(F.col("formatted"), F.col("loss_spans"))
+    lines = F.concat_ws("", F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return done.select("conv_id", F.size(turns).cast("bigint").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+                       F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+                       F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+OP9_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, length(role) + length(text)
+    + 4 * (length(role || text) - length(replace(role || text, '&', '')))
+    + 3 * (length(role || text) - length(replace(role || text, '<', '')))
+    + 4 * (length(role || text) - length(replace(replace(role || text, '[', ''), ']', ''))) + 11 AS chars
+  FROM c)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invertible Bloom fingerprints of each document and of its edited text."""
+    prints = iblt.fingerprints(_table(spark, sf_dir, "documents"))
+    return prints.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
     "op3_mix_sources": op3_mix_sources,
+    "op4_lm_score": op4_lm_score,
     "op5_decontaminate": op5_decontaminate,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_token_counts": op7_token_counts,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_chat_trees": op9_chat_trees,
+    "op10_fingerprints": op10_fingerprints,
 }
-_ORACLE: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op8_ngram_jaccard": OP8_SQL}
+_ORACLE: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_chat_trees": OP9_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

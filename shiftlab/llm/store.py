@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shiftlab.session import ensure_checkpoint_dir, ship_package
 
+#: Bytes of an Arrow batch, so that batches of long texts stay small in Python workers.
+BATCH_BYTES = str(32 << 20)
+
 
 def ready(spark: SparkSession) -> None:
-    """Make this package importable in Python workers."""
+    """Make this package importable in Python workers, and bound their batches by bytes."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    A lost executor then costs a re-read of shared files, not a recomputation.
+    A lost executor then costs a re-read of shared files, not a recomputation,
+    and the shuffles behind ``df`` are garbage: a collection lets Spark's
+    cleaner remove their files before the next stage adds its own.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
