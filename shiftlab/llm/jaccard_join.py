@@ -38,6 +38,9 @@ PERCENT = 80
 #: (8 bytes each).  It bounds only how well the order is fitted, not the join.
 FREQUENT = 500_000
 SKETCH_WORDS = 8
+#: Bits of the filter of wanted texts (8 MB), and partners of a head in one task's group.
+FILTER_BITS = 1 << 26
+GROUP_SETS = 512
 PLACE = ba.U64(0x9FB21C651E98DF25)
 
 
@@ -213,42 +216,87 @@ def _ended(batches):
     yield None
 
 
-def _full_sets(n: int):
+def _among(bits: np.ndarray):
+    """Rows whose hash may be wanted: a bit for each place of a fixed-size filter."""
     def run(batches):
         for batch in batches:
+            place = batch.column(0).to_numpy(zero_copy_only=False) & (FILTER_BITS - 1)
+            keep = bits.value[place >> 3] >> (place & 7).astype(np.uint8) & 1
+            yield batch.filter(pa.array(keep.astype(bool)))
+
+    return run
+
+
+def _role_sets(n: int):
+    """A text's set, once for each comparison group that it takes part in."""
+    def run(batches):
+        for batch in batches:
+            roles = batch.column(batch.schema.get_field_index("roles"))
             for i, h, at in _sets(batch, n):
-                raw = h.tobytes()
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(i, len(at) - 1),
-                    pa.array([raw[8 * a:8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)],
-                             pa.binary())], ["key", "hashes"])
+                own = roles.slice(i, len(at) - 1)
+                times = own.value_lengths().to_numpy(zero_copy_only=False)
+                parts = own.flatten()
+                raw, back = h.tobytes(), np.repeat(np.arange(len(at) - 1), times)
+                sets = pa.array([raw[8 * a:8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+                key = batch.column(batch.schema.get_field_index("key")).slice(i, len(at) - 1)
+                for j in range(0, len(back), 2000):
+                    some = pa.array(back[j:j + 2000])
+                    yield pa.RecordBatch.from_arrays([
+                        parts.field("head").slice(j, 2000), parts.field("salt").slice(j, 2000),
+                        parts.field("member").slice(j, 2000), key.take(some), sets.take(some)],
+                        ["head", "salt", "member", "key", "hashes"])
 
     return run
 
 
-def _distance(batches):
+def _distances(batches):
+    """Distance of each member to the head of its group; the head's row comes first."""
+    now, own = None, None
     for batch in batches:
-        left, right = (batch.column(k).to_pylist() for k in (2, 3))
-        d = []
-        for x, y in zip(left, right, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            d.append(len(x) + len(y) - 2 * both)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.int64())], ["a", "b", "d"])
+        head, salt, member, key, sets = (c.to_pylist() for c in batch.columns)
+        a, b, d = [], [], []
+        for g, s, m, k, raw in zip(head, salt, member, key, sets, strict=True):
+            x = np.frombuffer(raw, np.uint64)
+            if not m:
+                now, own = (g, s), x
+                continue
+            if now != (g, s):
+                raise ValueError("a comparison group has no head")
+            both = np.sort(np.concatenate([own, x]))
+            a.append(k)
+            b.append(g)
+            d.append(len(both) - 2 * int(np.count_nonzero(both[1:] == both[:-1])))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int64())], ["a", "b", "d"])
 
 
 def _measured(pairs: DataFrame, base: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     """(a, b, d): the exact distance of each pair of classes.
 
-    A class's set is rebuilt from the text of its representative row, so only
-    the texts of compared classes are turned into sets and moved as such.
+    A class's set is rebuilt from the text of its representative row and moves
+    once for each pair, to the group of the pair's other class (its head).  A
+    head with many partners has its group split by salt, its own set in each
+    part.  A filter of fixed size keeps most texts that no pair needs from the
+    join; where it is too small for the data it only filters less.
     """
-    need = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(reps, "key")
-    one = base.select("rh", "text").join(need, "rh").dropDuplicates(["rh"]).select("key", "text")
-    sets = written(one.mapInArrow(_full_sets(n), "key bigint, hashes binary"), "sets")
-    left = pairs.join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
-    both = left.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(_distance, "a bigint, b bigint, d bigint")
+    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP_SETS).cast("int").alias("parts"))
+    members = (pairs.join(parts, "b").select(F.col("a").alias("key"), F.col("b").alias("head"), F.pmod(
+        F.xxhash64("a"), F.col("parts")).cast("int").alias("salt"), F.lit(True).alias("member")))
+    heads = parts.select(F.col("b").alias("key"), F.col("b").alias("head"), F.explode(
+        F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"))
+    roles = written(members.unionByName(heads).groupBy("key").agg(F.collect_list(F.struct("head", "salt", "member")).alias("roles"))
+                    .join(reps, "key"), "roles")
+    place = F.col("rh").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = (roles.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("k"))
+            .agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("bits")).toArrow())
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    for k, raw in zip(bits["k"].to_pylist(), bits["bits"].to_pylist(), strict=True):
+        table[k * 4096:k * 4096 + len(raw)] = np.frombuffer(raw, np.uint8)
+    wanted = base.select("rh", "text").mapInArrow(
+        _among(base.sparkSession.sparkContext.broadcast(table)), "rh bigint, text string")
+    texts = wanted.join(roles, "rh").dropDuplicates(["rh"]).select("key", "text", "roles")
+    sets = texts.mapInArrow(_role_sets(n), "head bigint, salt int, member boolean, key bigint, hashes binary")
+    return (sets.repartition("head", "salt").sortWithinPartitions("head", "salt", "member")
+            .mapInArrow(_distances, "a bigint, b bigint, d bigint"))
 
 
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
