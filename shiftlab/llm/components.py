@@ -23,12 +23,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         near = (both.join(label.withColumnRenamed("x", "y"), "y")
                 .groupBy("x").agg(F.min("root").alias("near")))
-        step = label.join(near, "x").select("x", F.least("root", "near").alias("root"))
+        step = label.join(near, "x").select("x", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = label.select(F.col("x").alias("root"), F.col("root").alias("far"))
         step = (step.join(jump, "root", "left")
-                .select("x", F.least("root", F.coalesce("far", "root")).alias("root")))
+                .select("x", "old", F.least("root", F.coalesce("far", "root")).alias("root")))
         after = written(step, "labels")
-        changed = after.join(label.withColumnRenamed("root", "old"), "x").where("root <> old").limit(1).count()
-        label = after
-        if not changed:
+        label = after.drop("old")
+        if not after.where("root <> old").limit(1).count():
             return label.withColumnRenamed("x", "node")

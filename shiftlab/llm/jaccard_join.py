@@ -12,8 +12,11 @@ skipped as a whole.  Relations between sets save the rest of the work:
 * for two classes with the same pivot, ``|d1 - d2| <= d <= d1 + d2`` decides
   many pairs without reading a set: the answers of one set follow from those
   of a highly similar one;
-* a 512-bit parity sketch bounds the distance of the others from below, and
-  what is left is compared exactly.
+* groups meet by their closest pair first, so a crowd of near copies becomes
+  one group after a few rounds and is never compared all with all;
+* parity sketches (512 bits in the lists, at least two bits a shingle
+  after) bound the distance of the others from below, and what is left is
+  compared exactly.
 
 Links are exact over 64-bit shingle hashes (odds of about 2**-64 a pair of
 shingles or of classes to share one).
@@ -38,6 +41,8 @@ PERCENT = 80
 #: (8 bytes each).  It bounds only how well the order is fitted, not the join.
 FREQUENT = 500_000
 SKETCH_WORDS = 8
+#: Rounds in which groups are compared by one pair each before single classes are.
+ROUNDS = 4
 #: Bits of the filter of wanted texts (8 MB), and partners of a head in one task's group.
 FILTER_BITS = 1 << 26
 GROUP_SETS = 512
@@ -83,6 +88,42 @@ def sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1)
 
 
+def wide_sketches(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Parity of a set's hashes in a power of two of places, at least twice its size; halves fold by xor."""
+    out = []
+    place = ba.mix(h)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        bits = max(9, int(2 * (b - a)).bit_length())
+        odd = np.bincount((place[a:b] & ba.U64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+    return out
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Places in which two wide sketches differ: a lower bound of the distance."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _bounded(percent: int):
+    """(a, b, limit, bound) of pairs whose sketches do not rule a link out."""
+    def run(batches):
+        for batch in batches:
+            a, b, sa, sb, wa, wb = (batch.column(k) for k in range(6))
+            limit = far_apart(sa.to_numpy(), sb.to_numpy(), percent)
+            low = np.array([apart(x, y) if m >= 0 else 1 for x, y, m in zip(
+                wa.to_pylist(), wb.to_pylist(), limit.tolist(), strict=True)], np.int64)
+            keep = pa.array(low <= limit)
+            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (a, b, pa.array(limit), pa.array(low))],
+                                             ["a", "b", "limit", "bound"])
+
+    return run
+
+
 def _sets(batch: pa.RecordBatch, n: int):
     """(first row, hashes, offsets) of each slice of a batch of texts."""
     data, offsets = ba.flat(batch.column(batch.schema.get_field_index("text")))
@@ -92,15 +133,16 @@ def _sets(batch: pa.RecordBatch, n: int):
 
 
 def _profile(n: int):
-    """A row for each text (kind 0: id, row hash, key, size, sketch), and a row for the shingles that
+    """A row for each text (kind 0: id, row hash, key, size, sketches), and a row for the shingles that
     repeat among a batch's texts with their counts (kind 1)."""
     def run(batches):
         for batch in batches:
-            keys, sizes, sketch, seen = [], [], [], []
+            keys, sizes, sketch, wide, seen = [], [], [], [], []
             for _, h, at in _sets(batch, n):
                 keys += class_keys(h, at)
                 sizes.append(np.diff(at))
                 sketch += [row.tobytes() for row in sketches(h, at)]
+                wide += wide_sketches(h, at)
                 seen.append(h)
             if not keys:
                 continue
@@ -114,7 +156,8 @@ def _profile(n: int):
                 pa.concat_arrays([pa.array(keys, pa.int64()), ba.signed(h)]),
                 pa.concat_arrays([pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(c.astype(np.int64))]),
                 pa.concat_arrays([pa.array(sketch, pa.binary()), pa.nulls(len(h), pa.binary())]),
-            ], ["kind", "id", "rh", "key", "size", "sketch"])
+                pa.concat_arrays([pa.array(wide, pa.binary()), pa.nulls(len(h), pa.binary())]),
+            ], ["kind", "id", "rh", "key", "size", "sketch", "wide"])
 
     return run
 
@@ -318,7 +361,7 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     base = docs.select(F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).alias("rh"), F.col(text).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     profile = written(base.mapInArrow(
-        _profile(shingle), f"kind tinyint, id {kind}, rh bigint, key bigint, size bigint, sketch binary"), "profile")
+        _profile(shingle), f"kind tinyint, id {kind}, rh bigint, key bigint, size bigint, sketch binary, wide binary"), "profile")
     rows = profile.where("kind = 0").drop("kind")
     counts = profile.where("kind = 1").groupBy("key").agg(F.sum("size").alias("n"))
     # At most `frequent` rows of 16 bytes reach the driver; the rarest of them first.
@@ -332,51 +375,64 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                     .where("lead <> last").dropDuplicates(["h", "key"]).drop("last"), "lists")
 
     classes = written(rows.where("size > 0").groupBy("key").agg(
-        F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("rh").alias("rh")), "classes")
+        *(F.first(c).alias(c) for c in ("size", "sketch", "wide")), F.min("rh").alias("rh")), "classes")
     reps = classes.select("key", "rh")
+    a = classes.select(F.col("key").alias("a"), F.col("size").alias("sa"), F.col("wide").alias("wa"))
+    b = classes.select(F.col("key").alias("b"), F.col("size").alias("sb"), F.col("wide").alias("wb"))
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        return (pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "wa", "wb")
+                .mapInArrow(_bounded(percent), "a bigint, b bigint, limit bigint, bound bigint"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        return written(pairs.join(_measured(pairs.select("a", "b"), base, reps, shingle), ["a", "b"]), "measured")
+
+    # Each class with the pivot that leads most of its lists.
     led = lists.where("key <> lead").groupBy("key", "lead").count()
     pivot = led.groupBy("key").agg(F.max_by("lead", F.struct("count", "lead")).alias("pivot"))
-    a = classes.select(F.col("key").alias("a"), F.col("size").alias("sa"), F.col("sketch").alias("ka"))
-    b = classes.select(F.col("key").alias("b"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
-    limit = far_apart_column("sa", "sb", percent)
-    first = (pivot.select(F.col("key").alias("a"), F.col("pivot").alias("b")).join(a, "a").join(b, "b")
-             .where(limit >= 0).where(_apart("ka", "kb") <= limit).select("a", "b", "sa", "sb"))
-    first = written(first, "pivots")
-    measured = written(_measured(first.select("a", "b"), base, reps, shingle), "measured")
-    linked = first.join(measured, ["a", "b"]).where(F.col("d") <= limit)
-    one = written(linked.select("a", "b"), "links")
-    group = components(one)
-
-    # Lists that still hold more than one group.
-    tagged = (lists.select("h", "key", "size")
-              .join(group.select(F.col("node").alias("key"), "root"), "key", "left")
-              .join(measured.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "d"), "key", "left")
-              .select("h", "key", F.col("size").cast("bigint").alias("size"), F.coalesce("root", "key").alias("root"),
-                      F.coalesce("pivot", "key").alias("pivot"), F.coalesce("d", F.lit(0)).alias("d"))
-              .withColumn("r0", F.min("root").over(list_of)).withColumn("r1", F.max("root").over(list_of))
-              .where("r0 <> r1").drop("r0", "r1"))
-    sketched = tagged.join(classes.select("key", "sketch"), "key")
+    measured = compared(bounded(pivot.select(F.col("key").alias("a"), F.col("pivot").alias("b"))))
+    links = written(measured.where("d <= limit").select("a", "b"), "links")
+    group = components(links)
+
+    # Then groups with groups: of two that share lists, the closest pair by sketch stands for both.  A round
+    # costs a pair for each two groups, not for each two classes; it goes on while groups merge.
+    rounds = 0
+    while rounds < ROUNDS:
+        tagged = written(_tagged(lists, group, list_of), "tagged")
+        head = (tagged.where("key = lead_key").select("h", F.col("root").alias("head_root")))
+        star = (tagged.join(head, "h").where("root <> head_root")
+                .select(F.col("key").alias("a"), F.col("lead_key").alias("b"), "root", "head_root").distinct())
+        near = (star.join(bounded(star.select("a", "b")), ["a", "b"])
+                .groupBy("root", "head_root").agg(F.min_by(F.struct("a", "b", "limit", "bound"), F.struct("bound", "a", "b")).alias("p"))
+                .select("p.*"))
+        found = compared(near)
+        new = found.where("d <= limit").select("a", "b")
+        if not new.limit(1).count():
+            break
+        links = written(links.unionByName(new), "links")
+        group = components(links)
+        rounds += 1
+
+    # What is left: pairs of classes of different groups within a list.
+    tagged = _tagged(lists, group, list_of).join(
+        measured.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "d"), "key", "left")
+    sketched = tagged.withColumns({"pivot": F.coalesce("pivot", "key"), "d": F.coalesce("d", F.lit(0)),
+                                   "size": F.col("size").cast("bigint")}).join(classes.select("key", "sketch"), "key")
     tried = (sketched.repartition("h").sortWithinPartitions("h", "size", "key")
              .mapInArrow(_lists(percent), "a bigint, b bigint").distinct())
-    tried = written(tried.join(first.select("a", "b"), ["a", "b"], "left_anti"), "tried")
-    second = written(_measured(tried, base, reps, shingle), "measured")
-    sized = (second.join(a.drop("ka"), "a").join(b.drop("kb"), "b").where(F.col("d") <= limit))
-    two = written(one.unionByName(sized.select("a", "b")), "links")
-    return _result(rows, components(two), two, doc_id)
-
-
-def far_apart_column(a: str, b: str, percent: int):
-    s = F.col(a) + F.col(b)
-    need = F.ceil((s * percent) / F.lit(100 + percent))
-    return s - 2 * need
-
-
-def _apart(a: str, b: str):
-    """Places in which two sketches differ: a lower bound of the distance."""
-    words = [F.bit_count(F.conv(F.hex(F.substring(a, 8 * k + 1, 8)), 16, -10).cast("bigint")
-                         .bitwiseXOR(F.conv(F.hex(F.substring(b, 8 * k + 1, 8)), 16, -10).cast("bigint")))
-             for k in range(SKETCH_WORDS)]
-    return sum(words[1:], words[0])
+    tried = written(tried, "tried")
+    last = compared(bounded(tried))
+    links = written(links.unionByName(last.where("d <= limit").select("a", "b")).distinct(), "links")
+    return _result(rows, components(links), links, doc_id)
+
+
+def _tagged(lists: DataFrame, group: DataFrame, list_of) -> DataFrame:
+    """The lists that hold more than one group, with each row's group and the list's first row."""
+    return (lists.select("h", "key", "size").join(group.select(F.col("node").alias("key"), "root"), "key", "left")
+            .withColumn("root", F.coalesce("root", "key"))
+            .withColumn("r0", F.min("root").over(list_of)).withColumn("r1", F.max("root").over(list_of))
+            .withColumn("lead_key", F.min("key").over(list_of)).where("r0 <> r1").drop("r0", "r1"))
 
 
 def _result(rows: DataFrame, groups: DataFrame, links: DataFrame, doc_id: str) -> DataFrame:
