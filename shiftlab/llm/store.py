@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shiftlab.session import ensure_checkpoint_dir, ship_package
 
 #: Bytes of an Arrow batch, so that batches of long texts stay small in Python workers.
-BATCH_BYTES = str(32 << 20)
+BATCH_BYTES = str(16 << 20)
 
 
 def ready(spark: SparkSession) -> None:

@@ -6,8 +6,8 @@ offsets.  Only suffixes at anchors whose gram occurs again are sorted (about
 one in 30 positions is an anchor at all):
 
 1. anchors meet by the hash of their gram; those alone are done;
-2. the others' suffixes, with what is left of them, are range-partitioned by
-   their leading bytes with sampled splitters.  Equal contexts of a task have
+2. the others' suffixes, with what is left of them, go to the buckets that
+   splitters, taken from a sample of suffixes, cut by leading bytes.  Equal contexts of a task have
    already been cut to their earliest one (all others lose their whole run of
    strings), so a passage in a third of the documents is not a third of the rows;
 3. a bucket sorts the strings of each gram with a multikey sort, eight bytes a
@@ -33,6 +33,9 @@ from shiftlab.llm.store import ready, written
 
 LENGTH = 100
 GRAM = 32
+#: Rows of the sample for the splitters, about; it bounds how evenly buckets are cut, nothing else.
+SAMPLE_ROWS = 5000
+BUCKETS_A_PARTITION = 8
 #: Bytes of a text that are worked on at once; longer texts go in overlapping pieces.
 PIECE = 1 << 21
 POSITION_BITS = ba.U64(22)
@@ -134,42 +137,83 @@ def _member(batch, name, offsets, row, at):
     return np.isin(row * width + at, owner * width + listed)
 
 
-def _contexts(length: int, gram: int):
-    """The bytes around each listed anchor; of a batch's equal ones with equal runs the earliest only."""
+def _contexts(length: int, gram: int, splitters: np.ndarray):
+    """The bytes around each listed anchor; of equal ones with equal runs the earliest of a task's slice only."""
     reach = length - gram
+    width = reach + length
+    place = np.arange(width, dtype=np.int32)
 
     def run(batches):
-        for batch in batches:
-            data, offsets = _texts(batch)
+        for part in _sliced(batches, 4 * PIECE):
+            data, offsets = _texts(part)
             row, lo, hi, at, _ = _runs(data, offsets, length, gram)
-            keep = _member(batch, "anchors", offsets, row, at)
+            keep = _member(part, "anchors", offsets, row, at)
             row, lo, hi, at = (x[keep] for x in (row, lo, hi, at))
-            ids = batch.column(1).to_numpy(zero_copy_only=False)
-            rh = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = part.column(1).to_numpy(zero_copy_only=False)
+            rh = part.column(0).to_numpy(zero_copy_only=False)
             # Bytes [lo, hi + length) at a fixed place: the anchor is at `reach`; zeros elsewhere.
-            width = reach + length
             around = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(length, np.uint8)])
             context = sliding_window_view(around, width)[offsets[row] + at]
-            place = np.arange(width, dtype=np.int32)
             context[(place < (lo - at + reach)[:, None]) | (place >= (hi + length - at + reach)[:, None])] = 0
             near, far = at - hi, at - lo
             kept = _earliest(context, near, far, ids[row], rh[row], at)
             context, row, at, near, far = (x[kept] for x in (context, row, at, near, far))
-            raw = np.ascontiguousarray(context).view(f"V{width}").reshape(-1)
+            lead = np.ascontiguousarray(context[:, reach:reach + 8]).view(">u8").reshape(-1).astype(ba.U64)
+            bucket = np.searchsorted(splitters, lead, "right")
+            raw = pa.py_buffer(np.ascontiguousarray(context))
+            at_bytes = pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * width)
             yield pa.RecordBatch.from_arrays([
-                pa.array([x.tobytes() for x in raw], pa.binary()), pa.array(ids[row]), pa.array(rh[row]),
-                pa.array(at), pa.array(near.astype(np.int32)), pa.array(far.astype(np.int32))],
-                ["context", "id", "rh", "at", "near", "far"])
+                pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, at_bytes, raw]), pa.array(ids[row]), pa.array(rh[row]),
+                pa.array(at), pa.array(near.astype(np.int32)), pa.array(far.astype(np.int32)), pa.array(bucket.astype(np.int32))],
+                ["context", "id", "rh", "at", "near", "far", "bucket"])
+
+    return run
+
+
+def _sliced(batches, most: int):
+    """The batches in slices of rows with about ``most`` bytes of text."""
+    for batch in batches:
+        _, offsets = _texts(batch)
+        for i, j in ba.slices(offsets, most):
+            yield batch.slice(i, j - i)
+
+
+def _leads(length: int, gram: int):
+    """The first eight bytes of each anchor's gram, as a number that sorts like them."""
+    def run(batches):
+        for part in _sliced(batches, 4 * PIECE):
+            data, offsets = _texts(part)
+            row, _, _, at, _ = _runs(data, offsets, length, gram)
+            lead = sliding_window_view(data, 8)[offsets[row] + at] if len(at) else np.zeros((0, 8), np.uint8)
+            words = np.ascontiguousarray(lead).view(">u8").reshape(-1).astype(ba.U64)
+            yield pa.RecordBatch.from_arrays([ba.signed(words ^ ba.U64(1 << 63))], ["lead"])
 
     return run
 
 
-def _earliest(context, near, far, ids, rh, at) -> np.ndarray:
+def splitters(base: DataFrame, buckets: int, length: int, gram: int, sample: int = SAMPLE_ROWS) -> np.ndarray:
+    """``buckets - 1`` leading words that cut a bounded sample of the suffixes into equal parts."""
+    rows = base.count()
+    some = base.where(F.pmod(F.xxhash64("rh"), F.lit(max(1, rows // sample))) == 0)
+    leads = some.select("text").mapInArrow(_leads(length, gram), "lead bigint")
+    cuts = leads.agg(F.percentile_approx("lead", [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
+    return np.unique(np.array(cuts, np.int64).view(ba.U64) ^ ba.U64(1 << 63))
+
+
+def _starts(t: dict):
+    """(rh, start) of all strings of contexts."""
+    n = t["far"] - t["near"] + 1
+    owner = np.repeat(np.arange(len(n)), n)
+    d = t["near"][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    return t["rh"][owner], t["at"][owner] - d
+
+
+def _earliest(context, near, far, ids, rh, at, group=None) -> np.ndarray:
     """The rows that are the earliest of those with equal contexts and runs."""
     if not len(at):
         return np.zeros(0, np.int64)
     words = _words8(context)
-    h = np.zeros(len(at), ba.U64)
+    h = np.zeros(len(at), ba.U64) if group is None else group.astype(ba.U64)
     for k in range(words.shape[1]):
         h = ba.mix(h * ba.BASE + words[:, k] + ba.U64(k))
     order = np.lexsort((at, rh, ids, far, near, h))
@@ -217,6 +261,13 @@ def _firsts(length: int, gram: int):
     reach = length - gram
 
     def settle(t: dict):
+        once = _earliest(t["context"], t["near"], t["far"], t["id"], t["rh"], t["at"], t["group"])
+        t = {k: v[once] for k, v in t.items()}
+        alone = np.bincount(t["group"] - t["group"].min())[t["group"] - t["group"].min()] == 1
+        lone = _starts({k: v[alone] for k, v in t.items()})
+        t = {k: v[~alone] for k, v in t.items()}
+        if not len(t["at"]):
+            return lone
         n = t["far"] - t["near"] + 1
         owner = np.repeat(np.arange(len(n)), n)
         d = t["near"][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
@@ -228,7 +279,7 @@ def _firsts(length: int, gram: int):
         order, again = multikey_order(words, (start, t["rh"][owner], t["id"][owner]))
         # One string at one start may come from copies of a row: the same document.
         first = order[~again]
-        return t["rh"][owner[first]], start[first]
+        return np.concatenate([lone[0], t["rh"][owner[first]]]), np.concatenate([lone[1], start[first]])
 
     def run(batches):
         rest, held = None, 0
@@ -286,7 +337,7 @@ def _with_end(batches):
 
 def _cut(length: int, gram: int):
     def run(batches):
-        for batch in batches:
+        for batch in _sliced(batches, PIECE):
             data, offsets = _texts(batch)
             row, lo, hi, at, _ = _runs(data, offsets, length, gram)
             keep = _member(batch, "anchors", offsets, row, at)
@@ -349,12 +400,13 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
              .groupBy("rh").agg(F.array_sort(F.collect_set(F.col("at").cast("int"))).alias("anchors")))
     again = written(again, "anchors")
     order_id = F.coalesce("id", F.lit((1 << 63) - 1)).alias("id")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = splitters(base.select("rh", "text"), n * BUCKETS_A_PARTITION, length, gram)
     contexts = (base.select("rh", order_id, "text").join(again, "rh").dropDuplicates(["rh"])
                 .select("rh", "id", "text", "anchors")
-                .mapInArrow(_contexts(length, gram), "context binary, id bigint, rh bigint, at bigint, near int, far int"))
-    lead = F.substring("context", length - gram + 1, gram)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    firsts = (contexts.repartitionByRange(n, lead).sortWithinPartitions(lead)
+                .mapInArrow(_contexts(length, gram, cuts), "context binary, id bigint, rh bigint, at bigint, "
+                            "near int, far int, bucket int"))
+    firsts = (contexts.repartition(n, "bucket").sortWithinPartitions(F.substring("context", length - gram + 1, gram))
               .mapInArrow(_firsts(length, gram), "rh bigint, lo bigint, hi bigint")
               .groupBy("rh").agg(F.collect_list(F.struct("lo", "hi")).alias("firsts")))
     marks = written(again.join(firsts, "rh", "left"), "firsts")
