@@ -33,21 +33,31 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit("check"))
 
 
-def _holds(i: Column, key: Column) -> Column:
-    """Whether the digest belongs into cell ``i``."""
-    return F.pmod(F.xxhash64(key, F.floor(i / PLACES)), F.lit(PLACES)) == i % PLACES
+def _cells_of(key: Column) -> list[Column]:
+    """The digest's cell in each subtable."""
+    return [(F.pmod(F.xxhash64(key, F.lit(j)), F.lit(PLACES)) + j * PLACES).cast("int") for j in range(SUBTABLES)]
 
 
-def table(keys: Column) -> Column:
-    """The cells of a set of digests."""
-    def cell(i):
-        mine = F.filter(keys, lambda k: _holds(i, k))
-        return F.aggregate(mine, F.struct(i.cast("int").alias("i"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("key"),
-                                          F.lit(0).cast("bigint").alias("check")),
-                           lambda c, k: F.struct(c["i"].alias("i"), (c["n"] + 1).alias("n"), c["key"].bitwiseXOR(k).alias("key"),
-                                                 c["check"].bitwiseXOR(_check(k)).alias("check")))
+def entries(keys: Column) -> Column:
+    """The digests with their checks and cells, hashed once each."""
+    return F.transform(keys, lambda k: F.struct(
+        k.alias("key"), _check(k).alias("check"), *(c.alias(f"p{j}") for j, c in enumerate(_cells_of(k)))))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), cell)
+
+def table(items: Column) -> Column:
+    """The cells of a set of digests, given as :func:`entries`."""
+    def subtable(j):
+        def cell(i):
+            return F.aggregate(
+                F.filter(items, lambda e: e[f"p{j}"] == i),
+                F.struct(i.alias("i"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("key"),
+                         F.lit(0).cast("bigint").alias("check")),
+                lambda c, e: F.struct(c["i"].alias("i"), (c["n"] + 1).alias("n"), c["key"].bitwiseXOR(e["key"]).alias("key"),
+                                      c["check"].bitwiseXOR(e["check"]).alias("check")))
+
+        return F.transform(F.array(*(F.lit(j * PLACES + x) for x in range(PLACES))), cell)
+
+    return F.concat(*(subtable(j) for j in range(SUBTABLES)))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -61,19 +71,21 @@ def peel(cells: Column) -> Column:
     longs = F.array().cast("array<bigint>")
 
     def step(acc, _):
-        pure = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"])) & _holds(c["i"], c["key"]))
+        pure = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"])))
+        first = F.transform(F.slice(pure, 1, 1), lambda c: F.struct(
+            c["n"].alias("n"), c["key"].alias("key"), c["check"].alias("check"), F.array(*_cells_of(c["key"])).alias("at")))
 
         def take(p):
-            rest = F.transform(acc["cells"], lambda c: F.when(_holds(c["i"], p["key"]), F.struct(
+            rest = F.transform(acc["cells"], lambda c: F.when(F.array_contains(p["at"], c["i"]), F.struct(
                 c["i"].alias("i"), (c["n"] - p["n"]).alias("n"), c["key"].bitwiseXOR(p["key"]).alias("key"),
-                c["check"].bitwiseXOR(_check(p["key"])).alias("check"))).otherwise(c))
+                c["check"].bitwiseXOR(p["check"]).alias("check"))).otherwise(c))
             own = F.array(p["key"])
             return F.struct(F.lit(False).alias("done"), rest.alias("cells"),
                             F.when(p["n"] > 0, F.concat(acc["a"], own)).otherwise(acc["a"]).alias("a"),
                             F.when(p["n"] < 0, F.concat(acc["b"], own)).otherwise(acc["b"]).alias("b"))
 
         stuck = F.struct(F.lit(True).alias("done"), acc["cells"].alias("cells"), acc["a"].alias("a"), acc["b"].alias("b"))
-        return F.when(acc["done"], acc).otherwise(F.coalesce(F.get(F.transform(F.slice(pure, 1, 1), take), F.lit(0)), stuck))
+        return F.when(acc["done"], acc).otherwise(F.coalesce(F.get(F.transform(first, take), F.lit(0)), stuck))
 
     start = F.struct(F.lit(False).alias("done"), cells.cast(f"array<{CELL}>").alias("cells"), longs.alias("a"), longs.alias("b"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(CELLS + 1)), start, step, lambda acc: F.struct(
@@ -88,19 +100,34 @@ def _counts(parts: Column) -> Column:
         (x["ok"] & p["ok"]).alias("ok"), (x["n_a"] + F.size(p["a"])).alias("n_a"), (x["n_b"] + F.size(p["b"])).alias("n_b")))
 
 
-def _segments(a: Column, b: Column, per_segment: int, salt: int) -> Column:
-    """array<struct<a, b>>: the digests of either side by the segments of a larger table."""
-    n = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / per_segment)).cast("int")
+def _grouped(items: Column, count: Column, coarse: Column) -> Column:
+    """array of arrays: the entries of each segment 0 .. count - 1, cut in two steps of about equal width."""
+    groups = F.transform(F.sequence(F.lit(0), F.floor((count - 1) / coarse).cast("int")), lambda g: F.struct(
+        g.alias("g"), F.filter(items, lambda e: F.floor(e["s"] / coarse) == g).alias("items")))
+    return F.flatten(F.transform(groups, lambda x: F.transform(
+        F.sequence(x["g"] * coarse, F.least((x["g"] + 1) * coarse, count) - 1),
+        lambda s: F.filter(x["items"], lambda e: e["s"] == s))))
+
+
+def with_segments(t: DataFrame, name: str, a: str, b: str, when: Column, per_segment: int, salt: int) -> DataFrame:
+    """``t`` with ``name``: array<struct<a, b>>, the entries of either side by the segments of a larger table."""
+    t = t.withColumn("_n", F.when(when, F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / per_segment)).cast("int")))
+    t = t.withColumn("_w", F.ceil(F.sqrt("_n")).cast("int"))
 
-    def segment(s):
-        mine = lambda k: F.pmod(F.xxhash64(k, F.lit(f"segment {salt}")), n) == s
-        return F.struct(F.filter(a, mine).alias("a"), F.filter(b, mine).alias("b"))
+    def placed(side):
+        return F.when(F.col("_n").isNotNull(), F.transform(F.col(side), lambda e: F.struct(
+            e["key"].alias("key"), e["check"].alias("check"), *(e[f"p{j}"].alias(f"p{j}") for j in range(SUBTABLES)),
+            F.pmod(F.xxhash64(e["key"], F.lit(f"segment {salt}")), F.col("_n")).cast("int").alias("s"))))
 
-    return F.transform(F.sequence(F.lit(0), n - 1), segment)
+    t = t.withColumns({"_ea": placed(a), "_eb": placed(b)})
+    t = t.withColumns({"_ga": _grouped(F.col("_ea"), F.col("_n"), F.col("_w")),
+                       "_gb": _grouped(F.col("_eb"), F.col("_n"), F.col("_w"))})
+    pairs = F.zip_with("_ga", "_gb", lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    return t.withColumn(name, F.when(F.col("_n").isNotNull(), pairs)).drop("_n", "_w", "_ea", "_eb", "_ga", "_gb")
 
 
 def with_differing(t: DataFrame, name: str, cells_a: str, cells_b: str, a: str, b: str) -> DataFrame:
-    """``t`` with ``name``: struct<ok, n_a, n_b>, how many digests only either side has.
+    """``t`` with ``name``: struct<ok, n_a, n_b>, how many digests only either side has (``a``, ``b``: their entries).
 
     From the difference of the two tables; where that gets stuck, from larger
     tables, built for those rows alone.  Were all of them stuck, the digests
@@ -109,12 +136,12 @@ def with_differing(t: DataFrame, name: str, cells_a: str, cells_b: str, a: str,
     t = t.withColumn("_peeled", F.array(peel(subtract(F.col(cells_a), F.col(cells_b)))))
     t = t.withColumn(name, _counts(F.col("_peeled")))
     for k in range(RETRIES):
-        larger = _segments(F.col(a), F.col(b), max(1, PER_SEGMENT // SMALLER ** k), k)
-        t = t.withColumn("_parts", F.when(~F.col(name)["ok"], larger))
+        t = with_segments(t, "_parts", a, b, ~F.col(name)["ok"], max(1, PER_SEGMENT // SMALLER ** k), k)
         t = t.withColumn("_cells", F.transform("_parts", lambda p: subtract(table(p["a"]), table(p["b"]))))
         t = t.withColumn("_peeled", F.transform("_cells", peel))
         t = t.withColumn(name, F.when(F.col(name)["ok"], F.col(name)).otherwise(_counts(F.col("_peeled"))))
-    plain = F.struct(F.lit(False).alias("ok"), F.size(F.array_except(a, b)).alias("n_a"), F.size(F.array_except(b, a)).alias("n_b"))
+    plain = F.struct(F.lit(False).alias("ok"), F.size(F.array_except(f"{a}.key", f"{b}.key")).alias("n_a"),
+                     F.size(F.array_except(f"{b}.key", f"{a}.key")).alias("n_b"))
     t = t.withColumn(name, F.when(F.col(name)["ok"], F.col(name)).otherwise(plain))
     return t.drop("_peeled", "_parts", "_cells")
 
@@ -171,7 +198,8 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     t = with_next(base, ["text", "own"], "id", "text", n)
     chars, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     t = t.withColumn("edited", F.concat(F.substring("text", F.lit(1), chars - quarter), F.substring("next_text", F.lit(1), quarter)))
-    t = t.select("id", chars.cast("bigint").alias("n_chars"), "own", "next_own", "edited", digests(F.col("edited")).alias("new"))
+    t = t.select("id", chars.cast("bigint").alias("n_chars"), entries(F.col("own")).alias("own"),
+                 entries(F.col("next_own")).alias("next_own"), "edited", entries(digests(F.col("edited"))).alias("new"))
     t = t.withColumns({"cells": table(F.col("own")), "new_cells": table(F.col("new")), "next_cells": table(F.col("next_own"))})
     t = with_differing(t, "d_edited", "cells", "new_cells", "own", "new")
     t = with_differing(t, "d_next", "cells", "next_cells", "own", "next_own")
