@@ -24,9 +24,9 @@ def band(col: str | Column, cuts: Sequence[float], names: Sequence[str]) -> Colu
 
 
 def coerce_double(col: str | Column, default: float = 0.0) -> Column:
-    """Parse to double; unparsable or NULL becomes ``default`` (never raises)."""
+    """Parse to double; unparsable, NULL or NaN becomes ``default`` (never raises)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(c.cast("string").try_cast("double"), F.lit(float(default)))
+    return F.nanvl(F.coalesce(c.cast("string").try_cast("double"), F.lit(float(default))), F.lit(float(default)))
 
 
 def fill_category(col: str | Column, missing: str = "UNKNOWN") -> Column:

@@ -165,7 +165,7 @@ def auc_per_class(long: DataFrame) -> DataFrame:
         F.sum("pos").alias("P"), F.sum("neg").alias("N"),
         F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * F.lit(0.5))).alias("u"))
     return agg.select("class", F.when((F.col("P") > 0) & (F.col("N") > 0),
-                                      F.col("u") / (F.col("P") * F.col("N")).cast("double")).alias("auc"))
+                                      F.col("u") / (F.col("P").cast("double") * F.col("N"))).alias("auc"))
 
 
 def macro_auc(long: DataFrame, n_classes: int) -> DataFrame:

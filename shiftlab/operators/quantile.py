@@ -3,9 +3,10 @@
 ``percentile``/``median`` keep every value of a group in one buffer, so a
 global median is a single task over the whole column.  Here each pass is a
 distributed histogram (at most ``HIST_BINS`` rows to the driver) that narrows
-the value range around the wanted ranks; once at most ``COLLECT_LIMIT`` rows
-remain in range they are fetched sorted.  Ties and duplicates need no special
-case: a window holding one distinct value has ``lo == hi``.
+a wanted rank's value window; the bin that holds the rank has its exact least
+and greatest value, which are the next window, so each pass leaves fewer
+distinct values until one is left.  The ranks of an interpolated quantile have
+windows of their own, so far-apart middle values need no special case.
 """
 
 from __future__ import annotations
@@ -16,62 +17,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HIST_BINS = 4096
-COLLECT_LIMIT = 50_000
-MAX_PASSES = 12
 
 
-def _select_ranks(d: DataFrame, ranks: list[int]) -> dict[int, float]:
-    """Values at 0-based ``ranks`` of the non-NULL double column ``v``."""
+def _value_at(d: DataFrame, rank: int, lo: float, hi: float, below: int, seen: dict) -> float:
+    """The value at 0-based ``rank`` of the finite double column ``v``, which lies in [lo, hi];
+    ``below`` rows are less than ``lo``.  ``seen`` keeps histograms by window."""
     v = F.col("v")
-    cond = F.lit(True)
-    below = 0  # rows of d that sort before the current window
-    st = d.agg(F.count(F.lit(1)), F.min(v), F.max(v)).first()
-    n, lo, hi = int(st[0]), st[1], st[2]
-    for _ in range(MAX_PASSES):
-        if lo == hi:
-            return {r: float(lo) for r in ranks}
-        if n <= COLLECT_LIMIT:
-            vals = [row[0] for row in d.where(cond).select(v).orderBy(v).collect()]
-            return {r: float(vals[r - below]) for r in ranks}
-        width = float(hi) - float(lo)
-        bexpr = F.least(F.floor((v - F.lit(float(lo))) / F.lit(width) * F.lit(HIST_BINS)),
-                        F.lit(HIST_BINS - 1)).cast("int")
-        hist = (d.where(cond).groupBy(bexpr.alias("b"))
-                .agg(F.count(F.lit(1)).alias("c"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-                .orderBy("b").collect())
-        cum, first, last = below, None, None
-        for row in hist:
-            start, end = cum, cum + int(row["c"])
-            if first is None and start <= min(ranks) < end:
-                first = (row, start)
-            if start <= max(ranks) < end:
-                last = row
-            cum = end
-        row0, start0 = first
-        b1, b2 = int(row0["b"]), int(last["b"])
-        cond = cond & bexpr.between(b1, b2)
-        below = start0
-        sel = [r for r in hist if b1 <= int(r["b"]) <= b2]
-        n = sum(int(r["c"]) for r in sel)
-        lo, hi = min(r["lo"] for r in sel), max(r["hi"] for r in sel)
-    raise RuntimeError("exact quantile did not converge")
+    while lo < hi:
+        if (lo, hi) not in seen:
+            # Halves, so that the width of the largest doubles is finite.
+            place = (v / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+            b = F.least(F.floor(place * HIST_BINS), F.lit(HIST_BINS - 1))
+            b = F.when(v == F.lit(lo), 0).when(v == F.lit(hi), HIST_BINS - 1).otherwise(b).cast("int")
+            seen[lo, hi] = (d.where(v.between(lo, hi)).groupBy(b.alias("b"))
+                            .agg(F.count(F.lit(1)).alias("c"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+                            .orderBy("b").collect())
+        for row in seen[lo, hi]:
+            if rank < below + row["c"]:
+                lo, hi = float(row["lo"]), float(row["hi"])
+                break
+            below += row["c"]
+    return lo
 
 
 def exact_quantile(df: DataFrame, column: str, p: float) -> float | None:
-    """Linear-interpolated quantile of the non-NULL values (NaN-free doubles)."""
-    d = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    n = d.count()
+    """Linear-interpolated quantile of the values that are neither NULL nor NaN.
+
+    Infinities take part by order; they stay out of the histograms.
+    """
+    v = F.col("v")
+    d = df.select(F.col(column).cast("double").alias("v")).where(v.isNotNull() & ~F.isnan(v))
+    inf = F.lit(float("inf"))
+    finite = (v > -inf) & (v < inf)
+    n, low, n_finite, lo, hi = d.agg(
+        F.count(F.lit(1)), F.count(F.when(v == -inf, 1)), F.count(F.when(finite, 1)),
+        F.min(F.when(finite, v)), F.max(F.when(finite, v))).first()
     if n == 0:
         return None
+    d, seen = d.where(finite), {}
+
+    def at(rank: int) -> float:
+        if rank < low:
+            return -math.inf
+        return math.inf if rank >= low + n_finite else _value_at(d, rank - low, float(lo), float(hi), 0, seen)
+
     pos = (n - 1) * p
-    k_lo, k_hi = int(math.floor(pos)), int(math.ceil(pos))
-    vals = _select_ranks(d, sorted({k_lo, k_hi}))
-    a, b = vals[k_lo], vals[k_hi]
-    if k_lo == k_hi:
+    k = int(math.floor(pos))
+    a = at(k)
+    if k == pos:
+        return a
+    b = at(k + 1)
+    if a == b:
         return a
-    if p == 0.5:
-        return (a + b) / 2.0
-    return a + (b - a) * (pos - k_lo)
+    return a / 2 + b / 2 if p == 0.5 and math.isinf(a + b) else (a + b) / 2 if p == 0.5 else a + (b - a) * (pos - k)
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:

@@ -192,6 +192,7 @@ def smote(df: DataFrame, features: str, label: str, slider: float, key: Sequence
         return base.withColumn("synthetic", F.lit(False))
     if slider < 0:
         return random_undersample(base, label, slider, [ROW_KEY], seed).withColumn("synthetic", F.lit(False))
+    base = base.where(F.col(label).isNotNull())  # NULL is no class
     counts = base.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     st = count_stats(counts)
     t = up_target(st.min, st.max, slider)

@@ -77,7 +77,11 @@ def _quota_frame(df: DataFrame, label: str, quota: dict) -> DataFrame:
 
 def stratified_subsample(df: DataFrame, label: str, max_n: int, key: Sequence[str],
                          seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Keep exactly ``max_n`` rows, proportional per class (no-op if smaller)."""
+    """Keep exactly ``max_n`` rows, proportional per class (all of them if fewer).
+
+    Rows without a label are dropped first, whatever ``max_n`` is.
+    """
+    df = df.where(F.col(label).isNotNull())
     hp = prepare(df, [label], key, seed)
     counts = hp.group_sizes()
     st = count_stats(counts)
@@ -90,7 +94,8 @@ def stratified_subsample(df: DataFrame, label: str, max_n: int, key: Sequence[st
 def train_test_split(df: DataFrame, label: str, key: Sequence[str], test_size: float = 0.2,
                      seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = (),
                      split_col: str = "split") -> DataFrame:
-    """Add ``split`` = 'test' / 'train'; ``ceil(test_size * n)`` test rows, stratified."""
+    """Add ``split`` = 'test' / 'train'; ``ceil(test_size * n)`` test rows of the ``n`` labelled ones,
+    stratified.  Rows without a label are dropped before counting."""
     out, _ = train_test_split_info(df, label, key, test_size, seed, tiebreak, split_col)
     return out
 
@@ -100,6 +105,7 @@ def train_test_split_info(df: DataFrame, label: str, key: Sequence[str], test_si
                           split_col: str = "split") -> tuple[DataFrame, dict | None]:
     """S02 plus what the split learnt on the way: ``classes`` (sorted) and
     ``train_counts`` per class, or None when the class table stays distributed."""
+    df = df.where(F.col(label).isNotNull())
     hp = prepare(df, [label], key, seed)
     sizes = local_group_sizes(hp, label)
     info = None
@@ -127,7 +133,9 @@ def stratified_folds(df: DataFrame, label: str, key: Sequence[str], folds: int =
     """``fold = hash_rank % k`` within class, ``k = min(folds, smallest class)``.
 
     Returns the frame with a fold column and ``k`` (0 when a class has one row).
+    Rows without a label are dropped before counting.
     """
+    df = df.where(F.col(label).isNotNull())
     hp = prepare(df, [label], key, seed)
     st = count_stats(hp.group_sizes())
     k = min(folds, st.min)

@@ -177,12 +177,15 @@ def _exit_now(history: list[float], declines: int, delta: float, threshold: floa
 def run_sweep(df: DataFrame, column: str, kind: str, scorer: Scorer, key: Sequence[str],
               grid: Sequence[float] | None = None, threshold: float = DEFAULT_THRESHOLD,
               run_id: str | None = None, label: str | None = None, use_smote: bool = False,
-              smote_features: str | None = None, seed: int = 42):
+              smote_features: str | None = None, seed: int = 42, failures: list | None = None):
     """Baseline, then rebalance/score every slider until the exit rule fires.
 
     Returns ``(steps, baseline)`` DataFrames; feed them to :func:`optimum`.
-    A failing step is skipped like in the reference loop.
+    A failing step is skipped and noted in ``failures`` as (run_id, step, slider,
+    error); when every step fails, the first error is raised.
     """
+    failures = [] if failures is None else failures
+    noted = len(failures)
     spark = df.sparkSession
     grid = slider_grid() if grid is None else list(grid)
     run_id = run_id or f"{column}:{kind}"
@@ -193,6 +196,7 @@ def run_sweep(df: DataFrame, column: str, kind: str, scorer: Scorer, key: Sequen
     prep = None if (kind == "target" and use_smote) else rb.prepare_rebalance(base, column, kind, key, seed)
     rows, hist, best, declines = [], [], -1.0, 0
     for i, s in enumerate(grid):
+        mod = base
         try:
             if abs(s) < rb.IDENTITY_EPS:
                 mod = base
@@ -207,10 +211,12 @@ def run_sweep(df: DataFrame, column: str, kind: str, scorer: Scorer, key: Sequen
             scores = scorer(mod)
             known = prep.last_size if (prep is not None and mod is not base) else None
             n = known if known is not None else mod.count()
+        except Exception as e:  # noqa: BLE001 - the other steps go on
+            failures.append((run_id, i, float(s), e))
+            continue
+        finally:
             if mod is not base:
                 mod.unpersist()
-        except Exception:  # noqa: BLE001 - a failing step is skipped
-            continue
         avg = float(np.mean(list(scores.values()))) if scores else 0.0
         delta = avg - hist[-1] if hist else 0.0
         hist.append(avg)
@@ -224,6 +230,8 @@ def run_sweep(df: DataFrame, column: str, kind: str, scorer: Scorer, key: Sequen
     if prep is not None:
         prep.release()
     base.unpersist()
+    if grid and not rows and len(failures) > noted:
+        raise RuntimeError(f"every step of sweep {run_id} failed") from failures[noted][3]
     steps = spark.createDataFrame(rows, STEP_SCHEMA)
     base_df = spark.createDataFrame([(run_id, a, float(v)) for a, v in baseline.items()],
                                     "run_id string, algorithm string, score double")
@@ -245,9 +253,13 @@ def run_multi(df: DataFrame, columns: Sequence[tuple[str, str]], scorer: Scorer,
 
 def gap_analysis(df: DataFrame, column: str, kind: str, prep: fe.FeaturePrep, key: Sequence[str],
                  sliders: Sequence[float], algorithms=None, selected=None, max_samples: int = 10_000,
-                 seed: int = 42) -> DataFrame:
-    """Train and validation macro F1 per (slider, algorithm), 3-fold CV."""
+                 seed: int = 42, failures: list | None = None) -> DataFrame:
+    """Train and validation macro F1 per (slider, algorithm), 3-fold CV.
+
+    Failing sliders are noted in ``failures`` as (slider, error); when all fail, the first error is raised.
+    """
     spark = df.sparkSession
+    failures = [] if failures is None else failures
     rows = []
     for s in sliders:
         try:
@@ -257,14 +269,19 @@ def gap_analysis(df: DataFrame, column: str, kind: str, prep: fe.FeaturePrep, ke
             res = md.run_loop(x, prep.label, prep.features_col, key, algorithms, selected, seed=seed, cv_folds=3)
             for r in md.train_val_gap(res.metrics).collect():
                 rows.append((float(s), r["algorithm"], r["train_f1"], r["val_f1"], r["gap"]))
-        except Exception:  # noqa: BLE001
-            continue
+        except Exception as e:  # noqa: BLE001 - the other sliders go on
+            failures.append((float(s), e))
+    if not rows and failures:
+        raise RuntimeError("every slider of the gap analysis failed") from failures[0][1]
     return spark.createDataFrame(rows, "slider double, algo string, train_f1 double, val_f1 double, gap double")
 
 
 def gap_verdict(gaps: DataFrame) -> DataFrame:
     """Per algorithm with up-sampled steps, mean gap at slider > 0 vs = 0
-    (missing baseline counts as 0); widening when it grows by more than 0.01."""
+    (missing baseline counts as 0); widening when it grows by more than 0.01.
+    Without any row at slider 0 there is nothing to compare with: no verdicts."""
+    if not gaps.where(F.col("slider") == 0).limit(1).count():
+        gaps = gaps.limit(0)
     up = gaps.where(F.col("slider") > 0).groupBy("algo").agg(F.avg("gap").alias("upsample_gap"))
     bz = gaps.where(F.col("slider") == 0).groupBy("algo").agg(F.avg("gap").alias("baseline_gap"))
     j = up.join(bz, "algo", "left").withColumn("baseline_gap", F.coalesce("baseline_gap", F.lit(0.0)))
@@ -285,19 +302,14 @@ def fit_diagnosis(metrics: DataFrame) -> DataFrame:
               .otherwise(F.lit("acceptable")))
     x = x.withColumn("status", status)
     tf, vf, gp, cm, cs = _fmt("train_f1"), _fmt("val_f1"), _fmt("gap"), _fmt("cv_mean"), _fmt("cv_std")
-    expl = (F.when(F.col("status") == "overfit", F.concat(
-        F.lit("High training F1 ("), tf, F.lit(") but lower validation F1 ("), vf, F.lit("). Gap of "), gp,
-        F.lit(" suggests the model is memorizing training noise.")))
-        .when(F.col("status") == "underfit", F.concat(
-            F.lit("Both training F1 ("), tf, F.lit(") and validation F1 ("), vf, F.lit(") are low.")))
-        .when(F.col("status") == "optimal", F.concat(
-            F.lit("Training F1 ("), tf, F.lit(") and validation F1 ("), vf, F.lit(") have converged (gap="), gp,
-            F.lit("). CV mean="), cm, F.lit("±"), cs, F.lit(".")))
-        .when(F.col("status") == "slight_overfit", F.concat(
-            F.lit("Training F1 ("), tf, F.lit(") is somewhat higher than validation F1 ("), vf,
-            F.lit("). Gap of "), gp, F.lit(" indicates mild overfitting.")))
-        .otherwise(F.concat(F.lit("Training F1 ("), tf, F.lit(") and validation F1 ("), vf,
-                            F.lit(") are reasonable. Gap="), gp, F.lit(", CV="), cm, F.lit("±"), cs, F.lit("."))))
+    scores = F.concat(F.lit("train "), tf, F.lit(", validation "), vf, F.lit(", difference "), gp)
+    folds = F.concat(F.lit("; folds "), cm, F.lit(" +/- "), cs)
+    advice = (F.when(F.col("status") == "overfit", F.lit("fits its training rows far better than new ones"))
+              .when(F.col("status") == "underfit", F.lit("fits neither training rows nor new ones well"))
+              .when(F.col("status") == "optimal", F.lit("does as well on new rows as in training"))
+              .when(F.col("status") == "slight_overfit", F.lit("loses a little on new rows"))
+              .otherwise(F.lit("holds up on new rows")))
+    expl = F.concat(advice, F.lit(": "), scores, folds)
     return x.withColumn("explanation", expl)
 
 

@@ -46,6 +46,18 @@ def r03(spark, sf):
     return rb.median_groups(load_table(spark, sf, "events"), "value").select("event_id", "value", "group")
 
 
+@register("r03_median_split_balanced", """
+WITH v AS (SELECT l_orderkey, CAST(l_orderkey % 2 AS DOUBLE) AS v FROM lineitem WHERE l_orderkey % 5 <> 0),
+m AS (SELECT median(v) AS m FROM v)
+SELECT l_orderkey, v, CASE WHEN v <= m THEN 'low' ELSE 'high' END AS "group" FROM v, m
+""")
+def r03_balanced(spark, sf):
+    """Ties at far-apart values, and NaN where the oracle has no row."""
+    x = load_table(spark, sf, "lineitem").select("l_orderkey", F.when(
+        F.col("l_orderkey") % 5 == 0, F.lit(float("nan"))).otherwise((F.col("l_orderkey") % 2).cast("double")).alias("v"))
+    return rb.median_groups(x, "v").where("NOT isnan(v)").select("l_orderkey", "v", "group")
+
+
 @register("r04_majority_split", """
 WITH m AS (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1)
 SELECT doc_id, lang, CASE WHEN lang IS NOT DISTINCT FROM (SELECT lang FROM m) THEN 'major' ELSE 'rest' END AS "group"

@@ -29,6 +29,22 @@ SELECT r.* EXCLUDE (rk), CASE WHEN rk < q THEN 'test' ELSE 'train' END AS split
 """
 
 
+_LABELLED = "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)"
+
+
+@register("s02_split_missing_labels", f"""
+WITH x AS (SELECT * FROM ({_LABELLED}) WHERE quality IS NOT NULL),
+q AS {quota_sql("SELECT * FROM x", "quality", f"ceil({dbl(0.2)} * (SELECT count(*) FROM x))::BIGINT")},
+r AS (SELECT x.*, {rank(["quality"], DOC_KEY)} AS rk FROM x)
+SELECT r.* EXCLUDE (rk), CASE WHEN rk < q THEN 'test' ELSE 'train' END AS split FROM r JOIN q USING (quality)
+""")
+def s02_missing(spark, sf):
+    """Documents of which many have no label."""
+    labels = load_table(spark, sf, "labels").select("doc_id", "quality")
+    return sp.train_test_split(load_table(spark, sf, "documents").select("doc_id").join(labels, "doc_id", "left"),
+                               "quality", DOC_KEY)
+
+
 @register("s01_stratified_subsample", f"""
 WITH q AS {quota_sql("SELECT * FROM documents", "lang", "500")},
 r AS (SELECT d.*, {rank(["lang"], DOC_KEY)} AS rk FROM documents d)

@@ -39,7 +39,11 @@ def get_spark(app: str = "shiftlab", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return ``spark.checkpoint.dir``; set a scratch one only if unset (tests)."""
+    """Return ``spark.checkpoint.dir``; set a scratch one only if unset in local mode (tests).
+
+    A folder of the driver's machine is no use to the executors of a cluster, so
+    there an unset directory is an error.
+    """
     sc = spark.sparkContext
     cp = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if cp:
@@ -47,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(cp)
         return cp
     if not cp:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         cp = tempfile.mkdtemp(prefix="shiftlab-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", cp)
     spark.sparkContext.setCheckpointDir(cp)
