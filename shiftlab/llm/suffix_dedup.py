@@ -118,27 +118,34 @@ def _texts(batch: pa.RecordBatch):
 
 
 def _anchors(length: int, gram: int):
+    """A row for each gram of a text's anchors, with how often it is one there."""
     def run(batches):
-        for batch in batches:
-            row, _, _, at, h = _runs(*_texts(batch), length, gram)
-            rh = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([ba.signed(h), pa.array(rh[row]), pa.array(at)], ["h", "rh", "at"])
+        for part in _sliced(batches, 4 * PIECE):
+            row, _, _, _, h = _runs(*_texts(part), length, gram)
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            new = np.flatnonzero(new)
+            rh = part.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([
+                ba.signed(h[new]), pa.array(rh[row[new]]), pa.array(np.diff(np.append(new, len(h))).astype(np.int32))],
+                ["h", "rh", "times"])
 
     return run
 
 
-def _member(batch, name, offsets, row, at):
-    """Whether (row, at) is among the row's listed anchors."""
-    column = batch.column(batch.schema.get_field_index(name))
-    listed = column.flatten().to_numpy(zero_copy_only=False)
+def _member(batch, row, h):
+    """Whether the gram is among those listed for its row."""
+    column = batch.column(batch.schema.get_field_index("grams"))
+    listed = column.flatten().to_numpy(zero_copy_only=False).view(ba.U64)
     sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    width = int(max(at.max(initial=0), listed.max(initial=0))) + 1
-    return np.isin(row * width + at, owner * width + listed)
+    return np.isin(ba.mix(row.astype(ba.U64)) ^ h, ba.mix(owner.astype(ba.U64)) ^ listed)
 
 
 def _contexts(length: int, gram: int, splitters: np.ndarray):
-    """The bytes around each listed anchor; of equal ones with equal runs the earliest of a task's slice only."""
+    """The bytes around each anchor with a listed gram; of equal ones with equal runs the earliest of a task's slice only."""
     reach = length - gram
     width = reach + length
     place = np.arange(width, dtype=np.int32)
@@ -146,8 +153,8 @@ def _contexts(length: int, gram: int, splitters: np.ndarray):
     def run(batches):
         for part in _sliced(batches, 4 * PIECE):
             data, offsets = _texts(part)
-            row, lo, hi, at, _ = _runs(data, offsets, length, gram)
-            keep = _member(part, "anchors", offsets, row, at)
+            row, lo, hi, at, h = _runs(data, offsets, length, gram)
+            keep = _member(part, row, h)
             row, lo, hi, at = (x[keep] for x in (row, lo, hi, at))
             ids = part.column(1).to_numpy(zero_copy_only=False)
             rh = part.column(0).to_numpy(zero_copy_only=False)
@@ -339,8 +346,8 @@ def _cut(length: int, gram: int):
     def run(batches):
         for batch in _sliced(batches, PIECE):
             data, offsets = _texts(batch)
-            row, lo, hi, at, _ = _runs(data, offsets, length, gram)
-            keep = _member(batch, "anchors", offsets, row, at)
+            row, lo, hi, _, h = _runs(data, offsets, length, gram)
+            keep = _member(batch, row, h)
             row, lo, hi = row[keep], lo[keep], hi[keep]
             cover = np.zeros(len(data) + 1, np.int64)
             # Starts that go: those of repeated anchors, without the earliest ones.
@@ -394,22 +401,22 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     ready(docs.sparkSession)
     base = docs.select(F.xxhash64(doc_id, text).alias("rh"), F.col(doc_id).cast("bigint").alias("id"),
                        F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = base.select("rh", "text").mapInArrow(_anchors(length, gram), "h bigint, rh bigint, at bigint")
+    found = base.select("rh", "text").mapInArrow(_anchors(length, gram), "h bigint, rh bigint, times int")
     of_gram = Window.partitionBy("h")
-    again = (found.withColumn("n", F.count(F.lit(1)).over(of_gram)).where("n > 1")
-             .groupBy("rh").agg(F.array_sort(F.collect_set(F.col("at").cast("int"))).alias("anchors")))
-    again = written(again, "anchors")
+    again = (found.withColumn("n", F.sum("times").over(of_gram)).where("n > 1")
+             .groupBy("rh").agg(F.collect_set("h").alias("grams")))
+    again = written(again, "grams")
     order_id = F.coalesce("id", F.lit((1 << 63) - 1)).alias("id")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = splitters(base.select("rh", "text"), n * BUCKETS_A_PARTITION, length, gram)
     contexts = (base.select("rh", order_id, "text").join(again, "rh").dropDuplicates(["rh"])
-                .select("rh", "id", "text", "anchors")
+                .select("rh", "id", "text", "grams")
                 .mapInArrow(_contexts(length, gram, cuts), "context binary, id bigint, rh bigint, at bigint, "
                             "near int, far int, bucket int"))
     firsts = (contexts.repartition(n, "bucket").sortWithinPartitions(F.substring("context", length - gram + 1, gram))
               .mapInArrow(_firsts(length, gram), "rh bigint, lo bigint, hi bigint")
               .groupBy("rh").agg(F.collect_list(F.struct("lo", "hi")).alias("firsts")))
     marks = written(again.join(firsts, "rh", "left"), "firsts")
-    return (base.join(marks, "rh", "left").select("rh", "id", "text", "anchors", "firsts")
+    return (base.join(marks, "rh", "left").select("rh", "id", "text", "grams", "firsts")
             .mapInArrow(_cut(length, gram), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
             .withColumnRenamed("id", doc_id))
