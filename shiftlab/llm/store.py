@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     schema = df.schema
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first lets go of the finished job's plan, the second of its shuffles
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(schema).parquet(path)
