@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from shiftlab.llm import bytearrays as ba
 from shiftlab.llm.components import components
-from shiftlab.llm.store import ready, written
+from shiftlab.llm.store import ready, small, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -110,16 +110,18 @@ def apart(x: bytes, y: bytes) -> int:
 
 
 def _bounded(percent: int):
-    """(a, b, limit, bound) of pairs whose sketches do not rule a link out."""
+    """(a, b, limit, bound, and the pair's other columns) of pairs whose sketches do not rule a link out."""
     def run(batches):
         for batch in batches:
             a, b, sa, sb, wa, wb = (batch.column(k) for k in range(6))
+            others = batch.schema.names[6:]
             limit = far_apart(sa.to_numpy(), sb.to_numpy(), percent)
             low = np.array([apart(x, y) if m >= 0 else 1 for x, y, m in zip(
                 wa.to_pylist(), wb.to_pylist(), limit.tolist(), strict=True)], np.int64)
             keep = pa.array(low <= limit)
-            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (a, b, pa.array(limit), pa.array(low))],
-                                             ["a", "b", "limit", "bound"])
+            yield pa.RecordBatch.from_arrays(
+                [x.filter(keep) for x in (a, b, pa.array(limit), pa.array(low), *(batch.column(c) for c in others))],
+                ["a", "b", "limit", "bound", *others])
 
     return run
 
@@ -381,8 +383,9 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     b = classes.select(F.col("key").alias("b"), F.col("size").alias("sb"), F.col("wide").alias("wb"))
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "wa", "wb")
-                .mapInArrow(_bounded(percent), "a bigint, b bigint, limit bigint, bound bigint"))
+        others = [c for c in pairs.columns if c not in ("a", "b")]
+        return (pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "wa", "wb", *others)
+                .mapInArrow(_bounded(percent), ", ".join(f"{c} bigint" for c in ("a", "b", "limit", "bound", *others))))
 
     def compared(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
@@ -399,11 +402,9 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     # costs a pair for each two groups, not for each two classes; it goes on while groups merge.
     rounds = 0
     while rounds < ROUNDS:
-        tagged = written(_tagged(lists, group, list_of), "tagged")
-        head = (tagged.where("key = lead_key").select("h", F.col("root").alias("head_root")))
-        star = (tagged.join(head, "h").where("root <> head_root")
-                .select(F.col("key").alias("a"), F.col("lead_key").alias("b"), "root", "head_root").distinct())
-        near = (star.join(bounded(star.select("a", "b")), ["a", "b"])
+        star = (_tagged(lists, group, list_of).where("root <> lead.root")
+                .select(F.col("key").alias("a"), F.col("lead.key").alias("b"), "root", F.col("lead.root").alias("head_root")).distinct())
+        near = (bounded(star)
                 .groupBy("root", "head_root").agg(F.min_by(F.struct("a", "b", "limit", "bound"), F.struct("bound", "a", "b")).alias("p"))
                 .select("p.*"))
         found = compared(near)
@@ -429,10 +430,11 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 def _tagged(lists: DataFrame, group: DataFrame, list_of) -> DataFrame:
     """The lists that hold more than one group, with each row's group and the list's first row."""
-    return (lists.select("h", "key", "size").join(group.select(F.col("node").alias("key"), "root"), "key", "left")
+    node = small(group)(group.select(F.col("node").alias("key"), "root"))
+    return (lists.select("h", "key", "size").join(node, "key", "left")
             .withColumn("root", F.coalesce("root", "key"))
             .withColumn("r0", F.min("root").over(list_of)).withColumn("r1", F.max("root").over(list_of))
-            .withColumn("lead_key", F.min("key").over(list_of)).where("r0 <> r1").drop("r0", "r1"))
+            .withColumn("lead", F.min(F.struct("key", "root")).over(list_of)).where("r0 <> r1").drop("r0", "r1"))
 
 
 def _result(rows: DataFrame, groups: DataFrame, links: DataFrame, doc_id: str) -> DataFrame:
