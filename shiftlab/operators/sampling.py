@@ -47,6 +47,12 @@ def _maybe_broadcast(small: DataFrame, rows_bound: int | None) -> DataFrame:
     return small
 
 
+def _group_bound(counts: DataFrame, by: Sequence[str]) -> int:
+    """The number of groups, by a job that reads keys only and returns one number; past the
+    broadcast bound it stops counting, as the joins shuffle then."""
+    return counts.select(*by).distinct().limit(BROADCAST_MAX_ROWS + 1).count()
+
+
 def _prepare(df: DataFrame, by: Sequence[str], key: Sequence[str], seed: int):
     """Add hash and bucket columns; give an ungrouped frame one constant group."""
     by = list(by)
@@ -134,7 +140,8 @@ def rank_cut(df: DataFrame, quota: DataFrame | int, by: Sequence[str] = (),
     """Rows whose ``hash_rank`` within ``by`` is below the group's quota.
 
     ``quota`` is an int for every group or a DataFrame ``(*by, _q)``; groups
-    missing from it are dropped.  With ``flag`` set, every row is kept and the
+    missing from it are dropped.  Without ``n_groups`` the groups are counted
+    first, so that wide rows are not shuffled on a group key.  With ``flag`` set, every row is kept and the
     boolean column ``flag`` marks the selected ones instead.
     Only the boundary bucket of each group is ranked by a window.
     ``prepared`` (from :func:`prepare` on the same frame) reuses its counts.
@@ -143,6 +150,8 @@ def rank_cut(df: DataFrame, quota: DataFrame | int, by: Sequence[str] = (),
         raise ValueError("a row key is required for reproducible sampling")
     hp = prepared or Hashed(*_prepare(df, by, key, seed), not by, None)
     x, gb, added = hp.x, hp.by, hp.added
+    if n_groups is None:
+        n_groups = 1 if added else _group_bound(x, gb)
     cut = _maybe_broadcast(_cut_table(x, gb, quota, hp.bc), n_groups if not added else 1)
     xc = x.join(cut, gb)
     w = Window.partitionBy(*gb).orderBy(*_order(key, tiebreak))
@@ -209,6 +218,8 @@ def draw_with_replacement(df: DataFrame, quota: DataFrame | int, by: Sequence[st
         raise ValueError("a row key is required for reproducible draws")
     hp = prepared or Hashed(*_prepare(df, by, key, seed), not by, None)
     x, gb, added, bc = hp.x, hp.by, hp.added, hp.bc
+    if n_groups is None and not added:
+        n_groups = _group_bound(x, gb)
     if isinstance(quota, int):
         base = bucket_counts(x, gb) if bc is None else bc
         qt = base.groupBy(*gb).agg(F.lit(int(quota)).cast("bigint").alias(Q))

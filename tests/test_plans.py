@@ -1,6 +1,8 @@
 """Plan-shape checks: no cartesian products, no Python evaluation in the
 sampling/rebalancing paths, filters and column pruning reach the scan."""
 
+import re
+
 from shiftlab.operators import rebalance as rb
 from shiftlab.operators import split as sp
 from shiftlab.operators.sampling import draw_with_replacement, sample_exact
@@ -30,13 +32,31 @@ def test_sampling_plans_have_no_cartesian_or_python(spark):
             assert bad not in p, bad
 
 
-def test_downsample_shuffles_only_boundary_rows(spark):
+def _wide_shuffles(df) -> list[str]:
+    """The exchanges that are not below a broadcast, so that rows of the table itself pass through."""
+    found, above = [], []
+    for line in _plan(df).splitlines():
+        depth = len(re.match(r"[ :|+-]*", line).group())
+        above = [d for d in above if d < depth]
+        if "BroadcastExchange" in line:
+            above.append(depth)
+        elif re.search("Exchange (hashpartitioning|SinglePartition)", line) and not above:
+            found.append(line)
+    return found
+
+
+def test_sample_shuffles_only_boundary_rows(spark):
+    """Only the window over the boundary buckets moves wide rows, also without automatic broadcasts."""
     li = load_table(spark, SF01, "lineitem")
-    out = rb.rebalance_target(li, "l_returnflag", -0.5, LI_KEY)
-    p = _plan(out)
-    # the bulk branch is scan -> broadcast join, the window sits on the edge branch only
-    assert "BroadcastHashJoin" in p
-    assert p.count("Window") >= 1
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (sample_exact(li, 1000, ["l_returnflag"], LI_KEY), sample_exact(li, 1000, [], LI_KEY),
+                    rb.rebalance_target(li, "l_returnflag", -0.5, LI_KEY)):
+            assert "SortMergeJoin" not in _plan(out).split("BroadcastExchange")[0]
+            assert len(_wide_shuffles(out)) == 1, _wide_shuffles(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_projection_and_filter_reach_scan(spark):
