@@ -20,7 +20,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     out; an empty table gives no rows.
     """
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND x <> y")
-    both = written(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
+    both = written(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges", tidy=False)
     label = written(both.groupBy("x").agg(F.least("x", F.min("y")).alias("root")), "labels", tidy=False)
     known = small(label)
     while True:

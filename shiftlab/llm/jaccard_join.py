@@ -12,8 +12,9 @@ skipped as a whole.  Relations between sets save the rest of the work:
 * for two classes with the same pivot, ``|d1 - d2| <= d <= d1 + d2`` decides
   many pairs without reading a set: the answers of one set follow from those
   of a highly similar one;
-* groups meet by their closest pair first, so a crowd of near copies becomes
-  one group after a few rounds and is never compared all with all;
+* groups meet by their closest pair first, each round led by other groups, so a
+  crowd of near copies becomes one group after a few rounds and is never
+  compared all with all;
 * parity sketches (512 bits in the lists, at least two bits a shingle
   after) bound the distance of the others from below, and what is left is
   compared exactly.
@@ -395,14 +396,15 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     led = lists.where("key <> lead").groupBy("key", "lead").count()
     pivot = led.groupBy("key").agg(F.max_by("lead", F.struct("count", "lead")).alias("pivot"))
     measured = compared(bounded(pivot.select(F.col("key").alias("a"), F.col("pivot").alias("b"))))
-    links = written(measured.where("d <= limit").select("a", "b"), "links")
+    links = measured.where("d <= limit").select("a", "b")
     group = components(links)
 
     # Then groups with groups: of two that share lists, the closest pair by sketch stands for both.  A round
-    # costs a pair for each two groups, not for each two classes; it goes on while groups merge.
+    # costs a pair for each two groups, not for each two classes; it goes on while groups merge.  Another group
+    # leads a list in each round, so that a leader without links does not keep the others of its lists apart.
     rounds = 0
     while rounds < ROUNDS:
-        star = (_tagged(lists, group, list_of).where("root <> lead.root")
+        star = (_tagged(lists, group, list_of, rounds).where("root <> lead.root")
                 .select(F.col("key").alias("a"), F.col("lead.key").alias("b"), "root", F.col("lead.root").alias("head_root")).distinct())
         near = (bounded(star)
                 .groupBy("root", "head_root").agg(F.min_by(F.struct("a", "b", "limit", "bound"), F.struct("bound", "a", "b")).alias("p"))
@@ -411,12 +413,12 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         new = found.where("d <= limit").select("a", "b")
         if not new.limit(1).count():
             break
-        links = written(links.unionByName(new), "links")
+        links = links.unionByName(new)
         group = components(links)
         rounds += 1
 
     # What is left: pairs of classes of different groups within a list.
-    tagged = _tagged(lists, group, list_of).join(
+    tagged = _tagged(lists, group, list_of, rounds).join(
         measured.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "d"), "key", "left")
     sketched = tagged.withColumns({"pivot": F.coalesce("pivot", "key"), "d": F.coalesce("d", F.lit(0)),
                                    "size": F.col("size").cast("bigint")}).join(classes.select("key", "sketch"), "key")
@@ -424,17 +426,18 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
              .mapInArrow(_lists(percent), "a bigint, b bigint").distinct())
     tried = written(tried, "tried")
     last = compared(bounded(tried))
-    links = written(links.unionByName(last.where("d <= limit").select("a", "b")).distinct(), "links")
+    links = written(links.unionByName(last.where("d <= limit").select("a", "b")).distinct(), "links", tidy=False)
     return _result(rows, components(links), links, doc_id)
 
 
-def _tagged(lists: DataFrame, group: DataFrame, list_of) -> DataFrame:
-    """The lists that hold more than one group, with each row's group and the list's first row."""
+def _tagged(lists: DataFrame, group: DataFrame, list_of, turn: int) -> DataFrame:
+    """The lists that hold more than one group, with each row's group and the list's leader in this turn."""
     node = small(group)(group.select(F.col("node").alias("key"), "root"))
     return (lists.select("h", "key", "size").join(node, "key", "left")
             .withColumn("root", F.coalesce("root", "key"))
             .withColumn("r0", F.min("root").over(list_of)).withColumn("r1", F.max("root").over(list_of))
-            .withColumn("lead", F.min(F.struct("key", "root")).over(list_of)).where("r0 <> r1").drop("r0", "r1"))
+            .withColumn("lead", F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("place"), "key", "root")).over(list_of))
+            .where("r0 <> r1").drop("r0", "r1"))
 
 
 def _result(rows: DataFrame, groups: DataFrame, links: DataFrame, doc_id: str) -> DataFrame:
