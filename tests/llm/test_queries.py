@@ -228,6 +228,59 @@ def test_lm_odd_rows(spark):
     assert attention_lm.score(df.limit(0), df["doc_id"] < 5, steps=5).count() == 0
 
 
+def test_lm_learns_from_whole_texts(spark):
+    import numpy as np
+
+    head = " ".join(f"w{k % 90}" for k in range(1500))
+    texts = [[(k, f"{head} {tail} {k % 7}") for k in range(600)] for tail in ("red green blue " * 30, "blue red green " * 30)]
+    ranks = attention_lm.subwords.load()
+    counts = np.arange(max(ranks.values()) + 2)[::-1].copy()
+    one, two = (attention_lm.fit(spark.createDataFrame(t, "i bigint, text string").select("text"), ranks, counts, steps=1)[0]
+                for t in texts)
+    assert all(np.isfinite(x).all() for x in one.w.values())
+    assert any((one.w[k] != two.w[k]).any() for k in one.NAMES)
+
+
+def test_lm_takes_every_target_with_its_own_end():
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    ranks = attention_lm.subwords.load()
+    encoder = attention_lm.subwords.Encoder(ranks)
+    texts = ["one two three " * 2000, None, "", "four"]
+    size = encoder.size
+    of, row = np.arange(size) % 48, np.arange(size) % 1000
+    seen = []
+    trainer = attention_lm.Trainer.run
+    attention_lm.Trainer.run = lambda self, rows, there, target, passes: seen.append((rows[there], target[there]))
+    try:
+        shared = SimpleNamespace(value=(ranks, attention_lm.Model().w, of, row))
+        out, = attention_lm._trained(shared, 0, 1)([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])
+    finally:
+        attention_lm.Trainer.run = trainer
+    words = [(t or "").split() for t in texts]
+    ids = [[i for w in ws for i in encoder._one(" " + w)] for ws in words]
+    wanted = [x for t in ids for x in [*t, encoder.end]]
+    before = [x for t in ids for x in [encoder.end, *t]]
+    assert out["n"][0].as_py() == len(wanted)
+    assert Counter(zip(*(np.concatenate(x).tolist() for x in zip(*seen)))) == Counter(zip(row[before].tolist(), of[wanted].tolist()))
+
+
+def test_lm_scores_are_the_loss():
+    import numpy as np
+
+    r = np.random.RandomState(3)
+    for much in (1, 40):  # also where the exponentials leave the range
+        m = attention_lm.Model(2)
+        m.w["C"] *= np.float32(much)
+        rows, there, target = r.randint(0, 900, (3, 32)), np.ones((3, 32), bool), r.randint(0, 48, (3, 32))
+        there[1, 20:] = False
+        got = m.log_targets(rows, there, 0, target)[there].astype(np.float64)
+        assert math.isclose(-np.log(np.exp(got) + 1e-12).mean(), m.step(rows, there, target)[0], rel_tol=1e-4)
+
+
 @pytest.mark.parametrize("blocks", [1 << 20, 40])
 def test_decontaminate_odd_rows(spark, blocks):
     bench = spark.createDataFrame([(1, "The QUICK brown"), (2, None), (3, ""), (None, "lazy dog"), (4, "word " * 12)],
