@@ -358,6 +358,26 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     component; repeated rows are copies like others; a row without id takes its
     component's least id (null if none has one); an empty table gives no rows.
     """
+    rows, links = _linked(docs, doc_id, text, shingle, percent, frequent)
+    return _result(rows, components(links), links, doc_id)
+
+
+def first_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+               percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+    """(rh): xxhash64 of id and text of one row for each component of :func:`near_groups`.
+
+    It is the row of the least id, ids before none, and of equal ids the one of
+    the least hash.  Texts without words are in no component.
+    """
+    rows, links = _linked(docs, doc_id, text, shingle, percent, frequent)
+    place = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rh"))
+    own = rows.where("size > 0").groupBy("key").agg(place.alias("first"))
+    root = own.join(components(links).select(F.col("node").alias("key"), "root"), "key", "left")
+    return root.groupBy(F.coalesce("root", "key")).agg(F.min("first").alias("first")).select("first.rh")
+
+
+def _linked(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, frequent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, rh, key, size) with their classes, and the links between classes."""
     spark = docs.sparkSession
     ready(spark)
     base = docs.select(F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).alias("rh"), F.col(text).alias("text"))
@@ -424,8 +444,7 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
              .mapInArrow(_lists(percent), "a bigint, b bigint").distinct())
     tried = written(tried, "tried")
     last = compared(bounded(tried))
-    links = written(links.unionByName(last.where("d <= limit").select("a", "b")).distinct(), "links")
-    return _result(rows, components(links), links, doc_id)
+    return rows, written(links.unionByName(last.where("d <= limit").select("a", "b")).distinct(), "links")
 
 
 def _tagged(lists: DataFrame, group: DataFrame, list_of) -> DataFrame:

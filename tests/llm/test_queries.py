@@ -9,6 +9,7 @@ from collections import Counter
 
 import pytest
 
+import corpus_pipeline
 from shiftlab.llm import (
     attention_lm,
     chat_trees,
@@ -436,6 +437,59 @@ def test_jaccard_join_odd_rows(spark):
     assert jaccard_join.near_groups(frame(spark, ODD).limit(0)).count() == 0
 
 
+ONE_ID = [(3, "a b c d e f g h i j k l m n"), (7, "a  b c d e f g h i j k l m n"), (7, "this text of id seven stands quite alone here"),
+          (None, "a b c d e f g h i j k l m n"), (None, "no id and no copy in the whole table of texts"),
+          (None, "another text without id that is unlike the others"), (None, "another text without id that is unlike the others"),
+          (None, None), (None, ""), (None, " \n"), (None, " \n"), (8, ""), (8, ""), (9, "two rows of one id and of one text"),
+          (9, "two rows of one id and of one text"), (None, "mail joe@x.org or leave it as it is, my friend")]
+
+
+def brute_first(rows):
+    """The (id, text) that stay: per group of linked rows the least id, none last; texts without words all."""
+    worded = [x for x in rows if (x[1] or "").split()]
+    groups = brute_groups([(k, t) for k, (_, t) in enumerate(worded)])
+    out = Counter(x for x in rows if not (x[1] or "").split())
+    for g in {root for _, root in groups.values()}:
+        some = [worded[k] for k, (_, root) in groups.items() if root == g]
+        least = min((i is None, i or 0) for i, _ in some)
+        yes = sorted({x for x in some if (x[0] is None, x[0] or 0) == least}, key=str)
+        assert len(yes) == 1  # the rows below leave no choice
+        out[yes[0]] += 1
+    return out
+
+
+def test_pipeline_near_copies(spark):
+    df = frame(spark, ONE_ID)
+    got = corpus_pipeline.near_copies(spark, df, SF)
+    assert got.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == brute_first(ONE_ID)
+    # Of rows that differ in the text alone one stays, and the same whatever the partitions.
+    long = " ".join(f"w{k}" for k in range(200))
+    near = [(None, f"{long} {k}") for k in range(9)]
+    one, = {tuple(map(tuple, corpus_pipeline.near_copies(spark, frame(spark, near).repartition(n), SF).select("text").collect())) for n in (1, 5)}
+    assert len(one) == 1
+    assert corpus_pipeline.near_copies(spark, df.limit(0), SF).count() == 0
+
+
+def test_pipeline(spark, tmpdir_path):
+    bench = "one passage of a benchmark item that is ten words and more long"
+    rows = ONE_ID + [(40, f"before it {bench} and after"), (None, f"{bench} once more")]
+    spark.createDataFrame([(1, bench)], "item_id bigint, text string").write.parquet(f"{tmpdir_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs.unionByName(frame(spark, rows).select(*docs.columns)).write.parquet(f"{tmpdir_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmpdir_path}/documents.parquet")
+    known = corpus_pipeline.language(spark, docs, tmpdir_path).collect()
+    kept = brute_first([(r["doc_id"], r["text"]) for r in known])
+    clean, left = [], Counter(kept)
+    for r in known:
+        if left[r["doc_id"], r["text"]] and bench not in (r["text"] or ""):
+            left[r["doc_id"], r["text"]] -= 1
+            clean.append(r)
+    want = corpus_pipeline.mix(spark, corpus_pipeline.personal_data(spark, spark.createDataFrame(clean, docs.schema), ""), "")
+    got = corpus_pipeline.run(spark, tmpdir_path)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and got.count()
+
+
 def test_sketches_bound_the_distance():
     import numpy as np
 
