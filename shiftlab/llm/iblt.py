@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup tables, with DataFrame functions only.
 
-A text's paragraphs are hashed to 64-bit digests; each digest goes into one
+A text's paragraphs, overlong ones cut further by content, are hashed to 64-bit digests; each digest goes into one
 cell of each of three subtables as (count, xor of digests, xor of checks).  The
 difference of two tables holds the differing paragraphs alone: a cell with one
 of them gives its digest, which is taken out of its other cells, and so on
@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 
 #: A paragraph ends at a line end, or before a sentence that opens with a word of four letters or fewer.
 PARAGRAPH = r"\n|(?<=[.!?])\x20(?=\p{Lu}\p{L}{0,3}[\x20,])"
+#: Longer paragraphs (code points) are cut after a unit where a hash of it and the two before it is 0
+#: modulo EVERY, and after MOST units at the latest.
+LONG, EVERY, MOST = 240, 16, 32
+#: A unit: a word of at most 24 letters, or one letter of a longer run (scripts without spaces).
+UNIT = r"\s*+(?:\S{1,24}(?=\s|\z)|\S)|\s++"
 SUBTABLES, PLACES = 3, 8
 CELLS = SUBTABLES * PLACES
 #: Digests a segment should hold at a retry; each retry makes segments this many times smaller.
@@ -23,9 +28,24 @@ RETRIES = 3
 CELL = "struct<i:int,n:int,key:bigint,check:bigint>"
 
 
+def _cut(paragraph: Column) -> Column:
+    """The pieces of an overlong paragraph; where they end depends on the words nearby, so an edit changes few."""
+    def marked(units):
+        return F.array_join(F.transform(units, lambda u, i: F.when(
+            F.pmod(F.xxhash64(F.get(units, i - 2), F.get(units, i - 1), u), F.lit(EVERY)) == 0, F.concat(u, F.lit("\n")))
+            .otherwise(u)), "")
+
+    # An array of one binds the units, so that they are not read again for each of them.
+    lines = F.get(F.transform(F.array(F.regexp_extract_all(paragraph, F.lit(UNIT), F.lit(0))), marked), F.lit(0))
+    return F.flatten(F.transform(F.split(lines, "\n", -1), lambda x: F.regexp_extract_all(
+        x, F.lit(f"(?:{UNIT}){{1,{MOST}}}"), F.lit(0))))
+
+
 def digests(text: Column) -> Column:
-    """The distinct digests of a text's paragraphs that are not blank."""
-    parts = F.filter(F.split(text, PARAGRAPH, -1), lambda p: F.trim(p) != "")
+    """The distinct digests of a text's paragraphs, overlong ones in pieces, that are not blank."""
+    parts = F.flatten(F.transform(F.split(text, PARAGRAPH, -1), lambda p: F.when(
+        F.length(p) > LONG, _cut(p)).otherwise(F.array(p))))
+    parts = F.filter(parts, lambda p: F.trim(p) != "")
     return F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p))))
 
 
@@ -188,7 +208,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     ``edited`` is the text with its last quarter (code points, rounded down)
     replaced by the first as many of the next document's; likeness is the share
-    of common paragraphs.  Null texts are empty ones; rows without id come
+    of common paragraphs, or of common pieces of overlong ones.  Null texts are empty ones; rows without id come
     first, rows with equal ids follow by text; the only row is its own next;
     an empty table gives no rows.  ``doc_id`` is an integer.
     """

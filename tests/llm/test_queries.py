@@ -559,6 +559,25 @@ def test_fingerprint_likeness_is_exact(spark):
         assert math.isclose(got[k], len(a & b) / len(a | b))
 
 
+def test_fingerprints_of_texts_without_separators(spark):
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 10))) for _ in range(3000)]
+    kinds = [lambda n: " ".join(r.choices(words, k=n // 7)), lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n)),
+             lambda n: ", ".join(r.choices(words, k=n // 8)), lambda n: "\t".join(str(r.random()) for _ in range(n // 18))]
+    texts = [kind(n) for n in (450, 2000, 33_000) for kind in kinds] + [f"{r.choice(words)} " * 900, " " * 5000 + "a" * 5000]
+    got = {x["doc_id"]: x for x in iblt.fingerprints(frame(spark, list(enumerate(texts)))).collect()}
+    for k in range(len(texts)):
+        assert got[k]["near_edited"] > (0.25 if 500 < len(texts[k]) and k < 12 else 0), (k, got[k]["near_edited"])
+        assert k >= 12 or got[k]["near_next"] < 0.05
+    # An insertion changes the pieces around it alone, and the pieces are the whole text.
+    long = kinds[0](20_000)
+    df = spark.createDataFrame([(long,), (long[:9000] + " some new words " + long[9000:],)], "text string")
+    (a, p), (b, _) = df.select(iblt.digests(df["text"]), iblt._cut(df["text"])).collect()
+    assert "".join(p) == long and len(a) > 100 and len(set(a) - set(b)) <= 4
+    # No text of some length loses all likeness while three quarters of it are unchanged.
+    assert not [x["doc_id"] for x in q.op10_fingerprints(spark, SF).collect() if x["n_chars"] >= 400 and x["near_edited"] == 0]
+
+
 def test_fingerprints_odd_rows(spark):
     got = iblt.fingerprints(frame(spark, ODD, True)).collect()
     assert len(got) == len(ODD)
