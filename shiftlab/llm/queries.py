@@ -14,9 +14,12 @@ from shiftlab.llm import (
     iblt,
     jaccard_join,
     langid,
+    lexical_rmq,
     mixing,
+    neighbour_lists,
     pii,
     suffix_dedup,
+    token_align,
     trie_counts,
 )
 from shiftlab.llm.store import written
@@ -185,6 +188,45 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other vectors of every hundredth one, from balanced posting lists."""
+    return neighbour_lists.nearest(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank highest for each benchmark item, from range maxima of posting lists."""
+    return lexical_rmq.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+st AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0),
+q AS (
+  SELECT item_id, t, count(*) AS c FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) AS x
+  GROUP BY item_id, t),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(terms) AS t FROM d) AS x WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, st GROUP BY t),
+m AS (SELECT r, doc_id, 100 - 75 + ((75 * len(terms) * n_docs) // n_terms) AS m FROM d, st WHERE len(terms) > 0),
+s AS (
+  SELECT item_id, p.r, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN w USING (t) JOIN m ON m.r = p.r GROUP BY item_id, p.r),
+o AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM s JOIN m ON m.r = s.r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's tokens of two public tokenizers, aligned, with corpus counts of the linked ids."""
+    return token_align.link_counts(_table(spark, sf_dir, "documents"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
@@ -196,8 +238,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_chat_trees": op9_chat_trees,
     "op10_fingerprints": op10_fingerprints,
+    "op11_neighbours": op11_neighbours,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_token_alignment": op13_token_alignment,
 }
-_ORACLE: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_chat_trees": OP9_SQL}
+_ORACLE: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_chat_trees": OP9_SQL,
+                          "op12_lexical_search": OP12_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
