@@ -144,18 +144,23 @@ class Centroids:
 
     def lists_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list): the lists that vectors go to, a boundary vector to more than one."""
-        ids, dist = self.walk(x, BEAM)
-        near = dist[:, :COPIES] <= dist[:, :1] * CLOSURE
-        near[:, 0] = True
-        row, place = np.nonzero(near)
-        return row, ids[row, place]
+        rows, lists = [], []
+        step = max(1, (1 << 20) // max(len(self.points), 2 * DEGREE * x.shape[1]))
+        for at in range(0, len(x), step):
+            ids, dist = self.walk(x[at:at + step], BEAM)
+            near = dist[:, :COPIES] <= dist[:, :1] * CLOSURE
+            near[:, 0] = True
+            row, place = np.nonzero(near)
+            rows.append(at + row)
+            lists.append(ids[row, place])
+        return np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*lists, np.zeros(0, np.int64)])
 
     def within(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, list, distance) of all centroids up to ``ratio`` times as far as the nearest, by widening beams."""
         out, rest, beam = [], np.arange(len(x)), 4 * BEAM
         while len(rest):
             wide = []
-            step = max(1, (4 << 20) // len(self.points))
+            step = max(1, (1 << 20) // max(len(self.points), 2 * DEGREE * x.shape[1]))
             for at in range(0, len(rest), step):
                 some = rest[at:at + step]
                 ids, dist = self.walk(x[some], beam)
@@ -176,18 +181,21 @@ def fit(sample: np.ndarray, rows: int, k: int = K) -> tuple[Centroids, float]:
     centroids = Centroids(np.stack([sample[leaf].mean(0) for leaf in balanced_leaves(sample, lists)]))
     if lists == 1:
         return centroids, 1.0
-    held = [c[np.argsort(r, kind="stable")] for r, c in [centroids.lists_of(sample)]][0]
-    counts = np.bincount(centroids.lists_of(sample)[0], minlength=len(sample))
+    row, held = centroids.lists_of(sample)
+    counts = np.bincount(row, minlength=len(sample))
     start = np.cumsum(counts) - counts
     asked = np.unique(np.linspace(0, len(sample) - 1, min(len(sample), 512)).astype(np.int64))
-    to_lists = _distances(sample[asked], centroids.points)
-    d = _distances(sample[asked], sample)
-    d[np.arange(len(asked)), asked] = np.inf
-    near = np.argsort(d, axis=1, kind="stable")[:, :min(k, len(sample) - 1)]
-    last = held[start[near] + counts[near] - 1]
-    reach = np.minimum(np.take_along_axis(to_lists, held[start[near]], 1), np.take_along_axis(to_lists, last, 1))
-    ratio = reach / np.maximum(to_lists.min(1, keepdims=True), 1e-300)
-    return centroids, float(max(1.0, np.quantile(ratio, RECALL)))
+    most, ratios = min(k, len(sample) - 1), []
+    for at in range(0, len(asked), 64):
+        some = asked[at:at + 64]
+        d = _distances(sample[some], sample)
+        d[np.arange(len(some)), some] = np.inf
+        near = np.argpartition(d, most - 1, axis=1)[:, :most]
+        to_lists = _distances(sample[some], centroids.points)
+        reach = np.minimum(np.take_along_axis(to_lists, held[start[near]], 1),
+                           np.take_along_axis(to_lists, held[start[near] + counts[near] - 1], 1))
+        ratios.append(reach / np.maximum(to_lists.min(1, keepdims=True), 1e-300))
+    return centroids, float(max(1.0, np.quantile(np.concatenate(ratios), RECALL)))
 
 
 def usable(table: DataFrame, id_: str, vector: str) -> DataFrame:
@@ -329,16 +337,12 @@ def nearest(table: DataFrame, id_: str, vector: str, asks: Column, k: int = K) -
     centroids, ratio = fit(_matrix(sample, len(sample)), n, k)
     lists = len(centroids.points)
     model = spark.sparkContext.broadcast(centroids)
-    step = max(1, (4 << 20) // max(lists, 32 * d))
     element = classes.schema["v"].dataType.simpleString()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column(3), batch.num_rows)
-            for at in range(0, batch.num_rows, step):
-                row, name = model.value.lists_of(v[at:at + step])
-                took = batch.slice(at, step).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(name), *took.columns], names=["list", "h1", "h2", "ids", "v"])
+            row, name = model.value.lists_of(_matrix(batch.column(3), batch.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(name), *batch.take(pa.array(row)).columns], names=["list", "h1", "h2", "ids", "v"])
 
     placed = written(classes.select("h1", "h2", "ids", "v").mapInArrow(
         assign, f"list bigint, h1 bigint, h2 bigint, ids array<bigint>, v {element}"), "lists")
