@@ -29,6 +29,14 @@ def coerce_double(col: str | Column, default: float = 0.0) -> Column:
     return F.nanvl(F.coalesce(c.cast("string").try_cast("double"), F.lit(float(default))), F.lit(float(default)))
 
 
+def coerce_flag(col: str | Column, default: int = 0) -> Column:
+    """Parse to a whole number, cut towards zero; what is no finite number becomes ``default`` (never raises)."""
+    c = F.col(col) if isinstance(col, str) else col
+    number = c.cast("string").try_cast("double")
+    whole = F.when(~F.isnan(number), number).try_cast("bigint")
+    return F.coalesce(whole, F.lit(int(default)).cast("bigint"))
+
+
 def fill_category(col: str | Column, missing: str = "UNKNOWN") -> Column:
     """Category as string with NULL replaced by ``missing``."""
     c = F.col(col) if isinstance(col, str) else col

@@ -17,7 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.functions.scalar import coerce_double, fill_category
+from shiftlab.functions.scalar import coerce_double, coerce_flag, fill_category
 
 MAX_LEVELS = 10_000
 
@@ -90,8 +90,7 @@ class FeaturePrep:
             d = d.withColumn(name, fold_top_n(src, keep, self.other))
         cols += [fill_category(c, self.unknown).alias(c) for c in self.categorical]
         cols += [coerce_double(c).alias(c) for c in self.numeric]
-        cols += [F.coalesce(F.col(c).cast("string").try_cast("double").cast("int"), F.lit(0)).alias(c)
-                 for c in self.binary]
+        cols += [coerce_flag(c).alias(c) for c in self.binary]
         return d.select(*cols)
 
     def _levels(self, base: DataFrame) -> dict[str, list[str]]:

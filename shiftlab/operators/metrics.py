@@ -95,12 +95,12 @@ def macro_f1(preds: DataFrame, truth: str, pred: str, classes: Sequence) -> Data
 
 
 def grouped_macro_f1(preds: DataFrame, groups: Sequence[str], truth: str, pred: str,
-                     n_classes: int | None = None) -> DataFrame:
-    """Macro F1 per group in one aggregation.  With ``n_classes`` the mean runs
+                     n_classes: int | None = None, n: str | None = None) -> DataFrame:
+    """Macro F1 per group in one aggregation; ``n`` is how often a row counts (once without it).  With ``n_classes`` the mean runs
     over that many classes (absent ones count 0); without it, over the classes
     present in the group's truth or predictions (the scorer convention)."""
     g = list(groups)
-    c = preds.groupBy(*g, F.col(truth).alias("_y"), F.col(pred).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    c = preds.groupBy(*g, F.col(truth).alias("_y"), F.col(pred).alias("_p")).agg(F.sum(F.col(n) if n else F.lit(1)).alias("_n"))
     by_y = c.groupBy(*g, F.col("_y").alias("_c")).agg(
         F.sum("_n").alias("_sup"), F.sum(F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(0)).alias("_tp"))
     by_p = c.groupBy(*g, F.col("_p").alias("_c")).agg(F.sum("_n").alias("_prd"))

@@ -2,11 +2,13 @@
 
 MLlib estimators stand in for the single-machine ones:
 
-* boosted trees -> ``OneVsRest(GBTClassifier)`` (MLlib GBT is binary only);
-* neural net    -> ``MultilayerPerceptronClassifier`` (128, 64 hidden);
+* boosted trees -> ``boosting.SoftmaxBoost`` (MLlib GBT is binary only);
+* neural net    -> ``MultilayerPerceptronClassifier`` (128, 64 hidden), trained in
+  warm-started slices until a watch set no longer improves;
 * random forest -> ``RandomForestClassifier`` (100 trees, depth 10);
 * RBF SVM       -> random Fourier features + ``OneVsRest(LinearSVC)``
-  (Rahimi & Recht 2007; MLlib has no kernel SVM);
+  (Rahimi & Recht 2007; MLlib has no kernel SVM), with probabilities calibrated
+  on out-of-fold margins;
 * ``ValueMajority`` -> the most frequent label per value of one column, a
   pure DataFrame model whose predictions are exact SQL (used as the oracle
   scorer of sweeps).
@@ -26,7 +28,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     MultilayerPerceptronClassifier,
     OneVsRest,
@@ -34,15 +35,20 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftlab.functions.hashing import DEFAULT_SEED
+from shiftlab.operators import calibrate as ca
 from shiftlab.operators import metrics as mt
 from shiftlab.operators import split as sp
+from shiftlab.operators.boosting import SoftmaxBoost
+from shiftlab.operators.overlap import overlapped
 from shiftlab.session import ensure_checkpoint_dir, ship_package
 
+#: One-vs-rest models that are fitted side by side.
+FITS_AT_ONCE = 8
 LABEL_IDX, PRED_IDX = "_label_idx", "prediction"
 
 
@@ -101,19 +107,101 @@ class RandomFourierFeatures:
 
 
 class RFFSVM:
-    """Kernel-approximating SVM: RFF transform then one-vs-rest linear SVM."""
+    """Kernel-approximating SVM: RFF transform then one-vs-rest linear SVM.
+
+    With ``probability`` the margins of ``folds`` models, each on the rows that it did not
+    see, calibrate pairwise sigmoids; rows fall into folds by a hash of their features, so
+    copies of a row stay together.
+    """
 
     def __init__(self, max_iter: int = 100, reg: float = 0.0, n_components: int = 256,
-                 seed: int = DEFAULT_SEED):
+                 seed: int = DEFAULT_SEED, probability: bool = True, folds: int = 3):
         self.max_iter, self.reg, self.n_components, self.seed = max_iter, reg, n_components, seed
+        self.probability, self.folds = probability, folds
+
+    def _fit(self, rows: DataFrame, label: str):
+        return OneVsRest(classifier=LinearSVC(maxIter=self.max_iter, regParam=self.reg), featuresCol="_rff", labelCol=label,
+                         parallelism=FITS_AT_ONCE).fit(rows)
+
+    def _out_of_fold(self, rows: DataFrame, features: str, label: str, classes: int) -> DataFrame:
+        """(label, raw): every row's margins by the model of the other folds; a class that they lack gets none of its margin."""
+        fold = F.pmod(F.xxhash64(vector_to_array(features), F.lit(self.seed)), F.lit(self.folds))
+        rows = rows.withColumn("_fold", fold)
+        out = None
+        for f in range(self.folds):
+            model = self._fit(rows.where(F.col("_fold") != f), label)
+            raw = vector_to_array("rawPrediction")
+            got = model.transform(rows.where(F.col("_fold") == f)).select(
+                label, *[F.get(raw, F.lit(c)).alias(f"_m{c}") for c in range(classes)])
+            got = got.select(label, F.array(*[F.coalesce(f"_m{c}", F.lit(-1.0)) for c in range(classes)]).alias("raw"))
+            out = got if out is None else out.unionByName(got)
+        return out
 
-    def fit_predict(self, train, others, features, label):
+    def fit_predict(self, train, others, features, label, classes=None):
         rff = RandomFourierFeatures(self.n_components, seed=self.seed).fit(train, features)
-        tr = rff.transform(train, features, "_rff")
-        ovr = OneVsRest(classifier=LinearSVC(maxIter=self.max_iter, regParam=self.reg),
-                        featuresCol="_rff", labelCol=label)
-        model = ovr.fit(tr)
-        return [model.transform(rff.transform(o, features, "_rff")).drop("_rff") for o in others]
+        tr = rff.transform(train, features, "_rff").persist()
+        model = self._fit(tr, label)
+        out = [model.transform(rff.transform(o, features, "_rff")).drop("_rff") for o in others]
+        if self.probability:
+            k = classes or len(model.models)
+            sigmoids = ca.fit_sigmoids(self._out_of_fold(tr, features, label, k), label, "raw", k)
+            out = [ca.with_probability(o, sigmoids) for o in out]
+        tr.unpersist()
+        return out
+
+
+# --- M03: the neural net with early stopping ----------------------------------
+
+class EarlyStoppedNet:
+    """``MultilayerPerceptronClassifier`` in warm-started slices of ``slice_iter`` iterations.
+
+    A stratified share ``watch`` of the training rows is kept out; after each slice the
+    net is scored on it, and training ends when ``patience`` slices in a row bring no more
+    than ``tolerance``, or at ``max_iter``.  The weights of the best slice are kept.  With
+    too few rows for a watch set the net trains through.  ``history`` has the scores.
+    """
+
+    def __init__(self, hidden: Sequence[int] = (128, 64), max_iter: int = 300, slice_iter: int = 5, patience: int = 10,
+                 watch: float = 0.1, tolerance: float = 1e-4, seed: int = DEFAULT_SEED):
+        self.hidden, self.max_iter, self.slice_iter, self.patience = list(hidden), max_iter, slice_iter, patience
+        self.watch, self.tolerance, self.seed = watch, tolerance, seed
+        self.history: list[float] = []
+
+    def fit(self, train: DataFrame, features: str, label: str, n_features: int, classes: int) -> Model:
+        row = train.withColumn("_row", F.xxhash64(vector_to_array(features)))
+        cut = sp.train_test_split(row, label, ["_row"], self.watch, self.seed, split_col="_watch").persist()
+        fit_rows, held = cut.where(F.col("_watch") == "train"), cut.where(F.col("_watch") == "test")
+        watched = held.count() > 0 and fit_rows.count() > 0
+        if not watched:
+            fit_rows = cut
+        self.history, best, best_model, weights, waited, done = [], -1.0, None, None, 0, 0
+        while done < self.max_iter:
+            step = min(self.slice_iter if watched else self.max_iter, self.max_iter - done)
+            net = MultilayerPerceptronClassifier(layers=[n_features, *self.hidden, classes], maxIter=step, seed=self.seed,
+                                                 featuresCol=features, labelCol=label)
+            if weights is not None:
+                net.setInitialWeights(weights)
+            model = net.fit(fit_rows)
+            weights, done = model.weights, done + step
+            if not watched:
+                best_model = model
+                break
+            hit = (F.col(PRED_IDX) == F.col(label)).cast("double")
+            score = float(model.transform(held).agg(F.avg(hit)).first()[0])
+            self.history.append(score)
+            if score > best + self.tolerance:
+                best, best_model, waited = score, model, 0
+            else:
+                waited += 1
+                if waited >= self.patience:
+                    break
+        cut.unpersist()
+        return best_model
+
+    def fit_predict(self, train, others, features, label, classes=None):
+        d = n_features_of(train, features)
+        model = self.fit(train, features, label, d, classes)
+        return [model.transform(o) for o in others]
 
 
 # --- M02-M05: algorithm factory ---------------------------------------------
@@ -121,7 +209,7 @@ class RFFSVM:
 @dataclass
 class Algo:
     """``make(features, label, n_features, n_classes)`` returns an Estimator, or
-    an object with ``fit_predict(train, [frames], features, label)``."""
+    an object with ``fit_predict(train, [frames], features, label, n_classes)``."""
 
     name: str
     make: Callable
@@ -132,11 +220,8 @@ def default_algorithms(gbt_rounds: int = 100, mlp_iter: int = 300, rf_trees: int
                        gbt_depth: int = 6) -> dict[str, Algo]:
     """The reference's four models with its hyper-parameters."""
     return {
-        "Boosted Trees": Algo("Boosted Trees", lambda f, l, d, k: OneVsRest(
-            classifier=GBTClassifier(maxIter=gbt_rounds, maxDepth=gbt_depth, stepSize=0.1, seed=seed),
-            featuresCol=f, labelCol=l)),
-        "MLP": Algo("MLP", lambda f, l, d, k: MultilayerPerceptronClassifier(
-            layers=[d, 128, 64, k], maxIter=mlp_iter, seed=seed, featuresCol=f, labelCol=l)),
+        "Boosted Trees": Algo("Boosted Trees", lambda f, l, d, k: SoftmaxBoost(rounds=gbt_rounds, depth=gbt_depth)),
+        "MLP": Algo("MLP", lambda f, l, d, k: EarlyStoppedNet(max_iter=mlp_iter, seed=seed)),
         "Random Forest": Algo("Random Forest", lambda f, l, d, k: RandomForestClassifier(
             numTrees=rf_trees, maxDepth=rf_depth, seed=seed, featuresCol=f, labelCol=l)),
         "SVM": Algo("SVM", lambda f, l, d, k: RFFSVM(max_iter=svm_iter, seed=seed)),
@@ -159,10 +244,12 @@ def fit_predict(algo: Algo, train: DataFrame, frames: list[DataFrame], features:
     if isinstance(est, Estimator):
         model = est.fit(train)
         return [model.transform(f) for f in frames], model
-    return est.fit_predict(train, frames, features, label), None
+    return est.fit_predict(train, frames, features, label, n_classes), None
 
 
-def n_features_of(df: DataFrame, features: str) -> int:
+def n_features_of(df: DataFrame, features: str | None) -> int:
+    if features is None:
+        return 0
     r = df.select(F.size(vector_to_array(features)).alias("d")).first()
     return int(r["d"]) if r else 0
 
@@ -204,6 +291,25 @@ class ValueMajority:
                                                .cast("int")))
 
 
+class ValueMajorityAlgorithm:
+    """:class:`ValueMajority` by the value of ``of`` (a column), as an algorithm of the loop."""
+
+    def __init__(self, of: Column):
+        self.of = of
+
+    def fit_predict(self, train, others, features, label, classes=None):
+        names = [str(float(c)) for c in range(classes)]
+        keyed = train.withColumn("_value", self.of).withColumn("_class", F.col(label).cast("string"))
+        model = ValueMajority("_value", "_class", names).fit(keyed)
+        return [model.transform(o.withColumn("_value", self.of), "_score", "_pred")
+                .withColumn("probability", array_to_vector("_score")).withColumn(PRED_IDX, F.col("_pred").cast("double"))
+                .drop("_value", "_score", "_pred") for o in others]
+
+
+def value_majority(name: str, of: Column) -> dict[str, Algo]:
+    return {name: Algo(name, lambda f, l, d, k: ValueMajorityAlgorithm(of))}
+
+
 # --- M06-M10: the training loop ---------------------------------------------
 
 @dataclass
@@ -233,111 +339,154 @@ def _score_array(pred: DataFrame) -> str | None:
     return None
 
 
-def run_loop(df: DataFrame, label: str, features: str, key: Sequence[str],
+def run_loop(df: DataFrame, label: str, features: str | None, key: Sequence[str],
              algorithms: dict[str, Algo] | None = None, selected: Sequence[str] | None = None,
              test_size: float = 0.2, seed: int = DEFAULT_SEED, cv_folds: int = 5,
-             learning_curves: bool = False, quick: bool = False) -> LoopResult:
+             learning_curves: bool = False, quick: bool = False, max_train: int | None = None,
+             parallel: int = 1) -> LoopResult:
     """M06 (and M07 with ``quick``): stratified split, fit each algorithm, score
     test and train, optional stratified CV (M08) and learning curves (M09).
 
-    A failing algorithm is recorded in ``failed`` and skipped (quick mode scores
-    it 0.0, as the quick loop does)."""
+    ``max_train`` bounds the rows that are fitted on (a stratified sample of the training
+    part, after the split); every test row is scored.  Up to ``parallel`` algorithms, and
+    fits of a CV or curve, run side by side.
+
+    Failures stay where they happen: an algorithm that cannot be fitted is in ``failed`` and
+    has no metrics (quick mode scores it 0.0, as the quick loop does); a CV, curve or AUC
+    that fails is in ``failed`` as ``<algorithm>: <part>``, scores 0 or null, and the
+    algorithm's other results stay.
+    """
     spark = df.sparkSession
-    algos = select_algorithms(algorithms or default_algorithms(seed=seed), selected)
+    ensure_checkpoint_dir(spark)
+    algos = select_algorithms(default_algorithms(seed=seed) if algorithms is None else algorithms, selected)
     indexer, classes = label_indexer(df, label)
     data = indexer.transform(df)
     data = sp.train_test_split(data, label, key, test_size, seed).cache()
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
+    if max_train is not None:
+        train = sp.stratified_subsample(train, label, max_train, key, seed).cache()
     d, k = n_features_of(data, features), len(classes)
-    metric_rows, cms, pcs, cvs, curves, failed = [], [], [], [], [], {}
-    for name, algo in algos.items():
+    failed: dict[str, str] = {}
+
+    def attempt(name: str, call: Callable, otherwise=None):
         try:
-            t0 = time.time()
-            (p_test, p_train), model = fit_predict(algo, train, [test, train], features, LABEL_IDX, d, k)
-            elapsed = time.time() - t0
-            p_test, p_train = _scored(p_test, classes).cache(), _scored(p_train, classes)
-            cm = mt.confusion(p_test, label, "y_pred", classes)
-            pc = mt.per_class(cm)
-            summ = mt.summary(pc).first().asDict()
-            if quick:
-                metric_rows.append((name, "f1_macro", float(summ["f1_macro"])))
-                p_test.unpersist()
-                continue
-            train_f1 = _f1_value(p_train, label, classes)
-            auc = None
+            return call()
+        except Exception as e:  # noqa: BLE001 - noted; the other parts go on
+            failed[name] = f"{type(e).__name__}: {e}"
+            return otherwise
+
+    def one(name: str, algo: Algo) -> dict:
+        t0 = time.time()
+        (p_test, p_train), _ = fit_predict(algo, train, [test, train], features, LABEL_IDX, d, k)
+        elapsed = time.time() - t0
+        p_test = _scored(p_test, classes).cache()
+        cm = mt.confusion(p_test, label, "y_pred", classes).checkpoint()
+        pc = mt.per_class(cm)
+        summ = mt.summary(pc).first().asDict()
+        out = {"row": {"f1_macro": summ["f1_macro"]}, "confusion": cm, "per_class": pc}
+        if not quick:
+            row = dict(summ, roc_auc=None, train_f1=_f1_value(_scored(p_train, classes), label, classes),
+                       val_f1=summ["f1_macro"], train_time=elapsed, cv_mean=0.0, cv_std=0.0)
             sc = _score_array(p_test)
             if sc is not None and k > 2:
                 long = mt.scores_long(p_test.withColumn("_s", vector_to_array(sc)), label, "_s", classes)
-                auc = mt.macro_auc(long, k).first()["roc_auc"]
-            row = dict(summ, roc_auc=auc, train_f1=train_f1, val_f1=summ["f1_macro"], train_time=elapsed)
+                row["roc_auc"] = attempt(f"{name}: AUC", lambda: mt.macro_auc(long, k).first()["roc_auc"])
             if cv_folds and cv_folds > 1:
-                cv = cross_validate(algo, train, label, features, key, classes, cv_folds, seed, d, k)
-                vals = [r["f1"] for r in cv.collect()]
-                row["cv_mean"] = float(np.mean(vals)) if vals else 0.0
-                row["cv_std"] = float(np.std(vals)) if vals else 0.0
-                cvs.append(cv.withColumn("algorithm", F.lit(name)))
-            else:
-                row["cv_mean"], row["cv_std"] = 0.0, 0.0
+                out["cv"] = attempt(f"{name}: CV", lambda: cross_validate(
+                    algo, train, label, features, key, classes, cv_folds, seed, d, k, parallel))
+                vals = sorted(r["f1"] for r in out["cv"].collect()) if out["cv"] is not None else []
+                if vals:
+                    row["cv_mean"], row["cv_std"] = float(np.mean(vals)), float(np.std(vals))
             if learning_curves:
-                curves.append(learning_curve(algo, train, label, features, key, classes, seed, d, k)
-                              .withColumn("algorithm", F.lit(name)))
-            metric_rows += [(name, m, None if v is None else float(v)) for m, v in row.items()]
-            cms.append(cm.withColumn("algorithm", F.lit(name)))
-            pcs.append(pc.withColumn("algorithm", F.lit(name)))
-            p_test.unpersist()
-        except Exception as e:  # noqa: BLE001 - a failing model is reported, not fatal
-            failed[name] = f"{type(e).__name__}: {e}"
+                out["curve"] = attempt(f"{name}: learning curve", lambda: learning_curve(
+                    algo, train, label, features, key, classes, seed, d, k, parallel=parallel))
+            out["row"] = row
+        p_test.unpersist()
+        return out
+
+    results = overlapped(spark, [lambda n=n, a=a: one(n, a) for n, a in algos.items()], parallel)
+    metric_rows, frames = [], {"confusion": [], "per_class": [], "cv": [], "curve": []}
+    for name, got in zip(algos, results, strict=True):
+        if isinstance(got, Exception):
+            failed[name] = f"{type(got).__name__}: {got}"
             if quick:
                 metric_rows.append((name, "f1_macro", 0.0))
+            continue
+        metric_rows += [(name, m, None if v is None else float(v)) for m, v in got["row"].items()]
+        for part, found in frames.items():
+            if got.get(part) is not None:
+                found.append(got[part].withColumn("algorithm", F.lit(name)))
+    if max_train is not None:
+        train.unpersist()
     data.unpersist()
     metrics = spark.createDataFrame(metric_rows, "algorithm string, metric string, value double")
 
-    def union(frames):
-        if not frames:
-            return None
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
+    def union(found: list[DataFrame]) -> DataFrame | None:
+        out = None
+        for f in found:
+            out = f if out is None else out.unionByName(f)
         return out
 
-    return LoopResult(metrics, union(cms), union(pcs), union(cvs), union(curves), failed)
+    return LoopResult(metrics, *(union(frames[x]) for x in ("confusion", "per_class", "cv", "curve")), failed)
 
 
 def quick_scores(df: DataFrame, label: str, features: str, key: Sequence[str],
                  algorithms: dict[str, Algo] | None = None, selected: Sequence[str] | None = None,
-                 test_size: float = 0.2, seed: int = DEFAULT_SEED) -> DataFrame:
+                 test_size: float = 0.2, seed: int = DEFAULT_SEED, max_train: int | None = None, parallel: int = 1) -> DataFrame:
     """``(algorithm, f1_macro)`` only; a failing algorithm scores 0.0."""
-    res = run_loop(df, label, features, key, algorithms, selected, test_size, seed, cv_folds=0, quick=True)
+    res = run_loop(df, label, features, key, algorithms, selected, test_size, seed, cv_folds=0, quick=True,
+                   max_train=max_train, parallel=parallel)
     return res.metrics.select("algorithm", F.col("value").alias("f1_macro"))
 
 
-def cross_validate(algo: Algo, train: DataFrame, label: str, features: str, key: Sequence[str],
-                   classes: list[str], folds: int, seed: int, d: int, k: int) -> DataFrame:
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _counted(preds: DataFrame, tags: dict) -> DataFrame:
+    """A fit's predictions as (tags, truth, prediction, n), written at once, so that the model and its plan can go."""
+    counts = preds.groupBy(LABEL_IDX, PRED_IDX).agg(F.count(F.lit(1)).alias("n")).coalesce(1)
+    return counts.select(*(F.lit(v).alias(t) for t, v in tags.items()), LABEL_IDX, PRED_IDX, "n").checkpoint()
+
+
+def _all(results: list) -> list:
+    """The results of overlapped fits; the first failure is raised."""
+    for r in results:
+        if isinstance(r, Exception):
+            raise r
+    return results
+
+
+def cross_validate(algo: Algo, train: DataFrame, label: str, features: str | None, key: Sequence[str],
+                   classes: list[str], folds: int, seed: int, d: int, k: int, parallel: int = 1) -> DataFrame:
     """Stratified k folds over the training split; macro F1 per fold.
 
-    Fits are sequential (each is a chain of MLlib jobs); all fold scores come
-    from one grouped aggregation over the unioned fold predictions."""
+    Up to ``parallel`` fits (each a chain of jobs) run side by side; all fold scores come
+    from one grouped aggregation over the fits' counts of (truth, prediction)."""
     spark = train.sparkSession
     folded, kk = sp.stratified_folds(train, label, key, folds, seed)
     if kk < 2:
         return spark.createDataFrame([], "fold int, f1 double")
     folded = folded.cache()
-    preds = None
-    for f in range(kk):
+
+    def one(f: int) -> DataFrame:
         tr, va = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
         (pv,), _ = fit_predict(algo, tr, [va], features, LABEL_IDX, d, k)
-        pv = pv.select(F.lit(f).alias("fold"), LABEL_IDX, PRED_IDX)
-        preds = pv if preds is None else preds.unionByName(pv)
-    out = mt.grouped_macro_f1(preds, ["fold"], LABEL_IDX, PRED_IDX)
+        return _counted(pv, {"fold": f})
+
     ensure_checkpoint_dir(spark)
-    out = out.checkpoint()
+    counts = _union(_all(overlapped(spark, [lambda f=f: one(f) for f in range(kk)], parallel)))
+    out = mt.grouped_macro_f1(counts, ["fold"], LABEL_IDX, PRED_IDX, n="n").checkpoint()
     folded.unpersist()
     return out.select(F.col("fold").cast("int").alias("fold"), "f1")
 
 
-def learning_curve(algo: Algo, train: DataFrame, label: str, features: str, key: Sequence[str],
-                   classes: list[str], seed: int, d: int, k: int, max_folds: int = 3) -> DataFrame:
+def learning_curve(algo: Algo, train: DataFrame, label: str, features: str | None, key: Sequence[str],
+                   classes: list[str], seed: int, d: int, k: int, max_folds: int = 3, parallel: int = 1) -> DataFrame:
     """train/validation macro F1 per (training size, fold) on nested
     prefixes; one grouped aggregation scores every fit."""
     spark = train.sparkSession
@@ -347,19 +496,17 @@ def learning_curve(algo: Algo, train: DataFrame, label: str, features: str, key:
     folded = folded.cache()
     pos = sp.fold_train_positions(folded, "fold", kk, key, seed).cache()
     n_max = pos.where(F.col("cv_fold") == 0).count()
-    preds = None
-    for size in sp.learning_curve_sizes(n_max):
-        for f in range(kk):
-            tr = pos.where((F.col("cv_fold") == f) & (F.col("pos") < size)).drop("cv_fold", "pos")
-            va = folded.where(F.col("fold") == f)
-            (pt, pv), _ = fit_predict(algo, tr, [tr, va], features, LABEL_IDX, d, k)
-            for split, p in (("train", pt), ("val", pv)):
-                p = p.select(F.lit(size).alias("train_size"), F.lit(f).alias("fold"), F.lit(split).alias("split"),
-                             LABEL_IDX, PRED_IDX)
-                preds = p if preds is None else preds.unionByName(p)
-    out = mt.grouped_macro_f1(preds, ["train_size", "fold", "split"], LABEL_IDX, PRED_IDX)
+
+    def one(size: int, f: int) -> DataFrame:
+        tr = pos.where((F.col("cv_fold") == f) & (F.col("pos") < size)).drop("cv_fold", "pos")
+        va = folded.where(F.col("fold") == f)
+        (pt, pv), _ = fit_predict(algo, tr, [tr, va], features, LABEL_IDX, d, k)
+        return _union([_counted(p, {"train_size": size, "fold": f, "split": split}) for split, p in (("train", pt), ("val", pv))])
+
     ensure_checkpoint_dir(spark)
-    out = out.checkpoint()
+    fits = [(size, f) for size in sp.learning_curve_sizes(n_max) for f in range(kk)]
+    counts = _union(_all(overlapped(spark, [lambda x=x: one(*x) for x in fits], parallel)))
+    out = mt.grouped_macro_f1(counts, ["train_size", "fold", "split"], LABEL_IDX, PRED_IDX, n="n").checkpoint()
     pos.unpersist()
     folded.unpersist()
     return out.select(F.col("train_size").cast("int").alias("train_size"), F.col("fold").cast("int").alias("fold"),

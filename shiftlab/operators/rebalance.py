@@ -84,6 +84,12 @@ class PreparedRebalance:
             self.hp.bc.unpersist()
 
 
+def _median_side(c, med: float):
+    """'low' up to the median, 'high' above; NULL and NaN, which no comparison holds for, are neither."""
+    number = ~F.isnan(c.cast("double"))
+    return F.when(number & (c <= F.lit(med)), F.lit("low")).when(number & (c > F.lit(med)), F.lit("high"))
+
+
 def _group_expr(df: DataFrame, column: str, kind: str):
     c = F.col(column)
     if kind == "binary":
@@ -92,7 +98,7 @@ def _group_expr(df: DataFrame, column: str, kind: str):
         med = exact_median(df, column)
         if med is None:
             return None
-        return F.when(c <= F.lit(med), F.lit("low")).when(c > F.lit(med), F.lit("high"))
+        return _median_side(c, med)
     if kind == "categorical":
         v = majority_value(df, column)
         if v is None:
@@ -215,7 +221,7 @@ def rebalance_continuous(df: DataFrame, column: str, slider: float, key: Sequenc
     """Split at the exact median (``<=`` low, ``>`` high), resample high.
 
     s > 0: ``max(int(h (1 + 2 s)), h)`` draws with replacement; s < 0:
-    ``max(int(h (1 - 0.8|s|)), 1)`` rows without.  NULLs are dropped.
+    ``max(int(h (1 - 0.8|s|)), 1)`` rows without.  NULL and NaN are dropped.
     """
     if abs(slider) < IDENTITY_EPS:
         return df
@@ -330,11 +336,10 @@ def binary_groups(df: DataFrame, column: str) -> DataFrame:
 
 
 def median_groups(df: DataFrame, column: str) -> DataFrame:
-    """Tag rows low (``<=`` exact median) / high; NULLs dropped."""
+    """Tag rows low (``<=`` exact median) / high; NULL and NaN dropped."""
     med = exact_median(df, column)
-    c = F.col(column)
-    return df.withColumn("group", F.when(c <= F.lit(med), F.lit("low"))
-                         .when(c > F.lit(med), F.lit("high"))).where(F.col("group").isNotNull())
+    side = F.lit(None).cast("string") if med is None else _median_side(F.col(column), med)
+    return df.withColumn("group", side).where(F.col("group").isNotNull())
 
 
 def majority_groups(df: DataFrame, column: str) -> DataFrame:

@@ -1,220 +1,114 @@
 """SMOTE over-sampling with exact within-class k nearest neighbours.
 
-kNN without an all-pairs join: each class is range-partitioned along a fixed
-random unit direction ``u`` (|u.x - u.y| <= |x - y|), so
-
-1. inside each range block, an exact local kNN (numpy, one block per task)
-   gives every point an upper bound ``r`` on its k-th neighbour distance;
-2. only blocks whose projected range intersects ``[u.x - r, u.x + r]`` can hold
-   a closer point; those (query, block) pairs are scored in a second pass and
-   only candidates within ``r`` are emitted;
-3. the k best per point over both passes are the exact neighbours (ties by key).
-
-Synthetic rows reuse the draw primitive: draw ``j`` of class ``c`` picks a
-member by ``hash_rank``, one of its neighbours by ``md5(seed|c|j|nn)`` and a
-gap in [0, 1) by ``md5(seed|c|j|gap)``; ``x + gap * (x_nn - x)``.
+Neighbours come from the metric index in ``operators.knn``.  Synthetic rows
+reuse the draw primitive: draw ``j`` of class ``c`` picks a member by
+``hash_rank``, one of its neighbours by ``md5(seed|c|j|nn)`` and a gap in [0, 1)
+by ``md5(seed|c|j|gap)``; ``x + gap * (x_nn - x)``.
+
+What no slider changes (keyed vectors, class sizes, ranks, neighbours) is kept in
+:class:`PreparedSmote`, so a sweep over sliders computes it once.
 """
 
 from __future__ import annotations
 
-import math
+import threading
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlab.functions.hashing import DEFAULT_SEED, u60, row_hash
+from shiftlab.operators.knn import as_array, exact_knn
 from shiftlab.operators.rebalance import IDENTITY_EPS, count_stats, random_undersample, up_target
 from shiftlab.operators.sampling import Q, _maybe_broadcast, draw_with_replacement
-from shiftlab.session import ensure_checkpoint_dir, ship_package
+from shiftlab.session import ensure_checkpoint_dir
 
-BLOCK_ROWS = 2048
 ROW_KEY = "row_key"
 TWO60 = float(1 << 60)
-KNN_SCHEMA = "cls string, qkey string, nkey string, dist double"
-
-
-def _as_array(df: DataFrame, features: str) -> DataFrame:
-    if isinstance(df.schema[features].dataType, VectorUDT):
-        return df.withColumn(features, vector_to_array(features))
-    return df.withColumn(features, F.col(features).cast("array<double>"))
-
-
-def _direction(d: int, seed: int) -> list[float]:
-    v = np.random.default_rng(seed).normal(size=d)
-    v = v / (np.linalg.norm(v) or 1.0)
-    return [float(x) for x in v]
-
-
-def _sqdist(a: np.ndarray, b: np.ndarray, chunk: int = 64) -> np.ndarray:
-    """Squared Euclidean distances by direct differences (no cancellation)."""
-    out = np.empty((a.shape[0], b.shape[0]))
-    for i in range(0, a.shape[0], chunk):
-        diff = a[i:i + chunk, None, :] - b[None, :, :]
-        out[i:i + chunk] = np.einsum("ijk,ijk->ij", diff, diff)
-    return out
-
-
-def _topk_frame(cls, qkeys, nkeys, d2, k, radius=None):
-    """Rows (cls, qkey, nkey, dist) of the k smallest distances per query row."""
-    out_q, out_n, out_d = [], [], []
-    for i in range(d2.shape[0]):
-        row = d2[i]
-        order = np.lexsort((nkeys, row))
-        taken = 0
-        for j in order:
-            if not np.isfinite(row[j]):
-                break
-            if radius is not None and row[j] > radius[i]:
-                break
-            out_q.append(qkeys[i]); out_n.append(nkeys[j]); out_d.append(float(math.sqrt(row[j])))
-            taken += 1
-            if taken == k:
-                break
-    return pd.DataFrame({"cls": pd.Series([cls] * len(out_q), dtype=object),
-                         "qkey": pd.Series(out_q, dtype=object), "nkey": pd.Series(out_n, dtype=object),
-                         "dist": pd.Series(out_d, dtype="float64")})
-
-
-CELLS_PER_BLOCK = 4
-
-
-def _candidate_blocks(q: DataFrame, bounds: DataFrame, parts: int) -> DataFrame:
-    """(query, other block) pairs whose projected ranges meet ``[p - r, p + r]``.
-
-    Blocks of a class are disjoint, sorted ranges of the projection.  A small
-    per-class grid of ``4 x blocks`` equal cells records which block ordinals
-    touch each cell (forward/backward filled over empty cells), so an interval
-    maps to a contiguous ordinal range by two equi-joins instead of a
-    comparison with every block of the class.  The exact overlap test then
-    runs on those few candidates only.
-    """
-    wo = Window.partitionBy("cls").orderBy("lo", "blk")
-    b = bounds.withColumn("o", F.row_number().over(wo) - 1)
-    cs = b.groupBy("cls").agg(F.min("lo").alias("pmin"), F.max("hi").alias("pmax"),
-                              F.count(F.lit(1)).alias("nb"))
-    cs = cs.withColumn("g", F.col("nb") * CELLS_PER_BLOCK).withColumn(
-        "w", F.when(F.col("pmax") > F.col("pmin"), (F.col("pmax") - F.col("pmin")) / F.col("g")).otherwise(1.0))
-
-    def cell(v):
-        v = F.least(F.greatest(v, F.col("pmin")), F.col("pmax"))
-        return F.least(F.floor((v - F.col("pmin")) / F.col("w")), F.col("g") - 1).cast("long")
-
-    csb = _maybe_broadcast(cs, parts)
-    span = b.join(csb, "cls").select("cls", "o", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi"))))
-                                     .alias("cell"))
-    occ = span.groupBy("cls", "cell").agg(F.min("o").alias("omin"), F.max("o").alias("omax"))
-    grid = cs.select("cls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("cell"))
-    wf = Window.partitionBy("cls").orderBy("cell")
-    grid = (grid.join(occ, ["cls", "cell"], "left")
-            .withColumn("o_from", F.first("omin", ignorenulls=True).over(wf.rowsBetween(0, Window.unboundedFollowing)))
-            .withColumn("o_to", F.last("omax", ignorenulls=True).over(wf.rowsBetween(Window.unboundedPreceding, 0))))
-    bound_rows = parts * (CELLS_PER_BLOCK + 1)
-    lo_tbl = _maybe_broadcast(grid.select("cls", F.col("cell").alias("c1"), "o_from"), bound_rows)
-    hi_tbl = _maybe_broadcast(grid.select("cls", F.col("cell").alias("c2"), "o_to"), bound_rows)
-    qq = q.join(csb, "cls").select("*", cell(F.col("p") - F.col("r")).alias("c1"),
-                                   cell(F.col("p") + F.col("r")).alias("c2"))
-    qq = qq.join(lo_tbl, ["cls", "c1"]).join(hi_tbl, ["cls", "c2"])
-    rng = F.when(F.col("o_from") <= F.col("o_to"), F.sequence("o_from", "o_to")).otherwise(F.array().cast("array<int>"))
-    cand = qq.select("cls", "qkey", "blk", "p", "r", "v", F.explode(rng).alias("o"))
-    tb = _maybe_broadcast(b.select("cls", "o", F.col("blk").alias("tblk"), "lo", "hi"), parts)
-    return cand.join(tb, ["cls", "o"]).where(
-        (F.col("tblk") != F.col("blk")) & (F.col("hi") >= F.col("p") - F.col("r"))
-        & (F.col("lo") <= F.col("p") + F.col("r")))
-
-
-def exact_knn(df: DataFrame, label: str, features: str, key: str, k: int,
-              seed: int = DEFAULT_SEED) -> DataFrame:
-    """``(cls, qkey, nkey, dist, nn)`` with the k nearest same-class neighbours of
-    every row (self excluded), ``nn`` = 0-based neighbour rank by (dist, key)."""
-    x = _as_array(df, features).select(F.col(label).cast("string").alias("cls"),
-                                       F.col(key).cast("string").alias("qkey"), F.col(features).alias("v"))
-    first = x.select(F.size("v").alias("d")).first()
-    if first is None:
-        return x.sparkSession.createDataFrame([], KNN_SCHEMA + ", nn int")
-    u = F.array(*[F.lit(c) for c in _direction(int(first["d"]), seed)])
-    x = x.withColumn("p", F.aggregate(F.zip_with("v", u, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t))
-    ensure_checkpoint_dir(x.sparkSession)
-    ship_package(x.sparkSession)
-    n = x.count()
-    parts = max(1, math.ceil(n / BLOCK_ROWS))
-    xb = x.repartitionByRange(parts, "cls", "p").withColumn("blk", F.spark_partition_id()).checkpoint()
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        d2 = _sqdist(v, v)
-        np.fill_diagonal(d2, np.inf)
-        keys = pdf["qkey"].to_numpy()
-        return _topk_frame(pdf["cls"].iloc[0], keys, keys, d2, k)
-
-    p1 = xb.groupBy("cls", "blk").applyInPandas(local, KNN_SCHEMA)
-    # Bound r per query: k-th local distance, or infinity with fewer than k.
-    r = (p1.groupBy("cls", "qkey").agg(F.count(F.lit(1)).alias("c"), F.max("dist").alias("dmax"))
-         .select("cls", "qkey", F.when(F.col("c") >= k, F.col("dmax")).otherwise(F.lit(float("inf"))).alias("r")))
-    bounds = xb.groupBy("cls", "blk").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
-    q = xb.join(r, ["cls", "qkey"], "left").withColumn("r", F.coalesce("r", F.lit(float("inf"))))
-    queries = _candidate_blocks(q, bounds, parts).select("cls", F.col("tblk").alias("blk"), "qkey", "v", "r")
-
-    def remote(qp: pd.DataFrame, mp: pd.DataFrame) -> pd.DataFrame:
-        if qp.empty or mp.empty:
-            return _topk_frame(None, [], [], np.zeros((0, 0)), k)
-        a = np.stack(qp["v"].to_numpy()).astype(np.float64)
-        b = np.stack(mp["mv"].to_numpy()).astype(np.float64)
-        d2 = _sqdist(a, b)
-        rad = qp["r"].to_numpy()
-        return _topk_frame(qp["cls"].iloc[0], qp["qkey"].to_numpy(), mp["mkey"].to_numpy(), d2, k,
-                           radius=np.where(np.isfinite(rad), rad * rad, np.inf))
-
-    members = xb.select(F.col("cls").alias("mcls"), F.col("blk").alias("mblk"), F.col("qkey").alias("mkey"),
-                        F.col("v").alias("mv"))
-    p2 = queries.groupBy("cls", "blk").cogroup(members.groupBy("mcls", "mblk")) \
-        .applyInPandas(remote, KNN_SCHEMA)
-    allc = p1.unionByName(p2)
-    wr = Window.partitionBy("cls", "qkey").orderBy("dist", "nkey")
-    return allc.withColumn("nn", F.row_number().over(wr) - 1).where(F.col("nn") < k)
+
+
+class PreparedSmote:
+    """What SMOTE at any slider shares: keyed vectors, class sizes, neighbours (on first use)."""
+
+    def __init__(self, df: DataFrame, features: str, label: str, key: Sequence[str], seed: int = DEFAULT_SEED, k_max: int = 5):
+        self.features, self.label, self.seed = features, label, seed
+        self.base = as_array(df, features).select(
+            F.col(label), F.col(features), F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias(ROW_KEY))
+        self.labelled = self.base.where(F.col(label).isNotNull())  # NULL is no class
+        self.counts = self.labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+        self.stats = count_stats(self.counts)
+        self.k = max(min(k_max, self.stats.min - 1), 1)
+        self._neighbours: DataFrame | None = None
+        self._lock = threading.Lock()  # sweep steps may run side by side
+
+    @property
+    def neighbours(self) -> DataFrame:
+        """The nearest rows of every row of the classes that some slider raises (all but the largest)."""
+        with self._lock:
+            if self._neighbours is None:
+                ensure_checkpoint_dir(self.base.sparkSession)
+                raised = self.counts.where(F.col("n") < self.stats.max).select(self.label)
+                rows = self.labelled.join(_maybe_broadcast(raised, self.stats.groups), self.label, "left_semi")
+                self._neighbours = exact_knn(rows, self.label, self.features, ROW_KEY, self.k, self.seed).checkpoint()
+            return self._neighbours
+
+    def at(self, slider: float) -> DataFrame:
+        """The rows at ``slider``: label, features (array<double>), ``row_key``, ``synthetic``."""
+        real = F.lit(False).alias("synthetic")
+        if abs(slider) < IDENTITY_EPS:
+            return self.base.select("*", real)
+        if slider < 0:
+            return random_undersample(self.base, self.label, slider, [ROW_KEY], self.seed).select("*", real)
+        target = up_target(self.stats.min, self.stats.max, slider)
+        need = self.counts.where(F.col("n") < target).select(self.label, (F.lit(target) - F.col("n")).alias(Q))
+        if not need.limit(1).count():
+            return self.labelled.select("*", real)
+        if self.stats.min <= self.k:  # a row without a neighbour to go to
+            return self._copies(slider)
+        return self.labelled.select("*", real).unionByName(self._synthetic(need))
+
+    def _copies(self, slider: float) -> DataFrame:
+        """Random over-sampling where a class is too small for neighbours; copies get keys of their own."""
+        target = up_target(self.stats.min, self.stats.max, slider)
+        need = self.counts.where(F.col("n") < target).select(self.label, (F.lit(target) - F.col("n")).alias(Q))
+        drawn = draw_with_replacement(self.labelled, need, [self.label], [ROW_KEY], self.seed, n_groups=self.stats.groups, draw_id="_j")
+        copies = drawn.select(self.label, self.features, F.concat_ws("|", F.lit("copy"), F.col(self.label).cast("string"),
+                                                                    F.col("_j").cast("string")).alias(ROW_KEY), F.lit(True).alias("synthetic"))
+        return self.labelled.select("*", F.lit(False).alias("synthetic")).unionByName(copies)
+
+    def _synthetic(self, need: DataFrame) -> DataFrame:
+        label, features, seed = self.label, self.features, self.seed
+        picks = draw_with_replacement(self.labelled, need, [label], [ROW_KEY], seed, n_groups=self.stats.groups, draw_id="_j")
+        near = self.neighbours
+        cls = F.col(label).cast("string")
+
+        def drawn(what: str):
+            return u60(row_hash([cls, F.col("_j"), F.lit(what)], seed))
+
+        picks = picks.withColumn("nn", (drawn("nn") % F.lit(self.k)).cast("int")).withColumn(
+            "gap", drawn("gap").cast("double") / F.lit(TWO60))
+        to = near.select(F.col("qkey").alias(ROW_KEY), "nn", "nkey")
+        ends = self.labelled.select(F.col(ROW_KEY).alias("nkey"), F.col(features).alias("_nv"))
+        rows = picks.join(to, [ROW_KEY, "nn"]).join(ends, "nkey")
+        new = F.zip_with(features, "_nv", lambda a, b: a + F.col("gap") * (b - a))
+        return rows.select(F.col(label), new.alias(features),
+                           F.concat_ws("|", F.lit("smote"), cls, F.col("_j").cast("string")).alias(ROW_KEY), F.lit(True).alias("synthetic"))
 
 
 def smote(df: DataFrame, features: str, label: str, slider: float, key: Sequence[str],
           seed: int = DEFAULT_SEED, k_max: int = 5) -> DataFrame:
     """Classes below ``T = int(m + (M - m) s)`` get ``T - n_c`` synthetic
-    rows; ``k = max(min(5, m - 1), 1)``.  Negative sliders undersample (R14).
+    rows; ``k = max(min(5, m - 1), 1)``.  Negative sliders undersample (R14).  If the
+    smallest class has a single row, which has no neighbour, classes are raised by random
+    copies instead (R15).
 
     Output: label, features (array<double>), ``row_key`` (original key joined by
-    '|', or ``smote|class|j``) and ``synthetic``.
+    '|', or ``smote|class|j`` / ``copy|class|j``) and ``synthetic``.
     """
-    base = _as_array(df, features).select(
-        F.col(label), F.col(features), F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias(ROW_KEY))
-    if abs(slider) < IDENTITY_EPS:
-        return base.withColumn("synthetic", F.lit(False))
-    if slider < 0:
-        return random_undersample(base, label, slider, [ROW_KEY], seed).withColumn("synthetic", F.lit(False))
-    base = base.where(F.col(label).isNotNull())  # NULL is no class
-    counts = base.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    st = count_stats(counts)
-    t = up_target(st.min, st.max, slider)
-    k = max(min(k_max, st.min - 1), 1)
-    need = counts.where(F.col("n") < t).select(label, (F.lit(t) - F.col("n")).alias(Q))
-    orig = base.withColumn("synthetic", F.lit(False))
-    if not need.limit(1).collect():
-        return orig
-    picks = draw_with_replacement(base, need, [label], [ROW_KEY], seed, n_groups=st.groups, draw_id="_j")
-    nbrs = exact_knn(base.join(_maybe_broadcast(need.select(label), st.groups), label, "left_semi"),
-                     label, features, ROW_KEY, k, seed)
-    kk = nbrs.groupBy("qkey").agg(F.count(F.lit(1)).alias("_k"))
-    cl = F.col(label).cast("string")
-    picks = picks.join(kk, picks[ROW_KEY] == kk["qkey"]).drop("qkey")
-    picks = picks.withColumn("nn", (u60(row_hash([cl, F.col("_j"), F.lit("nn")], seed)) % F.col("_k")).cast("int"))
-    picks = picks.withColumn("gap", u60(row_hash([cl, F.col("_j"), F.lit("gap")], seed)).cast("double")
-                             / F.lit(TWO60))
-    j = picks.join(nbrs.select(F.col("qkey").alias(ROW_KEY), "nn", "nkey"), [ROW_KEY, "nn"])
-    vec = base.select(F.col(ROW_KEY).alias("nkey"), F.col(features).alias("_nv"))
-    j = j.join(vec, "nkey")
-    new = F.zip_with(features, "_nv", lambda a, b: a + F.col("gap") * (b - a))
-    synth = j.select(F.col(label), new.alias(features),
-                     F.concat_ws("|", F.lit("smote"), cl, F.col("_j").cast("string")).alias(ROW_KEY),
-                     F.lit(True).alias("synthetic"))
-    return orig.unionByName(synth)
+    return PreparedSmote(df, features, label, key, seed, k_max).at(slider)
+
+
+def as_vectors(df: DataFrame, features: str) -> DataFrame:
+    """SMOTE's output with ``features`` as an MLlib vector again."""
+    return df.withColumn(features, array_to_vector(F.col(features)))

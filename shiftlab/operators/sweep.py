@@ -10,11 +10,13 @@ thousands of runs.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftlab.operators import features as fe
 from shiftlab.operators import metrics as mt
@@ -22,6 +24,8 @@ from shiftlab.operators import models as md
 from shiftlab.operators import rebalance as rb
 from shiftlab.operators import smote as sm
 from shiftlab.operators import split as sp
+from shiftlab.operators.overlap import Overlapped
+from shiftlab.session import ensure_checkpoint_dir
 
 # Fixed values of the search and the diagnosis rules.
 DEFAULT_THRESHOLD = 0.001
@@ -68,13 +72,16 @@ def bookkeeping(summary: DataFrame) -> DataFrame:
     return x.drop("_grp")
 
 
+def _exits(later, delta, size, declines, threshold: float):
+    """(peak, plateau): the two conditions of the exit rule, of columns or of numbers; ``size`` is |delta|."""
+    return (later & (delta < -threshold) & (declines >= PEAK_DECLINES),
+            later & (size < threshold) & (declines >= PLATEAU_DECLINES))
+
+
 def exit_rule(threshold: float = DEFAULT_THRESHOLD) -> Column:
     """O04 condition on a bookkept step (never on the first step of a run)."""
-    thr = F.lit(float(threshold))
-    return (F.when((F.col("_i") > 1) & (F.col("delta") < -thr) & (F.col("declines") >= PEAK_DECLINES),
-                   F.lit("peak_detected"))
-            .when((F.col("_i") > 1) & (F.abs(F.col("delta")) < thr) & (F.col("declines") >= PLATEAU_DECLINES),
-                  F.lit("plateau")))
+    peak, plateau = _exits(F.col("_i") > 1, F.col("delta"), F.abs(F.col("delta")), F.col("declines"), float(threshold))
+    return F.when(peak, F.lit("peak_detected")).when(plateau, F.lit("plateau"))
 
 
 def apply_exit(booked: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
@@ -133,12 +140,14 @@ Scorer = Callable[[DataFrame], dict]
 
 
 def value_majority_scorer(column: str, label: str, key: Sequence[str], test_size: float = 0.2,
-                          seed: int = 42) -> Scorer:
+                          seed: int = 42, of: Column | None = None) -> Scorer:
     """Exact scorer: stratified split, predict the majority label per ``column``
     value learnt on train, macro F1 on test.  One algorithm, ``by_<column>``.
     The score is rounded to 12 decimals in Spark, so that strict "new best"
-    comparisons do not depend on the order of a floating-point sum."""
+    comparisons do not depend on the order of a floating-point sum.  ``of`` computes
+    ``column`` where the scored tables do not have it."""
     def score(df: DataFrame) -> dict:
+        df = df if of is None else df.withColumn(column, of)
         s, info = sp.train_test_split_info(df, label, key, test_size, seed)
         s = s.cache()
         classes = info["classes"] if info else mt.class_list(df, label)
@@ -153,82 +162,105 @@ def value_majority_scorer(column: str, label: str, key: Sequence[str], test_size
 
 def mllib_scorer(prep: fe.FeaturePrep, key: Sequence[str], algorithms=None, selected=None,
                  max_samples: int = 10_000, seed: int = 42) -> Scorer:
-    """M07 as a scorer: fit the feature prep on the step's table, cap it by a
-    stratified subsample, quick-train every algorithm."""
+    """M07 as a scorer: fit the feature prep on the step's table, split it, quick-train
+    every algorithm on at most ``max_samples`` training rows (a stratified sample),
+    and score every test row.  A table with a vector column ``prep.features_col``, as
+    SMOTE in the encoded space leaves it, is taken as prepared."""
     def score(df: DataFrame) -> dict:
-        fitted = prep.fit(df)
-        x = fitted.transform(df, assemble=True, wide=False)
-        x = sp.stratified_subsample(x, prep.label, max_samples, key, seed)
-        q = md.quick_scores(x, prep.label, prep.features_col, key, algorithms, selected, seed=seed)
+        x = df if prep.features_col in df.columns else prep.fit(df).transform(df, assemble=True, wide=False)
+        if isinstance(x.schema[prep.features_col].dataType, T.ArrayType):
+            x = sm.as_vectors(x, prep.features_col)
+        by = [sm.ROW_KEY] if sm.ROW_KEY in x.columns else key
+        q = md.quick_scores(x, prep.label, prep.features_col, by, algorithms, selected, seed=seed, max_train=max_samples)
         return {r["algorithm"]: float(r["f1_macro"]) for r in q.collect()}
     return score
 
 
-def _exit_now(history: list[float], declines: int, delta: float, threshold: float) -> str | None:
-    if len(history) < 2:
-        return None
-    if delta < -threshold and declines >= PEAK_DECLINES:
-        return "peak_detected"
-    if abs(delta) < threshold and declines >= PLATEAU_DECLINES:
-        return "plateau"
-    return None
+def _encoded(df: DataFrame, column: str, key: Sequence[str], prep: fe.FeaturePrep | None, features: str | None,
+             seed: int) -> sm.PreparedSmote:
+    """SMOTE's base: the table encoded once by ``prep`` (which must keep ``key``), or its vector column ``features``."""
+    if prep is not None:
+        ensure_checkpoint_dir(df.sparkSession)
+        df, features = prep.fit(df).transform(df, assemble=True, wide=False).checkpoint(), prep.features_col
+    if features is None:
+        raise ValueError("SMOTE needs a feature prep or a vector column")
+    return sm.PreparedSmote(df, features, column, key, seed)
 
 
 def run_sweep(df: DataFrame, column: str, kind: str, scorer: Scorer, key: Sequence[str],
               grid: Sequence[float] | None = None, threshold: float = DEFAULT_THRESHOLD,
-              run_id: str | None = None, label: str | None = None, use_smote: bool = False,
-              smote_features: str | None = None, seed: int = 42, failures: list | None = None):
+              run_id: str | None = None, use_smote: bool = False, smote_features: str | None = None,
+              prep: fe.FeaturePrep | None = None, seed: int = 42, failures: list | None = None,
+              speculate: int = 1):
     """Baseline, then rebalance/score every slider until the exit rule fires.
 
     Returns ``(steps, baseline)`` DataFrames; feed them to :func:`optimum`.
     A failing step is skipped and noted in ``failures`` as (run_id, step, slider,
     error); when every step fails, the first error is raised.
+
+    With ``use_smote`` (target columns) the table is encoded once, by ``prep`` or as it is in
+    ``smote_features``, and every step resamples the encoded rows: SMOTE upwards, random
+    under-sampling downwards.  The scorer then sees label, vector, ``row_key`` and ``synthetic``.
+
+    ``speculate`` steps run side by side; those after the exit are cancelled, so the step
+    table is the same as one by one.
     """
     failures = [] if failures is None else failures
     noted = len(failures)
     spark = df.sparkSession
     grid = slider_grid() if grid is None else list(grid)
     run_id = run_id or f"{column}:{kind}"
-    base = df.cache()
+    smoted = _encoded(df, column, key, prep, smote_features, seed) if kind == "target" and use_smote else None
+    base = (df if smoted is None else smoted.at(0.0)).cache()
     base.count()
     baseline = scorer(base)
-    # Slider-independent work (counts, median, majority, group sizes) once per sweep.
-    prep = None if (kind == "target" and use_smote) else rb.prepare_rebalance(base, column, kind, key, seed)
-    rows, hist, best, declines = [], [], -1.0, 0
-    for i, s in enumerate(grid):
-        mod = base
-        try:
-            if abs(s) < rb.IDENTITY_EPS:
-                mod = base
-            elif kind == "target" and use_smote:
-                mod = (sm.smote(base, smote_features, label, s, key, seed) if s > 0
-                       else rb.random_undersample(base, label, s, key, seed))
-            else:
-                if prep is not None:
-                    prep.last_size = None
-                mod = rb.rebalance(base, column, kind, s, key, seed, prepared=prep)
+    # Slider-independent work (counts, median, majority, group sizes, neighbours) once per sweep.
+    ready = rb.prepare_rebalance(base, column, kind, key, seed) if smoted is None else None
+
+    def step(s: float) -> tuple[dict, int]:
+        own = copy.copy(ready)  # its size is noted per step
+        if abs(s) < rb.IDENTITY_EPS:
+            mod = base
+        elif smoted is not None:
+            mod = smoted.at(s)
+        else:
+            if own is not None:
+                own.last_size = None
+            mod = rb.rebalance(base, column, kind, s, key, seed, prepared=own)
+        if mod is not base:
             mod = mod.cache()
+        try:
             scores = scorer(mod)
-            known = prep.last_size if (prep is not None and mod is not base) else None
-            n = known if known is not None else mod.count()
-        except Exception as e:  # noqa: BLE001 - the other steps go on
-            failures.append((run_id, i, float(s), e))
-            continue
+            known = own.last_size if own is not None and mod is not base else None
+            return scores, int(known if known is not None else mod.count())
         finally:
             if mod is not base:
                 mod.unpersist()
-        avg = float(np.mean(list(scores.values()))) if scores else 0.0
-        delta = avg - hist[-1] if hist else 0.0
-        hist.append(avg)
-        if avg > best:
-            best, declines = avg, 0
-        else:
-            declines += 1
-        rows += [(run_id, i, float(s), a, float(v), int(n)) for a, v in scores.items()]
-        if _exit_now(hist, declines, delta, threshold):
-            break
-    if prep is not None:
-        prep.release()
+
+    rows, last, best, declines = [], None, -1.0, 0
+    running = Overlapped(spark, [lambda s=s: step(s) for s in grid], speculate)
+    try:
+        for i, s in enumerate(grid):
+            for ahead in range(i, i + speculate if speculate > 1 else i):
+                running.start(ahead)
+            try:
+                scores, n = running.result(i) if speculate > 1 else step(s)
+            except Exception as e:  # noqa: BLE001 - the other steps go on
+                failures.append((run_id, i, float(s), e))
+                continue
+            avg = float(np.mean(list(scores.values()))) if scores else 0.0
+            delta, later, last = (avg - last if last is not None else 0.0), last is not None, avg
+            if avg > best:
+                best, declines = avg, 0
+            else:
+                declines += 1
+            rows += [(run_id, i, float(s), a, float(v), n) for a, v in scores.items()]
+            if any(_exits(later, delta, abs(delta), declines, threshold)):
+                break
+    finally:
+        running.close()
+    if ready is not None:
+        ready.release()
     base.unpersist()
     if grid and not rows and len(failures) > noted:
         raise RuntimeError(f"every step of sweep {run_id} failed") from failures[noted][3]
@@ -238,14 +270,30 @@ def run_sweep(df: DataFrame, column: str, kind: str, scorer: Scorer, key: Sequen
     return steps, base_df
 
 
+def failure_table(spark, failures: list) -> DataFrame:
+    """(run_id, step, slider, error) of noted failures."""
+    return spark.createDataFrame([(r, int(i), float(s), f"{type(e).__name__}: {e}") for r, i, s, e in failures],
+                                 "run_id string, step int, slider double, error string")
+
+
 def run_multi(df: DataFrame, columns: Sequence[tuple[str, str]], scorer: Scorer, key: Sequence[str],
-              grid=None, threshold: float = DEFAULT_THRESHOLD):
-    """One sweep per (column, kind); steps and baselines unioned by run_id."""
-    steps, bases = None, None
+              grid=None, threshold: float = DEFAULT_THRESHOLD, failures: list | None = None, **options):
+    """One sweep per (column, kind); steps and baselines unioned by run_id, failed steps in ``failures``.
+
+    A column of which every step fails is left out, unless all columns are like that.
+    """
+    failures = [] if failures is None else failures
+    steps, bases, error = None, None, None
     for col, kind in columns:
-        s, b = run_sweep(df, col, kind, scorer, key, grid, threshold, run_id=col)
+        try:
+            s, b = run_sweep(df, col, kind, scorer, key, grid, threshold, run_id=col, failures=failures, **options)
+        except RuntimeError as e:  # its steps are noted; the other columns go on
+            error = e
+            continue
         steps = s if steps is None else steps.unionByName(s)
         bases = b if bases is None else bases.unionByName(b)
+    if steps is None and error is not None:
+        raise error
     return steps, bases
 
 
@@ -253,26 +301,36 @@ def run_multi(df: DataFrame, columns: Sequence[tuple[str, str]], scorer: Scorer,
 
 def gap_analysis(df: DataFrame, column: str, kind: str, prep: fe.FeaturePrep, key: Sequence[str],
                  sliders: Sequence[float], algorithms=None, selected=None, max_samples: int = 10_000,
-                 seed: int = 42, failures: list | None = None) -> DataFrame:
+                 seed: int = 42, failures: list | None = None, use_smote: bool = False, cv_folds: int = 3,
+                 parallel: int = 1) -> DataFrame:
     """Train and validation macro F1 per (slider, algorithm), 3-fold CV.
 
-    Failing sliders are noted in ``failures`` as (slider, error); when all fail, the first error is raised.
+    Models are fitted on at most ``max_samples`` training rows; every test row is scored.  With
+    ``use_smote`` (target columns) the table is encoded once and resampled in the encoded space.
+    Failing sliders are noted in ``failures`` as (slider, error); when all fail, the first error is
+    raised.  Parts that fail inside a loop are noted as (slider, "part: error").
     """
     spark = df.sparkSession
     failures = [] if failures is None else failures
+    smoted = _encoded(df, column, key, prep, None, seed) if kind == "target" and use_smote else None
     rows = []
     for s in sliders:
         try:
-            mod = df if abs(s) < rb.IDENTITY_EPS else rb.rebalance(df, column, kind, s, key, seed)
-            x = prep.fit(mod).transform(mod, assemble=True, wide=False)
-            x = sp.stratified_subsample(x, prep.label, max_samples, key, seed)
-            res = md.run_loop(x, prep.label, prep.features_col, key, algorithms, selected, seed=seed, cv_folds=3)
+            if smoted is not None:
+                x, by = sm.as_vectors(smoted.at(s), prep.features_col), [sm.ROW_KEY]
+            else:
+                mod = df if abs(s) < rb.IDENTITY_EPS else rb.rebalance(df, column, kind, s, key, seed)
+                x, by = prep.fit(mod).transform(mod, assemble=True, wide=False), key
+            res = md.run_loop(x, prep.label, prep.features_col, by, algorithms, selected, seed=seed, cv_folds=cv_folds,
+                              max_train=max_samples, parallel=parallel)
+            failures += [(float(s), f"{part}: {error}") for part, error in res.failed.items()]
             for r in md.train_val_gap(res.metrics).collect():
                 rows.append((float(s), r["algorithm"], r["train_f1"], r["val_f1"], r["gap"]))
         except Exception as e:  # noqa: BLE001 - the other sliders go on
             failures.append((float(s), e))
     if not rows and failures:
-        raise RuntimeError("every slider of the gap analysis failed") from failures[0][1]
+        first = failures[0][1]
+        raise RuntimeError("every slider of the gap analysis failed") from (first if isinstance(first, Exception) else RuntimeError(first))
     return spark.createDataFrame(rows, "slider double, algo string, train_f1 double, val_f1 double, gap double")
 
 

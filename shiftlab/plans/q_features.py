@@ -61,16 +61,21 @@ def f03(spark, sf):
 
 @register("f04_numeric_coercion", f"""
 SELECT doc_id, coalesce(TRY_CAST(CAST(quality AS VARCHAR) AS DOUBLE), 0.0) AS quality,
-       coalesce(TRY_CAST(CAST(toxic AS VARCHAR) AS DOUBLE)::INTEGER, 0) AS toxic,
-       coalesce(TRY_CAST(lang AS DOUBLE), 0.0) AS lang_num
+       coalesce(TRY_CAST(CAST(toxic AS VARCHAR) AS DOUBLE)::BIGINT, 0) AS toxic,
+       coalesce(TRY_CAST(lang AS DOUBLE), 0.0) AS lang_num,
+       CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 3 = 1 THEN 3000000000 + doc_id ELSE coalesce(trunc(quality / 2.0)::BIGINT, 0) END AS odd_flag
 FROM ({_DL}) JOIN documents USING (doc_id)""")
 def f04(spark, sf):
     docs = load_table(spark, sf, "documents")
     d = docs.join(load_table(spark, sf, "labels"), "doc_id", "left")
+    # Text "nan" and "inf", values beyond int, and halves.
+    odd = (F.when(F.col("doc_id") % 6 == 0, F.lit("nan")).when(F.col("doc_id") % 3 == 0, F.lit("inf"))
+           .when(F.col("doc_id") % 3 == 1, (F.col("doc_id") + 3_000_000_000).cast("string"))
+           .otherwise((F.col("quality") / 2.0).cast("string")))
     return d.select(
         "doc_id", fe.coerce_double("quality").alias("quality"),
-        F.coalesce(F.col("toxic").cast("string").try_cast("double").cast("int"), F.lit(0)).alias("toxic"),
-        fe.coerce_double("lang").alias("lang_num"))
+        fe.coerce_flag("toxic").alias("toxic"),
+        fe.coerce_double("lang").alias("lang_num"), fe.coerce_flag(odd).alias("odd_flag"))
 
 
 def _long(fitted, df):

@@ -39,10 +39,15 @@ def _loop(spark, sf, selected, **kw):
     return md.run_loop(embeddings(spark, sf), "label", "features", EMB_KEY, algos, selected, **kw)
 
 
-_SMOTE_SQL = """
-WITH b AS (SELECT label, CAST(embedding AS DOUBLE[]) AS embedding, CAST(vec_id AS VARCHAR) AS row_key FROM embeddings),
+SMOTE_BASE_SQL = "SELECT label, CAST(embedding AS DOUBLE[]) AS embedding, CAST(vec_id AS VARCHAR) AS row_key FROM embeddings"
+
+
+def smote_sql(slider: float) -> str:
+    """SMOTE of ``embeddings`` at a slider above 0."""
+    return f"""
+WITH b AS ({SMOTE_BASE_SQL}),
 c AS (SELECT label, count(*) AS n FROM b GROUP BY label),
-t AS (SELECT floor(min(n) + (max(n) - min(n)) * CAST(0.5 AS DOUBLE))::BIGINT AS t,
+t AS (SELECT floor(min(n) + (max(n) - min(n)) * CAST({float(slider)!r} AS DOUBLE))::BIGINT AS t,
              greatest(least(5, min(n) - 1), 1) AS k FROM c),
 need AS (SELECT c.label, t.t - c.n AS q FROM c JOIN t ON c.n < t.t),
 nb0 AS (SELECT a.label, a.row_key AS qkey, o.row_key AS nkey, list_distance(a.embedding, o.embedding) AS dist
@@ -69,7 +74,7 @@ UNION ALL SELECT label, embedding, row_key, synthetic FROM syn
 """
 
 
-@register("r13_smote", _SMOTE_SQL)
+@register("r13_smote", smote_sql(0.5))
 def r13(spark, sf):
     e = load_table(spark, sf, "embeddings")
     return sm.smote(e, "embedding", "label", 0.5, EMB_KEY)

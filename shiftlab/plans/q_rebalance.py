@@ -52,10 +52,10 @@ m AS (SELECT median(v) AS m FROM v)
 SELECT l_orderkey, v, CASE WHEN v <= m THEN 'low' ELSE 'high' END AS "group" FROM v, m
 """)
 def r03_balanced(spark, sf):
-    """Ties at far-apart values, and NaN where the oracle has no row."""
+    """Ties at far-apart values; the operator drops the NaN rows, where the oracle has none."""
     x = load_table(spark, sf, "lineitem").select("l_orderkey", F.when(
         F.col("l_orderkey") % 5 == 0, F.lit(float("nan"))).otherwise((F.col("l_orderkey") % 2).cast("double")).alias("v"))
-    return rb.median_groups(x, "v").where("NOT isnan(v)").select("l_orderkey", "v", "group")
+    return rb.median_groups(x, "v").select("l_orderkey", "v", "group")
 
 
 @register("r04_majority_split", """
@@ -204,6 +204,30 @@ def r10d(spark, sf):
     return rb.rebalance_continuous(load_table(spark, sf, "events"), "value", -0.5, ["event_id"])
 
 
+_NAN_EVENTS = """(SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST('nan' AS DOUBLE) ELSE value END AS value FROM events)"""
+_NAN_MED = f"(SELECT median(value) FROM {_NAN_EVENTS} WHERE NOT isnan(value))"
+
+
+def _nan_events(spark, sf):
+    e = load_table(spark, sf, "events")
+    return e.select("event_id", F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+
+
+@register("r10_rebalance_continuous_nan_up", _two_group_sql(
+    _NAN_EVENTS, f"NOT isnan(value) AND value > {_NAN_MED}", f"NOT isnan(value) AND value <= {_NAN_MED}", ["event_id"],
+    f"greatest(floor({{g}} * (1 + {dbl(0.5)} * 2))::BIGINT, {{g}})", True))
+def r10nu(spark, sf):
+    """A third of the values is NaN: these rows are in neither half."""
+    return rb.rebalance_continuous(_nan_events(spark, sf), "value", 0.5, ["event_id"])
+
+
+@register("r10_rebalance_continuous_nan_down", _two_group_sql(
+    _NAN_EVENTS, f"NOT isnan(value) AND value > {_NAN_MED}", f"NOT isnan(value) AND value <= {_NAN_MED}", ["event_id"],
+    f"greatest(floor({{g}} * (1 - {dbl(0.5)} * 0.8))::BIGINT, 1)", False))
+def r10nd(spark, sf):
+    return rb.rebalance_continuous(_nan_events(spark, sf), "value", -0.5, ["event_id"])
+
+
 _MAJ = "(SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1)"
 
 

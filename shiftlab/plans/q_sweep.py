@@ -8,10 +8,14 @@ run = event type, step = day index, algorithm = hour band, score = mean value
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from shiftlab.operators import models as md
 from shiftlab.operators import sweep as sw
-from shiftlab.plans.q_models import _IMP, doc_importances
+from shiftlab.operators.features import FeaturePrep
+from shiftlab.operators.smote import ROW_KEY
+from shiftlab.plans.q_models import _IMP, EMB_KEY, SMOTE_BASE_SQL, doc_importances, smote_sql
 from shiftlab.plans.registry import register
 from shiftlab.plans.sqlgen import dbl
 from shiftlab.sources.tables import TABLE_KEYS, load_table
@@ -196,27 +200,27 @@ O02_GRID = [-0.5, -0.25, 0.0, 0.25, 0.5]
 SWEEP_COLS = ["doc_id", "lang", "source", "n_chars"]
 
 
-def _vm_f1_sql(src: str) -> str:
-    """Scalar subquery: the by-source majority scorer's macro F1 on ``src``."""
+def vm_f1_sql(src: str, on: str = "te", label: str = "lang", column: str = "source", key=DOC_KEY) -> str:
+    """Scalar subquery: the value-majority scorer's macro F1 on ``src``, of its test (``te``) or training rows (``tr``)."""
     from shiftlab.plans.q_metrics import metric_sql
     from shiftlab.plans.q_split import quota_sql
     from shiftlab.plans.sqlgen import rank
     target = f"ceil({dbl(0.2)} * (SELECT count(*) FROM src))::BIGINT"
     preds = f"""
-src AS ({src}),
-q AS {quota_sql("SELECT * FROM src", "lang", target)},
-r AS (SELECT d.*, {rank(["lang"], DOC_KEY)} AS rk FROM src d),
-s AS (SELECT r.* EXCLUDE (rk), CASE WHEN rk < q THEN 'test' ELSE 'train' END AS split FROM r JOIN q USING (lang)),
-tr AS (SELECT * FROM s WHERE split = 'train'),
+src AS (SELECT *, {column} AS v FROM ({src})),
+q AS {quota_sql("SELECT * FROM src", label, target)},
+r AS (SELECT d.*, {rank([label], key)} AS rk FROM src d),
+s AS (SELECT r.* EXCLUDE (rk), CASE WHEN rk < q THEN 'test' ELSE 'train' END AS split FROM r JOIN q USING ({label})),
+tr AS (SELECT *, row_number() OVER () AS rid FROM s WHERE split = 'train'),
 te AS (SELECT *, row_number() OVER () AS rid FROM s WHERE split = 'test'),
-cls AS (SELECT DISTINCT lang AS class FROM src WHERE lang IS NOT NULL),
-cnt AS (SELECT source AS v, lang AS class, count(*) AS c FROM tr GROUP BY ALL),
+cls AS (SELECT DISTINCT {label} AS class FROM src WHERE {label} IS NOT NULL),
+cnt AS (SELECT v, {label} AS class, count(*) AS c FROM tr GROUP BY ALL),
 tot AS (SELECT v, sum(c) AS nv FROM cnt GROUP BY v),
-pri AS (SELECT lang AS class, count(*) / (SELECT count(*) FROM tr) AS p FROM tr GROUP BY lang),
-sc AS (SELECT te.rid, te.lang AS y_true, cls.class,
+pri AS (SELECT {label} AS class, count(*) / (SELECT count(*) FROM tr) AS p FROM tr GROUP BY {label}),
+sc AS (SELECT x.rid, x.{label} AS y_true, cls.class,
               CASE WHEN tot.nv IS NULL THEN coalesce(pri.p, 0.0) ELSE coalesce(cnt.c, 0) / tot.nv END AS score
-       FROM te JOIN cls ON TRUE LEFT JOIN tot ON tot.v = te.source
-       LEFT JOIN cnt ON cnt.v = te.source AND cnt.class = cls.class
+       FROM {on} AS x JOIN cls ON TRUE LEFT JOIN tot ON tot.v = x.v
+       LEFT JOIN cnt ON cnt.v = x.v AND cnt.class = cls.class
        LEFT JOIN pri ON pri.class = cls.class),
 pr AS (SELECT rid, y_true, first(class ORDER BY score DESC, class) AS y_pred FROM sc GROUP BY rid, y_true)"""
     return f"(WITH {metric_sql(preds).lstrip()} SELECT round(f1_macro, 12) FROM summ)"
@@ -243,19 +247,18 @@ def _continuous_sql(column: str, slider: float) -> str:
     return _two_group_sql("documents", f"{column} > {med}", f"{column} <= {med}", DOC_KEY, quota, slider > 0)
 
 
-def _sweep_sql(runs: list[tuple[str, object]], grid: list[float]) -> str:
+def _sweep_sql(runs: list[tuple[str, object]], grid: list[float], algorithm: str = "by_source", **scorer) -> str:
     """Every step of every run in SQL, then the same bookkeeping, exit rule and optimum."""
     parts = []
     for run_id, src_of in runs:
         for i, sv in enumerate(grid):
             src = src_of(sv)
-            parts.append(f"SELECT '{run_id}' AS run_id, {i} AS step, {dbl(sv)} AS slider, 'by_source' AS algorithm, "
-                         f"{_vm_f1_sql(src)} AS score, (SELECT count(*) FROM ({src})) AS n_samples")
+            parts.append(f"SELECT '{run_id}' AS run_id, {i} AS step, {dbl(sv)} AS slider, '{algorithm}' AS algorithm, "
+                         f"{vm_f1_sql(src, **scorer)} AS score, (SELECT count(*) FROM ({src})) AS n_samples")
     steps = "\nUNION ALL\n".join(parts)
     book = STEPS_SQL[STEPS_SQL.index("sm AS"):]
-    base_f1 = _vm_f1_sql("SELECT * FROM documents")
-    bases = " UNION ALL ".join(f"SELECT '{r}' AS run_id, 'by_source' AS algorithm, {base_f1} AS score"
-                               for r, _ in runs)
+    bases = " UNION ALL ".join(f"SELECT '{r}' AS run_id, '{algorithm}' AS algorithm, {vm_f1_sql(src_of(0.0), **scorer)} AS score"
+                               for r, src_of in runs)
     return f"""WITH st2 AS ({steps}),
 {book},
 base AS ({bases}),
@@ -294,14 +297,85 @@ def o06(spark, sf):
     return sw.optimum(steps, base).drop("gain_by_algorithm")
 
 
+@register("o02_sweep_speculative", _o02_sql())
+def o02_speculative(spark, sf):
+    """The same sweep with three steps side by side: the same result."""
+    d = load_table(spark, sf, "documents").select(*SWEEP_COLS)
+    scorer = sw.value_majority_scorer("source", "lang", DOC_KEY)
+    steps, base = sw.run_sweep(d, "lang", "target", scorer, DOC_KEY, grid=O02_GRID, speculate=3)
+    return sw.optimum(steps, base).drop("gain_by_algorithm")
+
+
+SMOTE_GRID = [-0.5, 0.0, 0.5, 1.0]
+SMOTE_GAP_SLIDERS = [-0.5, 0.0, 0.5]
+# The value-majority scorer of encoded rows: by the first coordinate, in sixteenths.
+SMOTE_BIN = "floor(embedding[1] * 16)"
+
+
+def _smote_rows_sql(slider: float) -> str:
+    if abs(slider) < 0.01:
+        return SMOTE_BASE_SQL
+    if slider < 0:
+        from shiftlab.plans.q_rebalance import _target_down_sql
+        return _target_down_sql(f"({SMOTE_BASE_SQL})", "label", ["row_key"], slider)
+    return smote_sql(slider)
+
+
+def _embeddings(spark, sf):
+    return load_table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
+
+
+@register("o02_sweep_smote", _sweep_sql([("label:target", _smote_rows_sql)], SMOTE_GRID, "by_bin", label="label",
+                                        column=SMOTE_BIN, key=["row_key"]))
+def o02_smote(spark, sf):
+    """SMOTE up, random under-sampling down, in the space of the vectors; neighbours are found once."""
+    scorer = sw.value_majority_scorer("bin", "label", [ROW_KEY], of=F.floor(F.col("embedding")[0] * 16))
+    steps, base = sw.run_sweep(_embeddings(spark, sf), "label", "target", scorer, EMB_KEY, grid=SMOTE_GRID,
+                               use_smote=True, smote_features="embedding")
+    return sw.optimum(steps, base).drop("gain_by_algorithm")
+
+
+def _gap_sql(algorithm: str, src_of, sliders: list[float], **scorer) -> str:
+    rows = " UNION ALL ".join(f"SELECT {dbl(s)} AS slider, {vm_f1_sql(src_of(s), 'tr', **scorer)} AS train_f1, "
+                              f"{vm_f1_sql(src_of(s), 'te', **scorer)} AS val_f1" for s in sliders)
+    return f"SELECT slider, '{algorithm}' AS algo, train_f1, val_f1, round(train_f1 - val_f1, 12) AS gap FROM ({rows})"
+
+
+def _rounded_gaps(gaps):
+    return gaps.select("slider", "algo", *(F.round(c, 12).alias(c) for c in ("train_f1", "val_f1", "gap")))
+
+
+GAP_SLIDERS = [-0.5, 0.0, 0.5]
+
+
+@register("o08_gap_value_majority", _gap_sql("by_source", _rebalanced_sql, GAP_SLIDERS))
+def o08_value_majority(spark, sf):
+    """Train and validation F1 of the value-majority model through the whole loop, on rebalanced documents."""
+    d = load_table(spark, sf, "documents").withColumn("src", F.col("source"))
+    prep = FeaturePrep(label="lang", categorical=["source"], numeric=["n_chars"], keep=["doc_id", "src"])
+    return _rounded_gaps(sw.gap_analysis(d, "lang", "target", prep, DOC_KEY, GAP_SLIDERS,
+                                         algorithms=md.value_majority("by_source", F.col("src")), max_samples=1 << 40, cv_folds=0))
+
+
+@register("o08_gap_smote", _gap_sql("by_bin", _smote_rows_sql, SMOTE_GAP_SLIDERS, label="label", column=SMOTE_BIN, key=["row_key"]))
+def o08_smote(spark, sf):
+    """The gap analysis with SMOTE in the encoded space: the coordinates as numeric features, not scaled."""
+    e = _embeddings(spark, sf)
+    d = e.select(F.size("embedding").alias("d")).first()["d"]
+    names = [f"e{i}" for i in range(d)]
+    wide = e.select("vec_id", "label", *(F.col("embedding")[i].alias(n) for i, n in enumerate(names)))
+    prep = FeaturePrep(label="label", numeric=names, keep=["vec_id"], scale=False)
+    first = vector_to_array(F.col(prep.features_col))[0]
+    return _rounded_gaps(sw.gap_analysis(wide, "label", "target", prep, EMB_KEY, SMOTE_GAP_SLIDERS, use_smote=True, cv_folds=0,
+                                         algorithms=md.value_majority("by_bin", F.floor(first * 16)), max_samples=1 << 40))
+
+
 
 def _doc_prep():
-    from shiftlab.operators.features import FeaturePrep
     return FeaturePrep(label="lang", categorical=["source"], numeric=["n_chars"], keep=["doc_id"])
 
 
 def _light_forest():
-    from shiftlab.operators import models as md
     return md.default_algorithms(rf_trees=10, rf_depth=5)
 
 

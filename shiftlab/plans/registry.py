@@ -45,6 +45,7 @@ def _load_all() -> None:
         q_charts,
         q_features,
         q_ingest,
+        q_loop,
         q_metrics,
         q_models,
         q_rebalance,
