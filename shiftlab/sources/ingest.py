@@ -1,11 +1,13 @@
 """Ingest of nested vulnerability documents into the flat 22-column table.
 
-One JSON document per file.  The reader uses a declared schema (no inference
-pass), prunes files by the year in their name before the scan, and flattens
-every document with one projection of array/struct expressions, so the whole
-ingest is a single scan stage.  Malformed documents land in
-``_corrupt_record`` and are dropped (and counted); documents without a
-version-3.1 entry carrying a numeric base score are dropped.
+One JSON document per file.  No path list passes through the driver: the reader
+matches file names itself, and the year in a file's name is a column.  A corpus of
+many small files is compacted once (``compact``) into Parquet, partitioned by that
+year, so later reads prune partitions and no task opens a tiny file.  Documents are
+parsed under a declared schema (no inference pass) and flattened by one projection of
+array/struct expressions.  Malformed documents land in ``_corrupt_record`` and are
+dropped (and counted); documents without a version-3.1 entry carrying a numeric base
+score are dropped.
 
 Missing and explicit-null JSON values are indistinguishable under a declared
 schema; both become the documented defaults (``UNKNOWN`` / 0.0).
@@ -15,20 +17,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlab.functions import nested as nf
 from shiftlab.functions.scalar import band
 
 FILE_GLOB = "CVE-*.json"
+#: Where a cache notes what it was made from, beside its folder.
+MANIFEST = "-manifest"
 DEFAULT_YEAR_MIN = 2015
 
 # Severity cut-offs on the v3.1 base score and their labels.
 SEVERITY_CUTS = [9.0, 7.0, 4.0]
 SEVERITY_NAMES = ["Critical", "High", "Medium", "Low"]
 
-# Declared (DDL) schema of the fields read; passed straight to the reader.
+# Declared (DDL) schema of the fields read.
 CVE_SCHEMA = """
 id string, published string, vulnStatus string,
 metrics struct<
@@ -44,6 +49,9 @@ descriptions array<struct<lang:string, value:string>>,
 _corrupt_record string
 """
 
+_FIELD_NAMES = ["id", "published", "vulnStatus", "metrics", "weaknesses", "configurations", "references", "descriptions"]
+
+# The columns of the flat table.
 FLAT_COLUMNS = [
     "cve_id", "cvss31_score", "cvss2_score", "attack_vector", "attack_complexity", "privileges_required",
     "user_interaction", "scope", "confidentiality", "integrity", "availability", "exploitability_score",
@@ -51,55 +59,93 @@ FLAT_COLUMNS = [
     "desc_length", "year_published", "vuln_status", "severity",
 ]
 
-def file_year(name: str) -> int | None:
-    """Year token of ``CVE-YYYY-NNNN.json`` (second ``-`` field), None if unparsable."""
-    parts = name.split("-")
-    if len(parts) < 2:
-        return None
+#: Years that one compacted file set is dealt over, and files of a year.
+COMPACT_FILES_PER_YEAR = 8
+
+
+def file_year(name: Column) -> Column:
+    """Year token of ``CVE-YYYY-NNNN.json`` (second ``-`` field), NULL if unparsable."""
+    return F.try_element_at(F.split(name, "-"), F.lit(2)).try_cast("int")
+
+
+def list_files(spark: SparkSession, data_dir: str, glob: str = FILE_GLOB) -> DataFrame:
+    """(path, file_name, length, modified) of the files matching ``glob``; contents are not read.
+
+    Raises if the directory is missing or holds no matching file.
+    """
     try:
-        return int(parts[1])
-    except ValueError:
-        return None
-
-
-def list_files(spark: SparkSession, data_dir: str, glob: str = FILE_GLOB) -> list[str]:
-    """Paths matching ``glob`` in ``data_dir`` through the Hadoop file system
-    (local, HDFS or object store alike).  Raises if the directory is missing or
-    holds no matching file."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(data_dir)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        raise FileNotFoundError(f"document directory not found: {data_dir}")
-    st = fs.globStatus(jvm.org.apache.hadoop.fs.Path(data_dir.rstrip("/") + "/" + glob))
-    paths = sorted(str(s.getPath().toString()) for s in (st or []))
-    if not paths:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(data_dir)
+    except AnalysisException as e:
+        if e.getCondition() and e.getCondition().startswith("PATH_NOT_FOUND"):
+            raise FileNotFoundError(f"document directory not found: {data_dir}") from e
+        raise
+    found = found.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length",
+                         F.col("modificationTime").alias("modified"))
+    if not found.limit(1).count():
         raise FileNotFoundError(f"no {glob} files in {data_dir}")
-    return paths
+    return found
+
+
+def select_files(files: DataFrame, year_min: int | None = DEFAULT_YEAR_MIN, max_files: int = 0,
+                 year: Column | None = None) -> DataFrame:
+    """I02 + I03: rows whose ``file_name`` has a year >= ``year_min`` (unparsable names kept), then the
+    first ``max_files`` by name (0 = all).  ``year`` is the year column where there is one."""
+    if year_min:
+        y = file_year(F.col("file_name")) if year is None else year
+        files = files.where(y.isNull() | (y >= year_min))
+    return files.orderBy("file_name").limit(max_files) if max_files and max_files > 0 else files
+
+
+def read_files(spark: SparkSession, data_dir: str, glob: str = FILE_GLOB) -> DataFrame:
+    """(file_name, doc): each file's text as one row, bytes that are no UTF-8 as a document that does not parse."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(data_dir)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"),
+                        F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit("")).alias("doc"))
+
+
+def parse(docs: DataFrame) -> DataFrame:
+    """I01 + I04: the declared fields of each ``doc``; one that does not parse has its text in ``_corrupt_record``."""
+    fields = F.from_json("doc", CVE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    bad = F.trim("doc") == ""
+    x = docs.select(*(c for c in docs.columns if c != "doc"), F.when(~bad, fields).alias("_f"), "doc")
+    names = [c.strip("`") for c in _FIELD_NAMES]
+    corrupt = F.when(F.col("_f").isNull(), F.col("doc")).otherwise(F.col("_f._corrupt_record"))
+    return x.select(*(c for c in docs.columns if c != "doc"), *(F.col("_f")[n].alias(n) for n in names), corrupt.alias("_corrupt_record"))
+
+
+def compact(spark: SparkSession, data_dir: str, out: str, glob: str = FILE_GLOB, years: list[int] | None = None) -> None:
+    """Write a directory of one-document files as Parquet (file_name, doc, file_year), partitioned by year.
 
+    With ``years`` only these years' partitions are rewritten; the others stay.
+    """
+    rows = read_files(spark, data_dir, glob).withColumn("file_year", file_year(F.col("file_name")))
+    if years is not None:
+        rows = rows.where(F.col("file_year").isin(years))
+    part = F.pmod(F.xxhash64("file_name"), F.lit(COMPACT_FILES_PER_YEAR))
+    (rows.repartition("file_year", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("file_year").parquet(out))
 
-def select_files(paths: list[str], year_min: int | None = DEFAULT_YEAR_MIN, max_files: int = 0) -> list[str]:
-    """I02 + I03: keep files whose name year >= ``year_min`` (unparsable names
-    kept), then the first ``max_files`` of the sorted list (0 = all)."""
-    out = []
-    for p in paths:
-        y = file_year(p.rsplit("/", 1)[-1])
-        if not year_min or y is None or y >= year_min:
-            out.append(p)
-    return out[:max_files] if max_files and max_files > 0 else out
 
+def load_compacted(spark: SparkSession, path: str, year_min: int | None = DEFAULT_YEAR_MIN, max_files: int = 0) -> DataFrame:
+    """I01-I15 from a compacted corpus: partitions before ``year_min`` are not read."""
+    rows = spark.read.schema("file_name string, doc string, file_year int").parquet(path)
+    return flatten(parse(select_files(rows, year_min, max_files, F.col("file_year"))))
 
-def read_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """I01 + I04: one row per document, malformed ones flagged in ``_corrupt_record``."""
-    return (spark.read.schema(CVE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").json(paths))
+
+def primary_entry() -> Column:
+    """The document's version-3.1 entry."""
+    return nf.first_preferred(F.col("metrics")["cvssMetricV31"], lambda e: e["type"] == "Primary")
+
+
+def is_valid() -> Column:
+    """I04 + I05: the document parses and has a version-3.1 entry with a base score."""
+    return F.col("_corrupt_record").isNull() & F.coalesce(primary_entry()["cvssData"]["baseScore"].isNotNull(), F.lit(False))
 
 
 def flatten(raw: DataFrame) -> DataFrame:
     """The flat table, one projection, valid documents only."""
     m = F.col("metrics")
-    v31 = nf.first_preferred(m["cvssMetricV31"], lambda e: e["type"] == "Primary")
+    v31 = primary_entry()
     v2 = nf.first_preferred(m["cvssMetricV2"], lambda e: e["type"] == "Primary")
     cwes = nf.matching_values(
         F.col("weaknesses"), "description",
@@ -150,24 +196,35 @@ def flatten(raw: DataFrame) -> DataFrame:
 class IngestReport:
     files: int
     valid: int
+    malformed: int
 
     @property
     def skipped(self) -> int:
         return self.files - self.valid
 
 
+def read_raw(spark: SparkSession, data_dir: str, year_min: int | None = DEFAULT_YEAR_MIN, max_files: int = 0) -> DataFrame:
+    """The parsed documents of a directory, after the choice of files by name."""
+    list_files(spark, data_dir)
+    return parse(select_files(read_files(spark, data_dir), year_min, max_files))
+
+
 def load_documents(spark: SparkSession, data_dir: str, year_min: int | None = DEFAULT_YEAR_MIN,
                    max_files: int = 0) -> DataFrame:
-    """List, prune, read and flatten a document directory."""
-    paths = select_files(list_files(spark, data_dir), year_min, max_files)
-    return flatten(read_raw(spark, paths))
+    """Choose, read and flatten the documents of a directory."""
+    return flatten(read_raw(spark, data_dir, year_min, max_files))
+
+
+def report(raw: DataFrame) -> IngestReport:
+    """Documents considered, valid and malformed, in one pass."""
+    r = raw.agg(F.count(F.lit(1)), F.coalesce(F.sum(is_valid().cast("long")), F.lit(0)),
+                F.coalesce(F.sum(F.col("_corrupt_record").isNotNull().cast("long")), F.lit(0))).first()
+    return IngestReport(int(r[0]), int(r[1]), int(r[2]))
 
 
-def ingest_report(spark: SparkSession, data_dir: str, flat: DataFrame,
-                  year_min: int | None = DEFAULT_YEAR_MIN, max_files: int = 0) -> IngestReport:
-    """Files considered vs valid rows (the rest were skipped)."""
-    n = len(select_files(list_files(spark, data_dir), year_min, max_files))
-    return IngestReport(n, flat.count())
+def ingest_report(spark: SparkSession, data_dir: str, year_min: int | None = DEFAULT_YEAR_MIN, max_files: int = 0) -> IngestReport:
+    """The report of a directory."""
+    return report(read_raw(spark, data_dir, year_min, max_files))
 
 
 def cache_path(base: str, year_min: int | None, max_files: int) -> str:
@@ -178,19 +235,46 @@ def cache_path(base: str, year_min: int | None, max_files: int) -> str:
 def materialize(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     """I16: write Parquet and read it back (lineage cut, reusable cache)."""
     df.write.mode(mode).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def digest(files: DataFrame) -> str:
+    """A digest of a listing (names, sizes, times), independent of its order."""
+    h = F.xxhash64("file_name", "length", "modified")
+    r = files.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first()
+    return f"{r[0]}:{r[1]}:{r[2]}"
+
+
+def _manifest(spark: SparkSession, data_dir: str, path: str, year_min: int | None, max_files: int) -> dict[str, str]:
+    """What a cache must agree on: its sources, its own parts, parameters and columns."""
+    return {"sources": digest(list_files(spark, data_dir)), "parts": digest(list_files(spark, path, "*.parquet")),
+            "parameters": f"{year_min or 0},{max_files}", "columns": ",".join(FLAT_COLUMNS)}
+
+
+def cache_is_valid(spark: SparkSession, data_dir: str, path: str, year_min: int | None, max_files: int) -> bool:
+    """Whether the cache holds what an ingest would write now, and all its parts as they were written."""
+    try:
+        noted = {r["name"]: r["value"] for r in spark.read.schema("name string, value string").json(path + MANIFEST).collect()}
+        return noted == _manifest(spark, data_dir, path, year_min, max_files)
+    except FileNotFoundError:
+        return False
+    except AnalysisException as e:
+        if e.getCondition() and e.getCondition().startswith("PATH_NOT_FOUND"):
+            return False
+        raise
 
 
 def load_data(spark: SparkSession, data_dir: str, cache_base: str, use_cache: bool = True,
               year_min: int | None = DEFAULT_YEAR_MIN, max_files: int = 0) -> DataFrame:
-    """I16: read the Parquet cache if present and readable, else ingest and write it."""
+    """I16: the Parquet cache if its manifest agrees with the documents and its parts, else ingest and write both."""
     path = cache_path(cache_base, year_min, max_files)
-    if use_cache:
-        try:
-            return spark.read.parquet(path).select(*FLAT_COLUMNS)
-        except Exception:  # noqa: BLE001 - missing or unreadable cache falls back to parsing
-            pass
-    return materialize(load_documents(spark, data_dir, year_min, max_files), path)
+    docs = load_documents(spark, data_dir, year_min, max_files)
+    if use_cache and cache_is_valid(spark, data_dir, path, year_min, max_files):
+        return spark.read.schema(docs.schema).parquet(path)
+    out = materialize(docs, path)
+    rows = list(_manifest(spark, data_dir, path, year_min, max_files).items())
+    spark.createDataFrame(rows, "name string, value string").coalesce(1).write.mode("overwrite").json(path + MANIFEST)
+    return out
 
 
 def kpis(flat: DataFrame, label: str = "severity", year: str = "year_published",
@@ -202,5 +286,5 @@ def kpis(flat: DataFrame, label: str = "severity", year: str = "year_published",
     return out if n_features is None else out.withColumn("n_features", F.lit(int(n_features)))
 
 
-__all__ = ["CVE_SCHEMA", "FLAT_COLUMNS", "flatten", "load_documents", "load_data", "materialize",
-           "list_files", "select_files", "read_raw", "kpis", "IngestReport"]
+__all__ = ["CVE_SCHEMA", "FLAT_COLUMNS", "flatten", "parse", "load_documents", "load_data", "materialize", "compact",
+           "load_compacted", "list_files", "select_files", "read_files", "read_raw", "kpis", "report", "IngestReport"]

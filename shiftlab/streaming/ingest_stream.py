@@ -10,23 +10,27 @@ compaction job rather than a long-running server.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from shiftlab.session import ensure_checkpoint_dir
-from shiftlab.sources.ingest import CVE_SCHEMA, FILE_GLOB, flatten
+from shiftlab.sources.ingest import CVE_SCHEMA, FILE_GLOB, file_year, flatten
 
 
 def ingest_stream(spark: SparkSession, data_dir: str, out_path: str, checkpoint: str | None = None,
                   max_files_per_trigger: int = 10_000, year_min: int | None = None):
     """Start the stream; returns the ``StreamingQuery`` (call ``awaitTermination``)."""
-    cp = checkpoint or ensure_checkpoint_dir(spark).rstrip("/") + "/ingest-stream"
+    # A checkpoint of its own for each pair of source and target.
+    name = hashlib.sha256(f"{data_dir}|{out_path}|{year_min}".encode()).hexdigest()[:16]
+    cp = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-stream-{name}"
     raw = (spark.readStream.schema(CVE_SCHEMA).option("multiLine", True)
            .option("pathGlobFilter", FILE_GLOB).option("maxFilesPerTrigger", max_files_per_trigger)
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(data_dir))
     if year_min:
         # Year in the file name, like the batch pruning (unparsable names kept).
-        y = F.split(F.col("_metadata.file_name"), "-").getItem(1).try_cast("int")
+        y = file_year(F.col("_metadata.file_name"))
         raw = raw.where(y.isNull() | (y >= year_min))
     flat = flatten(raw)
     return (flat.writeStream.format("parquet").option("checkpointLocation", cp)

@@ -76,15 +76,16 @@ def test_flatten_fixture_documents(spark, tmpdir_path):
     assert rows["CVE-2020-0004"]["desc_length"] == 5
     assert rows["CVE-2020-0005"]["year_published"] is None
     assert rows["CVE-2018-0001"]["year_published"] == 2020
-    rep = ig.ingest_report(spark, tmpdir_path, flat, year_min=2015)
-    assert rep.files == 13 and rep.valid == 11 and rep.skipped == 2
+    rep = ig.ingest_report(spark, tmpdir_path, year_min=2015)
+    assert (rep.files, rep.valid, rep.malformed, rep.skipped) == (13, 11, 1, 2)
 
 
 def test_max_files_and_errors(spark, tmpdir_path):
     _fixture_dir(tmpdir_path)
-    paths = ig.select_files(ig.list_files(spark, tmpdir_path), 2015, 3)
-    assert [p.rsplit("/", 1)[-1] for p in paths] == ["CVE-2016-0001.json", "CVE-2017-0001.json",
-                                                     "CVE-2018-0001.json"]
+    files = ig.select_files(ig.list_files(spark, tmpdir_path), 2015, 3)
+    want = ["CVE-2016-0001.json", "CVE-2017-0001.json", "CVE-2018-0001.json"]
+    assert sorted(r["file_name"] for r in files.collect()) == want
+    assert {r["cve_id"] for r in ig.load_documents(spark, tmpdir_path, 2015, 3).collect()} == {n[:-5] for n in want}
     import pytest
     with pytest.raises(FileNotFoundError):
         ig.list_files(spark, tmpdir_path + "/missing")
@@ -106,6 +107,64 @@ def test_cache_roundtrip(spark, tmpdir_path):
     assert k["n_rows"] == 11 and k["min_year"] == 2020
 
 
+def _rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_compacted_corpus_prunes_years(spark, tmpdir_path):
+    src, out = os.path.join(tmpdir_path, "docs"), os.path.join(tmpdir_path, "compact")
+    os.makedirs(src)
+    _fixture_dir(src)
+    ig.compact(spark, src, out)
+    for year_min, most in ((2015, 0), (2018, 0), (None, 0), (2015, 3)):
+        assert _rows(ig.load_compacted(spark, out, year_min, most)) == _rows(ig.load_documents(spark, src, year_min, most))
+    plan = ig.load_compacted(spark, out, 2018)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(isnull(file_year" in plan and "file_year" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    before = _rows(ig.load_compacted(spark, out, None))
+    _write(src, "CVE-2018-0001.json", _doc("CVE-2018-0001", [_cvss31(9.9)]))
+    _write(src, "CVE-2020-0001.json", "{broken")
+    ig.compact(spark, src, out, years=[2018])  # the other years' partitions stay
+    after = _rows(ig.load_compacted(spark, out, None))
+    assert [r for r in after if r not in before] == [r for r in after if r[0] == "CVE-2018-0001"]
+    assert len(after) == len(before)
+
+
+def test_cache_is_only_used_while_it_is_valid(spark, tmpdir_path):
+    import glob
+
+    src, cache = os.path.join(tmpdir_path, "docs"), os.path.join(tmpdir_path, "cache")
+    os.makedirs(src)
+    _fixture_dir(src)
+    path = ig.cache_path(cache, 2015, 0)
+
+    def valid():
+        return ig.cache_is_valid(spark, src, path, 2015, 0)
+
+    assert not valid()
+    first = _rows(ig.load_data(spark, src, cache))
+    assert valid() and _rows(ig.load_data(spark, src, cache)) == first
+    assert not ig.cache_is_valid(spark, src, path, 2016, 0)  # other parameters
+    _write(src, "CVE-2018-0001.json", _doc("CVE-2018-0001", [_cvss31(9.9)]))  # a changed document
+    assert not valid()
+    changed = _rows(ig.load_data(spark, src, cache))
+    assert valid() and changed != first
+    parts = sorted(glob.glob(path + "/*.parquet"))
+    with open(parts[0], "r+b") as f:  # a broken part
+        f.truncate(20)
+    assert not valid() and _rows(ig.load_data(spark, src, cache)) == changed and valid()
+    os.remove(sorted(glob.glob(path + "/*.parquet"))[0])  # a missing part
+    assert not valid() and _rows(ig.load_data(spark, src, cache)) == changed
+
+
+def test_documents_that_do_not_parse(spark):
+    docs = spark.createDataFrame([("a", "{bad"), ("b", ""), ("c", "[]"), ("d", "null"), ("e", "{}"), ("f", None),
+                                  ("g", json.dumps(_doc("x")))], "file_name string, doc string")
+    raw = ig.parse(docs)
+    assert [r["cve_id"] for r in ig.flatten(raw).collect()] == ["x"]
+    got = ig.report(raw)
+    assert got.files == 7 and got.valid == 1
+
+
 def test_streaming_ingest_matches_batch(spark, tmpdir_path):
     from shiftlab.streaming import run_ingest_stream
 
