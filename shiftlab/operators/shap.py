@@ -1,188 +1,161 @@
-"""Mean |SHAP| feature importance of a random forest.
-
-Path-dependent TreeSHAP (Lundberg, Erion & Lee 2018, "Consistent
-individualized feature attribution for tree ensembles", Algorithm 2) on the
-MLlib forest.  The forest's node table (per node: children, split feature and
-threshold, per-class weighted counts) is read back from the saved model; it is
-the model, bounded by trees x 2^(depth+1) nodes, not the data.  Rows are
-scored in ``mapInPandas``: every task walks the trees for its own rows, and
-Spark averages ``|phi|`` per feature.  Leaf values are class probabilities and
-the forest output is their mean over trees, so per class the attributions of a
-row sum to ``f(x) - E[f]`` (tested).
+"""Mean |SHAP| feature importance of a random forest (P03), over all rows.
+
+Path-dependent TreeSHAP (Lundberg, Erion & Lee 2018) written over leaves instead of
+over recursion.  A leaf's path names features, each with the interval of values that
+stay on the path and the share z of training weight that does.  Seen from the leaf, a
+row is a pattern: which of the path's features it agrees with (o = 1) or not (o = 0).
+Its Shapley values on that leaf depend on the pattern alone: feature j gets the leaf's
+value times (o_j - z_j) times the sum, over subsets S of the other features, of
+|S|! (m - |S| - 1)! / m! times the product of o in S and of z outside.
+
+So the work is joins and aggregations: every row meets the leaves of every tree by an
+equi-join on the tree (the leaf table is the model, bounded by trees x 2^depth), the
+patterns that occur are made distinct and valued once each, and the values go back to
+the rows by (leaf, pattern) and are added up per (row, feature).  Leaf values are class
+probabilities and the forest output is their mean over trees, so per class the
+attributions of a row sum to ``f(x) - E[f]`` (tested).
 """
 
 from __future__ import annotations
 
+import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlab.functions.hashing import DEFAULT_SEED
 from shiftlab.operators import models as md
 from shiftlab.operators.importance import forest
-from shiftlab.operators.sampling import sample_exact
+from shiftlab.operators.sampling import _maybe_broadcast
 from shiftlab.session import ensure_checkpoint_dir, ship_package
 
+_LEAF = ("tree int, leaf int, value array<double>, "
+         "path array<struct<feature:int, lo:double, hi:double, cats:array<double>, z:double, bit:bigint>>")
+
 
 @dataclass
-class Tree:
-    left: np.ndarray
-    right: np.ndarray
-    feature: np.ndarray
-    threshold: np.ndarray
-    categories: list          # per node: set of left categories, or None for a threshold split
-    cover: np.ndarray         # weighted training count reaching the node
-    value: np.ndarray         # (nodes, classes) class probabilities
-
-
-def forest_trees(model, spark) -> list[Tree]:
-    """Node tables of a fitted ``RandomForestClassificationModel``."""
+class Forest:
+    """``leaves``: (tree, leaf, value per class, path); ``expected``: the forest's mean output per class."""
+
+    leaves: list[tuple]
+    expected: np.ndarray
+    trees: int
+
+
+def read_forest(model, spark: SparkSession) -> Forest:
+    """Leaf paths of a fitted ``RandomForestClassificationModel``, from its saved node table (the model's size)."""
     path = ensure_checkpoint_dir(spark).rstrip("/") + f"/shap-model-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     rows = (spark.read.parquet(path + "/data")
             .select("treeID", "nodeData.id", "nodeData.impurityStats", "nodeData.leftChild",
                     "nodeData.rightChild", "nodeData.split.featureIndex",
-                    "nodeData.split.leftCategoriesOrThreshold", "nodeData.split.numCategories")
-            .collect())
-    by_tree: dict[int, list] = {}
+                    "nodeData.split.leftCategoriesOrThreshold", "nodeData.split.numCategories").collect())
+    trees: dict[int, dict] = {}
     for r in rows:
-        by_tree.setdefault(r["treeID"], []).append(r)
-    trees = []
-    for tid in sorted(by_tree):
-        nodes = sorted(by_tree[tid], key=lambda r: r["id"])
-        n = len(nodes)
-        stats = np.array([r["impurityStats"] for r in nodes], dtype=np.float64)
-        cover = stats.sum(axis=1)
-        value = stats / np.where(cover[:, None] > 0, cover[:, None], 1.0)
-        cats = [set(r["leftCategoriesOrThreshold"]) if (r["numCategories"] or -1) > 0 else None for r in nodes]
-        thr = np.array([(r["leftCategoriesOrThreshold"] or [0.0])[0] if c is None else 0.0
-                        for r, c in zip(nodes, cats)], dtype=np.float64)
-        trees.append(Tree(np.array([r["leftChild"] for r in nodes]), np.array([r["rightChild"] for r in nodes]),
-                          np.array([r["featureIndex"] for r in nodes]), thr, cats, cover, value))
-        assert all(nodes[i]["id"] == i for i in range(n))
-    return trees
-
-
-def _extend(path, z, o, d):
-    ud = len(path)
-    p = [e[:] for e in path] + [[d, z, o, 1.0 if ud == 0 else 0.0]]
-    for i in range(ud - 1, -1, -1):
-        p[i + 1][3] += o * p[i][3] * (i + 1) / (ud + 1)
-        p[i][3] = z * p[i][3] * (ud - i) / (ud + 1)
-    return p
-
-
-def _unwind(path, idx):
-    ud = len(path) - 1
-    z, o = path[idx][1], path[idx][2]
-    p = [e[:] for e in path]
-    nxt = p[ud][3]
-    for i in range(ud - 1, -1, -1):
-        if o != 0:
-            tmp = p[i][3]
-            p[i][3] = nxt * (ud + 1) / ((i + 1) * o)
-            nxt = tmp - p[i][3] * z * (ud - i) / (ud + 1)
-        else:
-            p[i][3] = p[i][3] * (ud + 1) / (z * (ud - i))
-    for i in range(idx, ud):
-        p[i][0], p[i][1], p[i][2] = p[i + 1][0], p[i + 1][1], p[i + 1][2]
-    return p[:-1]
-
-
-def _unwound_sum(path, idx):
-    ud = len(path) - 1
-    z, o = path[idx][1], path[idx][2]
-    nxt, total = path[ud][3], 0.0
-    if o != 0:
-        for i in range(ud - 1, -1, -1):
-            tmp = nxt / ((i + 1) * o)
-            total += tmp
-            nxt = path[i][3] - tmp * z * (ud - i)
-    else:
-        for i in range(ud - 1, -1, -1):
-            total += path[i][3] / (z * (ud - i))
-    return total * (ud + 1)
-
-
-def tree_shap(tree: Tree, x: np.ndarray, phi: np.ndarray) -> None:
-    """Add one tree's attributions for row ``x`` to ``phi`` (features x classes)."""
-
-    def goes_left(node: int) -> bool:
-        f = tree.feature[node]
-        cats = tree.categories[node]
-        return (x[f] in cats) if cats is not None else bool(x[f] <= tree.threshold[node])
-
-    def recurse(node, path, pz, po, pf):
-        path = _extend(path, pz, po, pf)
-        if tree.left[node] < 0:
-            for i in range(1, len(path)):
-                w = _unwound_sum(path, i)
-                d, z, o = path[i][0], path[i][1], path[i][2]
-                phi[d] += w * (o - z) * tree.value[node]
-            return
-        f = tree.feature[node]
-        left, right = tree.left[node], tree.right[node]
-        hot, cold = (left, right) if goes_left(node) else (right, left)
-        iz = io = 1.0
-        k = next((i for i in range(len(path)) if path[i][0] == f), None)
-        if k is not None:
-            iz, io = path[k][1], path[k][2]
-            path = _unwind(path, k)
-        w = tree.cover[node]
-        recurse(hot, path, tree.cover[hot] / w * iz, io, f)
-        recurse(cold, path, tree.cover[cold] / w * iz, 0.0, f)
-
-    recurse(0, [], 1.0, 1.0, -1)
-
-
-def forest_shap(trees: list[Tree], x: np.ndarray, n_features: int) -> np.ndarray:
-    """Mean over trees of the per-tree attributions: (features, classes)."""
-    k = trees[0].value.shape[1]
-    phi = np.zeros((n_features, k))
-    for t in trees:
-        tree_shap(t, x, phi)
-    return phi / len(trees)
-
-
-def expected_value(trees: list[Tree]) -> np.ndarray:
-    """E[f] per class: leaf values weighted by cover, averaged over trees."""
-    out = None
-    for t in trees:
-        leaves = t.left < 0
-        e = (t.value[leaves] * t.cover[leaves][:, None]).sum(axis=0) / t.cover[0]
-        out = e if out is None else out + e
-    return out / len(trees)
+        trees.setdefault(r["treeID"], {})[r["id"]] = r
+    leaves, expected = [], None
+    for tree, nodes in sorted(trees.items()):
+        cover = {i: float(sum(r["impurityStats"])) for i, r in nodes.items()}
+        todo = [(0, {})]  # node and its path: feature -> (lo, hi, categories or None, z)
+        while todo:
+            i, held = todo.pop()
+            r = nodes[i]
+            if r["leftChild"] < 0:
+                share = np.array(r["impurityStats"], float) / max(cover[i], 1e-300)
+                steps = [(f, lo, hi, cats, z, 1 << b) for b, (f, (lo, hi, cats, z)) in enumerate(held.items())]
+                leaves.append((tree, i, share.tolist(), steps))
+                part = share * cover[i] / cover[0]
+                expected = part if expected is None else expected + part
+                continue
+            f, split = r["featureIndex"], r["leftCategoriesOrThreshold"]
+            lo, hi, cats, z = held.get(f, (-math.inf, math.inf, None, 1.0))
+            n = r["numCategories"]
+            if n is not None and n > 0:
+                own = set(range(n)) if cats is None else set(cats)
+                sides = [(lo, hi, sorted(map(float, own & set(split))), z), (lo, hi, sorted(map(float, own - set(split))), z)]
+            else:
+                sides = [(lo, min(hi, split[0]), cats, z), (max(lo, split[0]), hi, cats, z)]
+            for child, side in zip((r["leftChild"], r["rightChild"]), sides, strict=True):
+                todo.append((child, held | {f: (*side[:3], side[3] * cover[child] / cover[i])}))
+    return Forest(leaves, expected / len(trees), len(trees))
+
+
+def pattern_values(z: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Per feature of a path, (o - z) times its weight over the subsets of the other features."""
+    m = len(z)
+    out = np.zeros(m)
+    for j in range(m):
+        # by[s]: the sum over subsets of size s of the others, grown one feature at a time
+        by = np.zeros(m)
+        by[0] = 1.0
+        for k in range(m):
+            if k != j:
+                by[1:] = by[1:] * z[k] + by[:-1] * o[k]
+                by[0] *= z[k]
+        weight = [math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)]
+        out[j] = (o[j] - z[j]) * float(by @ weight)
+    return out
+
+
+def row_values(rows: DataFrame, found: Forest, x: str = "x", row: str = "row") -> DataFrame:
+    """(row, feature, phi): every row's Shapley values, an array with a value per class; features on no path are left out.
+
+    ``x`` is an array column; ``row`` identifies rows.
+    """
+    spark = rows.sparkSession
+    ship_package(spark)
+    leaves = F.broadcast(spark.createDataFrame(found.leaves, _LEAF))
+    each = rows.select(F.col(row).alias("row"), F.col(x).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(found.trees - 1))).alias("tree"))
 
+    def agrees(p):
+        v = F.get("x", p["feature"])
+        inside = (v > p["lo"]) & (v <= p["hi"])
+        return F.when(p["cats"].isNull(), inside).otherwise(F.array_contains(p["cats"], v))
 
-def shap_importance(df: DataFrame, label: str, features: str, names: Sequence[str], key: Sequence[str],
-                    max_samples: int = 500, trees: int = 100, depth: int = 10,
-                    seed: int = DEFAULT_SEED) -> DataFrame:
-    """Fit the forest on all rows, explain an exact hash sample of at most
-    ``max_samples`` rows, return mean |SHAP| per feature (over rows and classes)."""
-    spark = df.sparkSession
-    ship_package(spark)
-    indexer, _ = md.label_indexer(df, label)
-    model = forest(features, md.LABEL_IDX, trees, depth, seed).fit(indexer.transform(df))
-    forest_tbl = forest_trees(model, spark)
-    n_feat = len(names)
-    sample = sample_exact(df, max_samples, [], key, seed).select(vector_to_array(features).alias("x"))
+    bits = F.aggregate(F.transform("path", lambda p: F.when(agrees(p), p["bit"]).otherwise(F.lit(0).cast("bigint"))),
+                       F.lit(0).cast("bigint"), lambda a, b: a + b)
+    hits = each.join(leaves, "tree").select("row", "tree", "leaf", bits.alias("pattern")).where(F.size("path") > 0)
+    kinds = hits.select("tree", "leaf", "pattern").distinct()
 
-    def explain(batches):
+    def value(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = np.zeros((len(pdf), n_feat))
-            for i, x in enumerate(pdf["x"]):
-                out[i] = np.abs(forest_shap(forest_tbl, np.asarray(x, dtype=np.float64), n_feat)).mean(axis=1)
-            yield pd.DataFrame({"f": np.tile(np.arange(n_feat, dtype=np.int32), len(pdf)),
-                                "v": out.reshape(-1)})
-
-    per = sample.mapInPandas(explain, "f int, v double")
-    nm = F.array(*[F.lit(str(n)) for n in names])
-    return (per.groupBy("f").agg(F.avg("v").alias("importance"))
-            .select(F.element_at(nm, F.col("f") + 1).alias("feature"), "importance")
-            .orderBy(F.col("importance").desc(), "feature"))
+            out = []
+            for tree, leaf, pattern, own, path in pdf.itertuples(index=False):
+                z = np.array([p["z"] for p in path])
+                o = np.array([float(bool(pattern & p["bit"])) for p in path])
+                out += [(tree, leaf, pattern, p["feature"], (w * np.asarray(own)).tolist())
+                        for p, w in zip(path, pattern_values(z, o), strict=True)]
+            yield pd.DataFrame(out, columns=["tree", "leaf", "pattern", "feature", "part"])
+
+    values = (kinds.join(leaves, ["tree", "leaf"]).select("tree", "leaf", "pattern", "value", "path")
+              .mapInPandas(value, "tree int, leaf int, pattern bigint, feature int, part array<double>").checkpoint())
+    classes = len(found.leaves[0][2])
+    parts = [F.col("part")[c] for c in range(classes)]
+    met = hits.join(_maybe_broadcast(values, values.count()), ["tree", "leaf", "pattern"])
+    sums = met.groupBy("row", "feature").agg(*(F.sum(p).alias(f"s{c}") for c, p in enumerate(parts)))
+    return sums.select("row", "feature", F.array(*[F.col(f"s{c}") / F.lit(float(found.trees)) for c in range(classes)]).alias("phi"))
+
+
+def shap_importance(df: DataFrame, label: str, features: str, names: Sequence[str], key: Sequence[str],
+                    trees: int = 100, depth: int = 10, seed: int = DEFAULT_SEED) -> DataFrame:
+    """Fit the forest on all rows, return mean |SHAP| per feature over all rows and classes.
+
+    Rows are told apart by their ``key``."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    indexer, classes = md.label_indexer(df, label)
+    found = read_forest(forest(features, md.LABEL_IDX, trees, depth, seed).fit(indexer.transform(df)), spark)
+    rows = df.select(F.struct(*key).alias("row"), vector_to_array(features).alias("x"))
+    n = rows.count()
+    size = F.aggregate("phi", F.lit(0.0), lambda a, v: a + F.abs(v)) / F.lit(float(len(classes)))
+    sums = row_values(rows, found).groupBy("feature").agg(F.sum(size).alias("s"))
+    all_features = spark.createDataFrame([(i, str(f)) for i, f in enumerate(names)], "feature int, name string")
+    out = all_features.join(F.broadcast(sums), "feature", "left")
+    return out.select(F.col("name").alias("feature"), (F.coalesce("s", F.lit(0.0)) / F.lit(float(max(n, 1)))).alias("importance")).orderBy(
+        F.col("importance").desc(), "feature")

@@ -157,8 +157,7 @@ def p02(spark, sf):
 
 @register("p03_shap_importance")
 def p03(spark, sf):
-    return sh.shap_importance(embeddings(spark, sf), "label", "features", emb_names(spark, sf), EMB_KEY,
-                              max_samples=200, trees=20, depth=5)
+    return sh.shap_importance(embeddings(spark, sf), "label", "features", emb_names(spark, sf), EMB_KEY, trees=20, depth=5)
 
 
 @register("p04_all_importances")
@@ -167,7 +166,7 @@ def p04(spark, sf):
     return im.all_importances({
         "gini": im.gini_importance(x, "label", "features", names, trees=20),
         "permutation": im.permutation_importance(x, "label", "features", names, EMB_KEY, n_repeats=3, trees=20),
-        "shap": sh.shap_importance(x, "label", "features", names, EMB_KEY, max_samples=100, trees=10, depth=5),
+        "shap": sh.shap_importance(x, "label", "features", names, EMB_KEY, trees=10, depth=5),
     })
 
 

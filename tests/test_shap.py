@@ -1,30 +1,64 @@
-"""TreeSHAP: attributions of every row sum to f(x) - E[f] per class."""
+"""SHAP over leaves: sums to f(x) - E[f], and equals the Shapley values by their definition."""
+
+from itertools import combinations
+from math import factorial
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
+import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
 
 from shiftlab.operators import models as md
 from shiftlab.operators import shap as sh
 from shiftlab.operators.importance import forest
 
 
-def test_tree_shap_efficiency_and_ranking(spark):
+def data(spark, n=300, copies=1):
     rng = np.random.default_rng(0)
     rows = []
-    for i in range(300):
+    for i in range(n):
         x = rng.normal(size=5)
-        y = int(x[0] + 0.5 * x[1] > 0) + int(x[2] > 1)
-        rows.append((i, str(y), [float(v) for v in x]))
-    df = spark.createDataFrame(rows, "id long, label string, f array<double>").select(
-        "id", "label", array_to_vector("f").alias("features"))
-    ind, _ = md.label_indexer(df, "label")
-    model = forest("features", md.LABEL_IDX, 7, 4, 42).fit(ind.transform(df))
-    trees = sh.forest_trees(model, spark)
-    ev = sh.expected_value(trees)
-    for r in model.transform(ind.transform(df)).select("probability", "features").limit(25).collect():
-        phi = sh.forest_shap(trees, r["features"].toArray(), 5)
-        assert np.allclose(phi.sum(axis=0), r["probability"].toArray() - ev, atol=1e-9)
-    imp = sh.shap_importance(df, "label", "features", [f"x{i}" for i in range(5)], ["id"],
-                             max_samples=100, trees=7, depth=4).collect()
-    top = {r["feature"] for r in imp[:3]}
-    assert top == {"x0", "x1", "x2"}
+        rows += [(i * 10 + c, str(int(x[0] + 0.5 * x[1] > 0) + int(x[2] > 1)), [float(v) for v in x]) for c in range(copies)]
+    df = spark.createDataFrame(rows, "id long, label string, f array<double>")
+    return df.select("id", "label", array_to_vector("f").alias("features"))
+
+
+def shapley(found, x, features):
+    """Shapley values by their definition: a feature outside a coalition passes a leaf with share z."""
+    def value(known):
+        out = 0
+        for _, _, own, path in found.leaves:
+            w = 1.0
+            for f, lo, hi, cats, z, _ in path:
+                inside = lo < x[f] <= hi if cats is None else x[f] in cats
+                w *= float(inside) if f in known else z
+            out = out + w * np.array(own)
+        return out / found.trees
+
+    phi = []
+    for j in range(features):
+        rest = [f for f in range(features) if f != j]
+        phi.append(sum(factorial(len(s)) * factorial(features - len(s) - 1) / factorial(features) * (value({*s, j}) - value(set(s)))
+                       for size in range(features) for s in combinations(rest, size)))
+    return np.array(phi)
+
+
+def test_values_equal_the_definition(spark):
+    df = data(spark)
+    indexer, classes = md.label_indexer(df, "label")
+    model = forest("features", md.LABEL_IDX, 6, 4, 42).fit(indexer.transform(df))
+    found = sh.read_forest(model, spark)
+    some = df.limit(12)
+    got = {}
+    for r in sh.row_values(some.select(F.struct("id").alias("row"), vector_to_array("features").alias("x")), found).collect():
+        got.setdefault(r["row"]["id"], np.zeros((5, len(classes))))[r["feature"]] = r["phi"]
+    for r in model.transform(some).select("id", "probability", "features").collect():
+        assert np.allclose(got[r["id"]].sum(0), r["probability"].toArray() - found.expected, atol=1e-9)
+        assert np.allclose(got[r["id"]], shapley(found, r["features"].toArray(), 5), atol=1e-9)
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_importance_over_all_rows(spark, copies):
+    imp = sh.shap_importance(data(spark, 200, copies), "label", "features", [f"x{i}" for i in range(5)], ["id"], trees=7, depth=4).collect()
+    assert {r["feature"] for r in imp[:3]} == {"x0", "x1", "x2"} and len(imp) == 5
+    assert all(r["importance"] > 0 for r in imp)
