@@ -343,11 +343,12 @@ def run_loop(df: DataFrame, label: str, features: str | None, key: Sequence[str]
              algorithms: dict[str, Algo] | None = None, selected: Sequence[str] | None = None,
              test_size: float = 0.2, seed: int = DEFAULT_SEED, cv_folds: int = 5,
              learning_curves: bool = False, quick: bool = False, max_train: int | None = None,
-             parallel: int = 1) -> LoopResult:
+             parallel: int = 1, resample: Callable[[DataFrame], DataFrame] | None = None) -> LoopResult:
     """M06 (and M07 with ``quick``): stratified split, fit each algorithm, score
     test and train, optional stratified CV (M08) and learning curves (M09).
 
-    ``max_train`` bounds the rows that are fitted on (a stratified sample of the training
+    ``resample`` changes the training part only, after the split, so that no copy of a test row
+    is trained on.  ``max_train`` bounds the rows that are fitted on (a stratified sample of the training
     part, after the split); every test row is scored.  Up to ``parallel`` algorithms, and
     fits of a CV or curve, run side by side.
 
@@ -364,8 +365,12 @@ def run_loop(df: DataFrame, label: str, features: str | None, key: Sequence[str]
     data = sp.train_test_split(data, label, key, test_size, seed).cache()
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
+    if resample is not None:
+        train = resample(train)
     if max_train is not None:
-        train = sp.stratified_subsample(train, label, max_train, key, seed).cache()
+        train = sp.stratified_subsample(train, label, max_train, key, seed)
+    if resample is not None or max_train is not None:
+        train = train.cache()
     d, k = n_features_of(data, features), len(classes)
     failed: dict[str, str] = {}
 
@@ -417,7 +422,7 @@ def run_loop(df: DataFrame, label: str, features: str | None, key: Sequence[str]
         for part, found in frames.items():
             if got.get(part) is not None:
                 found.append(got[part].withColumn("algorithm", F.lit(name)))
-    if max_train is not None:
+    if resample is not None or max_train is not None:
         train.unpersist()
     data.unpersist()
     metrics = spark.createDataFrame(metric_rows, "algorithm string, metric string, value double")
@@ -433,10 +438,11 @@ def run_loop(df: DataFrame, label: str, features: str | None, key: Sequence[str]
 
 def quick_scores(df: DataFrame, label: str, features: str, key: Sequence[str],
                  algorithms: dict[str, Algo] | None = None, selected: Sequence[str] | None = None,
-                 test_size: float = 0.2, seed: int = DEFAULT_SEED, max_train: int | None = None, parallel: int = 1) -> DataFrame:
+                 test_size: float = 0.2, seed: int = DEFAULT_SEED, max_train: int | None = None, parallel: int = 1,
+                 resample: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(algorithm, f1_macro)`` only; a failing algorithm scores 0.0."""
     res = run_loop(df, label, features, key, algorithms, selected, test_size, seed, cv_folds=0, quick=True,
-                   max_train=max_train, parallel=parallel)
+                   max_train=max_train, parallel=parallel, resample=resample)
     return res.metrics.select("algorithm", F.col("value").alias("f1_macro"))
 
 

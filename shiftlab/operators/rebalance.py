@@ -31,6 +31,8 @@ IDENTITY_EPS = 0.01
 MAX_LOCAL_CLASSES = 100_000
 KINDS = ("target", "binary", "continuous", "categorical")
 GROUP = "_grp"
+#: The column that tells a row's copies apart in a sweep: 0 for a row that was kept, else its draw.
+COPY = "_copy"
 
 
 def value_counts(df: DataFrame, col: str, count_col: str = "n") -> DataFrame:
@@ -133,17 +135,25 @@ def prepare_rebalance(df: DataFrame, column: str, kind: str, key: Sequence[str],
     return None
 
 
+def _numbered(df: DataFrame, copy_col: str | None) -> DataFrame:
+    """Rows that are kept as they are: copy 0."""
+    return df if copy_col is None else df.withColumn(copy_col, F.lit(0).cast("bigint"))
+
+
 def rebalance_target(df: DataFrame, column: str, slider: float, key: Sequence[str],
                      seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = (),
-                     prepared: PreparedRebalance | None = None) -> DataFrame:
+                     prepared: PreparedRebalance | None = None, copy_col: str | None = None) -> DataFrame:
     """Move every class size toward the others.
 
     s > 0: classes smaller than ``T = int(m + (M - m) s)`` are *replaced* by T
     draws with replacement; s < 0: classes larger than
     ``T = max(int(M - (M - m)|s|), m)`` are cut to T.  NULL labels are dropped.
+
+    ``copy_col`` numbers the draws of a class, so that ``key`` and it identify a row; rows that
+    are kept have 0.  (All functions here take it.)
     """
     if abs(slider) < IDENTITY_EPS:
-        return df
+        return _numbered(df, copy_col)
     if prepared is not None:
         d, hp, st = prepared.frame, prepared.hp, prepared.stats
     else:
@@ -152,7 +162,7 @@ def rebalance_target(df: DataFrame, column: str, slider: float, key: Sequence[st
         st = count_stats(hp.group_sizes())
     counts = hp.group_sizes()
     if st.groups == 0:
-        return d
+        return _numbered(d, copy_col)
     if slider > 0:
         t = up_target(st.min, st.max, slider)
         if prepared is not None and prepared.sizes is not None:
@@ -161,17 +171,19 @@ def rebalance_target(df: DataFrame, column: str, slider: float, key: Sequence[st
         keep = d.join(_maybe_broadcast(counts.where(F.col("n") >= t).select(column), st.groups),
                       column, "left_semi")
         draws = draw_with_replacement(d, small.select(column, F.lit(t).alias(Q)), [column],
-                                      key, seed, tiebreak, st.groups, prepared=hp)
-        return keep.unionByName(draws)
+                                      key, seed, tiebreak, st.groups, prepared=hp, draw_id=copy_col)
+        return _numbered(keep, copy_col).unionByName(draws)
     t = down_target(st.min, st.max, slider)
     if prepared is not None and prepared.sizes is not None:
         prepared.last_size = sum(min(c, t) for c in prepared.sizes.values())
-    return rank_cut(d, counts.select(column, F.least(F.col("n"), F.lit(t)).alias(Q)),
-                    [column], key, seed, tiebreak, n_groups=st.groups, prepared=hp)
+    cut = rank_cut(d, counts.select(column, F.least(F.col("n"), F.lit(t)).alias(Q)),
+                   [column], key, seed, tiebreak, n_groups=st.groups, prepared=hp)
+    return _numbered(cut, copy_col)
 
 
 def _two_group(df: DataFrame, group_expr, grow: str, slider: float, up_n, down_n,
-               key, seed, tiebreak, other: str, prepared: PreparedRebalance | None = None) -> DataFrame:
+               key, seed, tiebreak, other: str, prepared: PreparedRebalance | None = None,
+               copy_col: str | None = None) -> DataFrame:
     """Resample group ``grow`` of a two-group split; keep group ``other`` whole."""
     if prepared is not None:
         g, hp, sizes = prepared.frame, prepared.hp, prepared.sizes
@@ -189,15 +201,15 @@ def _two_group(df: DataFrame, group_expr, grow: str, slider: float, up_n, down_n
     quota = hp.group_sizes().where(F.col(GROUP) == grow).select(GROUP, F.lit(int(t)).alias(Q))
     if slider > 0:
         moved = draw_with_replacement(g, quota, [GROUP], key, seed, tiebreak, 2, prepared=hp,
-                                      hash_groups=False)
+                                      hash_groups=False, draw_id=copy_col)
     else:
-        moved = rank_cut(g, quota, [GROUP], key, seed, tiebreak, n_groups=2, prepared=hp)
-    return base.unionByName(moved).drop(GROUP)
+        moved = _numbered(rank_cut(g, quota, [GROUP], key, seed, tiebreak, n_groups=2, prepared=hp), copy_col)
+    return _numbered(base, copy_col).unionByName(moved).drop(GROUP)
 
 
 def rebalance_binary(df: DataFrame, column: str, slider: float, key: Sequence[str],
                      seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = (),
-                     prepared: PreparedRebalance | None = None) -> DataFrame:
+                     prepared: PreparedRebalance | None = None, copy_col: str | None = None) -> DataFrame:
     """Resample the rows with ``column == 1``; rows not 0/1 are dropped.
 
     s > 0: ``max(int(n1 + (n0 - n1) s), n1)`` draws with replacement (even when
@@ -205,37 +217,37 @@ def rebalance_binary(df: DataFrame, column: str, slider: float, key: Sequence[st
     Either group empty: input unchanged.
     """
     if abs(slider) < IDENTITY_EPS:
-        return df
+        return _numbered(df, copy_col)
     grp = None if prepared is not None else _group_expr(df, column, "binary")
     out = _two_group(
         df, grp, "1", slider,
         lambda n1, n0: max(int(n1 + (n0 - n1) * slider), n1),
         lambda n1, n0: max(int(n1 * (1 - abs(slider))), 1),
-        key, seed, tiebreak, other="0", prepared=prepared)
-    return df if out is None else out
+        key, seed, tiebreak, other="0", prepared=prepared, copy_col=copy_col)
+    return _numbered(df, copy_col) if out is None else out
 
 
 def rebalance_continuous(df: DataFrame, column: str, slider: float, key: Sequence[str],
                          seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = (),
-                         prepared: PreparedRebalance | None = None) -> DataFrame:
+                         prepared: PreparedRebalance | None = None, copy_col: str | None = None) -> DataFrame:
     """Split at the exact median (``<=`` low, ``>`` high), resample high.
 
     s > 0: ``max(int(h (1 + 2 s)), h)`` draws with replacement; s < 0:
     ``max(int(h (1 - 0.8|s|)), 1)`` rows without.  NULL and NaN are dropped.
     """
     if abs(slider) < IDENTITY_EPS:
-        return df
+        return _numbered(df, copy_col)
     if prepared is not None and prepared.frame is None:
-        return df
+        return _numbered(df, copy_col)
     grp = None if prepared is not None else _group_expr(df, column, "continuous")
     if prepared is None and grp is None:
-        return df
+        return _numbered(df, copy_col)
     out = _two_group(
         df, grp, "high", slider,
         lambda h, lo: max(int(h * (1 + slider * 2)), h),
         lambda h, lo: max(int(h * (1 - abs(slider) * 0.8)), 1),
-        key, seed, tiebreak, other="low", prepared=prepared)
-    return df if out is None else out
+        key, seed, tiebreak, other="low", prepared=prepared, copy_col=copy_col)
+    return _numbered(df, copy_col) if out is None else out
 
 
 def majority_value(df: DataFrame, column: str):
@@ -246,33 +258,33 @@ def majority_value(df: DataFrame, column: str):
 
 def rebalance_categorical(df: DataFrame, column: str, slider: float, key: Sequence[str],
                           seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = (),
-                          prepared: PreparedRebalance | None = None) -> DataFrame:
+                          prepared: PreparedRebalance | None = None, copy_col: str | None = None) -> DataFrame:
     """Majority value vs the rest (NULL counts as rest).
 
     s > 0: the rest gets ``max(int(r + (g - r) s), r)`` draws with replacement;
     s < 0: the majority keeps ``max(int(g (1 - 0.8|s|)), r)`` rows, at most g.
     """
     if abs(slider) < IDENTITY_EPS:
-        return df
+        return _numbered(df, copy_col)
     if prepared is not None and prepared.frame is None:
-        return df
+        return _numbered(df, copy_col)
     grp = None if prepared is not None else _group_expr(df, column, "categorical")
     if prepared is None and grp is None:
-        return df
+        return _numbered(df, copy_col)
     if slider > 0:
         out = _two_group(df, grp, "rest", slider,
                          lambda r, g: max(int(r + (g - r) * slider), r), None,
-                         key, seed, tiebreak, other="major", prepared=prepared)
+                         key, seed, tiebreak, other="major", prepared=prepared, copy_col=copy_col)
     else:
         out = _two_group(df, grp, "major", slider, None,
                          lambda g, r: min(max(int(g * (1 - abs(slider) * 0.8)), r), g),
-                         key, seed, tiebreak, other="rest", prepared=prepared)
-    return df if out is None else out
+                         key, seed, tiebreak, other="rest", prepared=prepared, copy_col=copy_col)
+    return _numbered(df, copy_col) if out is None else out
 
 
 def rebalance(df: DataFrame, column: str, kind: str, slider: float, key: Sequence[str],
               seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = (),
-              prepared: PreparedRebalance | None = None) -> DataFrame:
+              prepared: PreparedRebalance | None = None, copy_col: str | None = None) -> DataFrame:
     """Dispatch on ``kind``; an unknown kind returns the input."""
     fn = {
         "target": rebalance_target,
@@ -281,8 +293,8 @@ def rebalance(df: DataFrame, column: str, kind: str, slider: float, key: Sequenc
         "categorical": rebalance_categorical,
     }.get(kind)
     if fn is None:
-        return df
-    return fn(df, column, slider, key, seed, tiebreak, prepared=prepared)
+        return _numbered(df, copy_col)
+    return fn(df, column, slider, key, seed, tiebreak, prepared=prepared, copy_col=copy_col)
 
 
 def random_undersample(df: DataFrame, label: str, slider: float, key: Sequence[str],
@@ -294,18 +306,20 @@ def random_undersample(df: DataFrame, label: str, slider: float, key: Sequence[s
 
 
 def random_oversample(df: DataFrame, label: str, slider: float, key: Sequence[str],
-                      seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = ()) -> DataFrame:
+                      seed: int = DEFAULT_SEED, tiebreak: Sequence[str] = (), copy_col: str | None = None) -> DataFrame:
     """Keep all rows and append ``T - n_c`` draws to classes below ``T``."""
     if abs(slider) < IDENTITY_EPS:
-        return df
+        return _numbered(df, copy_col)
     d = df.where(F.col(label).isNotNull())
     hp = prepare(d, [label], key, seed)
     counts = hp.group_sizes()
     st = count_stats(counts)
     t = up_target(st.min, st.max, slider)
     need = counts.where(F.col("n") < t).select(label, (F.lit(t) - F.col("n")).alias(Q))
-    extra = draw_with_replacement(d, need, [label], key, seed, tiebreak, st.groups, prepared=hp)
-    return d.unionByName(extra)
+    extra = draw_with_replacement(d, need, [label], key, seed, tiebreak, st.groups, prepared=hp, draw_id=copy_col)
+    if copy_col:
+        extra = extra.withColumn(copy_col, F.col(copy_col) + 1)  # the rows themselves are 0
+    return _numbered(d, copy_col).unionByName(extra)
 
 
 def distribution_stats(before: DataFrame, after: DataFrame, column: str) -> DataFrame:

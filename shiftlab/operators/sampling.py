@@ -38,6 +38,8 @@ H, B, G0 = "_sh_h", "_sh_b", "_sh_g"
 Q, N = "_q", "_n"
 # Draws are generated in chunks so that no task explodes more than this many.
 DRAW_CHUNK_ROWS = 1 << 20
+# Draws that meet one row under one join key: a row drawn more often is dealt over salts.
+DRAWS_PER_KEY = 1024
 
 
 def _maybe_broadcast(small: DataFrame, rows_bound: int | None) -> DataFrame:
@@ -210,8 +212,9 @@ def draw_with_replacement(df: DataFrame, quota: DataFrame | int, by: Sequence[st
 
     Draw ``j`` of group ``g`` picks the row of rank
     ``u60(md5(seed|g|j)) mod group_size``; ``draw_id`` keeps ``j`` as a column.  Draw ids are generated in chunks
-    spread over tasks, then joined to the ranked rows on ``(g, rank)``; every
-    join key has about ``_q / n`` matches, so no key is hot.  With
+    spread over tasks, then joined to the ranked rows on ``(g, rank, salt)``; a group that is
+    drawn far more often than it has rows gets as many salts as leave about
+    ``DRAWS_PER_KEY`` draws a key, so no key is hot.  With
     ``hash_groups=False`` the group value is left out of the draw hash.
     """
     if not key:
@@ -230,14 +233,18 @@ def draw_with_replacement(df: DataFrame, quota: DataFrame | int, by: Sequence[st
         bc = None if bc is None else bc.join(groups, gb, "left_semi")
     ranked, sizes = _ranked(x, gb, key, tiebreak, 1 if added else n_groups, bc)
     plan = qt.join(sizes, gb).where(F.col(N) > 0)
+    salts = F.ceil(F.col(Q) / (F.col(N) * F.lit(DRAWS_PER_KEY))).cast("bigint")
     nchunks = F.ceil(F.col(Q) / F.lit(chunk_rows)).cast("bigint")
     chunks = plan.select(*gb, Q, N, F.explode(F.sequence(F.lit(0).cast("bigint"), nchunks - 1)).alias("_c"))
     chunks = chunks.repartition("_c", *gb)
     lo = F.col("_c") * chunk_rows
     hi = F.least(F.col(Q), lo + chunk_rows) - 1
-    draws = chunks.select(*gb, N, F.explode(F.sequence(lo, hi)).alias("_j"))
+    draws = chunks.select(*gb, N, salts.alias("_salts"), F.explode(F.sequence(lo, hi)).alias("_j"))
     parts = [] if (added or not hash_groups) else list(gb)
-    draws = draws.select(*gb, "_j", (draw_hash([*parts, F.col("_j")], seed) % F.col(N)).alias("_rank"))
-    out = ranked.join(draws, [*gb, "_rank"]).drop("_rank")
+    draws = draws.select(*gb, "_j", (draw_hash([*parts, F.col("_j")], seed) % F.col(N)).alias("_rank"),
+                         (F.col("_j") % F.col("_salts")).alias("_salt"))
+    dealt = _maybe_broadcast(plan.select(*gb, F.sequence(F.lit(0).cast("bigint"), salts - 1).alias("_of")), 1 if added else n_groups)
+    ranked = ranked.join(dealt, gb).withColumn("_salt", F.explode("_of")).drop("_of")
+    out = ranked.join(draws, [*gb, "_rank", "_salt"]).drop("_rank", "_salt")
     out = out.drop("_j") if draw_id is None else out.withColumnRenamed("_j", draw_id)
     return _finish(out, added)

@@ -11,6 +11,7 @@ thousands of runs.
 from __future__ import annotations
 
 import copy
+import dataclasses
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -139,20 +140,33 @@ def trajectory_table(steps: DataFrame, algorithms: Sequence[str],
 Scorer = Callable[[DataFrame], dict]
 
 
+def _row_key(df: DataFrame, key: Sequence[str]) -> list[str]:
+    """What identifies a row of a step's table: SMOTE's key, or ``key`` with the number of the copy."""
+    if sm.ROW_KEY in df.columns:
+        return [sm.ROW_KEY]
+    return [*key, rb.COPY] if rb.COPY in df.columns else list(key)
+
+
+def _with_copies(prep: fe.FeaturePrep, df: DataFrame) -> fe.FeaturePrep:
+    """The prep, keeping the number of the copy."""
+    return dataclasses.replace(prep, keep=[*prep.keep, rb.COPY]) if rb.COPY in df.columns else prep
+
+
 def value_majority_scorer(column: str, label: str, key: Sequence[str], test_size: float = 0.2,
                           seed: int = 42, of: Column | None = None) -> Scorer:
     """Exact scorer: stratified split, predict the majority label per ``column``
     value learnt on train, macro F1 on test.  One algorithm, ``by_<column>``.
     The score is rounded to 12 decimals in Spark, so that strict "new best"
     comparisons do not depend on the order of a floating-point sum.  ``of`` computes
-    ``column`` where the scored tables do not have it."""
-    def score(df: DataFrame) -> dict:
+    ``column`` where the scored tables do not have it.  ``resample`` changes the training part only."""
+    def score(df: DataFrame, resample=None) -> dict:
         df = df if of is None else df.withColumn(column, of)
-        s, info = sp.train_test_split_info(df, label, key, test_size, seed)
+        s, info = sp.train_test_split_info(df, label, _row_key(df, key), test_size, seed)
         s = s.cache()
         classes = info["classes"] if info else mt.class_list(df, label)
         tr, te = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
-        counts = info["train_counts"] if info else None
+        counts = info["train_counts"] if info and resample is None else None
+        tr = tr if resample is None else resample(tr)
         p = md.ValueMajority(column, label, classes).fit(tr, counts).transform(te)
         r = mt.macro_f1(p, label, "y_pred", classes).select(F.round("f1_macro", 12).alias("f")).first()
         s.unpersist()
@@ -166,12 +180,12 @@ def mllib_scorer(prep: fe.FeaturePrep, key: Sequence[str], algorithms=None, sele
     every algorithm on at most ``max_samples`` training rows (a stratified sample),
     and score every test row.  A table with a vector column ``prep.features_col``, as
     SMOTE in the encoded space leaves it, is taken as prepared."""
-    def score(df: DataFrame) -> dict:
-        x = df if prep.features_col in df.columns else prep.fit(df).transform(df, assemble=True, wide=False)
+    def score(df: DataFrame, resample=None) -> dict:
+        x = df if prep.features_col in df.columns else _with_copies(prep, df).fit(df).transform(df, assemble=True, wide=False)
         if isinstance(x.schema[prep.features_col].dataType, T.ArrayType):
             x = sm.as_vectors(x, prep.features_col)
-        by = [sm.ROW_KEY] if sm.ROW_KEY in x.columns else key
-        q = md.quick_scores(x, prep.label, prep.features_col, by, algorithms, selected, seed=seed, max_train=max_samples)
+        q = md.quick_scores(x, prep.label, prep.features_col, _row_key(x, key), algorithms, selected, seed=seed,
+                            max_train=max_samples, resample=resample)
         return {r["algorithm"]: float(r["f1_macro"]) for r in q.collect()}
     return score
 
@@ -191,7 +205,7 @@ def run_sweep(df: DataFrame, column: str, kind: str, scorer: Scorer, key: Sequen
               grid: Sequence[float] | None = None, threshold: float = DEFAULT_THRESHOLD,
               run_id: str | None = None, use_smote: bool = False, smote_features: str | None = None,
               prep: fe.FeaturePrep | None = None, seed: int = 42, failures: list | None = None,
-              speculate: int = 1):
+              speculate: int = 1, resample_scope: str = "all"):
     """Baseline, then rebalance/score every slider until the exit rule fires.
 
     Returns ``(steps, baseline)`` DataFrames; feed them to :func:`optimum`.
@@ -202,6 +216,11 @@ def run_sweep(df: DataFrame, column: str, kind: str, scorer: Scorer, key: Sequen
     ``smote_features``, and every step resamples the encoded rows: SMOTE upwards, random
     under-sampling downwards.  The scorer then sees label, vector, ``row_key`` and ``synthetic``.
 
+    With ``resample_scope="all"`` a step's table is resampled and then split, so copies of a row, told
+    apart by ``rebalance.COPY``, fall on both sides, as in the reference.  With ``"train"`` the base is split
+    and only its training part resampled (the scorer is called with ``resample``); the step's size
+    is then that of the base.
+
     ``speculate`` steps run side by side; those after the exit are cancelled, so the step
     table is the same as one by one.
     """
@@ -215,9 +234,22 @@ def run_sweep(df: DataFrame, column: str, kind: str, scorer: Scorer, key: Sequen
     base.count()
     baseline = scorer(base)
     # Slider-independent work (counts, median, majority, group sizes, neighbours) once per sweep.
-    ready = rb.prepare_rebalance(base, column, kind, key, seed) if smoted is None else None
+    if resample_scope not in ("all", "train"):
+        raise ValueError("resample_scope is 'all' or 'train'")
+    ready = rb.prepare_rebalance(base, column, kind, key, seed) if smoted is None and resample_scope == "all" else None
 
     def step(s: float) -> tuple[dict, int]:
+        if resample_scope == "train":
+            n = base.count()
+            if abs(s) < rb.IDENTITY_EPS:
+                return scorer(base), n
+            if smoted is not None:
+                def again(tr: DataFrame) -> DataFrame:
+                    return sm.smote(tr, smoted.features, column, s, [sm.ROW_KEY], seed).drop("synthetic")
+            else:
+                def again(tr: DataFrame) -> DataFrame:
+                    return rb.rebalance(tr, column, kind, s, key, seed)
+            return scorer(base, resample=again), n
         own = copy.copy(ready)  # its size is noted per step
         if abs(s) < rb.IDENTITY_EPS:
             mod = base
@@ -226,7 +258,7 @@ def run_sweep(df: DataFrame, column: str, kind: str, scorer: Scorer, key: Sequen
         else:
             if own is not None:
                 own.last_size = None
-            mod = rb.rebalance(base, column, kind, s, key, seed, prepared=own)
+            mod = rb.rebalance(base, column, kind, s, key, seed, prepared=own, copy_col=rb.COPY)
         if mod is not base:
             mod = mod.cache()
         try:
@@ -319,8 +351,9 @@ def gap_analysis(df: DataFrame, column: str, kind: str, prep: fe.FeaturePrep, ke
             if smoted is not None:
                 x, by = sm.as_vectors(smoted.at(s), prep.features_col), [sm.ROW_KEY]
             else:
-                mod = df if abs(s) < rb.IDENTITY_EPS else rb.rebalance(df, column, kind, s, key, seed)
-                x, by = prep.fit(mod).transform(mod, assemble=True, wide=False), key
+                mod = df if abs(s) < rb.IDENTITY_EPS else rb.rebalance(df, column, kind, s, key, seed, copy_col=rb.COPY)
+                x = _with_copies(prep, mod).fit(mod).transform(mod, assemble=True, wide=False)
+                by = _row_key(x, key)
             res = md.run_loop(x, prep.label, prep.features_col, by, algorithms, selected, seed=seed, cv_folds=cv_folds,
                               max_train=max_samples, parallel=parallel)
             failures += [(float(s), f"{part}: {error}") for part, error in res.failed.items()]

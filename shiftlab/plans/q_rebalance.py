@@ -107,14 +107,15 @@ def r07(spark, sf):
 
 # --- R08: target rebalancing ---------------------------------------------
 
-def _target_up_sql(table: str, col: str, key, s: float, tie=()) -> str:
+def _target_up_sql(table: str, col: str, key, s: float, tie=(), copy: str | None = None) -> str:
+    kept = f", 0::BIGINT AS {copy}" if copy else ""
     return f"""
 WITH d AS (SELECT * FROM {table} WHERE {col} IS NOT NULL),
 c AS (SELECT {col}, count(*) AS n FROM d GROUP BY {col}),
 t AS (SELECT floor(min(n) + (max(n) - min(n)) * {dbl(s)})::BIGINT AS t FROM c)
-SELECT d.* FROM d JOIN c USING ({col}) JOIN t ON c.n >= t.t
+SELECT d.*{kept} FROM d JOIN c USING ({col}) JOIN t ON c.n >= t.t
 UNION ALL
-{draw_sql("SELECT * FROM d", [col], key, f"SELECT c.{col}, t.t AS q FROM c JOIN t ON c.n < t.t", tie)}
+{draw_sql("SELECT * FROM d", [col], key, f"SELECT c.{col}, t.t AS q FROM c JOIN t ON c.n < t.t", tie, copy)}
 """
 
 
@@ -137,6 +138,12 @@ def r08d(spark, sf):
     return rb.rebalance_target(load_table(spark, sf, "documents"), "lang", -0.29, DOC_KEY)
 
 
+@register("r08_rebalance_target_copies", _target_up_sql("documents", "lang", DOC_KEY, 1.0, (), "_copy"))
+def r08_copies(spark, sf):
+    """Every copy with its number, so that (doc_id, _copy) identifies a row."""
+    return rb.rebalance_target(load_table(spark, sf, "documents"), "lang", 1.0, DOC_KEY, copy_col=rb.COPY)
+
+
 @register("r08_rebalance_target_full_up", _target_up_sql("documents", "lang", DOC_KEY, 1.0))
 def r08fu(spark, sf):
     return rb.rebalance_target(load_table(spark, sf, "documents"), "lang", 1.0, DOC_KEY)
@@ -163,14 +170,15 @@ def r08i(spark, sf):
 
 # --- R09-R11: binary, continuous, categorical -----------------------------
 
-def _two_group_sql(table: str, grow: str, other: str, key, quota: str, up: bool) -> str:
+def _two_group_sql(table: str, grow: str, other: str, key, quota: str, up: bool, copy: str | None = None) -> str:
+    kept = f", 0::BIGINT AS {copy}" if copy else ""
     g = f"SELECT * FROM {table} WHERE {grow}"
     o = f"SELECT * FROM {table} WHERE {other}"
     ng = f"(SELECT count(*) FROM {table} WHERE {grow})"
     no = f"(SELECT count(*) FROM {table} WHERE {other})"
     q = quota.format(g=ng, o=no)
-    moved = draw_sql(g, [], key, f"SELECT {q} AS q") if up else sample_sql(g, [], key, q)
-    return f"{o}\nUNION ALL\n{moved}"
+    moved = draw_sql(g, [], key, f"SELECT {q} AS q", (), copy) if up else f"SELECT *{kept} FROM ({sample_sql(g, [], key, q)})"
+    return f"SELECT *{kept} FROM ({o})\nUNION ALL\n{moved}"
 
 
 @register("r09_rebalance_binary_up", _two_group_sql(
@@ -274,6 +282,19 @@ def r15(spark, sf):
     return rb.random_oversample(load_table(spark, sf, "documents"), "lang", 0.5, DOC_KEY)
 
 
+@register("r15_random_oversample_copies", f"""
+WITH d AS (SELECT * FROM documents WHERE lang IS NOT NULL),
+c AS (SELECT lang, count(*) AS n FROM d GROUP BY lang),
+t AS (SELECT floor(min(n) + (max(n) - min(n)) * {dbl(0.5)})::BIGINT AS t FROM c)
+SELECT *, 0::BIGINT AS _copy FROM d
+UNION ALL
+SELECT * EXCLUDE (_copy), _copy + 1 AS _copy FROM (
+{draw_sql("SELECT * FROM d", ["lang"], DOC_KEY, "SELECT c.lang, t.t - c.n AS q FROM c JOIN t ON c.n < t.t", (), "_copy")})
+""")
+def r15_copies(spark, sf):
+    return rb.random_oversample(load_table(spark, sf, "documents"), "lang", 0.5, DOC_KEY, copy_col=rb.COPY)
+
+
 @register("r16_distribution_stats", f"""
 WITH a AS ({_target_down_sql("documents", "lang", DOC_KEY, -0.5)}),
 o AS (SELECT lang, count(*) AS original FROM documents WHERE lang IS NOT NULL GROUP BY lang),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shiftlab.operators import rebalance as rb
 from shiftlab.operators import split as sp
 from shiftlab.plans.registry import register
 from shiftlab.plans.sqlgen import dbl, rank
@@ -45,6 +46,23 @@ def s02_missing(spark, sf):
                                "quality", DOC_KEY)
 
 
+def _copies_split_sql() -> str:
+    from shiftlab.plans.q_rebalance import _target_up_sql
+    key = [*DOC_KEY, "_copy"]
+    return f"""
+WITH x AS ({_target_up_sql("documents", "lang", DOC_KEY, 1.0, (), "_copy")}),
+q AS {quota_sql("SELECT * FROM x", "lang", f"ceil({dbl(0.2)} * (SELECT count(*) FROM x))::BIGINT")},
+r AS (SELECT x.*, {rank(["lang"], key)} AS rk FROM x)
+SELECT doc_id, _copy, CASE WHEN rk < q THEN 'test' ELSE 'train' END AS split FROM r JOIN q USING (lang)"""
+
+
+@register("s02_split_of_copies", _copies_split_sql())
+def s02_copies(spark, sf):
+    """Up-sampled documents: a row's copies fall on both sides of the split."""
+    x = rb.rebalance_target(load_table(spark, sf, "documents"), "lang", 1.0, DOC_KEY, copy_col=rb.COPY)
+    return sp.train_test_split(x, "lang", [*DOC_KEY, rb.COPY]).select("doc_id", rb.COPY, "split")
+
+
 @register("s01_stratified_subsample", f"""
 WITH q AS {quota_sql("SELECT * FROM documents", "lang", "500")},
 r AS (SELECT d.*, {rank(["lang"], DOC_KEY)} AS rk FROM documents d)

@@ -200,18 +200,21 @@ O02_GRID = [-0.5, -0.25, 0.0, 0.25, 0.5]
 SWEEP_COLS = ["doc_id", "lang", "source", "n_chars"]
 
 
-def vm_f1_sql(src: str, on: str = "te", label: str = "lang", column: str = "source", key=DOC_KEY) -> str:
-    """Scalar subquery: the value-majority scorer's macro F1 on ``src``, of its test (``te``) or training rows (``tr``)."""
+def vm_f1_sql(src: str, on: str = "te", label: str = "lang", column: str = "source", key=DOC_KEY, resampled=None) -> str:
+    """Scalar subquery: the value-majority scorer's macro F1 on ``src``, of its test (``te``) or training rows (``tr``).
+    Copies are told apart by ``_copy`` where ``src`` has it; ``resampled`` gives the SQL that changes the training part."""
     from shiftlab.plans.q_metrics import metric_sql
     from shiftlab.plans.q_split import quota_sql
     from shiftlab.plans.sqlgen import rank
     target = f"ceil({dbl(0.2)} * (SELECT count(*) FROM src))::BIGINT"
+    key = [*key, "_copy"] if " AS _copy" in src else key
+    train = "s WHERE split = 'train'" if resampled is None else f"({resampled("(SELECT * FROM s WHERE split = 'train')")})"
     preds = f"""
 src AS (SELECT *, {column} AS v FROM ({src})),
 q AS {quota_sql("SELECT * FROM src", label, target)},
 r AS (SELECT d.*, {rank([label], key)} AS rk FROM src d),
 s AS (SELECT r.* EXCLUDE (rk), CASE WHEN rk < q THEN 'test' ELSE 'train' END AS split FROM r JOIN q USING ({label})),
-tr AS (SELECT *, row_number() OVER () AS rid FROM s WHERE split = 'train'),
+tr AS (SELECT *, row_number() OVER () AS rid FROM {train}),
 te AS (SELECT *, row_number() OVER () AS rid FROM s WHERE split = 'test'),
 cls AS (SELECT DISTINCT {label} AS class FROM src WHERE {label} IS NOT NULL),
 cnt AS (SELECT v, {label} AS class, count(*) AS c FROM tr GROUP BY ALL),
@@ -226,13 +229,14 @@ pr AS (SELECT rid, y_true, first(class ORDER BY score DESC, class) AS y_pred FRO
     return f"(WITH {metric_sql(preds).lstrip()} SELECT round(f1_macro, 12) FROM summ)"
 
 
-def _rebalanced_sql(slider: float) -> str:
+def _rebalanced_sql(slider: float, table: str = "documents") -> str:
+    """A step's table, with the number of each copy where it was resampled."""
     from shiftlab.plans.q_rebalance import _target_down_sql, _target_up_sql
     if abs(slider) < 0.01:
-        return "SELECT * FROM documents"
+        return f"SELECT * FROM {table}"
     if slider > 0:
-        return _target_up_sql("documents", "lang", DOC_KEY, slider)
-    return _target_down_sql("documents", "lang", DOC_KEY, slider)
+        return _target_up_sql(table, "lang", DOC_KEY, slider, (), "_copy")
+    return f"SELECT *, 0::BIGINT AS _copy FROM ({_target_down_sql(table, 'lang', DOC_KEY, slider)})"
 
 
 def _continuous_sql(column: str, slider: float) -> str:
@@ -244,7 +248,7 @@ def _continuous_sql(column: str, slider: float) -> str:
         quota = f"greatest(floor({{g}} * (1 + {dbl(slider)} * 2))::BIGINT, {{g}})"
     else:
         quota = f"greatest(floor({{g}} * (1 - {dbl(abs(slider))} * 0.8))::BIGINT, 1)"
-    return _two_group_sql("documents", f"{column} > {med}", f"{column} <= {med}", DOC_KEY, quota, slider > 0)
+    return _two_group_sql("documents", f"{column} > {med}", f"{column} <= {med}", DOC_KEY, quota, slider > 0, "_copy")
 
 
 def _sweep_sql(runs: list[tuple[str, object]], grid: list[float], algorithm: str = "by_source", **scorer) -> str:
@@ -297,6 +301,25 @@ def o06(spark, sf):
     return sw.optimum(steps, base).drop("gain_by_algorithm")
 
 
+def _train_scope_sql() -> str:
+    """The sweep with only the training part resampled: the split and the step's size are the base's."""
+    steps = "\nUNION ALL\n".join(
+        f"SELECT 'lang:target' AS run_id, {i} AS step, {dbl(s)} AS slider, 'by_source' AS algorithm, "
+        f"{vm_f1_sql('SELECT * FROM documents', resampled=lambda t, s=s: _rebalanced_sql(s, t))} AS score, "
+        "(SELECT count(*) FROM documents) AS n_samples" for i, s in enumerate(O02_GRID))
+    return (f"WITH st2 AS ({steps}), {STEPS_SQL[STEPS_SQL.index('sm AS'):]} "
+            "SELECT run_id, step, slider, avg_score, n_samples, exit_reason FROM kept")
+
+
+@register("o02_sweep_train_scope", _train_scope_sql())
+def o02_train_scope(spark, sf):
+    """A sweep without leakage: split first, resample the training part."""
+    d = load_table(spark, sf, "documents").select(*SWEEP_COLS)
+    scorer = sw.value_majority_scorer("source", "lang", DOC_KEY)
+    steps, _ = sw.run_sweep(d, "lang", "target", scorer, DOC_KEY, grid=O02_GRID, resample_scope="train")
+    return sw.trajectory(steps).select("run_id", "step", "slider", "avg_score", "n_samples", "exit_reason")
+
+
 @register("o02_sweep_speculative", _o02_sql())
 def o02_speculative(spark, sf):
     """The same sweep with three steps side by side: the same result."""

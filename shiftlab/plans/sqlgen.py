@@ -39,15 +39,16 @@ def sample_sql(src: str, by: Sequence[str], key: Sequence[str], quota: str,
 
 
 def draw_sql(src: str, by: Sequence[str], key: Sequence[str], quota_src: str,
-             tiebreak: Sequence[str] = ()) -> str:
-    """Draws with replacement: ``quota_src`` yields (by..., q) rows; returns src columns."""
+             tiebreak: Sequence[str] = (), copy: str | None = None) -> str:
+    """Draws with replacement: ``quota_src`` yields (by..., q) rows; returns src columns, and the draw's number as ``copy``."""
     part = f"PARTITION BY {', '.join(by)}" if by else ""
     using = ", ".join([*by, "_rk"]) if by else "_rk"
     gsel = ", ".join(f"qq.{b}" for b in by)
+    number = f", d.j AS {copy}" if copy else ""
     return (
-        f"SELECT r.* EXCLUDE (_rk, _n) FROM "
+        f"SELECT r.* EXCLUDE (_rk, _n){number} FROM "
         f"(SELECT s.*, {rank(by, key, tiebreak)} AS _rk, count(*) OVER ({part}) AS _n FROM ({src}) s) r "
-        f"JOIN (SELECT {', '.join(by) + ', ' if by else ''}{draw_idx([*by, 'j'], 'sz._n')} AS _rk FROM "
+        f"JOIN (SELECT {', '.join(by) + ', ' if by else ''}j, {draw_idx([*by, 'j'], 'sz._n')} AS _rk FROM "
         f"(SELECT {gsel + ', ' if by else ''}unnest(range(qq.q)) AS j FROM ({quota_src}) qq) dj "
         f"JOIN (SELECT {', '.join(by) + ', ' if by else ''}count(*) AS _n FROM ({src}) s2"
         f"{' GROUP BY ' + ', '.join(by) if by else ''}) sz"
