@@ -8,8 +8,9 @@ averages run over the given class list (zero-division gives 0), matching
 
 ROC AUC is the one-vs-rest rank-sum statistic computed on per-class score
 histograms: rows collapse to ``(class, score) -> (pos, neg)``, negatives below
-each score are accumulated per score-range bucket (a small table) plus a window
-inside each bucket, so no window ever spans a whole class.
+each score are accumulated per bucket (a small table) plus a window inside each
+bucket, so no window ever spans a whole class.  The buckets of a class are cut at
+quantiles of its distinct scores, so they are of equal depth wherever scores pile up.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftlab.session import ensure_checkpoint_dir
+
 MAX_CLASSES = 10_000
-AUC_BUCKETS = 4096
+AUC_BUCKETS = 256
 
 
 def class_list(df: DataFrame, column: str) -> list:
@@ -142,6 +145,18 @@ def scores_long(preds: DataFrame, truth: str, score_col: str, classes: Sequence)
                     F.col("score").cast("double").alias("score"))
 
 
+def score_buckets(hist: DataFrame, buckets: int = AUC_BUCKETS) -> DataFrame:
+    """``hist`` (one row per class and score) with the number ``b`` of its bucket: as many distinct scores in each.
+
+    The splitters, at most ``buckets`` a class, come from one mergeable sketch per class; they are fixed
+    on the driver, so that every use of a bucket sees the same ones."""
+    at = F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 20 * buckets)
+    rows = [(r["class"], sorted(set(r["s"]))) for r in hist.groupBy("class").agg(at.alias("s")).collect()]
+    splits = hist.sparkSession.createDataFrame(rows, "class string, s array<double>")
+    return (hist.join(F.broadcast(splits), "class")
+            .withColumn("b", F.size(F.filter("s", lambda v: v < F.col("score")))).drop("s"))
+
+
 def auc_per_class(long: DataFrame) -> DataFrame:
     """E05 per class: P(score of a positive > a negative) + 0.5 P(tie).
 
@@ -150,11 +165,8 @@ def auc_per_class(long: DataFrame) -> DataFrame:
     """
     hist = long.groupBy("class", "score").agg(
         F.sum(F.col("y").cast("long")).alias("pos"), F.sum((~F.col("y")).cast("long")).alias("neg"))
-    rng = hist.groupBy("class").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    width = F.col("hi") - F.col("lo")
-    b = F.when(width > 0, F.least(F.floor((F.col("score") - F.col("lo")) / width * AUC_BUCKETS),
-                                  F.lit(AUC_BUCKETS - 1))).otherwise(F.lit(0)).cast("int")
-    hb = hist.join(rng, "class").withColumn("b", b).drop("lo", "hi")
+    ensure_checkpoint_dir(long.sparkSession)
+    hb = score_buckets(hist.checkpoint())
     per_b = hb.groupBy("class", "b").agg(F.sum("neg").alias("bneg"))
     wb = Window.partitionBy("class").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     per_b = per_b.withColumn("neg_before_b", F.coalesce(F.sum("bneg").over(wb), F.lit(0))).drop("bneg")

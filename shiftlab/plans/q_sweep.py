@@ -168,6 +168,38 @@ def o10(spark, sf):
     return sw.fit_diagnosis(diag_metrics(spark, sf)).drop("explanation")
 
 
+@register("o10_fit_explanation", f"""WITH {_DIAG_SRC},
+g AS (SELECT *, train_f1 - val_f1 AS gap FROM dm)
+SELECT algorithm, CASE WHEN train_f1 > 0.95 AND gap > 0.05 THEN 'fits its training rows far better than new ones'
+       WHEN train_f1 < 0.7 AND val_f1 < 0.7 THEN 'fits neither training rows nor new ones well'
+       WHEN gap < 0.03 AND val_f1 > 0.7 THEN 'does as well on new rows as in training'
+       WHEN gap > 0.03 THEN 'loses a little on new rows' ELSE 'holds up on new rows' END
+  || ': train ' || printf('%.4f', train_f1) || ', validation ' || printf('%.4f', val_f1) || ', difference ' || printf('%.4f', gap)
+  || '; folds ' || printf('%.4f', cv_mean) || ' +/- ' || printf('%.4f', cv_std) AS explanation FROM g""")
+def o10_explanation(spark, sf):
+    return sw.fit_diagnosis(diag_metrics(spark, sf)).select("algorithm", "explanation")
+
+
+@register("o11_checklist_cases", f"""WITH {_DIAG_SRC},
+gap AS (SELECT algorithm, coalesce(train_f1 - val_f1 > 0.05, false) AS wide FROM dm)
+SELECT 'all' AS case_name, count(*) > 0 AS has_learning_curves, count(*) > 0 AS has_cv, bool_or(wide) AS any_gap_over_005,
+       true AS has_gap_analysis FROM gap
+UNION ALL SELECT 'empty', false, false, false, true
+UNION ALL SELECT 'none', false, false, bool_or(wide), false FROM gap
+UNION ALL SELECT 'narrow', true, false, false, false""")
+def o11_cases(spark, sf):
+    """Each flag with and without what it stands for: tables with rows, without rows, and absent ones."""
+    diag = sw.fit_diagnosis(diag_metrics(spark, sf)).checkpoint()
+    steps = event_steps(spark, sf)
+    cases = {"all": (steps, steps, diag, gap_table(spark, sf)), "empty": (steps.limit(0), steps.limit(0), diag.limit(0), gap_table(spark, sf)),
+             "none": (None, None, diag, None), "narrow": (steps, None, diag.where("gap <= 0.05"), None)}
+    out = None
+    for name, parts in cases.items():
+        row = sw.checklist(*parts).withColumn("case_name", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @register("o11_checklist", f"""WITH {_DIAG_SRC}
 SELECT true AS has_learning_curves, true AS has_cv,
        coalesce(bool_or(train_f1 - val_f1 > 0.05), false) AS any_gap_over_005, true AS has_gap_analysis FROM dm""")

@@ -88,3 +88,24 @@ def test_macro_auc_null_for_two_classes(spark):
     r = mt.macro_auc(mt.scores_long(p, "t", "s", ["a", "b"]), 2).first()
     assert r["roc_auc"] is None
     assert F is not None
+
+
+def test_auc_of_piled_up_scores(spark):
+    """Distinct scores that crowd at 0 and 1 fall into buckets of equal depth; the AUC is that of all pairs."""
+    import numpy as np
+
+    from shiftlab.operators import metrics as mt
+
+    rng = np.random.default_rng(0)
+    n = 4000
+    score = np.where(rng.random(n) < 0.5, rng.random(n) * 1e-9, 1 - rng.random(n) * 1e-9)
+    score[::7] = 0.5
+    y = rng.random(n) < 0.3 + 0.4 * score
+    long = spark.createDataFrame([("a", bool(t), float(v)) for t, v in zip(y, score)] + [("b", True, 0.1)], "class string, y boolean, score double")
+    got = {r["class"]: r["auc"] for r in mt.auc_per_class(long).collect()}
+    pos, neg = score[y], score[~y]
+    want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+    assert abs(got["a"] - want) < 1e-12 and got["b"] is None
+    hist = long.where("class = 'a'").groupBy("class", "score").count()
+    sizes = [r["count"] for r in mt.score_buckets(hist).groupBy("b").count().collect()]
+    assert max(sizes) <= 2 * np.mean(sizes) and len(sizes) > 200
