@@ -76,13 +76,16 @@ def conversations(messages: DataFrame, *, conv: str = "conv_id", node: str = "no
     texts are escaped reversibly.  ``loss_spans`` are the (start, end) code
     points of the assistant texts in ``formatted``.  Null roles and texts are
     empty; a message given twice counts once, its least (role, text) first;
-    messages without conversation or node are left out; an empty table gives no
-    rows.  Only columns named here are read.
+    messages without conversation are one conversation, whose ``conv`` is null;
+    messages without node are left out; an empty table gives no rows.  Only columns
+    named here are read.
     """
-    m = (messages.select(F.col(conv).alias("conv"), F.col(node).alias("node"), F.col(parent).alias("parent"),
+    # Conversations go by their text behind a mark, so that those without one meet in joins, too.
+    key = F.when(F.col(conv).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(conv).cast("string")))
+    m = (messages.select(key.alias("conv"), F.col(node).alias("node"), F.col(parent).alias("parent"),
                          F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score"),
                          F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-         .where("conv IS NOT NULL AND node IS NOT NULL")
+         .where("node IS NOT NULL")
          .groupBy("conv", "node").agg(F.min_by(F.struct("parent", "score", "role", "text"),
                                                F.struct("role", "text", "score", "parent")).alias("m"))
          .select("conv", "node", "m.*"))
@@ -110,7 +113,8 @@ def conversations(messages: DataFrame, *, conv: str = "conv_id", node: str = "no
                         F.concat(acc["out"], F.coalesce(mine, F.array().cast(spans))).alias("out"))
 
     loss = F.aggregate("turns", F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out")), place, lambda a: a["out"])
-    return whole.select(F.col("conv").alias(conv), "branch", "leaf", "branch_score", "n_turns",
+    named = F.when(F.col("conv") != "", F.substr("conv", F.lit(2)).cast(messages.schema[conv].dataType))
+    return whole.select(named.alias(conv), "branch", "leaf", "branch_score", "n_turns",
                         formatted.alias("formatted"), loss.alias("loss_spans"))
 
 

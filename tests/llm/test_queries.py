@@ -515,10 +515,22 @@ def test_reply_trees(spark):
     assert seen == {
         ("c", 1): (5, [("user", "hi"), ("assistant", "a</s>\n&lt;[x]"), ("", "z")], "a</s>\n&lt;[x]"),
         ("c", 2): (4, [("user", "hi"), ("assistant", "b"), ("user", "")], "b"),
-        ("e", 1): (7, [("assistant", "")], "")}
+        ("e", 1): (7, [("assistant", "")], ""),
+        (None, 1): (1, [("user", "q")], "")}
     assert chat_trees.conversations(df.limit(0)).count() == 0
 
 
+def test_reply_trees_without_conversation_and_ties(spark):
+    rows = [(None, 1, None, "user", "q"), (None, 2, 1, "assistant", "x" * 300_000), (None, 3, 1, "assistant", "tie"),
+            (0, 1, None, "user", "zero"), (-7, 1, None, "assistant", "minus")]
+    df = spark.createDataFrame(rows, "conv_id bigint, node bigint, parent bigint, role string, text string").selectExpr("*", "1.0 AS score")
+    got = chat_trees.conversations(df, branches=2)
+    got = {(r[0], r[1]): (r[2], [tuple(x) for x in r[3]]) for r in got.select(
+        "conv_id", "branch", "leaf", chat_trees.read_turns(got["formatted"])).collect()}
+    assert got == {(None, 1): (2, [("user", "q"), ("assistant", "x" * 300_000)]), (None, 2): (3, [("user", "q"), ("assistant", "tie")]),
+                   (0, 1): (1, [("user", "zero")]), (-7, 1): (1, [("assistant", "minus")])}
+
+
 def test_reply_trees_deep(spark):
     df = spark.range(1, 71).selectExpr("1 AS conv_id", "id AS node", "if(id > 1, id - 1, NULL) AS parent", "0 AS score",
                                        "'user' AS role", "cast(id AS string) AS text")
