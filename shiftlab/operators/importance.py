@@ -2,8 +2,9 @@
 
 * P01 impurity importance of a random forest (``featureImportances``);
 * P02 permutation importance: every (feature, repeat) permutation of the
-  held-out rows is built by joining two hash ranks, so all F x R permuted copies
-  are scored by one ``model.transform`` and one grouped macro-F1 aggregation;
+  held-out rows is built by joining two hash ranks on (feature, rank), a donor being
+  one number, so all F x R permuted copies are scored by one ``model.transform`` and
+  one grouped macro-F1 aggregation;
 * P04 the methods unioned with a ``method`` column;
 * P05 rank aggregation across methods.
 """
@@ -56,13 +57,14 @@ def permutation_importance(df: DataFrame, label: str, features: str, names: Sequ
     base = grouped_macro_f1(model.transform(test).withColumn("_g", F.lit(0)), ["_g"], md.LABEL_IDX,
                             "prediction").first()["f1"]
     n_feat = len(names)
-    donors = hash_rank(test, [], key, seed, rank_col="_ra").select("_ra", F.col("_arr").alias("_darr"))
+    # One number a donor: the value of one feature at one rank.
+    donors = hash_rank(test, [], key, seed, rank_col="_ra").select(F.col("_ra").alias("_rb"), F.posexplode("_arr").alias("_f", "_dv"))
     grid = F.explode(F.array(*[F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r"))
                                for f in range(n_feat) for r in range(n_repeats)]))
     x = test.select(*key, md.LABEL_IDX, "_arr", grid.alias("_fr")).select("*", "_fr._f", "_fr._r").drop("_fr")
     x = hash_rank(x, ["_f", "_r"], ["_f", "_r", *key], seed + 1, rank_col="_rb", n_groups=n_feat * n_repeats)
-    x = x.join(donors, x["_rb"] == donors["_ra"])
-    swapped = F.transform("_arr", lambda v, i: F.when(i == F.col("_f"), F.col("_darr")[F.col("_f")]).otherwise(v))
+    x = x.join(donors, ["_f", "_rb"])
+    swapped = F.transform("_arr", lambda v, i: F.when(i == F.col("_f"), F.col("_dv")).otherwise(v))
     x = x.select("_f", "_r", md.LABEL_IDX, array_to_vector(swapped).alias(features))
     scored = grouped_macro_f1(model.transform(x), ["_f", "_r"], md.LABEL_IDX, "prediction")
     drops = scored.select("_f", (F.lit(float(base)) - F.col("f1")).alias("_d"))
