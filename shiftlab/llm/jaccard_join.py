@@ -5,18 +5,24 @@ inverted index holds the rare-first prefix of every class; posting lists are
 worked through by set size, so a block whose sizes can't reach the threshold is
 skipped as a whole.  Relations between sets save the rest of the work:
 
-* each class first meets one *pivot*, the class that leads most of its lists;
-  their exact distance ``d = |x - y| + |y - x|`` is kept;
+* each class first meets one *pivot*, the most central class of most of its
+  lists; the exact *delta* of the two sets (what is in one of them only) is kept,
+  whether they are linked or not;
 * classes that a pivot has linked are one group, and pairs within a group need
   no answer;
-* for two classes with the same pivot, ``|d1 - d2| <= d <= d1 + d2`` decides
-  many pairs without reading a set: the answers of one set follow from those
-  of a highly similar one;
+* two classes ``x, y`` with the same pivot have distance ``|delta x ^ delta y|``:
+  the answers of one set follow from those of a highly similar one, no set is
+  read again.  If both are linked to the pivot they are one group; otherwise a
+  link needs ``(|delta x| + |delta y| - limit) / 2 >= 1`` common elements of
+  their deltas, so a rare-first prefix index over the deltas finds them, and
+  near copies with edits of their own never meet;
 * groups meet by their closest pair first, so a crowd of near copies becomes
   one group after a few rounds and is never compared all with all;
-* parity sketches (512 bits in the lists, at least two bits a shingle
-  after) bound the distance of the others from below, and what is left is
-  compared exactly.
+* lists carry each class's size and the place of the shingle in its prefix: two
+  classes whose sets behind those places are too small for the overlap skip each
+  other, and parity sketches (512 bits in the lists, at least two bits a shingle
+  after) bound the distance of the others from below; what is left is compared
+  exactly.
 
 Links are exact over 64-bit shingle hashes (odds of about 2**-64 a pair of
 shingles or of classes to share one).
@@ -28,6 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +53,9 @@ ROUNDS = 4
 #: Bits of the filter of wanted texts (8 MB), and partners of a head in one task's group.
 FILTER_BITS = 1 << 26
 GROUP_SETS = 512
+#: A class keeps its delta to a pivot of up to this many times the distance of a link; one farther off is its
+#: own pivot and meets the others in the lists.
+DELTA_REACH = 3
 PLACE = ba.U64(0x9FB21C651E98DF25)
 
 
@@ -109,8 +119,9 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def _bounded(percent: int):
-    """(a, b, limit, bound, and the pair's other columns) of pairs whose sketches do not rule a link out."""
+def _bounded(percent: int, reach: int = 1):
+    """(a, b, limit, bound, and the pair's other columns) of pairs whose sketches do not rule a link out, or let
+    expect a distance of at most ``reach`` times a link's."""
     def run(batches):
         for batch in batches:
             a, b, sa, sb, wa, wb = (batch.column(k) for k in range(6))
@@ -118,7 +129,13 @@ def _bounded(percent: int):
             limit = far_apart(sa.to_numpy(), sb.to_numpy(), percent)
             low = np.array([apart(x, y) if m >= 0 else 1 for x, y, m in zip(
                 wa.to_pylist(), wb.to_pylist(), limit.tolist(), strict=True)], np.int64)
-            keep = pa.array(low <= limit)
+            keep = low <= limit
+            if reach > 1:
+                # d shingles put an odd number into places / 2 * (1 - exp(-2 d / places)) places on average.
+                places = 8 * np.minimum(pc.binary_length(wa).to_numpy(), pc.binary_length(wb).to_numpy())
+                even = np.maximum(1 - 2 * low / places, 1e-9)
+                keep |= (-places / 2 * np.log(even) <= reach * limit) & (limit >= 0)
+            keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays(
                 [x.filter(keep) for x in (a, b, pa.array(limit), pa.array(low), *(batch.column(c) for c in others))],
                 ["a", "b", "limit", "bound", *others])
@@ -165,7 +182,7 @@ def _profile(n: int):
 
 
 def _prefixes(n: int, percent: int, frequent):
-    """(shingle, class key, size) of the first |x| - ceil(t|x|) + 1 shingles, frequent ones last."""
+    """(shingle, class key, size, place) of the first |x| - ceil(t|x|) + 1 shingles, frequent ones last."""
     def run(batches):
         hot = frequent.value
         rank = np.argsort(hot) if len(hot) else hot
@@ -189,10 +206,12 @@ def _prefixes(n: int, percent: int, frequent):
                 take = np.where(fresh, size - -(-size * percent // 100) + 1, 0)
                 order = np.lexsort((h, late, text))
                 place = np.arange(len(h)) - np.repeat(at[:-1], size)
-                order = order[place < np.repeat(take, size)]
+                first = place < np.repeat(take, size)
+                order = order[first]
                 yield pa.RecordBatch.from_arrays(
-                    [ba.signed(h[order]), pa.array(key[text[order]]), pa.array(size[text[order]].astype(np.int32))],
-                    ["h", "key", "size"])
+                    [ba.signed(h[order]), pa.array(key[text[order]]), pa.array(size[text[order]].astype(np.int32)),
+                     pa.array(place[first].astype(np.int32))],
+                    ["h", "key", "size", "place"])
 
     return run
 
@@ -205,8 +224,26 @@ def far_apart(size_a, size_b, percent: int):
     return s - 2 * need
 
 
-def _lists(percent: int):
-    """Pairs of different groups within each posting list that may be linked.
+def _in_lists(t: dict, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Pairs of a list of shingles that may be linked and have no answer through a pivot."""
+    ok = t["pivot"][a] != t["pivot"][b]
+    ok &= (t["pivot"][a] != t["key"][b]) & (t["key"][a] != t["pivot"][b])
+    # A pair's first common shingle has nothing in common before it: the rest must hold the whole overlap.
+    behind = np.minimum(t["size"][a] - t["place"][a], t["size"][b] - t["place"][b])
+    ok &= 2 * behind >= t["size"][a] + t["size"][b] - limit
+    a, b = a[ok], b[ok]
+    ok[ok] = np.bitwise_count(t["sketch"][a] ^ t["sketch"][b]).sum(axis=1, dtype=np.int64) <= limit[ok]
+    return ok
+
+
+def _in_deltas(t: dict, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Pairs of a list of delta elements that may have enough of them in common."""
+    behind = np.minimum(t["d"][a] - t["place"][a], t["d"][b] - t["place"][b])
+    return 2 * behind >= t["d"][a] + t["d"][b] - limit
+
+
+def _lists(percent: int, names: tuple[str, ...], test):
+    """Pairs of different groups within each posting list that pass ``test``.
 
     Rows come sorted by (h, size); a list is held whole, pairs are tried by
     growing offset, and a row stops at the first size that is out of reach.
@@ -219,26 +256,21 @@ def _lists(percent: int):
             other = alive + step
             ok = (h[alive] == h[other]) & (size[other] * percent <= size[alive] * 100)
             alive = alive[ok]
-            a, b = alive, alive + step
-            limit = far_apart(size[a], size[b], percent)
-            go = t["root"][a] != t["root"][b]
-            same = t["pivot"][a] == t["pivot"][b]
-            go &= ~(same & (np.abs(t["d"][a] - t["d"][b]) > limit))
-            a, b, limit = a[go], b[go], limit[go]
-            low = np.bitwise_count(t["sketch"][a] ^ t["sketch"][b]).sum(axis=1, dtype=np.int64)
-            a, b = a[low <= limit], b[low <= limit]
+            a = alive[t["root"][alive] != t["root"][alive + step]]
+            b = a + step
+            ok = test(t, a, b, far_apart(size[a], size[b], percent))
+            a, b = a[ok], b[ok]
             yield np.minimum(t["key"][a], t["key"][b]), np.maximum(t["key"][a], t["key"][b])
             step += 1
 
-    names = ("h", "key", "size", "root", "pivot", "d")
-
     def run(batches):
         rest = None
         for batch in _ended(batches):
             if batch is not None:
-                t = {k: batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in names}
-                raw, _ = ba.flat(batch.column(batch.schema.get_field_index("sketch")))
-                t["sketch"] = raw.view(np.uint64).reshape(-1, SKETCH_WORDS)
+                t = {k: batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in names if k != "sketch"}
+                if "sketch" in names:
+                    raw, _ = ba.flat(batch.column(batch.schema.get_field_index("sketch")))
+                    t["sketch"] = raw.view(np.uint64).reshape(-1, SKETCH_WORDS)
                 if rest is not None:
                     t = {k: np.concatenate([rest[k], t[k]]) for k in t}
                 cut = int(np.searchsorted(t["h"], t["h"][-1])) if len(t["h"]) else 0
@@ -294,28 +326,42 @@ def _role_sets(n: int):
     return run
 
 
-def _distances(batches):
-    """Distance of each member to the head of its group; the head's row comes first."""
-    now, own = None, None
-    for batch in batches:
-        head, salt, member, key, sets = (c.to_pylist() for c in batch.columns)
-        a, b, d = [], [], []
-        for g, s, m, k, raw in zip(head, salt, member, key, sets, strict=True):
-            x = np.frombuffer(raw, np.uint64)
-            if not m:
-                now, own = (g, s), x
-                continue
-            if now != (g, s):
-                raise ValueError("a comparison group has no head")
-            both = np.sort(np.concatenate([own, x]))
-            a.append(k)
-            b.append(g)
-            d.append(len(both) - 2 * int(np.count_nonzero(both[1:] == both[:-1])))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int64())], ["a", "b", "d"])
+def _distances(percent: int, reach: int):
+    """Distance of each member to the head of its group, with its delta if it is at most ``reach`` times a link's;
+    the head's row comes first."""
+    def run(batches):
+        now, own = None, None
+        for batch in batches:
+            head, salt, member, key, sets = (c.to_pylist() for c in batch.columns)
+            a, b, d, delta = [], [], [], []
+            for g, s, m, k, raw in zip(head, salt, member, key, sets, strict=True):
+                x = np.frombuffer(raw, np.uint64)
+                if not m:
+                    now, own = (g, s), x
+                    continue
+                if now != (g, s):
+                    raise ValueError("a comparison group has no head")
+                both = np.sort(np.concatenate([own, x]))
+                same = both[1:] == both[:-1]
+                a.append(k)
+                b.append(g)
+                d.append(len(both) - 2 * int(np.count_nonzero(same)))
+                if d[-1] <= reach * far_apart(len(own), len(x), percent):
+                    alone = np.ones(len(both), bool)
+                    alone[1:] &= ~same
+                    alone[:-1] &= ~same
+                    delta.append(both[alone].view(np.int64))
+                else:
+                    delta.append(None)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (a, b, d)), pa.array(delta, pa.list_(pa.int64()))],
+                                             ["a", "b", "d", "delta"])
+
+    return run
 
 
-def _measured(pairs: DataFrame, base: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """(a, b, d): the exact distance of each pair of classes.
+def _measured(pairs: DataFrame, base: DataFrame, reps: DataFrame, n: int, percent: int, reach: int) -> DataFrame:
+    """(a, b, d, delta): the exact distance of each pair of classes, and the shingles that only one of them has if
+    it is at most ``reach`` times that of a link (0: only for equal sets).
 
     A class's set is rebuilt from the text of its representative row and moves
     once for each pair, to the group of the pair's other class (its head).  A
@@ -341,7 +387,7 @@ def _measured(pairs: DataFrame, base: DataFrame, reps: DataFrame, n: int) -> Dat
     texts = wanted.join(roles, "rh").dropDuplicates(["rh"]).select("key", "text", "roles")
     sets = texts.mapInArrow(_role_sets(n), "head bigint, salt int, member boolean, key bigint, hashes binary")
     return (sets.repartition("head", "salt").sortWithinPartitions("head", "salt", "member")
-            .mapInArrow(_distances, "a bigint, b bigint, d bigint"))
+            .mapInArrow(_distances(percent, reach), "a bigint, b bigint, d bigint, delta array<bigint>"))
 
 
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
@@ -390,11 +436,11 @@ def _linked(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int,
     hot = counts.where("n > 3").orderBy(F.desc("n"), "key").limit(frequent).select("key").toArrow()
     shared = spark.sparkContext.broadcast(np.array(hot.column(0).to_numpy()[::-1]).view(np.uint64))
 
-    index = base.mapInArrow(_prefixes(shingle, percent, shared), "h bigint, key bigint, size int")
+    index = base.mapInArrow(_prefixes(shingle, percent, shared), "h bigint, key bigint, size int, place int")
     list_of = Window.partitionBy("h")
-    lists = written(index.withColumn("lead", F.min("key").over(list_of))
+    lists = written(index.withColumn("first", F.min("key").over(list_of))
                     .withColumn("last", F.max("key").over(list_of))
-                    .where("lead <> last").dropDuplicates(["h", "key"]).drop("last"), "lists")
+                    .where("first <> last").dropDuplicates(["h", "key"]).drop("first", "last"), "lists")
 
     classes = written(rows.where("size > 0").groupBy("key").agg(
         *(F.first(c).alias(c) for c in ("size", "sketch", "wide")), F.min("rh").alias("rh")), "classes")
@@ -402,20 +448,26 @@ def _linked(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int,
     a = classes.select(F.col("key").alias("a"), F.col("size").alias("sa"), F.col("wide").alias("wa"))
     b = classes.select(F.col("key").alias("b"), F.col("size").alias("sb"), F.col("wide").alias("wb"))
 
-    def bounded(pairs: DataFrame) -> DataFrame:
-        others = [c for c in pairs.columns if c not in ("a", "b")]
+    def bounded(pairs: DataFrame, reach: int = 1) -> DataFrame:
+        others = [c for c in pairs.columns if c not in ("a", "b")]  # numbers
         return (pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "wa", "wb", *others)
-                .mapInArrow(_bounded(percent), ", ".join(f"{c} bigint" for c in ("a", "b", "limit", "bound", *others))))
+                .mapInArrow(_bounded(percent, reach), ", ".join(f"{c} bigint" for c in ("a", "b", "limit", "bound", *others))))
 
-    def compared(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame, reach: int = 0) -> DataFrame:
         pairs = written(pairs, "pairs")
-        return written(pairs.join(_measured(pairs.select("a", "b"), base, reps, shingle), ["a", "b"]), "measured")
-
-    # Each class with the pivot that leads most of its lists.
-    led = lists.where("key <> lead").groupBy("key", "lead").count()
+        found = _measured(pairs.select("a", "b"), base, reps, shingle, percent, reach)
+        return written(pairs.join(found if reach else found.drop("delta"), ["a", "b"]), "measured")
+
+    # Each class with its pivot: the class that leads most of its lists, where a list is led by its class that is
+    # in most lists.  In a crowd of near copies that is the text with the fewest edits of its own.
+    central = written(lists.groupBy("key").agg(F.count(F.lit(1)).alias("shared")), "central", tidy=False)
+    led = (lists.select("h", "key").join(small(central)(central), "key")
+           .withColumn("lead", F.max(F.struct("shared", "key")).over(list_of)["key"])
+           .where("key <> lead").groupBy("key", "lead").count())
     pivot = led.groupBy("key").agg(F.max_by("lead", F.struct("count", "lead")).alias("pivot"))
-    measured = compared(bounded(pivot.select(F.col("key").alias("a"), F.col("pivot").alias("b"))))
+    measured = compared(bounded(pivot.select(F.col("key").alias("a"), F.col("pivot").alias("b")), DELTA_REACH), DELTA_REACH)
     links = written(measured.where("d <= limit").select("a", "b"), "links")
+    known = measured.where("delta IS NOT NULL").withColumnsRenamed({"a": "key", "b": "pivot"})
     group = components(links)
 
     # Then groups with groups: of two that share lists, the closest pair by sketch stands for both.  A round
@@ -435,22 +487,62 @@ def _linked(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int,
         group = components(links)
         rounds += 1
 
-    # What is left: pairs of classes of different groups within a list.
-    tagged = _tagged(lists, group, list_of).join(
-        measured.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "d"), "key", "left")
-    sketched = tagged.withColumns({"pivot": F.coalesce("pivot", "key"), "d": F.coalesce("d", F.lit(0)),
-                                   "size": F.col("size").cast("bigint")}).join(classes.select("key", "sketch"), "key")
+    # What is left: pairs of classes of different groups, by their deltas if they have the same pivot ...
+    node = small(group)(group.select(F.col("node").alias("key"), "root"))
+    side = known.select("key", "pivot", "d", "limit", "delta").join(classes.select("key", "size"), "key")
+    deltas = side.join(node, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    shared = written(_delta_index(deltas, percent).repartition("h").sortWithinPartitions("h", "size", "key").mapInArrow(
+        _lists(percent, ("h", "key", "size", "root", "d", "place"), _in_deltas), "a bigint, b bigint").distinct(), "shared")
+    x, y = (side.select(F.col("key").alias(k), *(F.col(c).alias(c + k) for c in ("d", "delta", "size"))) for k in ("a", "b"))
+    both = shared.join(x, "a").join(y, "b").withColumn(
+        "d", F.col("da") + F.col("db") - 2 * F.size(F.array_intersect("deltaa", "deltab")))
+    # 100 o >= percent (a + b - o)  with  2 o = a + b - d
+    derived = both.where(f"(100 + {percent}) * (sizea + sizeb - d) >= 2 * {percent} * (sizea + sizeb)").select("a", "b")
+
+    # ... and within the lists otherwise.
+    tagged = _tagged(lists, group, list_of).join(known.select("key", "pivot"), "key", "left")
+    sketched = tagged.withColumns({"pivot": F.coalesce("pivot", "key"), "size": F.col("size").cast("bigint"),
+                                   "place": F.col("place").cast("bigint")}).join(classes.select("key", "sketch"), "key")
     tried = (sketched.repartition("h").sortWithinPartitions("h", "size", "key")
-             .mapInArrow(_lists(percent), "a bigint, b bigint").distinct())
+             .mapInArrow(_lists(percent, ("h", "key", "size", "root", "pivot", "place", "sketch"), _in_lists), "a bigint, b bigint")
+             .distinct())
     tried = written(tried, "tried")
-    last = compared(bounded(tried))
-    return rows, written(links.unionByName(last.where("d <= limit").select("a", "b")).distinct(), "links")
+    last = compared(bounded(tried)).where("d <= limit").select("a", "b")
+    return rows, written(links.unionByName(derived).unionByName(last).distinct(), "links")
+
+
+def _delta_index(deltas: DataFrame, percent: int) -> DataFrame:
+    """(h, key, size, d, place, root): the elements of deltas that two classes of a pivot have, rarest first.
+
+    Of classes x, y with pivot p one at least is not linked to p, or they would
+    be one group.  With r = (100 - percent) / (100 + percent), a pair is linked
+    if its distance is at most r (|x| + |y|), and |y| <= |p| + |delta y|.  So
+    two linked classes have more than (1 - r) / 2 |delta y| delta elements in
+    common if x is not linked to p, and, as |delta y| >= |delta x| - r (|x| + |y|),
+    at least e / (1 + r) with e = |delta x| - r (|x| + |p|): an element with
+    fewer elements behind it can't be their first common one.
+    """
+    crowds = (deltas.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"), F.max(F.col("d") > F.col("limit")).alias("far"))
+              .where("members > 1 AND far").select("pivot"))
+    each = deltas.join(crowds, "pivot", "left_semi").select(
+        "key", "pivot", "d", "limit", "size", "root", F.explode("delta").alias("e"))
+    often = each.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Elements of one class only come first; they meet no one and are only counted.
+    own = Window.partitionBy("key")
+    place = F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("n", "e")) - 1
+    p, behind = percent, F.col("d") - F.col("place")
+    # r (|x| + |p|) is at most limit + 2, as limit rounds down by less than two.
+    far = 200 * behind >= (F.col("d") - F.col("limit") - 2) * (100 + p)
+    near = behind * (100 + p) >= F.col("d") * p
+    return (each.join(often, ["pivot", "e"]).withColumn("place", place.cast("bigint"))
+            .where(F.when(F.col("d") > F.col("limit"), far).otherwise(near))
+            .select(F.xxhash64("pivot", "e").alias("h"), "key", "size", "d", "place", "root"))
 
 
 def _tagged(lists: DataFrame, group: DataFrame, list_of) -> DataFrame:
     """The lists that hold more than one group, with each row's group and the list's first row."""
     node = small(group)(group.select(F.col("node").alias("key"), "root"))
-    return (lists.select("h", "key", "size").join(node, "key", "left")
+    return (lists.select("h", "key", "size", "place").join(node, "key", "left")
             .withColumn("root", F.coalesce("root", "key"))
             .withColumn("r0", F.min("root").over(list_of)).withColumn("r1", F.max("root").over(list_of))
             .withColumn("lead", F.min(F.struct("key", "root")).over(list_of)).where("r0 <> r1").drop("r0", "r1"))

@@ -430,6 +430,55 @@ def test_jaccard_join_chains_and_crowds(spark):
     assert got == brute_groups(rows)
 
 
+def crowd(r, n, words, edits, copies):
+    """Texts of ``n`` words, each one text with some words changed anew."""
+    one = [f"w{r.randrange(10 ** 6)}" for _ in range(n)]
+    out = []
+    for _ in range(copies):
+        two = list(one)
+        for k in r.sample(range(n), edits(r)):
+            two[k] = f"x{r.randrange(10 ** 9)}" if words is None else r.choice(words)
+        out.append(" ".join(two))
+    return out
+
+
+def test_jaccard_join_crowds_near_the_threshold(spark):
+    r = random.Random(12)
+    few = [f"e{k}" for k in range(3)]
+    texts = (crowd(r, 200, None, lambda r: r.randint(0, 8), 60)  # edits of their own, some pairs linked
+             + crowd(r, 200, few, lambda r: r.randint(3, 7), 60)  # the original is not there, edits repeat
+             + crowd(r, 60, few[:1], lambda r: r.randint(1, 4), 60))
+    for k in range(20):  # pairs that share many edits, so that far from the rest they are linked
+        texts.append(texts[k] + " " + " ".join(f"t{j}" for j in range(40)))
+        texts.append(texts[k + 60].replace("w", "w1", 30))
+        texts.append(texts[k + 60].replace("w", "w1", 30) + " end")
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {x[0]: (x[1], x[2]) for x in jaccard_join.near_groups(df).collect()}
+    assert got == brute_groups(rows)
+    assert len({g for _, g in got.values()}) > 10
+
+
+def test_jaccard_join_pairs_grow_with_the_rows(spark, monkeypatch):
+    """Long near copies that are all just too far apart: pairs do not grow with their square."""
+    made = {}
+    written = jaccard_join.written
+
+    def counted(df, name, tidy=True):
+        out = written(df, name, tidy)
+        if name in ("tried", "shared", "pairs"):
+            made[copies] = made.get(copies, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    for copies in (50, 200):
+        rows = list(enumerate(crowd(random.Random(5), 1500, None, lambda r: 40, copies)))
+        got = jaccard_join.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        assert all(x["component_id"] == x["doc_id"] and not x["n_links"] for x in got) and len(got) == copies
+    assert made[200] <= 4 * 200, made
+
+
 def test_jaccard_join_odd_rows(spark):
     got = jaccard_join.near_groups(frame(spark, ODD, True)).collect()
     by = {r["doc_id"]: r["component_id"] for r in got}
