@@ -18,7 +18,8 @@ skipped as a whole.  Relations between sets save the rest of the work:
   near copies with edits of their own never meet;
 * groups meet by their closest pair first, so a crowd of near copies becomes
   one group after a few rounds and is never compared all with all;
-* lists carry each class's size and the place of the shingle in its prefix: two
+* lists carry each class's size and the place of the shingle in its prefix (in
+  whole hundredths of the set, which take less room in the shuffle): two
   classes whose sets behind those places are too small for the overlap skip each
   other, and parity sketches (512 bits in the lists, at least two bits a shingle
   after) bound the distance of the others from below; what is left is compared
@@ -182,7 +183,7 @@ def _profile(n: int):
 
 
 def _prefixes(n: int, percent: int, frequent):
-    """(shingle, class key, size, place) of the first |x| - ceil(t|x|) + 1 shingles, frequent ones last."""
+    """(shingle, class key, size, place in hundredths) of the first |x| - ceil(t|x|) + 1 shingles, frequent ones last."""
     def run(batches):
         hot = frequent.value
         rank = np.argsort(hot) if len(hot) else hot
@@ -210,7 +211,7 @@ def _prefixes(n: int, percent: int, frequent):
                 order = order[first]
                 yield pa.RecordBatch.from_arrays(
                     [ba.signed(h[order]), pa.array(key[text[order]]), pa.array(size[text[order]].astype(np.int32)),
-                     pa.array(place[first].astype(np.int32))],
+                     pa.array((place[first] * 100 // size[text[order]]).astype(np.int8))],
                     ["h", "key", "size", "place"])
 
     return run
@@ -229,7 +230,8 @@ def _in_lists(t: dict, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.nd
     ok = t["pivot"][a] != t["pivot"][b]
     ok &= (t["pivot"][a] != t["key"][b]) & (t["key"][a] != t["pivot"][b])
     # A pair's first common shingle has nothing in common before it: the rest must hold the whole overlap.
-    behind = np.minimum(t["size"][a] - t["place"][a], t["size"][b] - t["place"][b])
+    most = t["size"] - t["size"] * t["place"] // 100
+    behind = np.minimum(most[a], most[b])
     ok &= 2 * behind >= t["size"][a] + t["size"][b] - limit
     a, b = a[ok], b[ok]
     ok[ok] = np.bitwise_count(t["sketch"][a] ^ t["sketch"][b]).sum(axis=1, dtype=np.int64) <= limit[ok]
@@ -436,7 +438,7 @@ def _linked(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int,
     hot = counts.where("n > 3").orderBy(F.desc("n"), "key").limit(frequent).select("key").toArrow()
     shared = spark.sparkContext.broadcast(np.array(hot.column(0).to_numpy()[::-1]).view(np.uint64))
 
-    index = base.mapInArrow(_prefixes(shingle, percent, shared), "h bigint, key bigint, size int, place int")
+    index = base.mapInArrow(_prefixes(shingle, percent, shared), "h bigint, key bigint, size int, place tinyint")
     list_of = Window.partitionBy("h")
     lists = written(index.withColumn("first", F.min("key").over(list_of))
                     .withColumn("last", F.max("key").over(list_of))
