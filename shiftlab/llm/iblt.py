@@ -23,8 +23,11 @@ UNIT = r"\s*+(?:\S{1,24}(?=\s|\z)|\S)|\s++"
 SUBTABLES, PLACES = 3, 8
 CELLS = SUBTABLES * PLACES
 #: Digests a segment should hold at a retry; each retry makes segments this many times smaller.
-PER_SEGMENT, SMALLER = 8, 3
+PER_SEGMENT, SMALLER = 12, 3
 RETRIES = 3
+#: Peeling steps; each takes out all digests that are alone in a cell.  A longer chain is tried again as a stuck one.
+STEPS = 10
+FIELDS = ("n", "key", "check", *(f"p{j}" for j in range(SUBTABLES)))
 CELL = "struct<i:int,n:int,key:bigint,check:bigint>"
 
 
@@ -59,9 +62,9 @@ def _cells_of(key: Column) -> list[Column]:
 
 
 def entries(keys: Column) -> Column:
-    """The digests with their checks and cells, hashed once each."""
+    """The digests with their checks and cells, hashed once each; ``n`` is what each counts in a cell."""
     return F.transform(keys, lambda k: F.struct(
-        k.alias("key"), _check(k).alias("check"), *(c.alias(f"p{j}") for j, c in enumerate(_cells_of(k)))))
+        F.lit(1).alias("n"), k.alias("key"), _check(k).alias("check"), *(c.alias(f"p{j}") for j, c in enumerate(_cells_of(k)))))
 
 
 def table(items: Column) -> Column:
@@ -72,7 +75,7 @@ def table(items: Column) -> Column:
                 F.filter(items, lambda e: e[f"p{j}"] == i),
                 F.struct(i.alias("i"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("key"),
                          F.lit(0).cast("bigint").alias("check")),
-                lambda c, e: F.struct(c["i"].alias("i"), (c["n"] + 1).alias("n"), c["key"].bitwiseXOR(e["key"]).alias("key"),
+                lambda c, e: F.struct(c["i"].alias("i"), (c["n"] + e["n"]).alias("n"), c["key"].bitwiseXOR(e["key"]).alias("key"),
                                       c["check"].bitwiseXOR(e["check"]).alias("check")))
 
         return F.transform(F.array(*(F.lit(j * PLACES + x) for x in range(PLACES))), cell)
@@ -91,33 +94,35 @@ def peel(cells: Column) -> Column:
     longs = F.array().cast("array<bigint>")
 
     def step(acc, _):
-        pure = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"])))
-        first = F.transform(F.slice(pure, 1, 1), lambda c: F.struct(
-            c["n"].alias("n"), c["key"].alias("key"), c["check"].alias("check"), F.array(*_cells_of(c["key"])).alias("at")))
-
-        def take(p):
-            rest = F.transform(acc["cells"], lambda c: F.when(F.array_contains(p["at"], c["i"]), F.struct(
-                c["i"].alias("i"), (c["n"] - p["n"]).alias("n"), c["key"].bitwiseXOR(p["key"]).alias("key"),
-                c["check"].bitwiseXOR(p["check"]).alias("check"))).otherwise(c))
-            own = F.array(p["key"])
-            return F.struct(F.lit(False).alias("done"), rest.alias("cells"),
-                            F.when(p["n"] > 0, F.concat(acc["a"], own)).otherwise(acc["a"]).alias("a"),
-                            F.when(p["n"] < 0, F.concat(acc["b"], own)).otherwise(acc["b"]).alias("b"))
-
-        stuck = F.struct(F.lit(True).alias("done"), acc["cells"].alias("cells"), acc["a"].alias("a"), acc["b"].alias("b"))
-        return F.when(acc["done"], acc).otherwise(F.coalesce(F.get(F.transform(first, take), F.lit(0)), stuck))
+        # All that are alone in a cell leave together; one that is alone in several cells is one.
+        pure = F.array_distinct(F.transform(
+            F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"]))),
+            lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"), c["check"].alias("check"),
+                               F.array(*_cells_of(c["key"])).alias("at"))))
+
+        def without(c, p):
+            return F.struct(c["i"].alias("i"), (c["n"] - p["n"]).alias("n"), c["key"].bitwiseXOR(p["key"]).alias("key"),
+                            c["check"].bitwiseXOR(p["check"]).alias("check"))
+
+        def take(found):
+            rest = F.transform(acc["cells"], lambda c: F.aggregate(
+                F.filter(found, lambda p: F.array_contains(p["at"], c["i"])), c, without))
+            side = lambda sign: F.transform(F.filter(found, lambda p: p["n"] == sign), lambda p: p["key"])
+            return F.struct((F.size(found) == 0).alias("done"), rest.alias("cells"), F.concat(acc["a"], side(1)).alias("a"),
+                            F.concat(acc["b"], side(-1)).alias("b"))
+
+        # An array of one binds the found ones, so that they are not looked for again for each cell.
+        return F.when(acc["done"], acc).otherwise(F.get(F.transform(F.array(pure), take), F.lit(0)))
 
     start = F.struct(F.lit(False).alias("done"), cells.cast(f"array<{CELL}>").alias("cells"), longs.alias("a"), longs.alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(CELLS + 1)), start, step, lambda acc: F.struct(
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda acc: F.struct(
         F.forall(acc["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0)).alias("ok"),
         acc["a"].alias("a"), acc["b"].alias("b")))
 
 
-def _counts(parts: Column) -> Column:
-    """struct<ok, n_a, n_b> of peeled differences."""
-    zero = F.struct(F.lit(True).alias("ok"), F.lit(0).alias("n_a"), F.lit(0).alias("n_b"))
-    return F.aggregate(parts, zero, lambda x, p: F.struct(
-        (x["ok"] & p["ok"]).alias("ok"), (x["n_a"] + F.size(p["a"])).alias("n_a"), (x["n_b"] + F.size(p["b"])).alias("n_b")))
+def _count(peeled: Column, side: str) -> Column:
+    """How many digests only ``side`` has, over the differences that came apart."""
+    return F.aggregate(peeled, F.lit(0), lambda n, p: n + F.when(p["ok"], F.size(p[side])).otherwise(0))
 
 
 def _grouped(items: Column, count: Column, coarse: Column) -> Column:
@@ -129,41 +134,43 @@ def _grouped(items: Column, count: Column, coarse: Column) -> Column:
         lambda s: F.filter(x["items"], lambda e: e["s"] == s))))
 
 
-def with_segments(t: DataFrame, name: str, a: str, b: str, when: Column, per_segment: int, salt: int) -> DataFrame:
-    """``t`` with ``name``: array<struct<a, b>>, the entries of either side by the segments of a larger table."""
-    t = t.withColumn("_n", F.when(when, F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / per_segment)).cast("int")))
+def with_segments(t: DataFrame, name: str, items: str, per_segment: int, salt: int) -> DataFrame:
+    """``t`` with ``name``: array<array>, the entries ``items`` by the segments of a larger table; null where they are."""
+    t = t.withColumn("_n", F.when(F.col(items).isNotNull(), F.greatest(
+        F.lit(1), F.ceil(F.size(items) / per_segment)).cast("int")))
     t = t.withColumn("_w", F.ceil(F.sqrt("_n")).cast("int"))
-
-    def placed(side):
-        return F.when(F.col("_n").isNotNull(), F.transform(F.col(side), lambda e: F.struct(
-            e["key"].alias("key"), e["check"].alias("check"), *(e[f"p{j}"].alias(f"p{j}") for j in range(SUBTABLES)),
-            F.pmod(F.xxhash64(e["key"], F.lit(f"segment {salt}")), F.col("_n")).cast("int").alias("s"))))
-
-    t = t.withColumns({"_ea": placed(a), "_eb": placed(b)})
-    t = t.withColumns({"_ga": _grouped(F.col("_ea"), F.col("_n"), F.col("_w")),
-                       "_gb": _grouped(F.col("_eb"), F.col("_n"), F.col("_w"))})
-    pairs = F.zip_with("_ga", "_gb", lambda x, y: F.struct(x.alias("a"), y.alias("b")))
-    return t.withColumn(name, F.when(F.col("_n").isNotNull(), pairs)).drop("_n", "_w", "_ea", "_eb", "_ga", "_gb")
+    t = t.withColumn("_e", F.when(F.col("_n").isNotNull(), F.transform(items, lambda e: F.struct(
+        *(e[f].alias(f) for f in FIELDS),
+        F.pmod(F.xxhash64(e["key"], F.lit(f"segment {salt}")), F.col("_n")).cast("int").alias("s")))))
+    t = t.withColumn(name, F.when(F.col("_n").isNotNull(), _grouped(F.col("_e"), F.col("_n"), F.col("_w"))))
+    return t.drop("_n", "_w", "_e")
 
 
 def with_differing(t: DataFrame, name: str, cells_a: str, cells_b: str, a: str, b: str) -> DataFrame:
-    """``t`` with ``name``: struct<ok, n_a, n_b>, how many digests only either side has (``a``, ``b``: their entries).
+    """``t`` with ``name``: struct<n_a, n_b>, how many digests only either side has (``a``, ``b``: their entries).
 
-    From the difference of the two tables; where that gets stuck, from larger
-    tables, built for those rows alone.  Were all of them stuck, the digests
-    themselves would be compared (``ok`` false).
+    From the difference of the two tables; where that gets stuck, from that of
+    larger tables, whose cells count the entries of ``b`` negatively, and for a
+    segment that gets stuck again from larger ones of its own entries.
+    What is left after all retries is compared digest by digest.
     """
     t = t.withColumn("_peeled", F.array(peel(subtract(F.col(cells_a), F.col(cells_b)))))
-    t = t.withColumn(name, _counts(F.col("_peeled")))
+    both = F.concat(F.transform(a, lambda e: F.struct(*(e[f].alias(f) for f in FIELDS))),
+                    F.transform(b, lambda e: F.struct((-e["n"]).alias("n"), *(e[f].alias(f) for f in FIELDS[1:]))))
+    t = t.withColumns({"_na": _count(F.col("_peeled"), "a"), "_nb": _count(F.col("_peeled"), "b"),
+                       "_left": F.when(~F.col("_peeled")[0]["ok"], both)})
     for k in range(RETRIES):
-        t = with_segments(t, "_parts", a, b, ~F.col(name)["ok"], max(1, PER_SEGMENT // SMALLER ** k), k)
-        t = t.withColumn("_cells", F.transform("_parts", lambda p: subtract(table(p["a"]), table(p["b"]))))
-        t = t.withColumn("_peeled", F.transform("_cells", peel))
-        t = t.withColumn(name, F.when(F.col(name)["ok"], F.col(name)).otherwise(_counts(F.col("_peeled"))))
-    plain = F.struct(F.lit(False).alias("ok"), F.size(F.array_except(f"{a}.key", f"{b}.key")).alias("n_a"),
-                     F.size(F.array_except(f"{b}.key", f"{a}.key")).alias("n_b"))
-    t = t.withColumn(name, F.when(F.col(name)["ok"], F.col(name)).otherwise(plain))
-    return t.drop("_peeled", "_parts", "_cells")
+        t = with_segments(t, "_parts", "_left", max(1, PER_SEGMENT // SMALLER ** k), k)
+        t = t.withColumn("_peeled", F.transform("_parts", lambda p: peel(table(p))))
+        t = t.withColumn("_stuck", F.filter("_parts", lambda p, i: ~F.get(F.col("_peeled"), i)["ok"]))
+        more = lambda side: F.coalesce(_count(F.col("_peeled"), side), F.lit(0))
+        t = t.withColumns({"_na": F.col("_na") + more("a"), "_nb": F.col("_nb") + more("b"),
+                           "_left": F.when(F.size("_stuck") > 0, F.flatten("_stuck"))})
+    keys = lambda sign: F.transform(F.filter("_left", lambda e: e["n"] == sign), lambda e: e["key"])
+    plain = lambda x: F.coalesce(F.size(F.array_except(keys(x), keys(-x))), F.lit(0))
+    only = lambda n, x: F.col(n) + F.when(F.col("_left").isNull(), 0).otherwise(plain(x))
+    t = t.withColumn(name, F.struct(only("_na", 1).alias("n_a"), only("_nb", -1).alias("n_b")))
+    return t.drop("_peeled", "_parts", "_stuck", "_na", "_nb", "_left")
 
 
 def likeness(cells: Column, d: Column) -> Column:
