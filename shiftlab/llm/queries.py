@@ -72,7 +72,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
-        (n_hit > 0).alias("contaminated"), F.col("longest").alias("longest_hit"))
+        (n_hit > 0).alias("contaminated"), F.col("longest").alias("longest_match"))
 
 
 OP5_SQL = r"""
@@ -80,31 +80,32 @@ WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (
-  SELECT CAST(item_id AS VARCHAR) AS item,
+  SELECT row_number() OVER () AS r, CAST(item_id AS VARCHAR) AS item,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 win AS (
-  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS k
-  FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS r(i) WHERE len(w) > 0),
+  SELECT DISTINCT r, item, i AS j, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS k
+  FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM win),
 hit AS (
   SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k
   FROM d, sizes, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS r(i) WHERE len(w) >= n),
-found AS (SELECT hit.doc_id, hit.i, hit.n, win.item FROM hit JOIN win USING (n, k)),
+found AS (SELECT hit.doc_id, hit.i, hit.n, win.item, win.r, win.j FROM hit JOIN win USING (n, k)),
 pos AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit, list(DISTINCT p ORDER BY p) AS ps
   FROM (SELECT DISTINCT doc_id, i, n FROM found) AS f, unnest(range(i, i + n)) AS q(p) GROUP BY doc_id),
 longest AS (
-  SELECT doc_id, max(c) AS longest_hit
-  FROM (SELECT doc_id, g, count(*) AS c
-        FROM (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g
-              FROM pos, unnest(ps) AS u(p)) AS x GROUP BY doc_id, g) AS y GROUP BY doc_id),
+  SELECT doc_id, max(c) AS longest_match
+  FROM (SELECT doc_id, n + count(*) - 1 AS c
+        FROM (SELECT doc_id, r, n, i - j AS diagonal,
+                     i - row_number() OVER (PARTITION BY doc_id, r, i - j ORDER BY i) AS g FROM found) AS x
+        GROUP BY doc_id, r, n, diagonal, g) AS y GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s
   FROM found GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
-       coalesce(longest_hit, 0) AS longest_hit
+       coalesce(longest_match, 0) AS longest_match
 FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN longest ON d.doc_id = longest.doc_id
 LEFT JOIN items ON d.doc_id = items.doc_id
 """

@@ -297,6 +297,44 @@ def test_decontaminate_odd_rows(spark, blocks):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {0, 1, 2, 3, None}
 
 
+def common(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("window", [1, 3, 5])
+def test_longest_matches(spark, window):
+    r = random.Random(window)
+    text = lambda n, k: " ".join(r.choice("abcd"[:k]) for _ in range(r.randrange(n)))
+    items = [(i, text(14, r.choice([2, 3, 4]))) for i in range(12)] + [(20, "x a b c d x y z q"), (21, "u v w p s t")]
+    docs = [(i, text(40, r.choice([2, 3, 4]))) for i in range(40)] + [(50, "x a b c d x y z q u v w p s t"), (51, "a " * 500)]
+    bench = frame(spark, items).withColumnRenamed("doc_id", "item_id")
+    words = {str(i): t.split() for i, t in items}
+    for blocks in (1 << 20, 30):
+        for row in decontaminate.find(frame(spark, docs), bench, window=window, block_bytes=blocks).collect():
+            mine, best = row["text"].split(), {}
+            for p in range(len(mine)):
+                for w in words.values():
+                    for j in range(len(w)):
+                        n = common(mine[p:], w[j:])
+                        if w and n >= min(window, len(w)):
+                            best[p] = max(best.get(p, 0), n)
+            want, end = [], 0
+            for p, n in sorted(best.items()):
+                if p + n > end:
+                    want.append((p, n))
+                    end = p + n
+            assert [(m["start"], m["length"]) for m in row["matches"]] == want
+            assert row["longest"] == max(best.values(), default=0)
+            for m in row["matches"]:
+                assert words[m["item"]][m["item_start"]:][:m["length"]] == mine[m["start"]:][:m["length"]]
+    # Words of two items next to each other are two matches.
+    two = decontaminate.find(frame(spark, docs), bench, window=window).where("doc_id = 50").first()
+    assert [(m["start"], m["length"], m["item"]) for m in two["matches"]][:2] == [(0, 9, "20"), (9, 6, "21")]
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for i, t in sorted(rows):
