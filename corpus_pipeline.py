@@ -31,9 +31,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words are in no group and stay.
     """
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    first = jaccard_join.first_rows(docs.select("doc_id", "text")).withColumnRenamed("rh", "_near_row")
-    one = (docs.where(worded).withColumn("_near_row", F.xxhash64("doc_id", "text"))
-           .join(first, "_near_row", "left_semi").dropDuplicates(["_near_row"]))
+    row = "_near_row"
+    while row in docs.columns:
+        row += "_"
+    first = jaccard_join.first_rows(docs.select("doc_id", "text")).withColumnRenamed("rh", row)
+    one = (docs.where(worded).withColumn(row, F.xxhash64("doc_id", "text"))
+           .join(first, row, "left_semi").dropDuplicates([row]))
     return one.select(*_columns(docs)).unionByName(docs.where(~worded))
 
 
