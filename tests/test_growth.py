@@ -14,3 +14,18 @@ def test_draws_and_offsets_are_not_broadcast(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "HashJoin" in line and ("_rank" in line or re.search(r"_sh_b#\d+\], \[", line))]
     assert "SortMergeJoin" in plan and not joins
+
+
+def test_permutation_ranks_carry_no_vectors(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+
+    from shiftlab.operators import importance as im
+
+    seen, rank = [], im.hash_rank
+    monkeypatch.setattr(im, "hash_rank", lambda df, by, *a, **k: (seen.append((list(by), df.columns)), rank(df, by, *a, **k))[1])
+    df = spark.range(60).select("id", (F.col("id") % 2).cast("string").alias("y"), array_to_vector(
+        F.array((F.col("id") % 2).cast("double"), (F.col("id") % 7).cast("double"))).alias("x"))
+    df = df.unionByName(df.where("id < 10"))  # keys may repeat
+    got = {r["feature"]: r["importance"] for r in im.permutation_importance(df, "y", "x", ["a", "b"], ["id"], 2, trees=3, depth=3).collect()}
+    assert set(got) == {"a", "b"} and got["a"] > got["b"]
+    assert [c for by, c in seen if by == ["_f", "_r"]] and not any("_arr" in c for by, c in seen if by)
