@@ -53,3 +53,9 @@ def any_tag(arr: Column, tags_field: str, tag: str) -> Column:
 def year_prefix(s: Column) -> Column:
     """Integer of the first four characters, NULL when unparsable."""
     return F.substring(s, 1, 4).try_cast("int")
+
+
+def once(value: Column) -> Column:
+    """``value`` as a column of its own in a ``select``: the optimizer copies a plain expression into every use
+    of its column (filters, fields), and so computes it again for each; it does not copy a generated one."""
+    return F.explode(F.array(value))

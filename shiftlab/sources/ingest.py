@@ -107,10 +107,12 @@ def parse(docs: DataFrame) -> DataFrame:
     """I01 + I04: the declared fields of each ``doc``; one that does not parse has its text in ``_corrupt_record``."""
     fields = F.from_json("doc", CVE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     bad = F.trim("doc") == ""
-    x = docs.select(*(c for c in docs.columns if c != "doc"), F.when(~bad, fields).alias("_f"), "doc")
+    others = [c for c in docs.columns if c != "doc"]
+    x = docs.select(*others, nf.once(F.col("doc")).alias("doc"))
+    x = x.select(*others, nf.once(F.when(~bad, fields)).alias("_f"), "doc")
     names = [c.strip("`") for c in _FIELD_NAMES]
     corrupt = F.when(F.col("_f").isNull(), F.col("doc")).otherwise(F.col("_f._corrupt_record"))
-    return x.select(*(c for c in docs.columns if c != "doc"), *(F.col("_f")[n].alias(n) for n in names), corrupt.alias("_corrupt_record"))
+    return x.select(*others, *(F.col("_f")[n].alias(n) for n in names), corrupt.alias("_corrupt_record"))
 
 
 def compact(spark: SparkSession, data_dir: str, out: str, glob: str = FILE_GLOB, years: list[int] | None = None) -> None:
@@ -158,8 +160,8 @@ def flatten(raw: DataFrame) -> DataFrame:
                                                               lambda x: F.coalesce(x["criteria"], F.lit("")))))))
     desc = F.try_element_at(F.filter(F.coalesce(F.col("descriptions"), F.array()),
                                      lambda d: d["lang"] == "en"), F.lit(1))
-    d = raw.where(F.col("_corrupt_record").isNull()).select("*", v31.alias("_v31"), v2.alias("_v2"),
-                                                             cwes.alias("_cwes"))
+    d = raw.where(F.col("_corrupt_record").isNull()).select("*", nf.once(v31).alias("_v31"))
+    d = d.select("*", v2.alias("_v2"), cwes.alias("_cwes"))
     d = d.where(F.col("_v31").isNotNull() & F.col("_v31.cvssData.baseScore").isNotNull())
     cd = F.col("_v31.cvssData")
 

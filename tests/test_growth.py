@@ -29,3 +29,14 @@ def test_permutation_ranks_carry_no_vectors(spark, monkeypatch):
     got = {r["feature"]: r["importance"] for r in im.permutation_importance(df, "y", "x", ["a", "b"], ["id"], 2, trees=3, depth=3).collect()}
     assert set(got) == {"a", "b"} and got["a"] > got["b"]
     assert [c for by, c in seen if by == ["_f", "_r"]] and not any("_arr" in c for by, c in seen if by)
+
+
+def test_a_document_is_parsed_once(spark):
+    from shiftlab.sources import ingest as ig
+
+    good = '{"id": "CVE-1", "metrics": {"cvssMetricV31": [{"type": "Primary", "cvssData": {"baseScore": 5.0}}]}}'
+    docs = spark.createDataFrame([("a", good), ("b", good[:40]), ("c", ""), ("d", None)], "file_name string, doc string")
+    flat = ig.flatten(ig.parse(docs))
+    assert flat._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [(r["cve_id"], r["cvss31_score"]) for r in flat.collect()] == [("CVE-1", 5.0)]
+    assert ig.parse(docs).count() == 4
