@@ -73,6 +73,26 @@ def test_boosting_over_several_blocks_equals_naive(spark, monkeypatch):
     assert np.mean([r.prediction == r.y for r in out]) > 0.9 and all(abs(sum(r.probability) - 1) < 1e-12 for r in out)
 
 
+@pytest.mark.parametrize(("block_rows", "refreshed"), [(20, 5), (1000, 2)])
+def test_boosting_adds_a_rounds_trees_once(spark, monkeypatch, block_rows, refreshed):
+    """Tasks of several blocks get each round's trees once; the deepest leaves need no job; results are those of one block."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (150, 4)).astype(float)
+    y = (x[:, 0] + x[:, 1] > 11).astype(int) + (x[:, 2] > 6)
+    df = frame(spark, x, y).coalesce(1)
+    monkeypatch.setattr(bo, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(bo, "REFRESH", 2)
+    seen = {"_refreshed": [], "_splits": []}
+    for name, calls in seen.items():
+        plain = getattr(bo.SoftmaxBoost, name)
+        monkeypatch.setattr(bo.SoftmaxBoost, name, lambda self, blocks, since, *rest, plain=plain, calls=calls:
+                            calls.append(len(since)) or plain(self, blocks, since, *rest))
+    model = bo.SoftmaxBoost(rounds=6, depth=3).fit(df, "features", "y", 3)
+    assert len(seen["_refreshed"]) == refreshed and sum(seen["_refreshed"]) == (5 if refreshed == 5 else 4)
+    assert len(seen["_splits"]) <= 6 * 3 and max(seen["_splits"]) == (0 if refreshed == 5 else 1)
+    assert np.allclose(model.margins(x), naive_boost(x, y, 3, 6, 3), atol=1e-9)
+
+
 def test_boosting_bins():
     x = np.array([[np.nan, 1.0], [2.0, 1.0], [3.0, 1.0], [np.inf, 1.0]])
     edges = bo.quantile_edges(x, 8)
