@@ -233,3 +233,20 @@ def test_only_the_fit_is_bounded(spark, most):
     df = spark.range(500).select("id", (F.col("id") % 2).cast("string").alias("y"), (F.col("id") % 4).alias("v"))
     got = md.run_loop(df, "y", None, ["id"], md.value_majority("m", F.col("v")), cv_folds=0, max_train=most)
     assert got.confusion.agg(F.sum("n")).first()[0] == 100
+
+
+def test_curve_fits_run_side_by_side_and_score_once(spark, monkeypatch):
+    """A fit's training and validation rows are scored in one pass; the registered curve overlaps its fits."""
+    from shiftlab.plans import q_models
+
+    calls, counted = [], md._counted
+    monkeypatch.setattr(md, "_counted", lambda *a, **k: calls.append(1) or counted(*a, **k))
+    df = spark.range(300).select("id", (F.col("id") % 2).cast("string").alias("y"), (F.col("id") % 4).alias("v"))
+    got = md.run_loop(df, "y", None, ["id"], md.value_majority("m", F.col("v")), cv_folds=0, learning_curves=True, parallel=4)
+    rows = got.curve.collect()
+    assert not got.failed and len(calls) == 8 * 3 and len(rows) == 8 * 3 * 2
+    assert {r.split for r in rows} == {"train", "val"} and all(r.f1 == 1.0 for r in rows if r.train_size > 100)
+    used = []
+    monkeypatch.setattr(q_models, "_loop", lambda *_, **kw: used.append(kw["parallel"]) or got)
+    q_models.m09(spark, "")
+    assert used == [md.FITS_AT_ONCE]
