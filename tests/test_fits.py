@@ -250,3 +250,17 @@ def test_curve_fits_run_side_by_side_and_score_once(spark, monkeypatch):
     monkeypatch.setattr(q_models, "_loop", lambda *_, **kw: used.append(kw["parallel"]) or got)
     q_models.m09(spark, "")
     assert used == [md.FITS_AT_ONCE]
+
+
+def test_svm_steps_run_few_tasks(spark, monkeypatch):
+    """The fits of the classes fill the cores: a step of one has as many tasks as the rows need, not one a core."""
+    x, y = blobs(120)
+    df = frame(spark, x, y).repartition(6).cache()
+    seen, plain = [], md.RFFSVM._fit
+    monkeypatch.setattr(md.RFFSVM, "_fit", lambda self, rows, label: seen.append(rows.rdd.getNumPartitions()) or plain(self, rows, label))
+    svm = md.RFFSVM(max_iter=3, n_components=8, probability=False)
+    (out,) = svm.fit_predict(df, [df], "features", "y", 3)
+    assert out.count() == 120 and seen == [1]
+    monkeypatch.setattr(md, "FIT_ROWS", 50)
+    svm.fit_predict(df, [df], "features", "y", 3)
+    assert seen == [1, 3]
