@@ -1,12 +1,15 @@
 """Language-model scoring with a small causal self-attention model in numpy.
 
-The model predicts the class of the next subword id from the ids before it in
-its window; the corpus gives the probability of an id within its class:
-``P(id | context) = P(class | context) * n(id) / n(class)`` (counts plus one).
-Frequent ids are classes of their own.  Weights are fitted on every window of
-every training text, and counts of ids and of words cover all of them too.
-
-Fitting goes in ``ROUNDS`` jobs.  A round takes its share of the texts by hash,
+The model predicts the next subword id from the ids before it in its window.  An
+id is a leaf of a Huffman tree over the corpus counts (plus one), and
+``P(id | context)`` is the product of the turns on the way to it; each node has a
+vector of its own, and starts with the odds of the counts.  Every id that the
+training texts hold has a leaf and an embedding; the ids that none of them holds
+share one leaf equally, as nothing tells them apart.  Weights are fitted on every
+window of every training text, and counts of ids and of words cover all of them too.
+
+The ids are written once and read by the counts, the fit and the scores.  Fitting
+goes in ``ROUNDS`` jobs.  A round takes its share of the texts by hash,
 each task steps from the weights so far through all windows of its rows, and the
 new weights are the tasks' weights averaged by their targets.  The tasks follow
 the table's partitions, so other partitions give slightly other weights.
@@ -20,6 +23,7 @@ the text's start and after each position.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -33,42 +37,102 @@ from shiftlab.llm import subwords
 from shiftlab.llm.store import ready, written
 
 WINDOW, STRIDE, WIDTH = 32, 24, 8
-SINGLE, GROUPED, EMBEDDED = 32, 16, 1024
+#: Leaves of a model without counts.
+LEAVES = 1024
+#: Nodes from the root on whose gradients are products of matrices.
+NEAR = 64
 #: Jobs of the fit; steps of BATCH windows that a small corpus gets by passing over it more than once.
 ROUNDS, STEPS, BATCH, RATE = 4, 150, 128, 0.02
-#: Weights are averaged as whole numbers of this part, so that the order of tasks does not matter.
-PART = 1 << 24
+#: Weights are averaged as whole numbers of this part, so that the order of tasks does not matter; so many a row.
+PART, ACROSS = 1 << 40, 8
 #: Words whose counts every task holds (16 bytes each); the others meet their counts in a join.
 FREQUENT_WORDS = 200_000
 END_HASH = 0x5851F42D4C957F2D
 F32 = np.float32
 
 
-def classes(counts: np.ndarray, starts_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class, row of the embedding, log10 P(id | class)) of each id, from corpus counts."""
+def leaves(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leaf of each id, log10 P(id | leaf), weights of the leaves) from corpus counts.
+
+    Ids that occur come first, the most frequent at 0; the others share the last leaf.
+    """
     order = np.lexsort((np.arange(len(counts)), -counts))
-    rank = np.empty(len(counts), np.int64)
-    rank[order] = np.arange(len(counts))
-    octave = np.minimum(np.log2(np.maximum(rank, SINGLE) / SINGLE).astype(np.int64), GROUPED // 2 - 1)
-    of = np.where(rank < SINGLE, rank, SINGLE + 2 * octave + starts_word)
-    row = np.where(rank < EMBEDDED, rank, EMBEDDED + of)
-    n = counts + 1.0
-    return of, row, np.log10(n) - np.log10(np.bincount(of, n, SINGLE + GROUPED)[of])
+    seen = int((counts > 0).sum())
+    leaf = np.empty(len(counts), np.int64)
+    leaf[order] = np.minimum(np.arange(len(counts)), seen)
+    rest = len(counts) - seen
+    weights = np.append(counts[order[:seen]] + 1.0, [float(rest)] if rest else [])
+    return leaf, np.where(leaf < seen, 0.0, -math.log10(max(rest, 1))), weights
+
+
+class Tree:
+    """The ways from the root of a Huffman tree to its leaves.
+
+    ``node`` and ``turn`` (1 or -1) from ``at[i]`` to ``at[i + 1]`` lead to leaf i;
+    ``odds`` are the log odds of each node's turn 1 by the weights.  Node 0 is the root.
+    """
+
+    def __init__(self, weights: np.ndarray):
+        n = len(weights)
+        up, turn, odds = np.zeros(2 * n, np.int64), np.ones(2 * n, F32), np.zeros(max(n - 1, 0))
+        heap = [(w, i) for i, w in enumerate(np.asarray(weights, float).tolist())]
+        heapq.heapify(heap)
+        for new in range(n, 2 * n - 1):
+            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+            up[i] = up[j] = new
+            turn[i] = -1
+            odds[2 * n - 2 - new] = math.log(b / a)
+            heapq.heappush(heap, (a + b, new))
+        leaf, place, ways = np.arange(n), np.arange(n), []
+        while True:
+            below = place < 2 * n - 2
+            leaf, place = leaf[below], place[below]
+            if not len(leaf):
+                break
+            ways.append((leaf, 2 * n - 2 - up[place], turn[place]))
+            place = up[place]
+        leaf, self.node, self.turn = (np.concatenate(x) for x in zip(*ways, strict=True)) if ways else (
+            np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, F32))
+        order = np.argsort(leaf, kind="stable")
+        self.node, self.turn = self.node[order], self.turn[order]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=n))])
+        self.odds, self.size = odds.astype(F32), n
+
+    def ways(self, target: np.ndarray):
+        """(place in ``target``, node, turn) of every turn to the target leaves."""
+        first = self.at[target]
+        n = self.at[target + 1] - first
+        of = np.repeat(np.arange(len(target)), n)
+        first -= np.cumsum(n) - n
+        step = first.take(of)
+        step += np.arange(len(of))
+        return of, self.node.take(step), self.turn.take(step)
 
 
 class Model:
-    """Single-head causal attention with a residual and a softmax over classes."""
+    """Single-head causal attention with a residual and a softmax over the leaves of a tree, turn by turn."""
 
     NAMES = ("E", "P", "Q", "K", "V", "O", "C", "B")
 
-    def __init__(self, seed: int = 7):
+    def __init__(self, seed: int = 7, tree: Tree | None = None):
         r = np.random.RandomState(seed)
-        d, c = WIDTH, SINGLE + GROUPED
-        shapes = {"E": (EMBEDDED + c, d), "P": (WINDOW, d), "Q": (d, d), "K": (d, d), "V": (d, d), "O": (d, d),
-                  "C": (d, c), "B": (c,)}
+        self.tree = tree or Tree(np.ones(LEAVES))
+        d, n = WIDTH, self.tree.size
+        shapes = {"E": (n, d), "P": (WINDOW, d), "Q": (d, d), "K": (d, d), "V": (d, d), "O": (d, d), "C": (n - 1, d)}
         self.w = {k: (r.standard_normal(s) * (0.3 if k in "EP" else 1 / math.sqrt(d))).astype(F32)
                   for k, s in shapes.items()}
-        self.w["B"][:] = 0
+        self.w["C"] *= F32(0.1)
+        self.w["B"] = self.tree.odds.copy()
+
+    def _turns(self, y: np.ndarray, target: np.ndarray):
+        """(place in ``target``, node, turn, log odds of the turn taken) of every turn to the targets of ``y``'s rows."""
+        of, node, turn = self.tree.ways(target)
+        z = y.take(of, 0)
+        z *= self.w["C"].take(node, 0)
+        z = z @ np.ones(WIDTH, z.dtype)
+        z += self.w["B"].take(node)
+        z *= turn
+        return of, node, turn, z
 
     def _attend(self, x: np.ndarray, there: np.ndarray, skip: int):
         """(queries, keys, values, weights, heads' output) for inputs from ``skip`` on."""
@@ -83,15 +147,13 @@ class Model:
         return q, k, v, s, s @ v
 
     def log_targets(self, rows: np.ndarray, there: np.ndarray, skip: int, target: np.ndarray) -> np.ndarray:
-        """log P(class) of the ``target`` classes of the inputs from ``skip`` on; (windows, targets)."""
+        """log P of the ``target`` leaves of the inputs from ``skip`` on; (windows, targets)."""
         w = self.w
         x = w["E"][rows] + w["P"]
         o = self._attend(x, there, skip)[-1]
-        z = (x[:, skip:] + o @ w["O"]) @ w["C"]
-        z += w["B"]
-        got = np.take_along_axis(z, target[..., None], -1)[..., 0]
-        top = _exp(z)
-        return got - top - np.log(z @ np.ones(z.shape[-1], z.dtype))
+        y = x[:, skip:] + o @ w["O"]
+        of, _, _, z = self._turns(y.reshape(-1, WIDTH), target.reshape(-1))
+        return np.bincount(of, _log_sigmoid(z)[0], target.size).reshape(target.shape)
 
     def step(self, rows: np.ndarray, there: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
         """(loss, gradients) over all targets of a batch of windows."""
@@ -99,20 +161,32 @@ class Model:
         x = w["E"][rows] + w["P"]
         q, k, v, a, o = self._attend(x, there, 0)
         y = x + o @ w["O"]
-        p = y @ w["C"]
-        p += w["B"]
-        _exp(p)
-        p /= p @ np.ones((p.shape[-1], 1), p.dtype)
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        at = np.flatnonzero(there) * p.shape[-1] + target[there]
-        right = p.reshape(-1)[at]
-        loss = float(-np.log(right + 1e-12).mean())
-        p.reshape(-1)[at] = right - 1
-        if len(at) < there.size:
-            p[~there] = 0
-        p /= F32(max(len(at), 1))
-        g = {"C": flat(y).T @ flat(p), "B": flat(p).sum(0)}
-        dy = (flat(p) @ w["C"].T).reshape(x.shape)
+        some = np.flatnonzero(there)
+        y = flat(y)[some]
+        of, turned, turn, z = self._turns(y, target[there])
+        log, e = _log_sigmoid(z)
+        loss = float(-np.log(np.exp(np.bincount(of, log, len(some))) + 1e-12).mean())
+        # Of a turn's logit: 1 less its probability, against the turn.
+        dz = turn * np.where(z > 0, e, 1) / (1 + e)
+        dz /= -max(len(some), 1)
+        dz = dz.astype(z.dtype, copy=False)
+        m, near = len(w["B"]), turned < NEAR
+        # Most turns are at the nodes near the root: products with a matrix of targets and nodes; the others one by one.
+        top = np.zeros((len(some), NEAR), z.dtype)
+        top.reshape(-1)[(of * NEAR + turned)[near]] = dz[near]
+        top = top[:, :m]
+        dy = np.zeros_like(flat(x))
+        dy[some] = top @ w["C"][:NEAR]
+        far = np.flatnonzero(~near)
+        of, node, dz_far = of[far], turned[far], dz[far, None]
+        ys, c = y.take(of, 0) * dz_far, w["C"].take(node, 0) * dz_far
+        g = {"C": np.stack([np.bincount(node, ys[:, j], m) for j in range(WIDTH)], 1).astype(z.dtype), "B": np.bincount(turned, dz, m)}
+        g["C"][:NEAR] += top.T @ y
+        if len(of):
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            dy[some[of[first]]] += np.add.reduceat(c, first)
+        dy = dy.reshape(x.shape)
         g["O"] = flat(o).T @ flat(dy)
         do = dy @ w["O"].T
         ds = do @ v.transpose(0, 2, 1)
@@ -122,7 +196,7 @@ class Model:
         dx = dy + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
         for name, m in (("Q", dq), ("K", dk), ("V", dv)):
             g[name] = flat(x).T @ flat(m)
-        if len(at) < there.size:
+        if len(some) < there.size:
             dx[~there] = 0
         g["P"] = dx.sum(0)
         cell = rows[..., None] * WIDTH + np.arange(WIDTH)
@@ -130,15 +204,17 @@ class Model:
         return loss, g
 
 
-def _exp(z: np.ndarray) -> np.ndarray | float:
-    """exp of ``z`` in place, less the largest of the last axis where that could leave the range; what was taken off."""
-    top = 0.0
+def _exp(z: np.ndarray) -> None:
+    """exp of ``z`` in place, less the largest of the last axis where that could leave the range."""
     if max(z.max(initial=0), -z.min(initial=0)) > 60:
-        top = z.max(-1, keepdims=True)
-        z -= top
-        top = top[..., 0]
+        z -= z.max(-1, keepdims=True)
     np.exp(z, out=z)
-    return top
+
+
+def _log_sigmoid(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log of the logistic function of ``z``, and exp(-abs(z))."""
+    e = np.exp(-np.abs(z))
+    return np.minimum(z, 0) - np.log(1 + e), e
 
 
 class Trainer:
@@ -214,42 +290,74 @@ def _words(batch: pa.RecordBatch):
         yield i, low, starts, ends, at, ba.span_hashes(low, starts, ends)
 
 
-def _count(ranks):
-    """(kind, key, n): counts of words by hash (0) and of subword ids (1) in a batch, ends included."""
+def _kind(size: int) -> np.dtype:
+    """Of a written id."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+class Ids:
+    """The ids of a batch's texts: the written ones, or else those of the texts themselves."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.end, self.encoder = ranks, max(ranks.values()) + 1, None
+
+    def of(self, batch: pa.RecordBatch):
+        """(ids, offsets) of slices of a batch."""
+        if "ids" in batch.schema.names:
+            data, offsets = ba.flat(batch.column(batch.schema.get_field_index("ids")))
+            kind = _kind(self.end + 1)
+            for i, j in ba.slices(offsets):
+                yield (np.frombuffer(data[offsets[i]:offsets[j]].tobytes(), kind).astype(np.int64),
+                       (offsets[i:j + 1] - offsets[i]) // kind.itemsize)
+            return
+        self.encoder = self.encoder or subwords.Encoder(self.ranks)
+        for _, low, starts, ends, at, h in _words(batch):
+            ids, n = self.encoder.ids(low, starts, ends, h)
+            yield ids, np.concatenate([[0], np.cumsum(n)])[at]
+
+
+def _count(batches):
+    """(key, n): counts of words by hash in a batch, ends included."""
+    for batch in batches:
+        words = [np.array([[END_HASH], [batch.num_rows]], ba.U64)]
+        for *_, h in _words(batch):
+            h, c = np.unique(h, return_counts=True)
+            words.append(np.stack([h, c.astype(ba.U64)]))
+        pairs = np.concatenate(words, 1)
+        h, back = np.unique(pairs[0], return_inverse=True)
+        n = np.bincount(back, pairs[1].astype(np.float64)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([ba.signed(h), pa.array(n)], ["key", "n"])
+
+
+def _count_ids(shared):
+    """(key, n): how often each id occurs in a task's texts, ends included."""
     def run(batches):
-        encoder = subwords.Encoder(ranks.value)
+        reader = Ids(shared.value)
+        n = np.zeros(reader.end + 1, np.int64)
         for batch in batches:
-            words, per_id = [], np.zeros(encoder.size, np.int64)
-            for _, low, starts, ends, at, h in _words(batch):
-                ids, _ = encoder.ids(low, starts, ends, h)
-                per_id += np.bincount(ids, minlength=encoder.size)
-                h, c = np.unique(h, return_counts=True)
-                words.append(np.stack([h, c.astype(ba.U64)]))
-            per_id[encoder.end] += batch.num_rows
-            pairs = np.concatenate([*words, np.array([[END_HASH], [batch.num_rows]], ba.U64)], 1)
-            h, back = np.unique(pairs[0], return_inverse=True)
-            n = np.bincount(back, pairs[1].astype(np.float64)).astype(np.int64)
-            seen = np.flatnonzero(per_id)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(np.array([0, 1], np.int8), [len(h), len(seen)])),
-                pa.concat_arrays([ba.signed(h), pa.array(seen)]),
-                pa.concat_arrays([pa.array(n), pa.array(per_id[seen])])], ["kind", "key", "n"])
+            for ids, at in reader.of(batch):
+                n += np.bincount(ids, minlength=len(n))
+                n[reader.end] += len(at) - 1
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], ["key", "n"])
 
     return run
 
 
-def _score(shared):
-    """A row's n_tokens, LM score, and base terms: those of frequent words summed, others listed."""
+def _encode(shared):
+    """A row's n_tokens, ids, and base terms: those of frequent words summed, others listed."""
     def run(batches):
-        ranks, model, of, row, within, frequent, counts = shared.value
+        ranks, frequent, counts = shared.value
         encoder = subwords.Encoder(ranks)
+        kind = _kind(encoder.size)
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "logs", "score", "rare", "times")}
+            out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "logs", "rare", "times", "ids")}
             for _, low, starts, ends, at, h in _words(batch):
                 text = ba.texts_of(at)
                 ids, n = encoder.ids(low, starts, ends, h)
-                id_at = np.concatenate([[0], np.cumsum(n)])[at]
-                out["score"].append(text_log10(ids, id_at, encoder.end, model, of, row, within))
+                id_at = np.concatenate([[0], np.cumsum(n)])[at] * kind.itemsize
+                raw = ids.astype(kind).tobytes()
+                out["ids"] += [raw[i:j] for i, j in zip(id_at[:-1].tolist(), id_at[1:].tolist(), strict=True)]
                 out["n_tokens"].append(np.diff(at) + 1)
                 k = np.searchsorted(frequent, h) if len(frequent) else np.zeros(len(h), np.int64)
                 k[k == len(frequent)] = 0
@@ -266,71 +374,87 @@ def _score(shared):
                 border = np.searchsorted(text[new], np.arange(1, texts))
                 out["rare"] += [x.view(np.int64) for x in np.split(h[new], border)]
                 out["times"] += np.split(times.astype(np.int32), border)
-            if not out["score"]:
+            if not out["ids"]:
                 continue
-            flat = {k: np.concatenate(v) for k, v in out.items() if k in ("n_tokens", "known", "logs", "score")}
+            flat = {k: np.concatenate(out[k]) for k in ("n_tokens", "known", "logs")}
             yield pa.RecordBatch.from_arrays([
                 *(c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != "text"),
                 pa.array(flat["n_tokens"].astype(np.int64)), pa.array(flat["known"].astype(np.int64)),
-                pa.array(flat["logs"].astype(np.float64)), pa.array(flat["score"]),
-                pa.array(out["rare"], pa.list_(pa.int64())), pa.array(out["times"], pa.list_(pa.int32()))],
-                [*(x for x in batch.schema.names if x != "text"), *out_names])
+                pa.array(flat["logs"].astype(np.float64)),
+                pa.array(out["rare"], pa.list_(pa.int64())), pa.array(out["times"], pa.list_(pa.int32())),
+                pa.array(out["ids"], pa.binary())],
+                [*(x for x in batch.schema.names if x != "text"), *out])
 
-    out_names = ["n_tokens", "known", "logs", "score", "rare", "times"]
     return run
 
 
-def _trained(shared, k: int, passes: int):
-    """(place, value, targets) of the weights after all windows of a task's texts, in whole parts times targets."""
+def _score(shared):
+    """A row's LM score, beside its other columns but the ids."""
     def run(batches):
-        ranks, start, of, row = shared.value
-        encoder, model, seen = subwords.Encoder(ranks), Model(), 0
+        ranks, model, leaf, within = shared.value
+        reader = Ids(ranks)
+        for batch in batches:
+            got = [text_log10(ids, at, reader.end, model, leaf, leaf, within) for ids, at in reader.of(batch)]
+            if got:
+                kept = [name for name in batch.schema.names if name != "ids"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(np.concatenate(got))],
+                                                 [*kept, "score"])
+
+    return run
+
+
+def _trained(shared, k: int, passes: int, total: int = 1):
+    """(place, values, targets) of the weights after all windows of a task's texts: whole parts times its share of ``total``."""
+    def run(batches):
+        ranks, start, of, row, *tree = shared.value
+        reader, model, seen = Ids(ranks), Model(7, *tree), 0
         model.w = {name: x.copy() for name, x in start.items()}
         trainer = Trainer(model, RATE * (1 - k / ROUNDS), 11 + k)
         for batch in batches:
-            for _, low, starts, ends, at, h in _words(batch):
-                ids, n = encoder.ids(low, starts, ends, h)
-                id_at = np.concatenate([[0], np.cumsum(n)])[at]
-                inputs, targets, position, there, _ = laid_out(ids, id_at, encoder.end, WINDOW)
+            for ids, at in reader.of(batch):
+                inputs, targets, position, there, _ = laid_out(ids, at, reader.end, WINDOW)
                 trainer.run(row[inputs][position], there, of[targets][position], passes)
                 seen += len(targets)
         if seen:
-            flat = np.rint(np.concatenate([model.w[name].reshape(-1) for name in Model.NAMES]).astype(np.float64) * PART)
+            flat = np.concatenate([model.w[name].reshape(-1) for name in Model.NAMES]).astype(np.float64)
+            flat = np.rint(np.resize(flat, (-(-len(flat) // ACROSS), ACROSS)) * (PART * (seen / total))).astype(np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.int64)),
-                pa.array(np.full(len(flat), seen, np.int64))], ["place", "value", "n"])
+                pa.array(np.arange(len(flat), dtype=np.int32)), *(pa.array(x) for x in flat.T),
+                pa.array(np.full(len(flat), seen, np.int64))], ["place", *(f"v{j}" for j in range(ACROSS)), "n"])
 
     return run
 
 
 def fit(train: DataFrame, ranks: dict[bytes, int], counts: np.ndarray, *, steps: int = STEPS):
-    """(model, classes, embedding rows, log10 within classes) of a corpus.
+    """(model, leaf of each id, log10 P of the id in its leaf) of a corpus, given the counts of its ids.
 
-    The weights see every window of every text of ``train``.  A corpus with fewer
-    than ``steps`` batches of windows is passed over again until about as many.
-    The driver gets the averaged weights alone, a row for each.
+    ``train`` holds a column ``ids`` of written ids, or else a column ``text``.  The
+    weights see every window of every text.  A corpus with fewer than ``steps`` batches
+    of windows is passed over again until about as many.  The driver gets the averaged
+    weights alone, a row for each eight.
     """
     spark = train.sparkSession
-    starts_word = np.zeros(len(counts), np.int64)
-    for token, i in ranks.items():
-        starts_word[i] = token[:1] == b" "
-    of, row, within = classes(counts, starts_word)
-    model = Model()
-    passes = min(steps, max(1, math.ceil(steps * BATCH * WINDOW / max(1, counts.sum()))))
+    leaf, within, weights = leaves(counts)
+    model = Model(7, Tree(weights))
+    model.w["E"][int((counts > 0).sum()):] = 0  # no training text has these
+    total = max(1, int(counts.sum()))
+    passes = min(steps, max(1, math.ceil(steps * BATCH * WINDOW / total)))
+    values = [f"v{j}" for j in range(ACROSS)]
+    of_round = F.pmod(F.xxhash64("ids" if "ids" in train.columns else "text"), F.lit(ROUNDS))
     for k in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((ranks, model.w, of, row))
-        share = train.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k)
-        mean = (share.mapInArrow(_trained(shared, k, passes), "place int, value bigint, n bigint").groupBy("place")
-                .agg(F.sum(F.col("value").cast("decimal(38,0)") * F.col("n")).alias("value"), F.sum("n").alias("n"))
-                .select("place", (F.col("value").cast("double") / F.col("n") / PART).alias("w")).orderBy("place").toArrow())
+        shared = spark.sparkContext.broadcast((ranks, model.w, leaf, leaf, model.tree))
+        mean = (train.where(of_round == k)
+                .mapInArrow(_trained(shared, k, passes, total), f"place int, {', '.join(f'{v} bigint' for v in values)}, n bigint")
+                .groupBy("place").agg(*(F.sum(v).alias(v) for v in values), F.sum("n").alias("n"))
+                .select("place", *((F.col(v) / F.col("n") * (total / PART)).alias(v) for v in values)).orderBy("place").toArrow())
         if mean.num_rows:
-            flat, at = mean["w"].to_numpy(), 0
+            flat, at = np.stack([mean[v].to_numpy() for v in values], 1).reshape(-1), 0
             for name in Model.NAMES:
                 x = model.w[name]
                 model.w[name] = flat[at:at + x.size].reshape(x.shape).astype(F32)
                 at += x.size
         shared.destroy()
-    return model, of, row, within
+    return model, leaf, within
 
 
 def score(docs: DataFrame, train_on: Column, *, doc_id: str = "doc_id", text: str = "text",
@@ -348,32 +472,37 @@ def score(docs: DataFrame, train_on: Column, *, doc_id: str = "doc_id", text: st
     spark = docs.sparkSession
     ready(spark)
     ranks = subwords.load(ranks_path)
-    base = docs.select(F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).alias("rh"), F.col(text).alias("text"))
-    train = docs.where(F.coalesce(train_on, F.lit(False))).select(F.col(text).alias("text"))
-    sent = spark.sparkContext.broadcast(ranks)
-    counted = written(train.mapInArrow(_count(sent), "kind tinyint, key bigint, n bigint")
-                      .groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
-    words = counted.where("kind = 0").select(F.col("key").alias("h"), F.col("n").alias("c"))
+    learn = F.coalesce(train_on, F.lit(False))
+    base = docs.select(F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).alias("rh"), learn.alias("learn"),
+                       F.col(text).alias("text"))
+    words = written(docs.where(learn).select(F.col(text).alias("text")).mapInArrow(_count, "key bigint, n bigint")
+                    .groupBy(F.col("key").alias("h")).agg(F.sum("n").alias("c")), "lm-counts")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    size = max(ranks.values()) + 2
-    ids = counted.where("kind = 1").select("key", "n").toArrow()  # at most one row an id of the vocabulary
-    per_id = np.zeros(size, np.int64)
-    per_id[ids["key"].to_numpy()] = ids["n"].to_numpy()
-    model, of, row, within = fit(train, ranks, per_id, **fitting)
     top = words.orderBy(F.desc("c"), "h").limit(frequent_words).toArrow()
     frequent = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(frequent)
-    shared = spark.sparkContext.broadcast((ranks, model, of, row, within, frequent[order], top["c"].to_numpy()[order]))
+    shared = spark.sparkContext.broadcast((ranks, frequent[order], top["c"].to_numpy()[order]))
     schema = StructType([*base.drop("text").schema.fields, *(
         StructField(f.name, f.dataType) for f in StructType.fromDDL(
-            "n_tokens bigint, known bigint, logs double, score double, rare array<bigint>, times array<int>"))])
-    scored = written(base.mapInArrow(_score(shared), schema), "lm-scored")
-    rare = (scored.where(F.size("rare") > 0).select("rh", "rare", "times").dropDuplicates(["rh"])
+            "n_tokens bigint, known bigint, logs double, rare array<bigint>, times array<int>, ids binary"))])
+    coded = written(base.mapInArrow(_encode(shared), schema), "lm-ids")
+    train = coded.where("learn").select("ids")
+    sent = spark.sparkContext.broadcast(ranks)
+    ids = (train.mapInArrow(_count_ids(sent), "key bigint, n bigint")
+           .groupBy("key").agg(F.sum("n").alias("n")).toArrow())  # at most one row an id of the vocabulary
+    per_id = np.zeros(max(ranks.values()) + 2, np.int64)
+    per_id[ids["key"].to_numpy()] = ids["n"].to_numpy()
+    model, leaf, within = fit(train, ranks, per_id, **fitting)
+    shared = spark.sparkContext.broadcast((ranks, model, leaf, within))
+    known = coded.select("id", "rh", "n_tokens", "known", "logs", "ids")
+    scored = written(known.mapInArrow(_score(shared), StructType([
+        *known.drop("ids").schema.fields, *StructType.fromDDL("score double").fields])), "lm-scored")
+    rare = (coded.where(F.size("rare") > 0).select("rh", "rare", "times").dropDuplicates(["rh"])
             .select("rh", F.inline(F.arrays_zip("rare", "times")).alias("h", "times"))
             .join(words, "h").groupBy("rh")
             .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs")))
     end = words.where(F.col("h") == F.lit(END_HASH)).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
-    full = scored.drop("rare", "times").join(rare, "rh", "left").na.fill(0, ["more"]).na.fill(0.0, ["more_logs"])
+    full = scored.join(rare, "rh", "left").na.fill(0, ["more"]).na.fill(0.0, ["more_logs"])
     known = F.col("known") + F.col("more") + (1 if end else 0)
     logs = (F.col("logs") + F.col("more_logs") + F.lit(math.log10(end + 1))
             - F.col("n_tokens") * F.lit(math.log10(total + distinct + 1)))
