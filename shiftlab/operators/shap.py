@@ -11,7 +11,9 @@ value times (o_j - z_j) times the sum, over subsets S of the other features, of
 So the work is joins and aggregations: every row meets the leaves of every tree by an
 equi-join on the tree (the leaf table is the model, bounded by trees x 2^depth), the
 patterns that occur are made distinct and valued once each, and the values go back to
-the rows by (leaf, pattern) and are added up per (row, feature).  Leaf values are class
+the rows by (leaf, pattern) and are added up per (row, feature).  Few patterns are
+broadcast: then the rows are dealt by their key before they meet the leaves, as a row
+is much smaller than its values, and added up where they are.  Leaf values are class
 probabilities and the forest output is their mean over trees, so per class the
 attributions of a row sum to ``f(x) - E[f]`` (tested).
 """
@@ -33,7 +35,10 @@ from shiftlab.functions.hashing import DEFAULT_SEED
 from shiftlab.operators import models as md
 from shiftlab.operators.importance import forest
 from shiftlab.operators.sampling import _maybe_broadcast
-from shiftlab.session import ensure_checkpoint_dir, ship_package
+from shiftlab.session import BROADCAST_MAX_ROWS, ensure_checkpoint_dir, ship_package
+
+#: Rows of a task that adds up the values of its rows.
+SUM_ROWS = 10_000
 
 _LEAF = ("tree int, leaf int, value array<double>, "
          "path array<struct<feature:int, lo:double, hi:double, cats:array<double>, z:double, bit:bigint>>")
@@ -103,15 +108,15 @@ def pattern_values(z: np.ndarray, o: np.ndarray) -> np.ndarray:
     return out
 
 
-def row_values(rows: DataFrame, found: Forest, x: str = "x", row: str = "row") -> DataFrame:
+def row_values(rows: DataFrame, found: Forest, x: str = "x", row: str = "row", n: int | None = None) -> DataFrame:
     """(row, feature, phi): every row's Shapley values, an array with a value per class; features on no path are left out.
 
-    ``x`` is an array column; ``row`` identifies rows.
+    ``x`` is an array column; ``row`` identifies rows; ``n`` is the number of rows, if known.
     """
     spark = rows.sparkSession
     ship_package(spark)
     leaves = F.broadcast(spark.createDataFrame(found.leaves, _LEAF))
-    each = rows.select(F.col(row).alias("row"), F.col(x).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(found.trees - 1))).alias("tree"))
+    rows = rows.select(F.col(row).alias("row"), F.col(x).alias("x"))
 
     def agrees(p):
         v = F.get("x", p["feature"])
@@ -120,8 +125,12 @@ def row_values(rows: DataFrame, found: Forest, x: str = "x", row: str = "row") -
 
     bits = F.aggregate(F.transform("path", lambda p: F.when(agrees(p), p["bit"]).otherwise(F.lit(0).cast("bigint"))),
                        F.lit(0).cast("bigint"), lambda a, b: a + b)
-    hits = each.join(leaves, "tree").select("row", "tree", "leaf", bits.alias("pattern")).where(F.size("path") > 0)
-    kinds = hits.select("tree", "leaf", "pattern").distinct()
+
+    def hits(some):
+        each = some.select("row", "x", F.explode(F.sequence(F.lit(0), F.lit(found.trees - 1))).alias("tree"))
+        return each.join(leaves, "tree").select("row", "tree", "leaf", bits.alias("pattern")).where(F.size("path") > 0)
+
+    kinds = hits(rows).select("tree", "leaf", "pattern").distinct()
 
     def value(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -137,7 +146,11 @@ def row_values(rows: DataFrame, found: Forest, x: str = "x", row: str = "row") -
               .mapInPandas(value, "tree int, leaf int, pattern bigint, feature int, part array<double>").checkpoint())
     classes = len(found.leaves[0][2])
     parts = [F.col("part")[c] for c in range(classes)]
-    met = hits.join(_maybe_broadcast(values, values.count()), ["tree", "leaf", "pattern"])
+    patterns = values.count()
+    if patterns <= BROADCAST_MAX_ROWS:
+        n = rows.count() if n is None else n
+        rows = rows.repartition(max(spark.sparkContext.defaultParallelism, n // SUM_ROWS + 1), "row")
+    met = hits(rows).join(_maybe_broadcast(values, patterns), ["tree", "leaf", "pattern"])
     sums = met.groupBy("row", "feature").agg(*(F.sum(p).alias(f"s{c}") for c, p in enumerate(parts)))
     return sums.select("row", "feature", F.array(*[F.col(f"s{c}") / F.lit(float(found.trees)) for c in range(classes)]).alias("phi"))
 
@@ -154,7 +167,7 @@ def shap_importance(df: DataFrame, label: str, features: str, names: Sequence[st
     rows = df.select(F.struct(*key).alias("row"), vector_to_array(features).alias("x"))
     n = rows.count()
     size = F.aggregate("phi", F.lit(0.0), lambda a, v: a + F.abs(v)) / F.lit(float(len(classes)))
-    sums = row_values(rows, found).groupBy("feature").agg(F.sum(size).alias("s"))
+    sums = row_values(rows, found, n=n).groupBy("feature").agg(F.sum(size).alias("s"))
     all_features = spark.createDataFrame([(i, str(f)) for i, f in enumerate(names)], "feature int, name string")
     out = all_features.join(F.broadcast(sums), "feature", "left")
     return out.select(F.col("name").alias("feature"), (F.coalesce("s", F.lit(0.0)) / F.lit(float(max(n, 1)))).alias("importance")).orderBy(

@@ -62,3 +62,17 @@ def test_importance_over_all_rows(spark, copies):
     imp = sh.shap_importance(data(spark, 200, copies), "label", "features", [f"x{i}" for i in range(5)], ["id"], trees=7, depth=4).collect()
     assert {r["feature"] for r in imp[:3]} == {"x0", "x1", "x2"} and len(imp) == 5
     assert all(r["importance"] > 0 for r in imp)
+
+
+def test_values_are_added_up_where_their_rows_are(spark):
+    import re
+
+    df = data(spark, 120, 2)
+    df = df.unionByName(df.limit(5))  # keys may repeat
+    indexer, _ = md.label_indexer(df, "label")
+    found = sh.read_forest(forest("features", md.LABEL_IDX, 4, 3, 42).fit(indexer.transform(df)), spark)
+    got = sh.row_values(df.select(F.struct("id").alias("row"), vector_to_array("features").alias("x")), found)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(row" in plan and not re.search(r"hashpartitioning\([^)]*feature", plan)
+    assert got.count() == got.select("row", "feature").distinct().count()
+    assert {r["row"]["id"] for r in got.collect()} == {r["id"] for r in df.collect()}
