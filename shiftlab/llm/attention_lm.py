@@ -47,6 +47,8 @@ ROUNDS, STEPS, BATCH, RATE = 4, 150, 128, 0.02
 PART, ACROSS = 1 << 40, 8
 #: Words whose counts every task holds (16 bytes each); the others meet their counts in a join.
 FREQUENT_WORDS = 200_000
+#: Bytes of an Arrow batch, and of the texts whose words are held as arrays at once (each word and byte takes some tens of bytes).
+BATCH_BYTES, TEXT_BYTES = str(4 << 20), 512 << 10
 END_HASH = 0x5851F42D4C957F2D
 F32 = np.float32
 
@@ -149,7 +151,8 @@ class Model:
     def log_targets(self, rows: np.ndarray, there: np.ndarray, skip: int, target: np.ndarray) -> np.ndarray:
         """log P of the ``target`` leaves of the inputs from ``skip`` on; (windows, targets)."""
         w = self.w
-        x = w["E"][rows] + w["P"]
+        x = w["E"].take(rows, 0)
+        x += w["P"]
         o = self._attend(x, there, skip)[-1]
         y = x[:, skip:] + o @ w["O"]
         of, _, _, z = self._turns(y.reshape(-1, WIDTH), target.reshape(-1))
@@ -158,12 +161,13 @@ class Model:
     def step(self, rows: np.ndarray, there: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
         """(loss, gradients) over all targets of a batch of windows."""
         w, scale = self.w, F32(1 / math.sqrt(WIDTH))
-        x = w["E"][rows] + w["P"]
+        x = w["E"].take(rows, 0)
+        x += w["P"]
         q, k, v, a, o = self._attend(x, there, 0)
         y = x + o @ w["O"]
         flat = lambda m: m.reshape(-1, m.shape[-1])
         some = np.flatnonzero(there)
-        y = flat(y)[some]
+        y = flat(y).take(some, 0)
         of, turned, turn, z = self._turns(y, target[there])
         log, e = _log_sigmoid(z)
         loss = float(-np.log(np.exp(np.bincount(of, log, len(some))) + 1e-12).mean())
@@ -173,20 +177,28 @@ class Model:
         dz = dz.astype(z.dtype, copy=False)
         m, near = len(w["B"]), turned < NEAR
         # Most turns are at the nodes near the root: products with a matrix of targets and nodes; the others one by one.
-        top = np.zeros((len(some), NEAR), z.dtype)
-        top.reshape(-1)[(of * NEAR + turned)[near]] = dz[near]
+        top, far, near = np.zeros((len(some), NEAR), z.dtype), np.flatnonzero(~near), np.flatnonzero(near)
+        cell = of.take(near)
+        cell *= NEAR
+        cell += turned.take(near)
+        top.reshape(-1)[cell] = dz.take(near)
         top = top[:, :m]
-        dy = np.zeros_like(flat(x))
-        dy[some] = top @ w["C"][:NEAR]
-        far = np.flatnonzero(~near)
-        of, node, dz_far = of[far], turned[far], dz[far, None]
-        ys, c = y.take(of, 0) * dz_far, w["C"].take(node, 0) * dz_far
-        g = {"C": np.stack([np.bincount(node, ys[:, j], m) for j in range(WIDTH)], 1).astype(z.dtype), "B": np.bincount(turned, dz, m)}
+        of, node, dz_far = of.take(far), turned.take(far), dz.take(far)[:, None]
+        ys, c = y.take(of, 0), w["C"].take(node, 0)
+        ys *= dz_far
+        c *= dz_far
+        g = {"C": _sums(node, ys, m).astype(z.dtype), "B": np.bincount(turned, dz, m)}
         g["C"][:NEAR] += top.T @ y
+        # A target's part; what lies outside the text takes the row of zeros behind them.
+        part = np.zeros((len(some) + 1, WIDTH), x.dtype)
+        np.matmul(top, w["C"][:NEAR], out=part[:-1])
         if len(of):
             first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            dy[some[of[first]]] += np.add.reduceat(c, first)
-        dy = dy.reshape(x.shape)
+            to = of.take(first)
+            part[to] = part.take(to, 0) + np.add.reduceat(c, first)
+        of = np.full(there.size, len(some))
+        of[some] = np.arange(len(some))
+        dy = part.take(of, 0).reshape(x.shape)
         g["O"] = flat(o).T @ flat(dy)
         do = dy @ w["O"].T
         ds = do @ v.transpose(0, 2, 1)
@@ -199,11 +211,16 @@ class Model:
         if len(some) < there.size:
             dx[~there] = 0
         g["P"] = dx.sum(0)
-        cell = rows[..., None] * WIDTH + np.arange(WIDTH)
-        g["E"] = np.bincount(cell.reshape(-1), dx.reshape(-1), w["E"].size).reshape(w["E"].shape)
+        g["E"] = _sums(rows.reshape(-1), flat(dx), len(w["E"]))
         return loss, g
 
 
+def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each place below ``n``."""
+    cell = at[:, None] * WIDTH + np.arange(WIDTH)
+    return np.bincount(cell.reshape(-1), rows.reshape(-1), n * WIDTH).reshape(n, WIDTH)
+
+
 def _exp(z: np.ndarray) -> None:
     """exp of ``z`` in place, less the largest of the last axis where that could leave the range."""
     if max(z.max(initial=0), -z.min(initial=0)) > 60:
@@ -232,15 +249,23 @@ class Trainer:
             order = self.r.permutation(len(rows))
             for i in range(0, len(order), BATCH):
                 pick = order[i:i + BATCH]
-                loss, g = self.model.step(rows[pick], there[pick], target[pick])
+                loss, g = self.model.step(rows[pick].astype(np.int64), there[pick], target[pick].astype(np.int64))
                 losses.append(loss)
                 self.t += 1
                 t, rate = self.t, self.rate / math.sqrt(1 + self.t / STEPS)
                 for k, x in g.items():
                     x, m, s = x.astype(F32, copy=False), self.m[k], self.s[k]
-                    m += F32(0.1) * (x - m)
-                    s += F32(0.01) * (x * x - s)
-                    self.model.w[k] -= F32(rate / (1 - 0.9 ** t)) * m / (np.sqrt(s * F32(1 / (1 - 0.99 ** t))) + F32(1e-8))
+                    d = x - m
+                    d *= F32(0.1)
+                    m += d
+                    np.multiply(x, x, out=d)
+                    d -= s
+                    d *= F32(0.01)
+                    s += d
+                    np.multiply(s, F32(1 / (1 - 0.99 ** t)), out=d)
+                    np.sqrt(d, out=d)
+                    d += F32(1e-8)
+                    self.model.w[k] -= np.divide(F32(rate / (1 - 0.9 ** t)) * m, d, out=d)
         return losses
 
 
@@ -284,7 +309,7 @@ def text_log10(ids: np.ndarray, at: np.ndarray, end: int, model: Model, of: np.n
 def _words(batch: pa.RecordBatch):
     """(first row, lower-cased bytes, starts, ends, word offsets, hashes) of slices of a batch."""
     data, offsets = ba.flat(batch.column(batch.schema.get_field_index("text")))
-    for i, j in ba.slices(offsets):
+    for i, j in ba.slices(offsets, TEXT_BYTES):
         low = subwords.lowered(data[offsets[i]:offsets[j]])
         starts, ends, at = ba.word_spans(low, offsets[i:j + 1] - offsets[i], ba.NOT_SPACE)
         yield i, low, starts, ends, at, ba.span_hashes(low, starts, ends)
@@ -348,23 +373,26 @@ def _encode(shared):
     """A row's n_tokens, ids, and base terms: those of frequent words summed, others listed."""
     def run(batches):
         ranks, frequent, counts = shared.value
-        encoder = subwords.Encoder(ranks)
+        encoder, log_counts = subwords.Encoder(ranks), np.log10(counts + 1.0)
         kind = _kind(encoder.size)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "logs", "rare", "times", "ids")}
             for _, low, starts, ends, at, h in _words(batch):
                 text = ba.texts_of(at)
-                ids, n = encoder.ids(low, starts, ends, h)
+                alike = subwords.distinct_words(h)
+                ids, n = encoder.ids(low, starts, ends, h, alike)
                 id_at = np.concatenate([[0], np.cumsum(n)])[at] * kind.itemsize
                 raw = ids.astype(kind).tobytes()
                 out["ids"] += [raw[i:j] for i, j in zip(id_at[:-1].tolist(), id_at[1:].tolist(), strict=True)]
                 out["n_tokens"].append(np.diff(at) + 1)
-                k = np.searchsorted(frequent, h) if len(frequent) else np.zeros(len(h), np.int64)
+                distinct, _, back = alike
+                k = np.searchsorted(frequent, distinct) if len(frequent) else np.zeros(len(distinct), np.int64)
                 k[k == len(frequent)] = 0
-                found = frequent[k] == h if len(frequent) else np.zeros(len(h), bool)
+                found = frequent[k] == distinct if len(frequent) else np.zeros(len(distinct), bool)
+                k, found = k.take(back), found.take(back)
                 texts = len(at) - 1
                 out["known"].append(np.bincount(text[found], minlength=texts))
-                out["logs"].append(np.bincount(text[found], np.log10(counts[k[found]] + 1.0), texts))
+                out["logs"].append(np.bincount(text[found], log_counts[k[found]], texts))
                 text, h = text[~found], h[~found]
                 order = np.lexsort((h, text))
                 text, h = text[order], h[order]
@@ -413,8 +441,9 @@ def _trained(shared, k: int, passes: int, total: int = 1):
         for batch in batches:
             for ids, at in reader.of(batch):
                 inputs, targets, position, there, _ = laid_out(ids, at, reader.end, WINDOW)
-                trainer.run(row[inputs][position], there, of[targets][position], passes)
                 seen += len(targets)
+                inputs, targets = row.astype(np.int32)[inputs], of.astype(np.int32)[targets]
+                trainer.run(inputs[position], there, targets[position], passes)
         if seen:
             flat = np.concatenate([model.w[name].reshape(-1) for name in Model.NAMES]).astype(np.float64)
             flat = np.rint(np.resize(flat, (-(-len(flat) // ACROSS), ACROSS)) * (PART * (seen / total))).astype(np.int64)
@@ -471,6 +500,7 @@ def score(docs: DataFrame, train_on: Column, *, doc_id: str = "doc_id", text: st
     """
     spark = docs.sparkSession
     ready(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     ranks = subwords.load(ranks_path)
     learn = F.coalesce(train_on, F.lit(False))
     base = docs.select(F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).alias("rh"), learn.alias("learn"),

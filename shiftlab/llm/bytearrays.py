@@ -7,8 +7,6 @@ final mix.  Two different words or shingles share one with odds of about
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 
@@ -39,19 +37,23 @@ for _a, _b in ((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)):
     WORD_CHAR[_a:_b + 1] = False
 
 
-@functools.cache
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
     up = np.full(n, BASE, U64)
     down = np.full(n, U64(pow(int(BASE), -1, 1 << 64)), U64)
     up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return np.multiply.accumulate(up, out=up), np.multiply.accumulate(down, out=down)
+
+
+_table = np.zeros(0, U64), np.zeros(0, U64)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n (at least), modulo 2**64."""
-    bits = max(22, int(n).bit_length())
-    up, down = _powers(bits)
+    """BASE**i and BASE**-i for i < n (at least), modulo 2**64; the table is as large as the longest asked for."""
+    global _table
+    if n > len(_table[0]):
+        _table = _powers(max(16, int(n).bit_length()))
+    up, down = _table
     return up[:n], down[:n]
 
 

@@ -50,9 +50,9 @@ class Encoder:
         line = ids == self._line
         return ids[~line], np.diff(np.flatnonzero(np.concatenate([[True], line, [True]]))) - 1
 
-    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray):
-        """(ids, ids per word) of words given as spans of lower-cased bytes."""
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, alike=None):
+        """(ids, ids per word) of words given as spans of lower-cased bytes; ``alike`` is ``distinct_words(hashes)`` if known."""
+        distinct, first, back = alike or distinct_words(hashes)
         if len(self._known[0]) + len(distinct) > REMEMBERED:
             self._known, self._flat = tuple(x[:0] for x in self._known), self._flat[:0]
         known, at, size = self._known
@@ -74,5 +74,10 @@ class Encoder:
         return self._flat[step], n
 
 
+def distinct_words(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes in order, place of the first of each, place in them of each word)."""
+    return np.unique(hashes, return_index=True, return_inverse=True)
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     return ba.LOWER[data]

@@ -48,3 +48,30 @@ def test_ids_are_those_of_each_word_alone():
         raw = data.tobytes()
         wanted = [one(" " + raw[a:b].decode()) for a, b in zip(starts, ends, strict=True)]
         assert n.tolist() == list(map(len, wanted)) and ids.tolist() == [x for w in wanted for x in w]
+
+
+def test_words_of_a_batch_take_little_memory():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    ranks = subwords.load()
+    texts = [" ".join(f"{chr(97 + (i * k) % 26)}{i * k % 977}" for k in range(4000)) for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], ["id", "text"])
+    size = sum(map(len, texts))
+    shared = SimpleNamespace(value=(ranks, np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    for run in (attention_lm._count, attention_lm._encode(shared)):
+        next(iter(run(iter([batch.slice(0, 1)]))))  # what every task holds
+        tracemalloc.start()
+        out, = run(iter([batch]))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert out.num_rows and most < 14 * size  # 21 times, with 2 MB of text at once
+
+
+def test_powers_are_one_table_as_large_as_needed():
+    for n in (3, 70_000, 10):
+        up, down = ba.powers(n)
+        assert len(up) == len(down) == n and (up * down == 1).all() and up[1] == ba.BASE and up[0] == 1
+        assert (up[1:] == up[:-1] * ba.BASE).all()
