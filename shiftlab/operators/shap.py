@@ -8,14 +8,14 @@ Its Shapley values on that leaf depend on the pattern alone: feature j gets the
 value times (o_j - z_j) times the sum, over subsets S of the other features, of
 |S|! (m - |S| - 1)! / m! times the product of o in S and of z outside.
 
-So the work is joins and aggregations: every row meets the leaves of every tree by an
-equi-join on the tree (the leaf table is the model, bounded by trees x 2^depth), the
-patterns that occur are made distinct and valued once each, and the values go back to
-the rows by (leaf, pattern) and are added up per (row, feature).  Few patterns are
-broadcast: then the rows are dealt by their key before they meet the leaves, as a row
-is much smaller than its values, and added up where they are.  Leaf values are class
-probabilities and the forest output is their mean over trees, so per class the
-attributions of a row sum to ``f(x) - E[f]`` (tested).
+So a row needs the forest alone (a leaf table, bounded by trees x 2^depth) and its own
+features: rows are dealt by their key and valued where they are, a block of rows at a
+time.  A block meets the leaves one by one; a leaf's patterns are valued once a task, or
+once a block where the leaf has more of them than a block has rows.  Neither the meetings
+of rows and leaves nor their values are ever rows of a table, so what is shuffled is a row's
+key and features, however many patterns occur.  Leaf values are class probabilities and
+the forest output is their mean over trees, so per class the attributions of a row sum to
+``f(x) - E[f]`` (tested).
 """
 
 from __future__ import annotations
@@ -26,22 +26,20 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftlab.functions.hashing import DEFAULT_SEED
 from shiftlab.operators import models as md
 from shiftlab.operators.importance import forest
-from shiftlab.operators.sampling import _maybe_broadcast
-from shiftlab.session import BROADCAST_MAX_ROWS, ensure_checkpoint_dir, ship_package
+from shiftlab.session import ensure_checkpoint_dir, ship_package
 
-#: Rows of a task that adds up the values of its rows.
-SUM_ROWS = 10_000
-
-_LEAF = ("tree int, leaf int, value array<double>, "
-         "path array<struct<feature:int, lo:double, hi:double, cats:array<double>, z:double, bit:bigint>>")
+#: Rows of a task; numbers (features x rows x classes) of a block of rows; numbers of the pattern tables that a task keeps.
+TASK_ROWS, BLOCK, TABLES = 10_000, 1_000_000, 4_000_000
 
 
 @dataclass
@@ -92,67 +90,103 @@ def read_forest(model, spark: SparkSession) -> Forest:
 
 
 def pattern_values(z: np.ndarray, o: np.ndarray) -> np.ndarray:
-    """Per feature of a path, (o - z) times its weight over the subsets of the other features."""
+    """Per (feature of a path, pattern), (o - z) times its weight over the subsets of the other features; ``o`` is by feature, then pattern."""
     m = len(z)
-    out = np.zeros(m)
+    out = np.zeros(o.shape)
+    weight = [math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)]
     for j in range(m):
         # by[s]: the sum over subsets of size s of the others, grown one feature at a time
-        by = np.zeros(m)
+        by = np.zeros(o.shape)
         by[0] = 1.0
         for k in range(m):
             if k != j:
                 by[1:] = by[1:] * z[k] + by[:-1] * o[k]
                 by[0] *= z[k]
-        weight = [math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)]
-        out[j] = (o[j] - z[j]) * float(by @ weight)
+        out[j] = (o[j] - z[j]) * (weight @ by)
     return out
 
 
+def _of_patterns(path: list[tuple], patterns: np.ndarray) -> np.ndarray:
+    bits = np.array([[step[5]] for step in path])
+    return pattern_values(np.array([step[4] for step in path]), (patterns & bits != 0).astype(float))
+
+
+def _by_feature(x: pa.ListArray, used: Sequence[int]) -> np.ndarray:
+    """The used features of rows, by feature, then row; one that a row lacks is NaN, which agrees with no interval."""
+    size = pc.fill_null(pc.list_value_length(x), 0).to_numpy()
+    row = np.repeat(np.arange(len(x)), size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    out = np.full((len(x), max(used[-1] + 1, size.max(initial=0))), math.nan)
+    out[row, at] = x.flatten().to_numpy(zero_copy_only=False)
+    return np.ascontiguousarray(out[:, used].T)
+
+
+def _block_values(x: np.ndarray, found: Forest, place: dict[int, int], tables: dict[int, np.ndarray]) -> np.ndarray:
+    """[feature, row, class]: the Shapley values of a block of rows; ``x`` is by feature (at its ``place``), then row."""
+    out = np.zeros((*x.shape, len(found.expected)))
+    for at, (_, _, own, path) in enumerate(found.leaves):
+        if not path:
+            continue
+        pattern = np.zeros(x.shape[1], np.int64)
+        for f, lo, hi, cats, _, bit in path:
+            v = x[place[f]]
+            pattern |= np.where((v > lo) & (v <= hi) if cats is None else np.isin(v, cats), bit, 0)
+        if 1 << len(path) <= x.shape[1] or at in tables:
+            values = tables[at] if at in tables else _of_patterns(path, np.arange(1 << len(path)))
+            if at not in tables and sum(t.size for t in tables.values()) + values.size <= TABLES:
+                tables[at] = values
+        else:
+            kinds, pattern = np.unique(pattern, return_inverse=True)
+            values = _of_patterns(path, kinds)
+        for step, value in zip(path, values, strict=True):
+            out[place[step[0]]] += np.multiply.outer(value[pattern], own)
+    return out / found.trees
+
+
 def row_values(rows: DataFrame, found: Forest, x: str = "x", row: str = "row", n: int | None = None) -> DataFrame:
     """(row, feature, phi): every row's Shapley values, an array with a value per class; features on no path are left out.
 
-    ``x`` is an array column; ``row`` identifies rows; ``n`` is the number of rows, if known.
+    ``x`` is an array column; ``row`` identifies rows (values of rows that share one are added up); ``n`` is the number of rows, if known.
     """
     spark = rows.sparkSession
     ship_package(spark)
-    leaves = F.broadcast(spark.createDataFrame(found.leaves, _LEAF))
+    n = rows.count() if n is None else n
+    used = sorted({step[0] for leaf in found.leaves for step in leaf[3]})
+    place = {f: i for i, f in enumerate(used)}
     rows = rows.select(F.col(row).alias("row"), F.col(x).alias("x"))
-
-    def agrees(p):
-        v = F.get("x", p["feature"])
-        inside = (v > p["lo"]) & (v <= p["hi"])
-        return F.when(p["cats"].isNull(), inside).otherwise(F.array_contains(p["cats"], v))
-
-    bits = F.aggregate(F.transform("path", lambda p: F.when(agrees(p), p["bit"]).otherwise(F.lit(0).cast("bigint"))),
-                       F.lit(0).cast("bigint"), lambda a, b: a + b)
-
-    def hits(some):
-        each = some.select("row", "x", F.explode(F.sequence(F.lit(0), F.lit(found.trees - 1))).alias("tree"))
-        return each.join(leaves, "tree").select("row", "tree", "leaf", bits.alias("pattern")).where(F.size("path") > 0)
-
-    kinds = hits(rows).select("tree", "leaf", "pattern").distinct()
-
-    def value(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for tree, leaf, pattern, own, path in pdf.itertuples(index=False):
-                z = np.array([p["z"] for p in path])
-                o = np.array([float(bool(pattern & p["bit"])) for p in path])
-                out += [(tree, leaf, pattern, p["feature"], (w * np.asarray(own)).tolist())
-                        for p, w in zip(path, pattern_values(z, o), strict=True)]
-            yield pd.DataFrame(out, columns=["tree", "leaf", "pattern", "feature", "part"])
-
-    values = (kinds.join(leaves, ["tree", "leaf"]).select("tree", "leaf", "pattern", "value", "path")
-              .mapInPandas(value, "tree int, leaf int, pattern bigint, feature int, part array<double>").checkpoint())
-    classes = len(found.leaves[0][2])
-    parts = [F.col("part")[c] for c in range(classes)]
-    patterns = values.count()
-    if patterns <= BROADCAST_MAX_ROWS:
-        n = rows.count() if n is None else n
-        rows = rows.repartition(max(spark.sparkContext.defaultParallelism, n // SUM_ROWS + 1), "row")
-    met = hits(rows).join(_maybe_broadcast(values, patterns), ["tree", "leaf", "pattern"])
-    sums = met.groupBy("row", "feature").agg(*(F.sum(p).alias(f"s{c}") for c, p in enumerate(parts)))
-    return sums.select("row", "feature", F.array(*[F.col(f"s{c}") / F.lit(float(found.trees)) for c in range(classes)]).alias("phi"))
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, n // TASK_ROWS + 1), "row")
+    first = F.row_number().over(Window.partitionBy("row").orderBy("row")) == 1  # rows that share a key follow each other
+    schema = T.StructType([rows.schema["row"], T.StructField("feature", T.IntegerType()), T.StructField("phi", T.ArrayType(T.DoubleType()))])
+    classes = len(found.expected)
+    size = max(1, BLOCK // max(1, len(used) * classes))
+    held = spark.sparkContext.broadcast(found)
+
+    def records(keys: pa.Array, phi: np.ndarray) -> pa.RecordBatch:
+        count = phi.shape[1]
+        ends = pa.array(np.arange(0, phi.size + 1, classes, dtype=np.int32))
+        return pa.RecordBatch.from_arrays([
+            keys.take(pa.array(np.tile(np.arange(count), len(used)))), pa.array(np.repeat(np.array(used, np.int32), count)),
+            pa.ListArray.from_arrays(ends, pa.array(phi.ravel()))], names=["row", "feature", "phi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        key, open_ = None, None  # the last key and the sums of its rows so far: the next block may go on with it
+        for batch in batches:
+            for block in (batch.slice(i, size) for i in range(0, batch.num_rows, size)):
+                keys, starts = block.column(0), np.flatnonzero(block.column(2).to_numpy(zero_copy_only=False))
+                phi = _block_values(_by_feature(block.column(1), used), held.value, place, tables)
+                if open_ is not None:
+                    keys, starts, phi = pa.concat_arrays([key, keys]), np.append(0, starts + 1), np.concatenate([open_, phi], 1)
+                phi, keys = np.add.reduceat(phi, starts, 1), keys.take(pa.array(starts))
+                key, open_ = keys[-1:], phi[:, -1:].copy()
+                if len(keys) > 1:
+                    yield records(keys[:-1], phi[:, :-1])
+        if open_ is not None:
+            yield records(key, open_)
+
+    if not used:
+        return spark.createDataFrame([], schema)
+    return rows.withColumn("first", first).mapInArrow(run, schema)
 
 
 def shap_importance(df: DataFrame, label: str, features: str, names: Sequence[str], key: Sequence[str],

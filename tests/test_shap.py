@@ -76,3 +76,46 @@ def test_values_are_added_up_where_their_rows_are(spark):
     assert "hashpartitioning(row" in plan and not re.search(r"hashpartitioning\([^)]*feature", plan)
     assert got.count() == got.select("row", "feature").distinct().count()
     assert {r["row"]["id"] for r in got.collect()} == {r["id"] for r in df.collect()}
+
+
+def test_many_patterns_are_not_shuffled(spark):
+    """More patterns than may be broadcast: values still stay where their rows are, and only rows are shuffled."""
+    rng = np.random.default_rng(1)
+    rows = [(i, str(rng.integers(3)), [float(v) for v in rng.normal(size=8)]) for i in range(250)]
+    df = spark.createDataFrame(rows, "id long, label string, f array<double>").select("id", "label", array_to_vector("f").alias("features"))
+    indexer, _ = md.label_indexer(df, "label")
+    model = forest("features", md.LABEL_IDX, 30, 8, 42).fit(indexer.transform(df))
+    found = sh.read_forest(model, spark)
+    assert len(found.leaves) * 250 > 200_000  # meetings of a row and a leaf, most of them a pattern of their own
+    got = sh.row_values(df.select("id", vector_to_array("features").alias("x")), found, row="id")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(row" in plan and "hashpartitioning(tree" not in plan and "Join" not in plan
+    sums = np.zeros((250, 3))
+    for r in got.collect():
+        sums[r["row"]] += r["phi"]
+    for r in model.transform(df).select("id", "probability").collect():
+        assert np.allclose(sums[r["id"]], r["probability"].toArray() - found.expected, atol=1e-9)
+
+
+@pytest.mark.parametrize("block", [1, 60, 1_000_000])
+def test_rows_that_share_a_key_are_added_up_over_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(sh, "BLOCK", block)
+    df = data(spark, 90)
+    indexer, _ = md.label_indexer(df, "label")
+    found = sh.read_forest(forest("features", md.LABEL_IDX, 3, 3, 42).fit(indexer.transform(df)), spark)
+    key = F.when(F.col("id") % 30 < 20, F.col("id") % 7)  # a third of the rows has none
+    rows = df.select("id", key.alias("key"), vector_to_array("features").alias("x"))
+    single = sh.row_values(rows, found, row="id").join(rows.select(F.col("id").alias("row"), "key"), "row")
+    want = {}
+    for r in single.collect():
+        want[r["key"], r["feature"]] = want.get((r["key"], r["feature"]), 0) + np.array(r["phi"])
+    got = {(r["row"], r["feature"]): r["phi"] for r in sh.row_values(rows, found, row="key").collect()}
+    assert set(got) == set(want) and {k for k, _ in got} == {None, *range(7)}
+    assert all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
+
+
+def test_features_that_a_row_lacks_agree_with_no_interval():
+    import pyarrow as pa
+
+    got = sh._by_feature(pa.array([[1.0, 2.0, 3.0], None, [4.0], [5.0, None, 6.0, 7.0]]).slice(0, 4), [0, 2])
+    assert np.array_equal(got, [[1.0, np.nan, 4.0, 5.0], [3.0, np.nan, np.nan, 6.0]], equal_nan=True)
