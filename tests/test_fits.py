@@ -264,3 +264,20 @@ def test_svm_steps_run_few_tasks(spark, monkeypatch):
     monkeypatch.setattr(md, "FIT_ROWS", 50)
     svm.fit_predict(df, [df], "features", "y", 3)
     assert seen == [1, 3]
+
+
+def broken_query(spark, monkeypatch, query, broken):
+    """A registered query over 60 rows of three classes, its algorithms stood in for by value-majority models, of which some cannot be fitted."""
+    from shiftlab.plans import q_models
+
+    df = frame(spark, *blobs(60)).selectExpr("id as vec_id", "cast(int(y) as string) as label", "features")
+    monkeypatch.setattr(q_models, "embeddings", lambda *_: df)
+    algos = {n: md.Algo(n, lambda *_: 1 / 0) if n in broken else md.value_majority(n, F.col("vec_id") % 4)[n] for n in q_models.ALL}
+    monkeypatch.setattr(md, "default_algorithms", lambda **_: algos)
+    return getattr(q_models, query)(spark, "")
+
+
+def test_boosted_trees_that_fail_are_an_error(spark, monkeypatch):
+    with pytest.raises(RuntimeError, match="^Boosted Trees: ZeroDivisionError: division by zero$"):
+        broken_query(spark, monkeypatch, "m02", ["Boosted Trees"])
+    assert broken_query(spark, monkeypatch, "m02", []).count() == 11
