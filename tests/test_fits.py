@@ -281,3 +281,11 @@ def test_boosted_trees_that_fail_are_an_error(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="^Boosted Trees: ZeroDivisionError: division by zero$"):
         broken_query(spark, monkeypatch, "m02", ["Boosted Trees"])
     assert broken_query(spark, monkeypatch, "m02", []).count() == 11
+
+
+@pytest.mark.parametrize("part", ["", ": AUC"])
+def test_an_svm_or_its_auc_that_fails_is_an_error(spark, monkeypatch, part):
+    if part:
+        monkeypatch.setattr(md.mt, "macro_auc", lambda *_: 1 / 0)
+    with pytest.raises(RuntimeError, match=f"^SVM{part}: ZeroDivisionError: division by zero$"):
+        broken_query(spark, monkeypatch, "m05", [] if part else ["SVM"])
